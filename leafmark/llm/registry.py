@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmark.llm import sharding
+from leafmark.llm import mixing, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_consistent_ring": sharding.op5_consistent_ring}
+    return {
+        "op5_consistent_ring": sharding.op5_consistent_ring,
+        "op10_entropy_mix": mixing.op10_entropy_mix,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
