@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmark.llm import mixing, sharding
+from leafmark.llm import chat, mixing, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_schema_fingerprint": chat.op3_schema_fingerprint,
         "op5_consistent_ring": sharding.op5_consistent_ring,
         "op10_entropy_mix": mixing.op10_entropy_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_schema_fingerprint": chat.OP3_SQL}
