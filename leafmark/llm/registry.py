@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmark.llm import chat, mixing, sharding, urls
+from leafmark.llm import chat, mixing, quality, sharding, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_gradient_boosted_urls": urls.op2_gradient_boosted_urls,
         "op3_schema_fingerprint": chat.op3_schema_fingerprint,
+        "op4_robust_outliers": quality.op4_robust_outliers,
         "op5_consistent_ring": sharding.op5_consistent_ring,
         "op10_entropy_mix": mixing.op10_entropy_mix,
     }
