@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmark.llm import chat, mixing, quality, sharding, urls
+from leafmark.llm import audio, chat, mixing, quality, sharding, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_audio_features": audio.op1_audio_features,
         "op2_gradient_boosted_urls": urls.op2_gradient_boosted_urls,
         "op3_schema_fingerprint": chat.op3_schema_fingerprint,
         "op4_robust_outliers": quality.op4_robust_outliers,

@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
     """Slices of the batches with their texts, each of about ``limit`` bytes or one row."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.nan_to_num(np.asarray(pa.compute.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.float64))
+        sizes = np.nan_to_num(np.asarray(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.float64))
         part = (np.cumsum(sizes) // limit).astype(np.int64)
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
