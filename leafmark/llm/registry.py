@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmark.llm import audio, chat, mixing, packing, quality, sharding, urls
+from leafmark.llm import audio, chat, mixing, neardup, packing, quality, sharding, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_schema_fingerprint": chat.op3_schema_fingerprint,
         "op4_robust_outliers": quality.op4_robust_outliers,
         "op5_consistent_ring": sharding.op5_consistent_ring,
+        "op6_simhash_vantage": neardup.op6_simhash_vantage,
         "op8_first_fit_packing": packing.op8_first_fit_packing,
         "op10_entropy_mix": mixing.op10_entropy_mix,
     }
