@@ -1,0 +1,87 @@
+"""Sorted arrays in the shared folder, memory-mapped by workers.
+
+An array set is a folder of shards: numpy files that split the key space of
+unsigned 64-bit keys into equal ranges, keys sorted within. A shard is written
+under a name of its own and then renamed, so a task that runs again leaves the
+same file. Where the shared folder is not a mounted file system, shards are
+written through its Arrow file system and copied once by each worker that maps
+them.
+"""
+
+from __future__ import annotations
+
+import io
+import os
+import tempfile
+import uuid
+from functools import lru_cache
+
+import numpy as np
+from pyarrow import fs
+
+
+def _mounted(folder: str) -> str | None:
+    return folder.removeprefix("file:").replace("///", "/", 1) if folder.startswith("file:") else None if "://" in folder else folder
+
+
+def save(folder: str, name: str, array: np.ndarray) -> None:
+    path = _mounted(folder)
+    if path is None:
+        system, path = fs.FileSystem.from_uri(folder)
+        data = io.BytesIO()
+        np.save(data, array)
+        system.create_dir(path)
+        with system.open_output_stream(f"{path}/{name}.npy") as out:
+            out.write(data.getvalue())
+        return
+    os.makedirs(path, exist_ok=True)
+    part = f"{path}/{name}.{uuid.uuid4().hex}.part"
+    with open(part, "wb") as out:
+        np.save(out, array)
+    os.replace(part, f"{path}/{name}.npy")
+
+
+@lru_cache(maxsize=1024)
+def load(folder: str, name: str) -> np.ndarray:
+    """The array, mapped read-only."""
+    path = _mounted(folder)
+    if path is None:
+        system, remote = fs.FileSystem.from_uri(folder)
+        path = tempfile.mkdtemp(prefix="leafmark-map-")
+        with system.open_input_stream(f"{remote}/{name}.npy") as source, open(f"{path}/{name}.npy", "wb") as out:
+            while block := source.read(1 << 24):
+                out.write(block)
+    return np.load(f"{path}/{name}.npy", mmap_mode="r")
+
+
+def exists(folder: str, name: str) -> bool:
+    path = _mounted(folder)
+    if path is None:
+        system, path = fs.FileSystem.from_uri(folder)
+        return system.get_file_info(f"{path}/{name}.npy").type == fs.FileType.File
+    return os.path.exists(f"{path}/{name}.npy")
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each key: equal ranges of the upper 32 bits."""
+    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def find(folder: str, name: str, shards: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted ``keys``: their shards, and their places there or -1.
+
+    Sorted keys walk each mapped shard from front to back, so a lookup touches
+    every page once at most.
+    """
+    where = shard_of(keys, shards)
+    places = np.full(len(keys), -1, np.int64)
+    edges = np.searchsorted(where, np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(edges)).tolist():
+        a, b = edges[s], edges[s + 1]
+        known = load(folder, f"{name}-{s}")
+        if not len(known):
+            continue
+        at = np.searchsorted(known, keys[a:b])
+        hit = known[np.minimum(at, len(known) - 1)] == keys[a:b]
+        places[a:b] = np.where(hit, at, -1)
+    return where, places

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmark.llm import audio, chat, mixing, neardup, packing, quality, sharding, urls
+from leafmark.llm import audio, chat, mixing, neardup, ngrams, packing, quality, sharding, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_robust_outliers": quality.op4_robust_outliers,
         "op5_consistent_ring": sharding.op5_consistent_ring,
         "op6_simhash_vantage": neardup.op6_simhash_vantage,
+        "op7_kneser_ney": ngrams.op7_kneser_ney,
         "op8_first_fit_packing": packing.op8_first_fit_packing,
         "op10_entropy_mix": mixing.op10_entropy_mix,
     }
