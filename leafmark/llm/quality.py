@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmark.llm import scratch
+from leafmark.llm.joins import with_groups
 from leafmark.llm.words import SPACE, word_array
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -120,9 +121,9 @@ def _factor(m: DataFrame, scale: float, floor: float) -> DataFrame:
     return m.select("_g", *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1)))
 
 
-def _distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+def _distances(rows: DataFrame, estimates: DataFrame, groups: int) -> DataFrame:
     """``rows`` with ``_d2``, the squared Mahalanobis distance, by forward substitution."""
-    d = rows.join(estimates, "_g")
+    d = with_groups(rows, estimates, "_g", groups, "_id")
     for i, s in enumerate(STATS):
         x = F.col(s) - F.col(f"m{i}")
         for k in range(i):
@@ -136,7 +137,7 @@ def _bin(d2: Column) -> Column:
     return F.round(F.log2(d2 + 2.0**-20) * PER_OCTAVE).cast("int")
 
 
-def estimates(rows: DataFrame, how: Outliers) -> DataFrame:
+def estimates(rows: DataFrame, how: Outliers, groups: int) -> DataFrame:
     """An MCD estimate for every ``_g`` of ``rows`` (the statistics).
 
     Starts from the whole group's moments; each step keeps the rows up to the
@@ -145,12 +146,12 @@ def estimates(rows: DataFrame, how: Outliers) -> DataFrame:
     scale = CORE_SCALE.get(how.core, 1.0)
     now = scratch.store(_factor(_moments(rows, how), 1.0, how.floor), "estimates")
     for _ in range(how.steps):
-        d = _distances(rows, now).withColumn("_b", _bin(F.col("_d2")))
+        d = _distances(rows, now, groups).withColumn("_b", _bin(F.col("_d2")))
         hist = d.groupBy("_g", "_b").agg(F.count("*").alias("_n"))
         up_to = F.sum("_n").over(Window.partitionBy("_g").orderBy("_b"))
         whole = F.sum("_n").over(Window.partitionBy("_g"))
         cut = hist.select("_g", "_b", up_to.alias("_c"), whole.alias("_all")).filter(F.col("_c") >= F.ceil(F.col("_all") * how.core)).groupBy("_g").agg(F.min("_b").alias("_cut"))
-        core = d.join(scratch.store(cut, "cuts"), "_g").filter(F.col("_b") <= F.col("_cut"))
+        core = with_groups(d, scratch.store(cut, "cuts"), "_g", groups, "_id").filter(F.col("_b") <= F.col("_cut"))
         now = scratch.store(_factor(_moments(core, how), scale, how.floor), "estimates")
     return now
 
@@ -172,9 +173,10 @@ def judge(docs: DataFrame, text: str = "text", how: Outliers = Outliers()) -> Da
     named = F.concat_ws("\x1f", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     counted = scratch.store(counted.withColumn("_id", F.monotonically_increasing_id()).withColumn("_g", named).withColumn("base_failed", base_failed()), "counts")
     sizes = scratch.store(counted.filter(~F.col("base_failed")).groupBy("_g").agg(F.count("*").alias("_rows")), "groups")
-    ok = counted.filter(~F.col("base_failed")).join(sizes, "_g").withColumn("_g", F.when(F.col("_rows") >= how.least, F.col("_g")).otherwise(F.lit("")))
+    groups = sizes.count()
+    ok = with_groups(counted.filter(~F.col("base_failed")), sizes, "_g", groups, "_id").withColumn("_g", F.when(F.col("_rows") >= how.least, F.col("_g")).otherwise(F.lit("")))
     rows = scratch.store(ok.select("_id", "_g", *transformed()), "statistics")
-    judged = _distances(rows, estimates(rows, how))
+    judged = _distances(rows, estimates(rows, how, groups), groups)
     pool = rows.filter(F.col("_g") == "").limit(how.least).count()
     if pool < how.least:
         judged = judged.withColumn("_d2", F.when(F.col("_g") != "", F.col("_d2")))
