@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmark.llm import audio, chat, mixing, neardup, ngrams, packing, quality, sharding, urls
+from leafmark.llm import audio, chat, mixing, neardup, ngrams, packing, passages, quality, sharding, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash_vantage": neardup.op6_simhash_vantage,
         "op7_kneser_ney": ngrams.op7_kneser_ney,
         "op8_first_fit_packing": packing.op8_first_fit_packing,
+        "op9_phrase_automata": passages.op9_phrase_automata,
         "op10_entropy_mix": mixing.op10_entropy_mix,
     }
 
