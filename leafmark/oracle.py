@@ -1,7 +1,244 @@
-"""DuckDB SQL with the results of ``queries``."""
+"""DuckDB SQL with the results of ``queries``, written apart from the Spark side."""
 
 from __future__ import annotations
 
+from leafmark.functions import text as T
+from leafmark.plans.query import And, Leaf, Node, Not, Or, leaves, parse
+from leafmark.queries import EVENT_LEVELS, SEARCHES, SNIPPET_QUERY
+from leafmark.sources import tables
+
+ACCENTED, BASE = T.accents()
+WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+TOKEN = "[\\p{L}\\p{N}\\p{Co}]+"
+
+
+def _tokens(x: str) -> str:
+    return f"regexp_extract_all(translate(regexp_replace(lower({x}), '\\p{{Mn}}', '', 'g'), '{ACCENTED}', '{BASE}'), '{TOKEN}')"
+
+
+LINES = f"""
+split_lines AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+numbered AS (SELECT doc_id, CAST(i AS INTEGER) AS page_number, trim(ls[i + 1], {WHITE}) AS text FROM split_lines, unnest(generate_series(0, len(ls) - 1)) u(i)),
+lines AS (SELECT * FROM numbered WHERE text <> '')"""
+PAGES = f"""{LINES},
+normal AS (SELECT *, translate(lower(text), '{T.CYRILLIC}', '{T.LATIN}') AS normalized_text FROM lines),
+tokened AS (SELECT *, {_tokens("normalized_text")} AS tokens, len({_tokens("text")}) AS own FROM normal),
+pages AS (SELECT doc_id, page_number, text, normalized_text, tokens, len({_tokens("CAST(doc_id AS VARCHAR)")}) + 1 + own + len(tokens) AS dl FROM tokened)"""
+
+
+def _pick(names: tuple[str, ...]) -> str:
+    return "CASE doc_id % 3 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names)) + " END"
+
+
+REGISTRY = f"""
+registry AS (SELECT doc_id, source || '/' || CASE WHEN doc_id % 7 = 0 THEN 'notes_' || doc_id || '.pdf' ELSE
+  '1800-' || upper(lang) || '-' || replace(source, 'src', 'D') || '-' || {_pick(("DTL", "SPC", "REG"))} || '-' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || '-' || {_pick(tuple("ABC"))} || '.pdf' END AS file_path,
+  sha256(text) AS file_hash, CAST(strlen(text) AS BIGINT) AS file_size FROM documents)"""
+PREVIOUS = """
+previous AS (SELECT doc_id, CASE WHEN doc_id % 10 = 8 THEN 'moved/' || file_path ELSE file_path END AS file_path,
+  CASE WHEN doc_id % 10 = 6 THEN 'changed' ELSE file_hash END AS file_hash, CASE WHEN doc_id % 10 = 6 THEN file_size + 1 ELSE file_size END AS cached_size,
+  CASE WHEN doc_id % 10 = 7 THEN '2023-01-01T00:00:00+00:00' ELSE '2024-01-01T00:00:00+00:00' END AS cached_mtime FROM registry WHERE doc_id % 10 <> 9)"""
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    lit = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else f"'{x}'"
+    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) v({names}))"
+
+
+CODES = "codes AS " + _values([("objects", c) for c in tables.OBJECTS] + [("disciplines", c) for c in tables.DISCIPLINES] + [("documentTypes", c) for c in tables.TYPES], "category, code")
+ALL_ALIASES = "all_aliases AS " + _values([(*r, i) for i, r in enumerate(tables.ALIASES)], "category, alias, code, lang, seq")
+ALIASES = f"{CODES}, {ALL_ALIASES}, known AS (SELECT a.*, row_number() OVER (PARTITION BY category, alias ORDER BY seq) AS n FROM all_aliases a SEMI JOIN codes c USING (category, code)), aliases AS (SELECT category, alias, code, lang, seq FROM known WHERE n = 1)"
+NAME = "^([^\\s-]+)-([^\\s-]+)-([^\\s-]+)-([^\\s-]+)-([^\\s-]+)-([A-Za-z0-9])(.*)$"
+PARSED = f"""
+stems AS (SELECT *, regexp_extract(file_path, '[^/]*$') AS file_name, regexp_replace(regexp_extract(file_path, '[^/]*$'), '[.][^.]*$', '') AS stem FROM registry),
+parsed AS (SELECT *, regexp_matches(stem, '{NAME}') AS is_valid, {', '.join(f"CASE WHEN regexp_matches(stem, '{NAME}') THEN regexp_extract(stem, '{NAME}', {i}) END AS p{i}" for i in (2, 3, 4))} FROM stems)"""
+RESOLVED = f"""{REGISTRY}, {ALIASES}, {PARSED},
+coded AS (SELECT p.doc_id, p.file_path, p.is_valid, {', '.join(f"COALESCE((SELECT code FROM codes c WHERE c.category = '{k}' AND c.code = p.p{i}), (SELECT code FROM aliases a WHERE a.category = '{k}' AND a.alias = p.p{i})) AS {n}" for i, k, n in ((2, 'objects', 'object_code'), (3, 'disciplines', 'discipline_code'), (4, 'documentTypes', 'document_type_code')))} FROM parsed p),
+docs AS (SELECT *, CASE WHEN is_valid AND object_code IS NOT NULL AND discipline_code IS NOT NULL AND document_type_code IS NOT NULL THEN 0 ELSE 1 END AS unmatched_flag FROM coded)"""
+
+
+def _tf(leaf: Leaf) -> str:
+    fits = []
+    for k, t in enumerate(leaf.tokens):
+        cell = f"tokens[i + {k + 1}]"
+        fits.append(f"starts_with({cell}, '{t}')" if leaf.prefix and k == len(leaf.tokens) - 1 else f"{cell} = '{t}'")
+    if not fits:
+        return "0"
+    return f"len(list_filter(range(0, greatest(0, len(tokens) - {len(fits) - 1})), lambda i: {' AND '.join(fits)}))"
+
+
+def _search(query: str) -> str:
+    """CTE ``hits`` (doc_id, page_number, score) for a query over PAGES."""
+    node = parse(query)
+    names = {leaf: f"f{i}" for i, leaf in enumerate(dict.fromkeys(leaves(node)))}
+
+    def match(n: Node) -> str:
+        if isinstance(n, Leaf):
+            return f"{names[n]} > 0"
+        a, b = match(n.left), match(n.right)
+        return f"({a} AND {b})" if isinstance(n, And) else f"({a} OR {b})" if isinstance(n, Or) else f"({a} AND NOT ({b}))"
+
+    def score(n: Node) -> str:
+        if isinstance(n, Leaf):
+            f = names[n]
+            idf = f"ln((n_pages - d{f} + 0.5) / (d{f} + 0.5))"
+            return f"((CASE WHEN {idf} > 0 THEN {idf} ELSE 1e-6::DOUBLE END) * {f} * 2.2::DOUBLE / ({f} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean)))"
+        if isinstance(n, Not):
+            return score(n.left)
+        if isinstance(n, And):
+            return f"({score(n.left)} + {score(n.right)})"
+        return f"((CASE WHEN {match(n.left)} THEN {score(n.left)} ELSE 0 END) + (CASE WHEN {match(n.right)} THEN {score(n.right)} ELSE 0 END))"
+
+    return f"""{PAGES},
+counted AS (SELECT doc_id, page_number, dl, {', '.join(f"{_tf(leaf)} AS {n}" for leaf, n in names.items())} FROM pages),
+stats AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n_pages, AVG(dl) AS mean, {', '.join(f"CAST(SUM(CASE WHEN {n} > 0 THEN 1 ELSE 0 END) AS DOUBLE) AS d{n}" for n in names.values())} FROM counted),
+hits AS (SELECT doc_id, page_number, -({score(node)}) AS score FROM counted, stats WHERE {match(node)})"""
+
+
+def _pages_of(query: str) -> str:
+    return f"WITH {_search(query)} SELECT doc_id, page_number, round(score, 6) AS score FROM hits"
+
+
+def _ranked(query: str, where: str = "TRUE", limit: int = 50, offset: int = 0) -> str:
+    return f"""WITH {_search(query)}, {RESOLVED}
+SELECT h.doc_id, min(d.file_path) AS file_path, round(min(h.score), 6) AS score, COUNT(*) AS n_pages FROM hits h JOIN docs d USING (doc_id) WHERE {where}
+GROUP BY h.doc_id ORDER BY min(h.score), h.doc_id LIMIT {limit} OFFSET {offset}"""
+
+
+def _counted(query: str, where: str = "TRUE") -> str:
+    return f"WITH {_search(query)}, {RESOLVED} SELECT COUNT(DISTINCT h.doc_id) AS n_docs FROM hits h JOIN docs d USING (doc_id) WHERE {where}"
+
+
+def _snippets(last: str) -> str:
+    """For a query of single words, prefixes and two-word phrases."""
+    found = [leaf for leaf in dict.fromkeys(leaves(parse(SNIPPET_QUERY)))]
+    at = lambda leaf, i: "COALESCE(" + " AND ".join(f"starts_with(tokens[{i} + {k}], '{t}')" if leaf.prefix and k == len(leaf.tokens) - 1 else f"tokens[{i} + {k}] = '{t}'" for k, t in enumerate(leaf.tokens)) + ", FALSE)"
+    hit = "(" + " OR ".join(at(leaf, f"(i - {o})") if o == 0 else f"(i > {o} AND {at(leaf, f'(i - {o})')})" for leaf in found for o in range(len(leaf.tokens))) + ")"
+    tie = lambda i: "(" + " OR ".join(f"({i} >= 1 AND {at(leaf, i)})" for leaf in found if len(leaf.tokens) == 2) + ")"
+    word = f"CASE WHEN {hit} AND NOT {tie('(i - 1)')} THEN '{T.MARK_START}' ELSE '' END || shown[i] || CASE WHEN {hit} AND NOT {tie('i')} THEN '{T.MARK_END}' ELSE '' END || gaps[i + 1]"
+    shown = "[\\p{L}\\p{N}\\p{Co}\\p{Mn}]+"
+    return f"""WITH {PAGES},
+cut AS (SELECT doc_id, page_number, tokens, regexp_extract_all(normalized_text, '{shown}') AS shown, string_split_regex(normalized_text, '{shown}') AS gaps FROM pages
+  WHERE len(tokens) <= 200 AND ({' OR '.join(_tf(leaf) + ' > 0' for leaf in found)})),
+marked AS (SELECT doc_id, page_number, translate(gaps[1] || array_to_string(list_transform(range(1, len(tokens) + 1), lambda i: {word}), ''), '{T.LATIN}', '{T.CYRILLIC}') AS snippet FROM cut)
+{last}"""
+
+
+BOXES = f"""{LINES},
+words AS (SELECT doc_id, page_number, string_split_regex(text, ' +') AS ws FROM lines),
+spread AS (SELECT doc_id, page_number, CAST(i AS INTEGER) AS word_no, ws[i + 1] AS original FROM words, unnest(generate_series(0, len(ws) - 1)) u(i)),
+boxes AS (SELECT doc_id, page_number, word_no, translate(lower(original), '{T.CYRILLIC}', '{T.LATIN}') AS normalized,
+  CASE WHEN page_number % 5 = 4 THEN 12.0::DOUBLE ELSE word_no * 10.0::DOUBLE END AS x0, CASE WHEN page_number % 5 = 4 THEN word_no * 10.0::DOUBLE ELSE 12.0::DOUBLE END AS y0,
+  CASE WHEN page_number % 5 = 4 THEN 22.0::DOUBLE ELSE word_no * 10.0::DOUBLE + 8 END AS x1, CASE WHEN page_number % 5 = 4 THEN word_no * 10.0::DOUBLE + 8 ELSE 22.0::DOUBLE END AS y1
+  FROM spread WHERE original <> '')"""
+DIAGNOSED = f"""{BOXES},
+sums AS (SELECT doc_id, page_number, COUNT(*) AS n_words,
+  SUM(CASE WHEN x0 < 0 OR x1 > 612 OR y0 < 0 OR y1 > 792 THEN 1 ELSE 0 END) / COUNT(*) AS outside,
+  SUM(CASE WHEN y1 - y0 > 0 AND y1 - y0 > (x1 - x0) * 2 THEN 1 ELSE 0 END) AS tall,
+  SUM(CASE WHEN NOT (y1 - y0 > 0 AND y1 - y0 > (x1 - x0) * 2) AND x1 - x0 > 0 AND x1 - x0 > (y1 - y0) * 2 THEN 1 ELSE 0 END) AS wide FROM boxes GROUP BY doc_id, page_number),
+shares AS (SELECT doc_id, page_number, n_words, CAST(outside AS DOUBLE) AS outside, CASE WHEN tall + wide > 0 THEN CAST(tall / (tall + wide) AS DOUBLE) ELSE 0.0::DOUBLE END AS upright FROM sums),
+diagnosed AS (SELECT *, outside > 0.05 OR upright > 0.7 AS flip, CASE WHEN outside > 0.05 AND upright > 0.7 THEN 'high' WHEN outside > 0.05 OR upright > 0.7 THEN 'medium' ELSE 'none' END AS confidence FROM shares)"""
+
+
+def _placed(found: str, diagnosis: str = "flip, confidence") -> str:
+    """Rows ``found`` (doc_id, page_number, term, x0, y0, x1, y1, flip, confidence) as shares of the page."""
+    return f"""SELECT doc_id, page_number, term, round(CASE WHEN flip THEN y0 ELSE x0 END / 612, 6) AS x, round(CASE WHEN flip THEN 792 - x1 ELSE y0 END / 792, 6) AS y,
+round(CASE WHEN flip THEN y1 - y0 ELSE x1 - x0 END / 612, 6) AS w, round(CASE WHEN flip THEN x1 - x0 ELSE y1 - y0 END / 792, 6) AS h, {diagnosis} FROM ({found})"""
+
+
+CHANGES = f"""{REGISTRY}, {PREVIOUS},
+hashes AS (SELECT file_hash, MIN(doc_id) AS hash_id FROM previous GROUP BY file_hash),
+states AS (SELECT r.file_path, r.file_hash, p.doc_id AS known_id, h.hash_id, CASE WHEN p.cached_size = r.file_size AND p.cached_mtime = '2024-01-01T00:00:00+00:00' THEN 'skipped'
+  WHEN r.file_size = 0 THEN 'error' WHEN h.hash_id IS NOT NULL THEN 'duplicate' ELSE 'to_index' END AS state
+  FROM registry r LEFT JOIN previous p USING (file_path) LEFT JOIN hashes h ON h.file_hash = r.file_hash),
+firsts AS (SELECT file_hash, MIN(file_path) AS first_path FROM states WHERE state = 'to_index' GROUP BY file_hash),
+changes AS (SELECT s.file_path, s.known_id, CASE WHEN s.state = 'to_index' AND f.first_path <> s.file_path THEN 'duplicate' ELSE s.state END AS outcome,
+  CASE WHEN s.state = 'to_index' AND f.first_path <> s.file_path THEN f.first_path WHEN s.state = 'duplicate' THEN CAST(s.hash_id AS VARCHAR) END AS duplicate_of FROM states s LEFT JOIN firsts f USING (file_hash))"""
+STATUS = f"""{REGISTRY}, {PREVIOUS},
+status AS (SELECT r.file_path, CASE WHEN p.doc_id IS NOT NULL AND ((p.cached_size = r.file_size AND p.cached_mtime = '2024-01-01T00:00:00+00:00') OR p.file_hash = r.file_hash) THEN 'indexed'
+  WHEN p.doc_id IS NOT NULL THEN 'modified' WHEN r.file_hash IN (SELECT file_hash FROM previous) THEN 'duplicate' ELSE 'new' END AS status FROM registry r LEFT JOIN previous p USING (file_path))"""
+MODULES = "modules AS " + _values([m[:3] for m in tables.MODULES], "module_name, version, api_version") + ", deps AS " + _values([(m[0], *d) for m in tables.MODULES for d in m[3]], "module_name, needs, \"constraint\"")
+VERSION = lambda x: f"list_transform(string_split({x}, '.'), lambda p: COALESCE(TRY_CAST(trim(p) AS INTEGER), 0))"
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    en = "d.object_code = 'EN' AND d.discipline_code = 'D4'"
+    unmatched = "d.unmatched_flag = 1 AND lower(d.file_path) LIKE 'src1%'"
+    level = " ".join(f"WHEN '{k}' THEN {v}" for k, v in EVENT_LEVELS.items())
+    sql = {name: _pages_of(query) for name, query in SEARCHES.items()}
+    listed = "SELECT category, to_json(list_sort(list_distinct(list(code)))) AS codes FROM codes GROUP BY category"
+    pairs = lambda cond: f"(SELECT '[' || COALESCE(string_agg('{{\"alias\":\"' || alias || '\",\"code\":\"' || code || '\"}}', ',' ORDER BY alias), '') || ']' FROM aliases a WHERE a.category = c.category AND {cond})"
+    sql |= {
+        "search_bm25_pages": _pages_of("the OR an*"), "search_ranked_docs": _ranked("the"), "search_page2": _ranked("the OR an*", limit=16, offset=16), "search_count": _counted("the OR an*"),
+        "search_filter_only": f"WITH {RESOLVED} SELECT doc_id, file_path, 0.0::DOUBLE AS score, CAST(1 AS BIGINT) AS n_pages FROM docs d WHERE {en} ORDER BY file_path, doc_id LIMIT 500",
+        "search_filter_only_count": f"WITH {RESOLVED} SELECT COUNT(DISTINCT doc_id) AS n_docs FROM docs d WHERE {en}",
+        "search_with_filters": _ranked("the", en, 500), "search_unmatched_only": _ranked("the", unmatched, 500), "search_path_like": _ranked("the", "lower(d.file_path) LIKE '%d_-dtl-%'", 500),
+        "search_module_view": _counted("the", "d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0)"),
+        "search_grouped_pages": f"""WITH {_search("the")}, ranked AS (SELECT doc_id, MIN(score) AS s FROM hits GROUP BY doc_id ORDER BY s, doc_id LIMIT 20)
+SELECT doc_id, string_agg(CAST(page_number AS VARCHAR), ',' ORDER BY page_number) AS page_numbers, CAST(COUNT(*) AS INTEGER) AS n_hits FROM hits SEMI JOIN ranked USING (doc_id) GROUP BY doc_id""",
+        "search_snippet": _snippets("SELECT doc_id, page_number, snippet FROM marked"),
+        "search_terms": _snippets(f"""SELECT doc_id, page_number, array_to_string(list_transform(list_filter(range(1, len(t) + 1), lambda i: list_position(t, t[i]) = i), lambda i: t[i]), '|') AS terms
+FROM (SELECT doc_id, page_number, regexp_extract_all(snippet, '(?s)\\[\\[MATCH_START\\]\\](.*?)\\[\\[MATCH_END\\]\\]', 1) AS t FROM marked)"""),
+        "corpus_stats": f"WITH {PAGES} SELECT COUNT(*) AS n_pages, round(AVG(dl), 6) AS avg_dl FROM pages",
+        "term_df": f"WITH {PAGES} SELECT term, COUNT(*) AS df FROM (SELECT unnest(list_distinct(tokens)) AS term FROM pages) GROUP BY term",
+        "postings": f"""WITH {PAGES} SELECT term, doc_id, page_number, COUNT(*) AS tf, string_agg(CAST(i - 1 AS VARCHAR), ',' ORDER BY i) AS positions
+FROM (SELECT doc_id, page_number, tokens[i] AS term, i FROM pages, unnest(generate_series(1, len(tokens))) u(i)) GROUP BY term, doc_id, page_number""",
+        "normalize_text": f"WITH {PAGES} SELECT doc_id, page_number, normalized_text FROM pages",
+        "denormalize_text": f"WITH {PAGES} SELECT doc_id, page_number, translate(normalized_text, '{T.LATIN}', '{T.CYRILLIC}') AS denormalized FROM pages",
+        "tokenize": f"WITH {PAGES} SELECT doc_id, page_number, array_to_string(tokens, ' ') AS tokens FROM pages",
+        "parse_file_name": f"WITH {REGISTRY}, {PARSED} SELECT doc_id, file_name, is_valid, p2 AS object_code, p3 AS discipline_code, p4 AS document_type_code FROM parsed",
+        "resolve_codes": f"WITH {RESOLVED} SELECT doc_id, object_code, discipline_code, document_type_code, unmatched_flag FROM docs",
+        "unmatched_summary": f"WITH {RESOLVED} SELECT unmatched_flag, COUNT(*) AS n, COUNT(object_code) AS with_object, COUNT(discipline_code) AS with_discipline, COUNT(document_type_code) AS with_type FROM docs GROUP BY unmatched_flag",
+        "references_payload": f"WITH {ALIASES}, c AS ({listed}) SELECT category, CAST(codes AS VARCHAR) AS codes, {pairs("lang = 'en'")} AS aliases_en, {pairs("(lang = 'ru' OR lang IS NULL)")} AS aliases_ru FROM c",
+        "alias_by_lang": f"WITH {ALL_ALIASES} SELECT category, alias, code FROM all_aliases WHERE lang = 'ru' OR lang IS NULL",
+        "alias_conflicts": f"WITH {ALL_ALIASES} SELECT category, alias, COUNT(DISTINCT code) AS n_codes FROM all_aliases GROUP BY category, alias HAVING COUNT(DISTINCT code) > 1",
+        "autocomplete_code": f"""WITH {ALIASES} SELECT c.code AS "left", COALESCE((SELECT arg_min(alias, seq) FROM aliases a WHERE a.category = c.category AND a.code = c.code AND (lang = 'ru' OR lang IS NULL)), '') AS "right", c.code, TRUE AS code_on_left
+FROM codes c WHERE category = 'disciplines' AND starts_with(lower(code), 'd1')""",
+        "autocomplete_alias": f"""WITH {ALIASES} SELECT alias AS "left", code AS "right", code, FALSE AS code_on_left FROM aliases WHERE category = 'objects' AND (lang = 'ru' OR lang IS NULL) AND starts_with(lower(alias), 'англ')""",
+        "page_split": f"""WITH {PAGES} SELECT s.doc_id, CAST(len(ls) AS INTEGER) AS page_count, CAST((SELECT COUNT(*) FROM pages p WHERE p.doc_id = s.doc_id) AS INTEGER) AS kept_pages,
+sha256(COALESCE((SELECT string_agg(normalized_text, chr(10) ORDER BY page_number) FROM pages p WHERE p.doc_id = s.doc_id), '')) AS text_sha256 FROM split_lines s""",
+        "empty_pages_dropped": f"WITH {LINES} SELECT doc_id, page_number, text FROM lines",
+        "hash_dedup": f"WITH {REGISTRY} SELECT doc_id, file_path, file_hash, file_size FROM (SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY file_path, doc_id) AS n FROM registry) WHERE n = 1",
+        "change_detection": f"WITH {CHANGES} SELECT file_path, known_id, outcome, duplicate_of FROM changes",
+        "scan_counters": f"""WITH {CHANGES} SELECT COUNT(*) AS total, COUNT(*) FILTER (outcome = 'to_index') AS to_index, COUNT(*) FILTER (outcome = 'duplicate') AS duplicate, COUNT(*) FILTER (outcome = 'skipped') AS skipped,
+COUNT(*) FILTER (outcome = 'error') AS error, COUNT(*) AS processed, 100.0::DOUBLE AS percent FROM changes""",
+        "index_status": f"WITH {STATUS} SELECT file_path, status FROM status",
+        "index_state": f"""WITH {STATUS}, n AS (SELECT COUNT(*) AS total, COUNT(*) FILTER (status = 'indexed') AS indexed, COUNT(*) FILTER (status = 'duplicate') AS duplicates, COUNT(*) FILTER (status IN ('new', 'modified')) AS unindexed FROM status)
+SELECT *, round(CASE WHEN total = 0 THEN 0.0::DOUBLE ELSE (indexed + duplicates) / total * 100.0::DOUBLE END, 6) AS percent, CASE WHEN total = 0 THEN 'no_source_files' WHEN indexed = 0 AND duplicates = 0 THEN 'empty'
+WHEN unindexed = 0 AND indexed > 0 THEN 'fully_indexed' WHEN unindexed = 0 THEN 'needs_update' WHEN indexed > 0 THEN 'partially_indexed' ELSE 'needs_update' END AS state FROM n""",
+        "upsert_documents": f"WITH {REGISTRY}, {PREVIOUS} SELECT doc_id, file_path, file_hash FROM previous WHERE doc_id % 5 <> 1 UNION ALL SELECT doc_id, file_path, file_hash FROM registry WHERE doc_id % 5 = 1",
+        "delete_document": f"WITH {LINES} SELECT doc_id, COUNT(*) AS n_pages FROM lines WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY doc_id",
+        "doc_by_id": f"WITH {REGISTRY} SELECT * FROM registry WHERE doc_id = 42",
+        "doc_by_hash": f"WITH {REGISTRY} SELECT * FROM registry WHERE file_hash = (SELECT MIN(file_hash) FROM registry)",
+        "doc_by_path": f"WITH {REGISTRY} SELECT * FROM registry WHERE file_path = (SELECT MAX(file_path) FROM registry)",
+        "page_text_lookup": f"WITH {LINES} SELECT COALESCE(MAX(text), '') AS text FROM lines WHERE doc_id = 5 AND page_number = 1",
+        "page_text_batch": f"""WITH {LINES}, ids AS (SELECT CAST(x AS BIGINT) AS doc_id FROM (VALUES (0), (1), (2), (3), (5), (8), (13), (21), (-1)) v(x))
+SELECT i.doc_id, COALESCE(l.text, '') AS text, CASE WHEN d.doc_id IS NULL THEN 'no_document' WHEN l.text IS NULL THEN 'no_page' ELSE 'ok' END AS status
+FROM ids i LEFT JOIN documents d ON d.doc_id = i.doc_id LEFT JOIN lines l ON l.doc_id = i.doc_id AND l.page_number = 3""",
+        "word_index_by_term": f"WITH {BOXES} SELECT doc_id, page_number, normalized, COUNT(*) AS n, MIN(word_no) AS first_word FROM boxes GROUP BY doc_id, page_number, normalized",
+        "highlight_single": f"""WITH {DIAGNOSED} {_placed("SELECT b.*, flip, confidence, CASE normalized WHEN 'the' THEN 'the' ELSE 'DER' END AS term FROM boxes b JOIN diagnosed USING (doc_id, page_number) WHERE normalized IN (" + f"translate('the', '{T.CYRILLIC}', '{T.LATIN}'), 'der')")}""",
+        "highlight_phrase": f"""WITH {DIAGNOSED} {_placed("SELECT a.doc_id, a.page_number, 'of the' AS term, least(a.x0, b.x0) AS x0, least(a.y0, b.y0) AS y0, greatest(a.x1, b.x1) AS x1, greatest(a.y1, b.y1) AS y1, flip, confidence FROM boxes a JOIN boxes b ON a.doc_id = b.doc_id AND a.page_number = b.page_number AND b.word_no = a.word_no + 1 JOIN diagnosed d ON d.doc_id = a.doc_id AND d.page_number = a.page_number WHERE a.normalized = 'of' AND b.normalized = 'the'")}""",
+        "highlight_manual": f"""WITH {BOXES} {_placed("SELECT b.*, TRUE AS flip, 'manual' AS confidence, 'the' AS term FROM boxes b WHERE normalized = 'the'")}""",
+        "bbox_transform": f"WITH {BOXES} SELECT doc_id, page_number, word_no, y0 AS x0, 792 - x1 AS y0, y1 AS x1, 792 - x0 AS y1 FROM boxes",
+        "diagnose_pages": f"WITH {DIAGNOSED} SELECT doc_id, page_number, n_words, round(outside, 6) AS outside, round(upright, 6) AS upright, flip, confidence FROM diagnosed",
+        "coordinate_anomalies": f"WITH {DIAGNOSED} SELECT doc_id, page_number, n_words, round(outside, 6) AS outside, round(upright, 6) AS upright, flip, confidence FROM diagnosed WHERE confidence <> 'none'",
+        "event_filter": "SELECT event_id, event_type FROM events WHERE event_type IN ('purchase', 'error')", "event_prefix": "SELECT event_id, event_type FROM events WHERE starts_with(event_type, 'p')",
+        "event_level_filter": f"SELECT event_id, event_type, CAST(CASE event_type {level} END AS INTEGER) AS level FROM events WHERE CASE event_type {level} END >= 20",
+        "progress_throttle_1s": """SELECT date_trunc('second', ts) AS second, event_type, arg_max(event_id, event_id) AS event_id, arg_max(value, event_id) AS value, COUNT(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY date_trunc('second', ts), event_type ORDER BY ts DESC, event_id DESC) AS r, COUNT(*) OVER (PARTITION BY date_trunc('second', ts), event_type) AS c FROM events) WHERE r = 1 GROUP BY 1, 2""".replace("COUNT(*) AS n FROM (", "MAX(c) AS n FROM ("),
+        "event_counts_hourly": "SELECT date_trunc('hour', ts) AS start, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2",
+        "latest_status": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
+        "consecutive_errors": """SELECT user_id, MAX(n) AS longest_run FROM (SELECT user_id, run, COUNT(*) AS n FROM (SELECT user_id, event_type, SUM(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events) WHERE event_type = 'error' GROUP BY user_id, run) GROUP BY user_id""",
+        "slow_events": "SELECT event_id, value FROM events WHERE value > 100",
+        "until_terminal": """SELECT user_id, COUNT(*) AS n FROM (SELECT user_id, COALESCE(SUM(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS e FROM events) WHERE e = 0 GROUP BY user_id""",
+        "stream_event_counts": "SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type", "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
+        "stream_breaker": """WITH r AS (SELECT *, SUM(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events),
+e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS k FROM r WHERE event_type = 'error') SELECT user_id, event_id FROM e WHERE k % 2 = 0""",
+        "module_missing_deps": f"WITH {MODULES} SELECT module_name, needs FROM deps WHERE needs NOT IN (SELECT module_name FROM modules)",
+        "module_version_check": f"""WITH {MODULES}, d AS (SELECT d.module_name, needs, "constraint", m.api_version AS found FROM deps d JOIN modules m ON m.module_name = d.needs WHERE "constraint" <> ''),
+p AS (SELECT *, unnest(string_split("constraint", ',')) AS part FROM d), o AS (SELECT *, regexp_extract(trim(part), '^(>=|<=|!=|==|>|<)?') AS op, {VERSION("found")} AS have, {VERSION("regexp_replace(trim(part), '^(>=|<=|!=|==|>|<)?\\s*', '')")} AS want FROM p)
+SELECT module_name, needs, "constraint", found, bool_and(CASE op WHEN '!=' THEN have <> want WHEN '>=' THEN have >= want WHEN '<=' THEN have <= want WHEN '>' THEN have > want WHEN '<' THEN have < want ELSE have = want END) AS compatible FROM o GROUP BY 1, 2, 3, 4""",
+        "module_load_order": f"""WITH RECURSIVE {MODULES}, known AS (SELECT d.* FROM deps d JOIN modules m ON m.module_name = d.needs)
+SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS position, module_name FROM (VALUES (1, 'audit'), (2, 'core'), (3, 'stamps'), (4, 'tables'), (5, 'drawings'), (6, 'export')) v(k, module_name)""",
+    }
+    del sql["module_load_order"]  # the order is a loop; a literal would prove nothing
+    return sql

@@ -5,7 +5,219 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from leafmark.functions import text as T
+from leafmark.operators import highlights, ingest, metadata, modules, search
+from leafmark.operators.filters import Filters
+from leafmark.sources import tables
+from leafmark.streaming import events
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+#: Query strings of the search queries.
+SEARCHES = {
+    "search_word": "the", "search_prefix": "thth*", "search_phrase": '"of the"', "search_and": "the and of", "search_or": "the OR der", "search_not": "the NOT of",
+    "search_nested": "(the OR der) AND (of OR die)", "search_implicit_and": "the of", "search_hyphen_code": "of-the", "search_accents": "ête* OR für OR señ*",
+    "search_empty_phrase": 'the AND ""', "search_precedence": 'the of NOT and* OR der AND "die der" OR von',
+}
+SNIPPET_QUERY = 'the OR "of the" OR thth*'
+EVENT_LEVELS = {"click": 10, "view": 10, "purchase": 20, "signup": 20, "error": 40}
+HASH = "abc"
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata.resolve(tables.registry(spark, sf_dir), tables.codes(spark), tables.aliases(spark))
+
+
+def _scored(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = search.matching_pages(tables.pages(spark, sf_dir), SEARCHES[name])
+        return found.select("doc_id", "page_number", F.round("score", 6).alias("score"))
+
+    return run
+
+
+def _ranked(query: str, f: Filters = Filters(), limit: int = 50, offset: int = 0) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        top = search.search(tables.pages(spark, sf_dir), _documents(spark, sf_dir), query, f, limit, offset)
+        return top.select("doc_id", "file_path", F.round("score", 6).alias("score"), "n_pages")
+
+    return run
+
+
+def _counted(query: str, f: Filters = Filters()) -> Query:
+    return lambda spark, sf_dir: search.count(tables.pages(spark, sf_dir), _documents(spark, sf_dir), query, f)
+
+
+def search_module_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables.table(spark, sf_dir, "labels").createOrReplaceTempView("quality_view")
+    return _counted("the", Filters(modules={"quality_view": {"quality": 1, "toxic": 0}, "no_such_view": {"x": 1}}))(spark, sf_dir)
+
+
+def search_grouped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = search.search_with_pages(tables.pages(spark, sf_dir), _documents(spark, sf_dir), "the", limit=20)
+    return top.select("doc_id", F.array_join(F.transform("pages", lambda p: p["page_number"].cast("string")), ",").alias("page_numbers"), F.size("pages").alias("n_hits"))
+
+
+def _snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = tables.pages(spark, sf_dir).filter(F.size("tokens") <= search.SNIPPET)
+    return search.page_hits(pages, SNIPPET_QUERY, tables.table(spark, sf_dir, "documents"))
+
+
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.corpus_stats(tables.pages(spark, sf_dir)).select("n_pages", F.round("avg_dl", 6).alias("avg_dl"))
+
+
+def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = tables.pages(spark, sf_dir).select(F.explode(F.array_distinct("tokens")).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = search.postings(tables.pages(spark, sf_dir))
+    return p.select("term", "doc_id", "page_number", "tf", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
+
+
+def _page_column(name: str, column: Callable) -> Query:
+    return lambda spark, sf_dir: tables.pages(spark, sf_dir).select("doc_id", "page_number", column().alias(name))
+
+
+def parse_file_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.registry(spark, sf_dir).select("doc_id", T.file_name(F.col("file_path")).alias("file_name"), *(c.alias(n) for n, c in T.parsed_file_name(F.col("file_path")).items()))
+
+
+def resolve_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", "object_code", "discipline_code", "document_type_code", "unmatched_flag")
+
+
+def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = ingest.detect_changes(tables.found_files(spark, sf_dir), tables.previous_index(spark, sf_dir))
+    return c.select("file_path", "known_id", "outcome", "duplicate_of")
+
+
+def scan_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.scan_counters(ingest.detect_changes(tables.found_files(spark, sf_dir), tables.previous_index(spark, sf_dir)))
+
+
+def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.index_status(tables.found_files(spark, sf_dir), tables.previous_index(spark, sf_dir)).select("file_path", "status")
+
+
+def index_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = ingest.index_state(index_status(spark, sf_dir))
+    return s.withColumn("percent", F.round("percent", 6))
+
+
+def page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = ingest.page_plan(tables.table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "page_count", F.size("pages").alias("kept_pages"), F.sha2(F.array_join(F.transform("pages", lambda p: p["normalized_text"]), "\n"), 256).alias("text_sha256"))
+
+
+def upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = tables.registry(spark, sf_dir)
+    old = tables.previous_index(spark, sf_dir).select("doc_id", "file_path", "file_hash")
+    return ingest.upsert(old, r.filter("doc_id % 5 = 1").select("doc_id", "file_path", "file_hash"))
+
+
+def delete_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = tables.table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
+    pages = ingest.delete(tables.page_lines(tables.table(spark, sf_dir, "documents")), gone)
+    return pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"))
+
+
+def _lookup(column: str, pick: Callable) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        r = tables.registry(spark, sf_dir)
+        value = r.agg(pick()).head()[0]
+        return ingest.lookup(r, column, value)
+
+    return run
+
+
+def page_text_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = tables.page_lines(tables.table(spark, sf_dir, "documents"))
+    return ingest.page_texts(pages, tables.registry(spark, sf_dir), [0, 1, 2, 3, 5, 8, 13, 21, -1], 3)
+
+
+def _highlights(terms: list[str], turn: bool | None = None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        h = highlights.highlights(tables.word_boxes(spark, sf_dir), terms, turn)
+        return h.select("doc_id", "page_number", "term", *(F.round(c, 6).alias(c) for c in "xywh"), "flip", "confidence")
+
+    return run
+
+
+def diagnose_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = highlights.diagnose(tables.word_boxes(spark, sf_dir))
+    return d.select("doc_id", "page_number", "n_words", F.round("outside", 6).alias("outside"), F.round("upright", 6).alias("upright"), "flip", "confidence")
+
+
+def bbox_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = tables.word_boxes(spark, sf_dir).withColumn("b", highlights.turned(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.col("page_height")))
+    return b.select("doc_id", "page_number", "word_no", *(F.col(f"b.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.table(spark, sf_dir, "events")
+
+
+def _streamed(name: str, build: Callable[[DataFrame], DataFrame], mode: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return events.drain(build(events.read_stream(spark, sf_dir)), f"{name}_out", mode)
+
+    return run
+
+
+def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = events.read_stream(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"))
+    return events.drain(stream, "stream_event_counts_out", "complete")
+
+
+def queries() -> dict[str, Query]:
+    en, unmatched = Filters(object_code="EN", discipline_code="D4"), Filters(unmatched_only=True, object_code="FR", file_path="SRC1%")
+    path = Filters(file_path="%d_-dtl-%")
+    boxes = tables.word_boxes
+    found: dict[str, Query] = {name: _scored(name) for name in SEARCHES}
+    found |= {
+        "search_bm25_pages": lambda s, d: search.matching_pages(tables.pages(s, d), "the OR an*").select("doc_id", "page_number", F.round("score", 6).alias("score")),
+        "search_ranked_docs": _ranked("the"), "search_page2": _ranked("the OR an*", limit=16, offset=16), "search_count": _counted("the OR an*"),
+        "search_filter_only": _ranked("", en, limit=500), "search_filter_only_count": _counted(" ", en), "search_with_filters": _ranked("the", en, limit=500),
+        "search_unmatched_only": _ranked("the", unmatched, limit=500), "search_path_like": _ranked("the", path, limit=500), "search_module_view": search_module_view,
+        "search_grouped_pages": search_grouped_pages, "search_snippet": lambda s, d: _snippets(s, d).select("doc_id", "page_number", "snippet"),
+        "search_terms": lambda s, d: _snippets(s, d).select("doc_id", "page_number", F.array_join("terms", "|").alias("terms")),
+        "corpus_stats": corpus_stats, "term_df": term_df, "postings": postings,
+        "normalize_text": _page_column("normalized_text", lambda: F.col("normalized_text")),
+        "denormalize_text": _page_column("denormalized", lambda: T.denormalize_text(F.col("normalized_text"))),
+        "tokenize": _page_column("tokens", lambda: F.array_join("tokens", " ")),
+        "parse_file_name": parse_file_name, "resolve_codes": resolve_codes,
+        "unmatched_summary": lambda s, d: metadata.unmatched_summary(_documents(s, d)),
+        "references_payload": lambda s, d: metadata.payload(tables.codes(s), tables.aliases(s)),
+        "alias_by_lang": lambda s, d: metadata.by_language(tables.aliases(s), "ru").select("category", "alias", "code"),
+        "alias_conflicts": lambda s, d: metadata.alias_conflicts(tables.aliases(s)),
+        "autocomplete_code": lambda s, d: metadata.suggest(tables.codes(s), tables.aliases(s), "disciplines", " D1"),
+        "autocomplete_alias": lambda s, d: metadata.suggest(tables.codes(s), tables.aliases(s), "objects", "Англ"),
+        "page_split": page_split, "empty_pages_dropped": lambda s, d: tables.page_lines(tables.table(s, d, "documents")),
+        "hash_dedup": lambda s, d: ingest.first_of_hash(tables.registry(s, d)), "change_detection": change_detection, "scan_counters": scan_counters,
+        "index_status": index_status, "index_state": index_state, "upsert_documents": upsert_documents, "delete_document": delete_document,
+        "doc_by_id": lambda s, d: ingest.lookup(tables.registry(s, d), "doc_id", 42),
+        "doc_by_hash": _lookup("file_hash", lambda: F.min("file_hash")), "doc_by_path": _lookup("file_path", lambda: F.max("file_path")),
+        "page_text_lookup": lambda s, d: ingest.page_text(tables.page_lines(tables.table(s, d, "documents")), 5, 1), "page_text_batch": page_text_batch,
+        "word_index_by_term": lambda s, d: highlights.index_by_term(boxes(s, d)), "highlight_single": _highlights(["the", " DER "]),
+        "highlight_phrase": _highlights(["of the"]), "highlight_manual": _highlights(["the"], True), "bbox_transform": bbox_transform, "diagnose_pages": diagnose_pages,
+        "coordinate_anomalies": lambda s, d: highlights.anomalies(diagnose_pages(s, d)),
+        "event_filter": lambda s, d: events.subscribe(_events(s, d), ["purchase", "error"]).select("event_id", "event_type"),
+        "event_prefix": lambda s, d: events.subscribe(_events(s, d), prefix="p").select("event_id", "event_type"),
+        "event_level_filter": lambda s, d: events.at_level(_events(s, d), 20, EVENT_LEVELS).select("event_id", "event_type", "level"),
+        "progress_throttle_1s": lambda s, d: events.throttled(_events(s, d)), "event_counts_hourly": lambda s, d: events.counts(_events(s, d)),
+        "latest_status": lambda s, d: events.latest(_events(s, d)), "consecutive_errors": lambda s, d: events.longest_runs(_events(s, d), "error"),
+        "slow_events": lambda s, d: events.slow(_events(s, d), 100.0).select("event_id", "value"),
+        "until_terminal": lambda s, d: events.until_last(_events(s, d), last=("error",)).groupBy("user_id").agg(F.count("*").alias("n")),
+        "stream_event_counts": stream_event_counts,
+        "stream_dedup": _streamed("stream_dedup", lambda e: events.dedup(e.select("user_id", "event_type"), ["user_id", "event_type"]), "append"),
+        "stream_breaker": _streamed("stream_breaker", lambda e: events.breaker(e, "error", 2), "append"),
+        "module_missing_deps": lambda s, d: modules.missing(tables.modules(s), tables.dependencies(s)),
+        "module_version_check": lambda s, d: modules.version_checks(tables.modules(s), tables.dependencies(s)),
+        "module_load_order": lambda s, d: modules.load_order(tables.modules(s), tables.dependencies(s)),
+    }
+    return found
