@@ -48,7 +48,7 @@ def first_manifests(manifests: DataFrame) -> DataFrame:
     """The first manifest by path of each name, of those that are complete; managed tables need a data version."""
     needed = ["module_name", "version", "api_version", "entry_point"]
     complete = manifests.filter(" AND ".join(f"{c} IS NOT NULL" for c in needed))
-    complete = complete.filter((F.size("managed_tables") <= 0) | (F.coalesce("data_version", F.lit(0)) != 0))
+    complete = complete.filter((F.coalesce(F.size("managed_tables"), F.lit(0)) <= 0) | (F.coalesce("data_version", F.lit(0)) != 0))
     order = Window.partitionBy("module_name").orderBy("path")
     return complete.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 

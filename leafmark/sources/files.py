@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark.functions import text as T
@@ -16,13 +17,34 @@ def any_case(extension: str) -> str:
     return "*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)
 
 
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def _empty_files(spark: SparkSession, folder: str, extension: str) -> DataFrame:
+    """(path, modificationTime, length) of files without bytes, which file scans leave out; a listing, as any scan makes one."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(folder)
+    system = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows, found = [], system.listFiles(top, True) if system.exists(top) else None
+    while found and found.hasNext():
+        f = found.next()
+        if not f.getLen() and f.getPath().getName().lower().endswith("." + extension.lower()):
+            rows.append((f.getPath().toString(), dt.datetime.fromtimestamp(f.getModificationTime() / 1000), 0))
+    return spark.createDataFrame(rows, "path string, modificationTime timestamp, length long")
+
+
 def scan(spark: SparkSession, folder: str, extension: str = "pdf", content: bool = True) -> DataFrame:
     """(file_path, relative_path, file_name, file_size, last_modified, content, file_hash) of files below a folder.
 
     Without ``content`` files are not read, so a join on path, size and time
-    can decide first which to hash.
+    can decide first which to hash. Empty files have no hash; a folder that
+    doesn't exist gives no rows.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", any_case(extension)).load(folder)
+    empty = _empty_files(spark, folder, extension).withColumn("content", F.lit(b"").cast("binary"))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", any_case(extension))
+    raw = raw.load(folder).unionByName(empty) if _exists(spark, folder) else empty
     base = "file:" + folder if folder.startswith("/") else folder
     relative = F.regexp_replace("path", r"^\Q" + base.rstrip("/") + r"\E/", "")
     out = raw.select(
@@ -74,10 +96,14 @@ def references(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     raw = spark.read.schema(", ".join(f"{c} struct<{REFERENCE.replace(' array', ': array')}>" for c in CATEGORIES)).option("multiLine", True).json(path)
     whole = raw.filter(" AND ".join(f"{c}.{part} IS NOT NULL" for c in CATEGORIES for part in ("codes", "aliases_en", "aliases_ru")))
     by = whole.select(F.explode(F.array(*(F.struct(F.lit(c).alias("category"), F.col(c).alias("r")) for c in CATEGORIES))).alias("x")).select("x.category", "x.r.*")
-    codes = by.select("category", T.strip(F.explode("codes")).alias("code")).filter("code != ''").distinct()
-    listed = by.select("category", F.posexplode(F.concat(*(F.transform(f"aliases_{l}", lambda a, l=l: F.struct(T.strip(a["alias"]).alias("alias"), T.strip(a["code"]).alias("code"), F.lit(l).alias("lang"))) for l in ("en", "ru")))).alias("seq", "a"))
-    named = listed.select("category", "a.alias", "a.code", "a.lang", "seq").filter("alias != '' AND code != ''")
-    return codes, named.join(codes, ["category", "code"], "left_semi").groupBy("category", "alias").agg(F.min(F.struct("seq", "code", "lang")).alias("f")).select("category", "alias", "f.code", "f.lang", "f.seq")
+    codes = by.select("category", F.explode(F.transform("codes", T.strip)).alias("code")).filter("code != ''").distinct()
+
+    def named(lang: str) -> Column:
+        return F.transform(f"aliases_{lang}", lambda a: F.struct(T.strip(a["alias"]).alias("alias"), T.strip(a["code"]).alias("code"), F.lit(lang).alias("lang")))
+
+    listed = by.select("category", F.posexplode(F.concat(named("en"), named("ru"))).alias("seq", "a"))
+    pairs = listed.select("category", "a.alias", "a.code", "a.lang", "seq").filter("alias != '' AND code != ''")
+    return codes, pairs.join(codes, ["category", "code"], "left_semi").groupBy("category", "alias").agg(F.min(F.struct("seq", "code", "lang")).alias("f")).select("category", "alias", "f.code", "f.lang", "f.seq")
 
 
 MANIFEST = "module_name string, version string, api_version string, entry_point string, scan_phase string, description string, managed_tables array<string>, data_version int"
