@@ -8,11 +8,12 @@ anchors, and a document has about one anchor for every eight words.
    recurring passage.
 2. Passages whose anchors recur are counted, with the first place of each;
    those found twice are confirmed. The recurring phrases' words are kept.
-3. All documents are streamed through Aho-Corasick automata. One of all
-   phrases would not fit a worker, so each run of documents compiles the shard of
-   those phrases that its anchors call for, out of the mapped store. Where the
-   automaton finds a phrase by its words, the passages around it are looked up,
-   and words of passages that start earlier elsewhere are removed.
+3. All documents are read again and their passages looked up. One automaton of
+   all phrases would not fit a worker, so each run of documents compiles the
+   shard of those that its recurring passages call for, out of the mapped store,
+   and streams its documents through this Aho-Corasick automaton. What it finds
+   by the words themselves is an occurrence, and the words of passages that start
+   earlier elsewhere are removed.
 
 Counts travel as packed sorted runs that workers have aggregated before the
 shuffle, keyed by hashes; a passage in every document is one entry a run. The
@@ -36,7 +37,7 @@ from leafmark.llm import arrays, scratch
 from leafmark.llm.words import WordHash, arrow_schema, chunks, mix
 
 #: Words of a run, and text bytes of a shard.
-RUN, SHARD_BYTES = 1_000_000, 16 << 20
+RUN, SHARD_BYTES = 700_000, 16 << 20
 #: The order of a document without an id: behind all others.
 LAST = np.iinfo(np.int64).max
 FOUND = "kind string, shard int, keys binary, counts binary, docs binary, starts binary, text binary"
@@ -192,7 +193,9 @@ def confirm(docs: DataFrame, p: Passages) -> Store:
             starts, anchors, phrases = windows(run, p)
             places = np.unique(anchors)
             places = places[store.has("r", phrases[places])]
-            starts = starts[np.isin(anchors, places)]
+            recurs = np.zeros(len(run.words), bool)
+            recurs[places] = True
+            starts = starts[recurs[anchors]]
             keys = hash_spans(run.hashes, p.window)[starts]
             owner = _owners(run, starts)
             doc, start = _doc_ids(run)[owner], starts - run.starts[owner]
@@ -245,32 +248,42 @@ def automaton(phrases: list[bytes]) -> ahocorasick.Automaton | None:
     return a
 
 
-def occurrences(run: Run, phrases: list[bytes]) -> np.ndarray:
-    """Which words of a run begin an occurrence of one of the phrases; the words of all documents stream through the automaton."""
+def occurrences(run: Run, phrases: list[bytes], docs: np.ndarray) -> np.ndarray:
+    """Which words of a run begin an occurrence of one of the phrases in some of its documents, whose words stream through the automaton."""
     found = np.zeros(len(run.words), bool)
-    if a := automaton(phrases):
-        lengths = np.fromiter(map(len, run.words), np.int64, len(run.words))
+    a = automaton(phrases)
+    for i in docs.tolist() if a else ():
+        first, end = int(run.starts[i]), int(run.starts[i + 1])
+        words = run.words[first:end]
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
         before = np.cumsum(lengths + 1) - lengths - 1  # of the space before each word
-        text = f" {b' '.join(run.words).decode('latin-1')} "
-        # a phrase over the end of a document is found too; no passage has it as its anchor
-        begins = np.array([end + 1 - length for end, length in a.iter(text)], np.int64)
-        found[np.searchsorted(before, begins)] = True
+        begins = [end + 1 - length for end, length in a.iter(f" {b' '.join(words).decode('latin-1')} ")]
+        found[first + np.searchsorted(before, begins)] = True
     return found
 
 
 def covered(run: Run, store: Store, p: Passages) -> np.ndarray:
-    """Which words of a run are in a passage that starts earlier elsewhere."""
+    """Which words of a run are in a passage that starts earlier elsewhere.
+
+    Passages are looked up by hash where their anchors recur. Those that start
+    earlier elsewhere call for their phrases, and count where the automaton
+    finds these by their words.
+    """
     starts, anchors, phrases = windows(run, p)
-    called = np.unique(phrases[np.unique(anchors)])
-    hit = occurrences(run, store.phrases(called))
-    starts = starts[hit[anchors]]
+    places = np.unique(anchors)
+    recurs = np.zeros(len(run.words), bool)
+    recurs[places[store.has("r", phrases[places])]] = True
+    starts, anchors = starts[recurs[anchors]], anchors[recurs[anchors]]
     doc, start = store.first_places(hash_spans(run.hashes, p.window)[starts]) if len(starts) else (starts, starts)
     owner = _owners(run, starts)
     mine, at = _doc_ids(run)[owner], starts - run.starts[owner]
-    again = starts[(start >= 0) & ((doc < mine) | ((doc == mine) & (start < at)))]
+    again = (start >= 0) & ((doc < mine) | ((doc == mine) & (start < at)))
+    starts, anchors = starts[again], anchors[again]
+    hit = occurrences(run, store.phrases(np.unique(phrases[anchors])), np.unique(owner[again]))
+    starts = starts[hit[anchors]]
     depth = np.zeros(len(run.words) + 1, np.int64)
-    np.add.at(depth, again, 1)
-    np.add.at(depth, again + p.window, -1)
+    np.add.at(depth, starts, 1)
+    np.add.at(depth, starts + p.window, -1)
     return np.cumsum(depth)[:-1] > 0
 
 
