@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 #: Bytes of text that a worker turns into Python objects at a time.
 CHUNK = 4 << 20
+#: Words whose hashes a worker remembers: about 170 bytes each.
+KNOWN = 400_000
 
 
 def word_array(text: Column) -> Column:
@@ -53,10 +55,10 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
 
 
 class WordHash(dict):
-    """XXH64 of words, remembered for the most recent million of them."""
+    """XXH64 of words; remembers up to ``KNOWN`` of them, then starts again."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= KNOWN:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word, 42)
         return value
