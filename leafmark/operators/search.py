@@ -108,25 +108,30 @@ def snippet(node: Node, size: int = SNIPPET) -> Column:
     return T.denormalize_text(F.concat(head, body, F.when(end < n, "...").otherwise("")))
 
 
-def page_hits(pages: DataFrame, query: str, doc_ids: DataFrame) -> DataFrame:
-    """(doc_id, page_number, snippet, terms) of the matching pages of some documents."""
+def page_hits(pages: DataFrame, query: str, doc_ids: DataFrame | list) -> DataFrame:
+    """(doc_id, page_number, snippet, terms) of the matching pages of some documents; a list of ids reaches the scan as a filter."""
     node = parse(query)
     tf = C.tf_names(node)
-    chosen = pages.join(doc_ids.select("doc_id"), "doc_id", "left_semi")
+    chosen = pages.filter(F.col("doc_id").isin(doc_ids)) if isinstance(doc_ids, list) else pages.join(doc_ids.select("doc_id"), "doc_id", "left_semi")
     hits = term_frequency(chosen, node, ["doc_id", "page_number", "normalized_text", "tokens"]).filter(C.predicate(node, tf))
     shown = hits.select("doc_id", "page_number", snippet(node).alias("snippet"))
     return shown.withColumn("terms", T.snippet_terms(F.col("snippet")))
 
 
 def search_with_pages(pages: DataFrame, documents: DataFrame, query: str, f: Filter.Filters = Filter.Filters(), limit: int = 50, offset: int = 0) -> DataFrame:
-    """``search`` with an array of (page_number, snippet, terms) in page order; a blank query has one virtual page 0."""
+    """``search`` with an array of (page_number, snippet, terms) in page order; a blank query has one virtual page 0.
+
+    The slice, 500 rows at most, is ranked first; then only its documents' pages are read.
+    """
     top = search(pages, documents, query, f, limit, offset)
     if parse(query) is None:
         empty = F.struct(F.lit(0).alias("page_number"), F.lit("").alias("snippet"), F.array().cast("array<string>").alias("terms"))
         return top.withColumn("pages", F.array(empty))
-    hits = page_hits(pages, query, F.broadcast(top))  # 500 documents at most
+    rows = top.collect()
+    known = pages.sparkSession.createDataFrame(rows, top.schema)
+    hits = page_hits(pages, query, [r["doc_id"] for r in rows])
     grouped = hits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_number", "snippet", "terms"))).alias("pages"))
-    return F.broadcast(top).join(grouped, "doc_id").orderBy("score", "doc_id")
+    return F.broadcast(known).join(grouped, "doc_id").orderBy("score", "doc_id")
 
 
 def postings(pages: DataFrame) -> DataFrame:
