@@ -1,6 +1,6 @@
 """Interpolated modified Kneser-Ney bigram model over all training documents.
 
-Workers count in runs of a few million tokens and shuffle the runs as packed
+Workers count in runs of about a million tokens and shuffle the runs as packed
 sorted arrays, one for each shard of the key space. Shards of the model are
 sorted arrays in the shared folder: word hashes with counts, then pairs of word
 numbers with counts, then what the estimates need of each word. Scoring maps
@@ -29,8 +29,8 @@ from leafmark.llm.words import WordHash, arrow_schema, chunks
 
 #: The end of a document, as the hash of a string that is no word.
 END = xxhash.xxh64_intdigest(b"\n", 42)
-#: Tokens of a counting run; text bytes of a shard.
-RUN, SHARD_BYTES = 2_000_000, 16 << 20
+#: Tokens of a counting run, which bounds what a worker holds; text bytes of a shard.
+RUN, SHARD_BYTES = 1_000_000, 16 << 20
 RUNS = "shard int, keys binary, counts binary"
 KINDS = "kind string, shard int, keys binary, counts binary"
 
