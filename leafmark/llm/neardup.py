@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmark.llm import graph, scratch
-from leafmark.llm.words import arrow_schema, chunks
+from leafmark.llm.words import arrow_schema, chunks, mix
 
 
 @dataclass(frozen=True)
@@ -40,19 +40,7 @@ class Search:
 
 def fingerprint(text: bytes, k: int = 3) -> int:
     """SimHash over the shingles of k words, repeats included; fewer words make one shingle, none give 0."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= k:
-        return hashed(joined, 42)  # over half of one
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    h = np.array([hashed(joined[a:b], 42) for a, b in zip(starts[: 1 - k or None].tolist(), ends[k - 1 :].tolist())], "<u8")
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 14):
-        ones += np.unpackbits(h[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    return int(majority(shingle_hashes(text, k)))
 
 
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
@@ -131,28 +119,28 @@ def route(tree: Tree, points: np.ndarray, radius: int) -> Iterator[tuple[Tree, n
         stack.append((node.high, home[~near], np.concatenate([guests[g + radius > node.cut], home[near & (d > node.cut - radius)]])))
 
 
-def pairs(home: np.ndarray, guests: np.ndarray, radius: int, brute: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs within the radius of home members and of guests with home members, by a tree in memory."""
+def pairs(points: np.ndarray, home: np.ndarray, guests: np.ndarray, radius: int, brute: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs within the radius, of home members and of guests with home members, by a tree in memory."""
     stack = [(home, guests)]
     while stack:
         home, guests = stack.pop()
         if not len(home):
             continue
-        found = choose(home, radius) if len(home) > brute else None
+        found = choose(np.sort(points[home]), radius) if len(home) > brute else None
         if found:
             v, m = found
-            d, g = distance(home, v).astype(np.int64), distance(guests, v).astype(np.int64)
+            d, g = distance(points[home], v).astype(np.int64), distance(points[guests], v).astype(np.int64)
             near = d <= m
             stack.append((home[near], guests[g - radius <= m]))
             stack.append((home[~near], np.concatenate([guests[g + radius > m], home[near & (d > m - radius)]])))
             continue
         step = max(1, (1 << 21) // len(home))
         for at in range(0, len(home), step):
-            i, j = np.nonzero(np.bitwise_count(home[at : at + step, None] ^ home[None, :]) <= radius)
+            i, j = np.nonzero(np.bitwise_count(points[home[at : at + step], None] ^ points[home][None, :]) <= radius)
             keep = i + at < j
             yield home[i[keep] + at], home[j[keep]]
         for at in range(0, len(guests), step):
-            i, j = np.nonzero(np.bitwise_count(guests[at : at + step, None] ^ home[None, :]) <= radius)
+            i, j = np.nonzero(np.bitwise_count(points[guests[at : at + step], None] ^ points[home][None, :]) <= radius)
             yield guests[i + at], home[j]
 
 
@@ -174,6 +162,29 @@ class Forest:
         if a != b:
             self.parent[max(a, b)] = min(a, b)
 
+    def join_all(self, a: np.ndarray, b: np.ndarray) -> None:
+        for x, y in zip(a.tolist(), b.tolist()):
+            self.join(x, y)
+
+    def links(self) -> pd.DataFrame:
+        """Members and their roots, as links (a, b)."""
+        found = [(x, self.root(x)) for x in self.parent]
+        return pd.DataFrame([x for x in found if x[0] != x[1]], columns=["a", "b"], dtype="int64")
+
+
+def visits(tree: Tree, points: np.ndarray, radius: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(shard, tile, places of points, whether they are guests) for what lives in or visits a tile.
+
+    Each tile of a shard takes its part of the members; the members of earlier
+    tiles and all guests of the shard visit it.
+    """
+    for node, home, guests in route(tree, points, radius):
+        mine = (points[home] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(node.tiles)
+        for t in range(node.tiles):
+            at = np.concatenate([home[mine == t], guests, home[mine < t]])
+            if len(at):
+                yield node.shard, t, at, np.arange(len(at)) >= np.count_nonzero(mine == t)
+
 
 ROUTED = "shard long, tile int, fp long, guest boolean"
 
@@ -197,25 +208,16 @@ def links(fps: DataFrame, s: Search = Search()) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for node, home, guests in route(sent.value, points, s.radius):
-                mine = (points[home] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(node.tiles)
-                fp, tile, guest = [points[home]], [mine.astype(np.int32)], [np.zeros(len(home), bool)]
-                for t in range(node.tiles):
-                    visit = np.concatenate([points[guests], points[home][mine < t]])
-                    fp.append(visit)
-                    tile.append(np.full(len(visit), t, np.int32))
-                    guest.append(np.ones(len(visit), bool))
-                fp = np.concatenate(fp)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), node.shard, np.int64)), pa.array(np.concatenate(tile)), pa.array(fp.view(np.int64)), pa.array(np.concatenate(guest))], schema=arrow_schema(ROUTED))
+            for shard, tile, at, guest in visits(sent.value, points, s.radius):
+                n = len(at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array(np.full(n, tile, np.int32)), pa.array(points[at].view(np.int64)), pa.array(guest)], schema=arrow_schema(ROUTED))
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         points, guest = rows["fp"].to_numpy().view(np.uint64), rows["guest"].to_numpy(dtype=bool)
         forest = Forest()
-        for a, b in pairs(np.sort(points[~guest]), points[guest], s.radius, s.brute):
-            for x, y in zip(a.view(np.int64).tolist(), b.view(np.int64).tolist()):
-                forest.join(x, y)
-        nodes = [(x, forest.root(x)) for x in forest.parent]
-        return pd.DataFrame([x for x in nodes if x[0] != x[1]], columns=["a", "b"], dtype="int64")
+        for i, j in pairs(points, np.flatnonzero(~guest), np.flatnonzero(guest), s.radius, s.brute):
+            forest.join_all(points[i].view(np.int64), points[j].view(np.int64))
+        return forest.links()
 
     routed = fps.select("fp").mapInArrow(deal, ROUTED)
     return routed.groupBy("shard", "tile").applyInPandas(search, "a long, b long")
@@ -239,6 +241,121 @@ def near_duplicates(docs: DataFrame, s: Search = Search()) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+@dataclass(frozen=True)
+class Similar:
+    """Documents whose shingles of ``words`` words agree to ``least`` by their sketches.
+
+    Candidates have one of ``tables`` fingerprints of 32 bits within ``radius``
+    bits. At a Jaccard similarity of 0.8 on five words, an edit for every 45
+    words, a fingerprint over shingles of ``over`` words is found with a chance
+    of about 0.28, so one of eight with 0.93; at 0.9 with 0.997.
+    """
+
+    words: int = 5
+    least: float = 0.8
+    over: int = 3
+    tables: int = 8
+    radius: int = 2
+    buckets: int = 128
+    shard: int = 8192
+    sample: int = 1 << 17
+    per_shard: int = 32
+    brute: int = 512
+
+
+def shingle_hashes(text: bytes, k: int) -> np.ndarray:
+    """XXH64 of the shingles of k words of a text in lower case; fewer words are one shingle."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= k:
+        return np.array([hashed(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return np.array([hashed(joined[a:b], 42) for a, b in zip(starts[: 1 - k or None].tolist(), ends[k - 1 :].tolist())], np.uint64)
+
+
+def majority(h: np.ndarray) -> np.uint64:
+    """The bits that over half of the hashes have."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 14):
+        ones += np.unpackbits(h[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]
+
+
+def sketch(h: np.ndarray, buckets: int) -> np.ndarray:
+    """One-permutation minima: a byte for the least hash of each bucket, 0 for an empty one."""
+    out = np.full(buckets, 1 << 40, np.int64)
+    np.minimum.at(out, (h >> np.uint64(40)).astype(np.int64) % buckets, (h & np.uint64((1 << 40) - 1)).astype(np.int64))
+    return np.where(out == 1 << 40, 0, 1 + out % 255).astype(np.uint8)
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of rows of sketches: equal buckets among those that one of both fills."""
+    filled = (a | b) != 0
+    return ((a == b) & filled).sum(axis=1) / np.maximum(1, filled.sum(axis=1))
+
+
+SIGNED = "doc_id long, prints binary, sketch binary"
+CANDIDATES = "search long, tile int, doc_id long, print long, sketch binary, guest boolean"
+
+
+def signatures(docs: DataFrame, s: Similar) -> DataFrame:
+    """SIGNED of documents (doc_id, text) that have words: ``s.tables`` fingerprints of 32 bits, and a sketch."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, texts in chunks(batches):
+            rows = []
+            for key, text in zip(piece.column(0).to_pylist(), texts):
+                h = shingle_hashes(text, s.over)
+                if key is not None and len(h):
+                    prints = []
+                    for _ in range(-(-s.tables // 2)):
+                        prints.append(majority(h))
+                        h = mix(h + np.uint64(0xD6E8FEB86659FD93))
+                    rows.append((key, np.array(prints, "<u8").view("<u4")[: s.tables].tobytes(), sketch(mix(shingle_hashes(text, s.words)), s.buckets).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * 3, arrow_schema(SIGNED))], schema=arrow_schema(SIGNED))
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(apply, SIGNED)
+
+
+def similar_links(docs: DataFrame, s: Similar = Similar()) -> DataFrame:
+    """Links (a, b) between doc_ids of documents (doc_id, text) whose sketches agree: a forest for each shard of each table.
+
+    Texts without words and rows without doc_id have no links; an empty table has none.
+    """
+    signed = scratch.store(signatures(docs, s), "signatures")
+    n = signed.count()
+    shards = max(1, -(-n // s.shard))
+    size = min(s.sample, shards * s.per_shard, n)
+    drawn = signed.orderBy(F.xxhash64("doc_id"), "doc_id").select("prints").limit(size).collect()
+    prints = np.array([np.frombuffer(r[0], "<u4") for r in drawn], np.uint64).reshape(-1, s.tables)
+    trees = [build(prints[:, t], s.radius, max(1, -(-size // shards)))[0] for t in range(s.tables)]
+    sent = docs.sparkSession.sparkContext.broadcast(trees)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.array([np.frombuffer(x, "<u4") for x in batch.column(1).to_pylist()], np.uint64).reshape(-1, s.tables)
+            for t in range(s.tables):
+                for shard, tile, at, guest in visits(sent.value[t], own[:, t], s.radius):
+                    k, where = len(at), pa.array(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, shard * s.tables + t)), pa.array(np.full(k, tile, np.int32)), batch.column(0).take(where), pa.array(own[at, t].astype(np.int64)), batch.column(2).take(where), pa.array(guest)], schema=arrow_schema(CANDIDATES))
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        points, guest, ids = rows["print"].to_numpy().view(np.uint64), rows["guest"].to_numpy(dtype=bool), rows["doc_id"].to_numpy()
+        sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, s.buckets)
+        forest = Forest()
+        for i, j in pairs(points, np.flatnonzero(~guest), np.flatnonzero(guest), s.radius, s.brute):
+            for at in range(0, len(i), 1 << 16):
+                a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                ok = agreement(sketches[a], sketches[b]) >= s.least
+                forest.join_all(ids[a[ok]], ids[b[ok]])
+        return forest.links()
+
+    return signed.mapInArrow(deal, CANDIDATES).groupBy("search", "tile").applyInPandas(search, "a long, b long")
+
+
 def op6_simhash_vantage(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

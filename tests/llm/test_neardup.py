@@ -58,14 +58,14 @@ def clustered(n, seed):
 def test_pairs_and_routes_find_every_pair():
     x = clustered(700, 1)
     want = {(int(a), int(b)) for i, a in enumerate(x) for b in x[i + 1 :] if bin(int(a) ^ int(b)).count("1") <= 2}
-    got = {tuple(sorted((int(a), int(b)))) for i, j in neardup.pairs(x, np.empty(0, np.uint64), 2, 16) for a, b in zip(i, j)}
+    got = {tuple(sorted((int(x[a]), int(x[b])))) for i, j in neardup.pairs(x, np.arange(len(x)), np.empty(0, np.int64), 2, 16) for a, b in zip(i, j)}
     assert got == want
     tree, shards = neardup.build(x[::3], 2, 20)
     meet, homes = set(), 0
     for node, home, guests in neardup.route(tree, x, 2):
         homes += len(home)
-        for i, j in neardup.pairs(x[home], x[guests], 2, 1000):
-            meet |= {tuple(sorted((int(a), int(b)))) for a, b in zip(i, j)}
+        for i, j in neardup.pairs(x, home, guests, 2, 1000):
+            meet |= {tuple(sorted((int(x[a]), int(x[b])))) for a, b in zip(i, j)}
     assert shards > 5 and homes == len(x) and meet == want
 
 
@@ -104,3 +104,32 @@ def test_components(spark):
     got = dict(graph.components(spark.createDataFrame(chain, "a long, b long")).collect())
     assert got == {i: 0 for i in range(61)} | {100 + i: 100 for i in range(30)} | {200: 100, 500: 500, 501: 500}
     assert graph.components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+def test_similar_links_catch_edits_and_leave_others(spark):
+    r = np.random.default_rng(4)
+    text = lambda: [f"w{int(x)}" for x in r.integers(0, 3000, 250)]
+    rows, want = [], {}
+    for i in range(60):
+        base = text()
+        rows.append((i, " ".join(base)))
+        other = list(base)
+        for at in r.choice(250, 1 + i % 3, replace=False):
+            other[at] = "changed"
+        rows.append((1000 + i, " ".join(other)))
+        want[1000 + i] = i
+    rows += [(5000 + i, " ".join(text())) for i in range(200)] + [(9000, None), (9001, " "), (9002, "a b"), (9003, "A  b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").unionAll(spark.createDataFrame([(None, rows[0][1])], "doc_id long, text string"))
+    for s in (neardup.Similar(), neardup.Similar(shard=40, per_shard=16, brute=8)):
+        got = {r.node: r.root for r in graph.components(neardup.similar_links(df, s)).collect() if r.node != r.root}
+        assert got == want | {9003: 9002}
+    assert neardup.similar_links(df.limit(0)).isEmpty()
+
+
+def test_sketches_estimate_similarity():
+    r = np.random.default_rng(6)
+    common = r.integers(0, 2**64, 800, dtype=np.uint64)
+    for own in (0, 50, 100, 400):
+        a, b = (neardup.sketch(np.concatenate([common, r.integers(0, 2**64, own, dtype=np.uint64)]), 128) for _ in range(2))
+        assert abs(neardup.agreement(a[None], b[None])[0] - 800 / (800 + 2 * own)) < 0.13
+    assert neardup.agreement(np.zeros((1, 128), np.uint8), np.zeros((1, 128), np.uint8))[0] == 0
