@@ -21,10 +21,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmark.llm import scratch
+from leafmark.llm.ranks import ranked
 from leafmark.llm.words import word_count
 
 #: Documents of a cell that one window ranks, on average at most.
-CELL_ROWS = 256
+CELL_ROWS = 4096
 #: Newton steps at most, and the relative error at which they end.
 STEPS, NEAR = 25, 1e-7
 
@@ -102,7 +103,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     an empty table.
     """
     key = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source")))
-    docs = docs.select("doc_id", "source", "size").withColumn("_key", key)
+    docs = scratch.store(docs.select("doc_id", "source", "size", key.alias("_key"), F.monotonically_increasing_id().alias("_row")), "sizes")
     cells = scratch.store(docs.groupBy("_key", "source", "size").agg(F.count("*").alias("n")), "cells")
     sizes = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     goals = targets(sizes, weights, share, most).withColumn("_key", key)
@@ -116,17 +117,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     # a size with many documents is ranked in parts, so that no window holds a large group of copies
     parts = F.ceil(F.col("n") / CELL_ROWS)
     d = docs.join(cells, ["_key", "size"]).withColumn("_u", F.xxhash64(F.lit("mix"), "doc_id")).withColumn("_sub", F.floor(F.shiftrightunsigned("_u", 32) * parts / 2**32))
-    subs = d.groupBy("_key", "size", "_sub").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_key", "size").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    subs = subs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    rank = F.row_number().over(Window.partitionBy("_key", "size", "_sub").orderBy("_u", "doc_id"))
-    d = d.withColumn("_rank", rank).join(subs, ["_key", "size", "_sub"])
-    copies = (F.col("_base") + (F.col("_before") + F.col("_rank") <= F.col("_extra")).cast("int")).alias("copies")
+    d = ranked(d, ["_key", "size"], "_sub", ["_u", "doc_id"], "_row")
+    copies = (F.col("_base") + (F.col("_rank") < F.col("_extra")).cast("int")).alias("copies")
     return d.select("doc_id", "source", "size", "source_size", "target", copies)
 
 
 def op10_entropy_mix(spark, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of each."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    mixed = mix(scratch.store(docs, "sizes"))
+    mixed = mix(docs)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))

@@ -16,10 +16,11 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmark.llm import scratch
+from leafmark.llm.ranks import ranked
 
 #: Positions of the ring, and the keys that a cell holds on average at most.
 RING_BITS, CELL_ROWS = 16, 256
@@ -98,7 +99,7 @@ def assign(keys: DataFrame, key: str, shards: int, vnodes: int = 64, slack: floa
     keys = keys.drop("shard", "slot")
     rest = [F.col(f"`{c}`") for c in keys.columns]
     hashed = keys.select(*rest, F.xxhash64(F.lit(seed), F.col(f"`{key}`")).alias("_u"))
-    placed = scratch.store(hashed.withColumn("_at", F.shiftrightunsigned("_u", 64 - RING_BITS).cast("int")).join(lookup, "_at"), "ring")
+    placed = scratch.store(hashed.withColumn("_at", F.shiftrightunsigned("_u", 64 - RING_BITS).cast("int")).join(lookup, "_at").withColumn("_row", F.monotonically_increasing_id()), "ring")
     found = {r["_arc"]: r["n"] for r in placed.groupBy("_arc").agg(F.count("*").alias("n")).collect()}  # shards * vnodes rows
     total = sum(found.values())
     pieces = place([found.get(a, 0) for a in range(len(nodes))], [s for _, s in nodes], capacities(total, shards, slack))
@@ -108,16 +109,10 @@ def assign(keys: DataFrame, key: str, shards: int, vnodes: int = 64, slack: floa
     last = nodes[-1][0]
     lap = F.when(F.col("_at") > last, F.col("_at") - (1 << RING_BITS)).otherwise(F.col("_at")).cast("long")
     sub = F.shiftrightunsigned(F.shiftleft("_u", RING_BITS), 64 - bits) if bits else F.lit(0).cast("long")
-    placed = placed.withColumn("_cell", lap * (1 << bits) + sub)
-    cell = Window.partitionBy("_arc", "_cell")
-    ranked = placed.withColumn("_in", F.row_number().over(cell.orderBy("_u", *rest)).cast("long") - 1)
-    cells = placed.groupBy("_arc", "_cell").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_arc").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    ranked_rows = ranked(placed.withColumn("_cell", lap * (1 << bits) + sub), ["_arc"], "_cell", ["_u", *rest], "_row")
     # at most one piece for each arc and one more for each split, that is shards * (vnodes + rounds): safe to broadcast
     table = spark.createDataFrame([(p.arc, p.first, p.first + p.n, p.shard, p.slot) for p in pieces], "_arc int, _lo long, _hi long, _shard int, _slot long")
-    ranked = ranked.join(cells, ["_arc", "_cell"]).withColumn("_rank", F.col("_before") + F.col("_in"))
-    r = ranked.alias("r").join(F.broadcast(table).alias("p"), (F.col("r._arc") == F.col("p._arc")) & (F.col("r._rank") >= F.col("p._lo")) & (F.col("r._rank") < F.col("p._hi")))
+    r = ranked_rows.alias("r").join(F.broadcast(table).alias("p"), (F.col("r._arc") == F.col("p._arc")) & (F.col("r._rank") >= F.col("p._lo")) & (F.col("r._rank") < F.col("p._hi")))
     return r.select(*(F.col(f"r.`{c}`") for c in keys.columns), F.col("p._shard").alias("shard"), (F.col("p._slot") + F.col("r._rank") - F.col("p._lo")).alias("slot"))
 
 

@@ -63,3 +63,17 @@ def test_all_keys_alike(spark):
     keys = spark.range(100).select(F.lit(None).cast("long").alias("k"))
     n = collections.Counter(r.shard for r in sharding.assign(keys, "k", 24).collect())
     assert sorted(n.values()) == [4] * 20 + [5] * 4
+
+
+def test_repeated_keys_are_split_by_row(spark, monkeypatch):
+    from leafmark.llm import ranks
+
+    monkeypatch.setattr(ranks, "LARGE", 50)
+    monkeypatch.setattr(ranks, "PART", 10)
+    keys = spark.range(900).select((F.col("id") % 3 * (F.col("id") % 2) * F.col("id")).alias("k"), F.col("id").alias("x"))
+    rows = sharding.assign(keys, "k", 24).collect()
+    assert sorted(r.x for r in rows) == list(range(900)) and whole(rows)
+    n = collections.Counter(r.shard for r in rows)
+    assert max(n.values()) - min(n.values()) <= 1
+    rows = spark.range(500).selectExpr("id AS _row", "0 AS g", "0 AS c")
+    assert sorted(r._rank for r in ranks.ranked(rows, ["g"], "c", ["_row"], "_row").collect()) == list(range(500))
