@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,6 +59,34 @@ def alias_conflicts(aliases: DataFrame) -> DataFrame:
     return aliases.groupBy("category", "alias").agg(F.countDistinct("code").alias("n_codes")).filter("n_codes > 1")
 
 
+def sheet_references(rows: DataFrame, category: str) -> tuple[DataFrame, DataFrame]:
+    """Codes and aliases of a sheet with columns code, en and ru; ValueError if an alias has two codes in a language."""
+    r = rows.select(*(T.strip(F.col(c).cast("string")).alias(c) for c in ("code", "en", "ru"))).filter("code != ''")
+    pairs = r.select("code", F.explode(F.array(*(F.struct(F.lit(c).alias("lang"), F.col(c).alias("alias")) for c in ("en", "ru")))).alias("a")).select("code", "a.lang", "a.alias").filter("alias != ''").distinct()
+    twice = pairs.groupBy("lang", "alias").agg(F.count("*").alias("n")).filter("n > 1").orderBy("lang", "alias").head()
+    if twice:
+        raise ValueError(f"the alias {twice['alias']!r} stands for several codes")
+    codes = r.select(F.lit(category).alias("category"), "code").distinct()
+    return codes, pairs.select(F.lit(category).alias("category"), "alias", "code", "lang", F.when(F.col("lang") == "en", 0).otherwise(1).alias("seq"))
+
+
+def export(payloads: DataFrame, path: str) -> None:
+    """Write the payload as one JSON file: first beside the target, then renamed onto it."""
+    spark = payloads.sparkSession
+    raw = lambda c: F.from_json(c, "array<struct<alias: string, code: string>>").alias(c)
+    part = payloads.select("category", F.struct(F.from_json("codes", "array<string>").alias("codes"), raw("aliases_en"), raw("aliases_ru")).alias("p"))
+    whole = part.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "p"))))).alias("value"))
+    beside = f"{path}.parts-{uuid.uuid4().hex}"
+    whole.coalesce(1).write.text(beside)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    made = [s.getPath() for s in system.listStatus(hadoop.Path(beside)) if s.getPath().getName().startswith("part-")]
+    system.delete(target, False)
+    system.rename(made[0], target)
+    system.delete(hadoop.Path(beside), True)
+
+
 def payload(codes: DataFrame, aliases: DataFrame) -> DataFrame:
     """One row a category: sorted codes and aliases in English and Russian, as JSON."""
     alias = first_aliases(aliases, codes)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmark.functions import text as T
@@ -134,6 +134,12 @@ def search_with_pages(pages: DataFrame, documents: DataFrame, query: str, f: Fil
     return F.broadcast(known).join(grouped, "doc_id").orderBy("score", "doc_id")
 
 
+def neighbours(hits: DataFrame) -> DataFrame:
+    """``hits`` (doc_id, page_number) with the matching pages before and after each in its document."""
+    order = Window.partitionBy("doc_id").orderBy("page_number")
+    return hits.select("doc_id", "page_number", F.lag("page_number").over(order).alias("previous_page"), F.lead("page_number").over(order).alias("next_page"))
+
+
 def postings(pages: DataFrame) -> DataFrame:
     """(term, doc_id, page_number, tf, positions): the inverted index."""
     rows = pages.select("doc_id", "page_number", F.posexplode("tokens").alias("position", "term"))

@@ -199,7 +199,7 @@ FROM codes c WHERE category = 'disciplines' AND starts_with(lower(code), 'd1')""
 sha256(COALESCE((SELECT string_agg(normalized_text, chr(10) ORDER BY page_number) FROM pages p WHERE p.doc_id = s.doc_id), '')) AS text_sha256 FROM split_lines s""",
         "empty_pages_dropped": f"WITH {LINES} SELECT doc_id, page_number, text FROM lines",
         "hash_dedup": f"WITH {REGISTRY} SELECT doc_id, file_path, file_hash, file_size FROM (SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY file_path, doc_id) AS n FROM registry) WHERE n = 1",
-        "change_detection": f"WITH {CHANGES} SELECT file_path, known_id, outcome, duplicate_of FROM changes",
+        "change_detection": f"WITH {CHANGES} SELECT file_path, CAST(known_id AS VARCHAR) AS known_id, outcome, duplicate_of FROM changes",
         "scan_counters": f"""WITH {CHANGES} SELECT COUNT(*) AS total, COUNT(*) FILTER (outcome = 'to_index') AS to_index, COUNT(*) FILTER (outcome = 'duplicate') AS duplicate, COUNT(*) FILTER (outcome = 'skipped') AS skipped,
 COUNT(*) FILTER (outcome = 'error') AS error, COUNT(*) AS processed, 100.0::DOUBLE AS percent FROM changes""",
         "index_status": f"WITH {STATUS} SELECT file_path, status FROM status",
@@ -230,6 +230,8 @@ FROM ids i LEFT JOIN documents d ON d.doc_id = i.doc_id LEFT JOIN lines l ON l.d
         "consecutive_errors": """SELECT user_id, MAX(n) AS longest_run FROM (SELECT user_id, run, COUNT(*) AS n FROM (SELECT user_id, event_type, SUM(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events) WHERE event_type = 'error' GROUP BY user_id, run) GROUP BY user_id""",
         "slow_events": "SELECT event_id, value FROM events WHERE value > 100",
         "until_terminal": """SELECT user_id, COUNT(*) AS n FROM (SELECT user_id, COALESCE(SUM(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS e FROM events) WHERE e = 0 GROUP BY user_id""",
+        "error_threshold": "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error') WHERE n = 10",
+        "page_neighbours": f"WITH {_search('the')} SELECT doc_id, page_number, COALESCE(lag(page_number) OVER w, -1) AS previous_page, COALESCE(lead(page_number) OVER w, -1) AS next_page FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY page_number)",
         "stream_event_counts": "SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type", "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
         "stream_breaker": """WITH r AS (SELECT *, SUM(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events),
 e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS k FROM r WHERE event_type = 'error') SELECT user_id, event_id FROM e WHERE k % 2 = 0""",

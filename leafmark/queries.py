@@ -93,7 +93,7 @@ def resolve_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = ingest.detect_changes(tables.found_files(spark, sf_dir), tables.previous_index(spark, sf_dir))
-    return c.select("file_path", "known_id", "outcome", "duplicate_of")
+    return c.select("file_path", F.col("known_id").cast("string").alias("known_id"), "outcome", "duplicate_of")
 
 
 def scan_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,6 +213,8 @@ def queries() -> dict[str, Query]:
         "latest_status": lambda s, d: events.latest(_events(s, d)), "consecutive_errors": lambda s, d: events.longest_runs(_events(s, d), "error"),
         "slow_events": lambda s, d: events.slow(_events(s, d), 100.0).select("event_id", "value"),
         "until_terminal": lambda s, d: events.until_last(_events(s, d), last=("error",)).groupBy("user_id").agg(F.count("*").alias("n")),
+        "error_threshold": lambda s, d: events.at_threshold(_events(s, d), "error", 10),
+        "page_neighbours": lambda s, d: search.neighbours(search.matching_pages(tables.pages(s, d), "the")).fillna(-1),
         "stream_event_counts": stream_event_counts,
         "stream_dedup": _streamed("stream_dedup", lambda e: events.dedup(e.select("user_id", "event_type"), ["user_id", "event_type"]), "append"),
         "stream_breaker": _streamed("stream_breaker", lambda e: events.breaker(e, "error", 2), "append"),

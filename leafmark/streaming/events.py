@@ -112,6 +112,27 @@ def breaker(events: DataFrame, bad: str, limit: int = 10, key: str = "user_id")
     return narrow.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long", "run int", "append", "NoTimeout")
 
 
+def at_threshold(events: DataFrame, bad: str, limit: int, key: str = "user_id") -> DataFrame:
+    """(key, event_id) of the event that brings each key to ``limit`` bad ones; batch only."""
+    order = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    e = events.filter(F.col("event_type") == bad).withColumn("_n", F.count("*").over(order))
+    return e.filter(F.col("_n") == limit).select(key, "event_id")
+
+
+def durations(starts: DataFrame, ends: DataFrame, at_most: str = "10 minutes") -> DataFrame:
+    """(correlation_id, started_at, ms) of requests that ended; streams keep a start for ``at_most``."""
+    s = starts.select("correlation_id", F.col("ts").alias("started_at")).withWatermark("started_at", at_most)
+    e = ends.select(F.col("correlation_id").alias("_id"), F.col("ts").alias("_end")).withWatermark("_end", at_most)
+    near = (F.col("correlation_id") == F.col("_id")) & (F.col("_end") >= F.col("started_at")) & (F.col("_end") <= F.col("started_at") + F.expr(f"INTERVAL {at_most}"))
+    ms = (F.unix_micros("_end") - F.unix_micros("started_at")) / 1000
+    return s.join(e, near).select("correlation_id", "started_at", ms.alias("ms"))
+
+
+def expired(sessions: DataFrame, now: Column, ttl: str = "8 hours") -> DataFrame:
+    """Sessions (last_seen) whose time is over."""
+    return sessions.filter(F.col("last_seen") + F.expr(f"INTERVAL {ttl}") <= now)
+
+
 def until_last(events: DataFrame, key: str = "user_id", last: tuple[str, ...] = LAST) -> DataFrame:
     """Events of each key up to its first terminal one; batch only."""
     order = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
