@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from leafmark.functions import text as T
 from leafmark.operators import filters as Filter
 from leafmark.plans import compile as C
-from leafmark.plans.query import Leaf, Node, parse
+from leafmark.plans.query import Node, parse
 
 #: Tokens of a snippet.
 SNIPPET = 200
@@ -25,32 +25,25 @@ def corpus_stats(pages: DataFrame) -> DataFrame:
     return pages.agg(F.count("*").alias("n_pages"), F.avg("dl").alias("avg_dl"))
 
 
-def term_frequency(pages: DataFrame, node: Node, keep: list[str]) -> DataFrame:
-    """``keep`` and a column of occurrences for each different leaf.
+def matching_pages(pages: DataFrame, query: str, keep: tuple[str, ...] = ("doc_id", "page_number")) -> DataFrame:
+    """(keep.., score) of pages that match; lower scores are better. ValueError for a bad query.
 
-    Where no token can begin with a leaf's first token, its text doesn't hold
-    it: a substring test spares most pages the walk over their tokens.
+    Both passes read tokens and lengths only: one asks which leaves occur, for
+    the statistics of all pages, the other counts them on pages that match.
     """
-    folded = T.fold(F.col("normalized_text"))
-    return pages.select(*keep, *(F.when(C.may_match(leaf, folded), C.frequency(leaf, F.col("tokens"))).otherwise(0).alias(name) for leaf, name in C.tf_names(node).items()))
-
-
-def matching_pages(pages: DataFrame, query: str, keep: tuple[str, ...] = ("doc_id", "page_number")) -> DataFrame:
-    """(keep.., score) of pages that match; lower scores are better. ValueError for a bad query."""
     node = parse(query)
     if node is None:
         raise ValueError("the query is empty")
-    tf = C.tf_names(node)
-    counted = term_frequency(pages, node, [*keep, "dl"])
-    stats = counted.agg(F.count("*").alias("_pages"), F.avg("dl").alias("_mean"), *(F.sum((F.col(n) > 0).cast("long")).alias(f"_df{n}") for n in tf.values()))
-    hits = counted.filter(C.predicate(node, tf)).crossJoin(F.broadcast(stats))  # one row
-    return hits.select(*keep, (-C.score(node, tf)).alias("score"))
+    tf, tokens = C.tf_names(node), F.col("tokens")
+    stats = pages.agg(F.count("*").alias("_pages"), F.avg("dl").alias("_mean"), *(F.sum(C.present(leaf, tokens).cast("long")).alias(f"_df{n}") for leaf, n in tf.items()))
+    hits = pages.filter(C.matches(node, tokens)).select(*keep, "dl", *(C.frequency(leaf, tokens).alias(n) for leaf, n in tf.items()))
+    return hits.crossJoin(F.broadcast(stats)).select(*keep, (-C.score(node, tf)).alias("score"))  # one row of statistics
 
 
 def ranked_documents(pages: DataFrame, documents: DataFrame, query: str, f: Filter.Filters = Filter.Filters()) -> DataFrame:
     """(doc_id, file_path, score, n_pages) of matching documents; a document's score is its best page's."""
-    hits = matching_pages(pages, query).join(Filter.apply(documents, f).select("doc_id", "file_path"), "doc_id")
-    return hits.groupBy("doc_id").agg(F.first("file_path").alias("file_path"), F.min("score").alias("score"), F.count("*").alias("n_pages"))
+    best = matching_pages(pages, query).groupBy("doc_id").agg(F.min("score").alias("score"), F.count("*").alias("n_pages"))
+    return best.join(Filter.apply(documents, f).select("doc_id", "file_path"), "doc_id").select("doc_id", "file_path", "score", "n_pages")
 
 
 def search(pages: DataFrame, documents: DataFrame, query: str, f: Filter.Filters = Filter.Filters(), limit: int = 50, offset: int = 0) -> DataFrame:
@@ -71,8 +64,7 @@ def count(pages: DataFrame, documents: DataFrame, query: str, f: Filter.Filters
     chosen, node = Filter.apply(documents, f), parse(query)
     if node is None:
         return chosen.agg(F.countDistinct("doc_id").alias("n_docs"))
-    tf = C.tf_names(node)
-    hits = term_frequency(pages, node, ["doc_id"]).filter(C.predicate(node, tf)).join(chosen.select("doc_id"), "doc_id")
+    hits = pages.filter(C.matches(node, F.col("tokens"))).select("doc_id").join(chosen.select("doc_id"), "doc_id", "left_semi")
     return hits.agg(F.countDistinct("doc_id").alias("n_docs"))
 
 
@@ -111,10 +103,8 @@ def snippet(node: Node, size: int = SNIPPET) -> Column:
 def page_hits(pages: DataFrame, query: str, doc_ids: DataFrame | list) -> DataFrame:
     """(doc_id, page_number, snippet, terms) of the matching pages of some documents; a list of ids reaches the scan as a filter."""
     node = parse(query)
-    tf = C.tf_names(node)
     chosen = pages.filter(F.col("doc_id").isin(doc_ids)) if isinstance(doc_ids, list) else pages.join(doc_ids.select("doc_id"), "doc_id", "left_semi")
-    hits = term_frequency(chosen, node, ["doc_id", "page_number", "normalized_text", "tokens"]).filter(C.predicate(node, tf))
-    shown = hits.select("doc_id", "page_number", snippet(node).alias("snippet"))
+    shown = chosen.filter(C.matches(node, F.col("tokens"))).select("doc_id", "page_number", snippet(node).alias("snippet"))
     return shown.withColumn("terms", T.snippet_terms(F.col("snippet")))
 
 

@@ -33,9 +33,25 @@ def frequency(leaf: Leaf, tokens: Column) -> Column:
     return F.size(F.filter(tokens, lambda t, i: _fits(leaf, t, 0) & starts(leaf, tokens, i)))
 
 
-def may_match(leaf: Leaf, folded: Column) -> Column:
-    """A cheap condition that every page with an occurrence meets."""
-    return reduce(lambda a, b: a & b, (F.contains(folded, F.lit(t)) for t in leaf.tokens), F.lit(bool(leaf.tokens)))
+def present(leaf: Leaf, tokens: Column) -> Column:
+    """Whether a leaf occurs. Whole words are looked up in compiled code; only pages that hold all of a phrase's words walk over them."""
+    if not leaf.tokens:
+        return F.lit(False)
+    whole = leaf.tokens[:-1] if leaf.prefix else leaf.tokens
+    found = [F.array_contains(tokens, t) for t in dict.fromkeys(whole)]
+    if len(leaf.tokens) > 1:
+        found.append(frequency(leaf, tokens) > 0)
+    elif leaf.prefix:
+        found.append(F.exists(tokens, lambda t: _fits(leaf, t, 0)))
+    return reduce(lambda a, b: a & b, found)
+
+
+def matches(node: Node, tokens: Column) -> Column:
+    """Whether a page matches."""
+    if isinstance(node, Leaf):
+        return present(node, tokens)
+    left, right = matches(node.left, tokens), matches(node.right, tokens)
+    return left & right if isinstance(node, And) else left | right if isinstance(node, Or) else left & ~right
 
 
 def tf_names(node: Node) -> dict[Leaf, str]:
@@ -44,7 +60,7 @@ def tf_names(node: Node) -> dict[Leaf, str]:
 
 
 def predicate(node: Node, tf: dict[Leaf, str]) -> Column:
-    """Whether a page matches, from the frequencies of its leaves."""
+    """Whether a branch is satisfied, from the frequencies of its leaves."""
     if isinstance(node, Leaf):
         return F.col(tf[node]) > 0
     left, right = predicate(node.left, tf), predicate(node.right, tf)
