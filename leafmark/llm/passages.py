@@ -317,3 +317,16 @@ def op9_phrase_automata(spark, sf_dir: str) -> DataFrame:
     """Words removed from every document, and the digest of what is left."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS s FROM texts, unnest(range(1, len(ws) - 18)) u(i)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM starts) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM again, unnest(range(0, 20)) v(k)),
+words AS (SELECT doc_id, i, ws[i] AS word FROM texts, unnest(range(1, len(ws) + 1)) u(i)),
+kept AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS text FROM words w ANTI JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i GROUP BY w.doc_id),
+counted AS (SELECT doc_id, COUNT(*) AS n FROM gone GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(t.ws) AS BIGINT) AS n_words, COALESCE(c.n, 0) AS n_removed, sha256(COALESCE(k.text, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id LEFT JOIN counted c ON c.doc_id = t.doc_id
+"""

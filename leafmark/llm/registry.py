@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_schema_fingerprint": chat.OP3_SQL}
+    return {"op3_schema_fingerprint": chat.OP3_SQL, "op9_phrase_automata": passages.OP9_SQL}

@@ -1,8 +1,10 @@
 import collections
 import hashlib
+import os
 import random
 import re
 
+import duckdb
 import numpy as np
 
 from leafmark.llm import arrays, passages
@@ -70,3 +72,10 @@ def test_arrays(tmp_path):
     where, places = arrays.find(folder, "k", 7, np.sort(np.concatenate([keys[::2], keys[1::2] + np.uint64(1)])))
     assert (places >= 0).sum() >= 500 and set(where) == set(range(7))
     assert arrays.exists(folder, "k-0") and not arrays.exists(folder, "k-9")
+
+
+def test_query_equals_sql(spark, sf):
+    path = f"{sf}/documents.parquet"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
+    assert sorted(map(tuple, passages.op9_phrase_automata(spark, sf).collect())) == sorted(con.execute(passages.OP9_SQL).fetchall())
