@@ -1,8 +1,8 @@
 import pytest
 
-from leafmark.plans.query import And, Leaf, Not, Operator, Or, Paren, Phrase, Word, leaves, parse, text_tokens, tokenize_query
+from leafmark.plans.query import And, Leaf, Not, Or, Token, leaves, parse, text_tokens, tokenize_query
 
-W = lambda *t, prefix=False: Leaf(t, prefix)
+Word, Phrase, Operator, Paren = ((lambda text, kind=kind: Token(kind, text)) for kind in ("word", "phrase", "operator", "paren"))
 
 
 @pytest.mark.parametrize(
