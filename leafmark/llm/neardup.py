@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm import graph, scratch
+from leafmark.llm import arrays, graph, scratch
 from leafmark.llm.words import arrow_schema, chunks, mix
 
 
@@ -257,7 +257,7 @@ class Similar:
     tables: int = 8
     radius: int = 2
     buckets: int = 128
-    shard: int = 8192
+    shard: int = 16384
     sample: int = 1 << 17
     per_shard: int = 32
     brute: int = 512
@@ -298,7 +298,9 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 SIGNED = "doc_id long, prints binary, sketch binary"
-CANDIDATES = "search long, tile int, doc_id long, print long, sketch binary, guest boolean"
+CANDIDATES = "search long, tile int, doc_id long, print long, guest boolean"
+#: Sketches of a shard of the store.
+STORED = 1 << 16
 
 
 def signatures(docs: DataFrame, s: Similar) -> DataFrame:
@@ -320,10 +322,44 @@ def signatures(docs: DataFrame, s: Similar) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(apply, SIGNED)
 
 
+def store_sketches(signed: DataFrame, n: int, buckets: int) -> tuple[str, int]:
+    """Folder and shards of the sketches of SIGNED rows, sorted by a scramble of their doc_ids."""
+    folder, shards = scratch.fresh(signed.sparkSession, "sketches"), max(4, -(-n // STORED))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(arrays.shard_of(keys, shards)), pa.array(keys.view(np.int64)), batch.column(1)], names=["shard", "key", "sketch"])
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        shard, keys = int(rows["shard"].iloc[0]), rows["key"].to_numpy().view(np.uint64)
+        order = np.argsort(keys, kind="stable")
+        arrays.save(folder, f"s-{shard}", np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, buckets)[order])
+        arrays.save(folder, f"k-{shard}", keys[order])
+        return pd.DataFrame({"shard": [shard]})
+
+    placed = signed.select("doc_id", "sketch").mapInArrow(place, "shard long, key long, sketch binary")
+    placed.groupBy("shard").applyInPandas(write, "shard long").count()
+    return folder, shards
+
+
+def load_sketches(folder: str, shards: int, ids: np.ndarray, buckets: int) -> np.ndarray:
+    """Sketches of doc_ids that are in the store."""
+    keys, back = np.unique(mix(ids.view(np.uint64)), return_inverse=True)
+    where, places = arrays.find(folder, "k", shards, keys)
+    out = np.zeros((len(keys), buckets), np.uint8)
+    for s in np.unique(where).tolist():
+        out[where == s] = arrays.load(folder, f"s-{s}")[places[where == s]]
+    return out[back]
+
+
 def similar_links(docs: DataFrame, s: Similar = Similar()) -> DataFrame:
     """Links (a, b) between doc_ids of documents (doc_id, text) whose sketches agree: a forest for each shard of each table.
 
-    Texts without words and rows without doc_id have no links; an empty table has none.
+    doc_ids are taken to differ. Only they and the short fingerprints visit
+    shards; sketches are mapped from the shared folder and looked up for
+    candidates. Texts without words and rows without doc_id have no links; an
+    empty table has none.
     """
     signed = scratch.store(signatures(docs, s), "signatures")
     n = signed.count()
@@ -333,27 +369,27 @@ def similar_links(docs: DataFrame, s: Similar = Similar()) -> DataFrame:
     prints = np.array([np.frombuffer(r[0], "<u4") for r in drawn], np.uint64).reshape(-1, s.tables)
     trees = [build(prints[:, t], s.radius, max(1, -(-size // shards)))[0] for t in range(s.tables)]
     sent = docs.sparkSession.sparkContext.broadcast(trees)
+    folder, stored = store_sketches(signed, n, s.buckets)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = np.array([np.frombuffer(x, "<u4") for x in batch.column(1).to_pylist()], np.uint64).reshape(-1, s.tables)
             for t in range(s.tables):
                 for shard, tile, at, guest in visits(sent.value[t], own[:, t], s.radius):
-                    k, where = len(at), pa.array(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, shard * s.tables + t)), pa.array(np.full(k, tile, np.int32)), batch.column(0).take(where), pa.array(own[at, t].astype(np.int64)), batch.column(2).take(where), pa.array(guest)], schema=arrow_schema(CANDIDATES))
+                    k = len(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, shard * s.tables + t)), pa.array(np.full(k, tile, np.int32)), batch.column(0).take(pa.array(at)), pa.array(own[at, t].astype(np.int64)), pa.array(guest)], schema=arrow_schema(CANDIDATES))
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         points, guest, ids = rows["print"].to_numpy().view(np.uint64), rows["guest"].to_numpy(dtype=bool), rows["doc_id"].to_numpy()
-        sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, s.buckets)
         forest = Forest()
         for i, j in pairs(points, np.flatnonzero(~guest), np.flatnonzero(guest), s.radius, s.brute):
             for at in range(0, len(i), 1 << 16):
-                a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                ok = agreement(sketches[a], sketches[b]) >= s.least
-                forest.join_all(ids[a[ok]], ids[b[ok]])
+                a, b = ids[i[at : at + (1 << 16)]], ids[j[at : at + (1 << 16)]]
+                ok = agreement(load_sketches(folder, stored, a, s.buckets), load_sketches(folder, stored, b, s.buckets)) >= s.least
+                forest.join_all(a[ok], b[ok])
         return forest.links()
 
-    return signed.mapInArrow(deal, CANDIDATES).groupBy("search", "tile").applyInPandas(search, "a long, b long")
+    return signed.select("doc_id", "prints").mapInArrow(deal, CANDIDATES).groupBy("search", "tile").applyInPandas(search, "a long, b long")
 
 
 def op6_simhash_vantage(spark, sf_dir: str) -> DataFrame:
