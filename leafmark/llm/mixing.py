@@ -117,7 +117,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     # a size with many documents is ranked in parts, so that no window holds a large group of copies
     parts = F.ceil(F.col("n") / CELL_ROWS)
     d = docs.join(cells, ["_key", "size"]).withColumn("_u", F.xxhash64(F.lit("mix"), "doc_id")).withColumn("_sub", F.floor(F.shiftrightunsigned("_u", 32) * parts / 2**32))
-    d = ranked(d, ["_key", "size"], "_sub", ["_u", "doc_id"], "_row")
+    # written, so that the ranks are dealt by part and not by the join's keys
+    d = ranked(scratch.store(d, "dealt"), ["_key", "size"], "_sub", ["_u", "doc_id"], "_row")
     copies = (F.col("_base") + (F.col("_rank") < F.col("_extra")).cast("int")).alias("copies")
     return d.select("doc_id", "source", "size", "source_size", "target", copies)
 

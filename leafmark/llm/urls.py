@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmark.llm import scratch
+from leafmark.llm.joins import with_groups
 
 BINS = 64
 #: Bins of gradients: 2**-20.
@@ -90,8 +91,8 @@ def suffix_statistics(lex: DataFrame, prior: float) -> DataFrame:
     """Suffix with its binned row count and its smoothed share of blocked URLs.
 
     The share is over the labelled URLs with odd hashes; the trees learn from
-    the even ones, so no URL's own label reaches its features. Bounded by the
-    number of suffixes; its size decides whether Spark broadcasts it.
+    the even ones, so no URL's own label reaches its features. One row a suffix; their
+    number decides how the URLs are joined.
     """
     odd = (F.col("_h") % 2 != 0) & F.col("ruled").isNotNull()
     g = lex.groupBy("suffix").agg(F.count("*").alias("n"), F.sum(odd.cast("long")).alias("seen"), F.sum((odd & (F.col("ruled") == "block")).cast("long")).alias("bad"))
@@ -193,7 +194,7 @@ def judge(pages: DataFrame, key: str = "page_id", rules: Sequence[tuple[str, str
     """
     lex = scratch.store(lexical(pages, key, rules), "lexical")
     stats = scratch.store(suffix_statistics(lex, how.prior), "suffixes")
-    full = lex.join(stats, "suffix")
+    full = with_groups(lex, stats, "suffix", stats.count(), key)
     labelled = full.filter(F.col("ruled").isNotNull() & (F.col("_h") % 2 == 0)).select("_h", (F.col("ruled") == "block").cast("int").alias("y"), *FEATURES)
     sample = scratch.store(labelled.orderBy("_h", "y", *FEATURES).limit(how.rows), "sample").coalesce(1)
     score = margin(*grow(sample, how))
