@@ -25,7 +25,7 @@ from leafmark.llm.ranks import ranked
 from leafmark.llm.words import word_count
 
 #: Documents of a cell that one window ranks, on average at most.
-CELL_ROWS = 4096
+CELL_ROWS = 512
 #: Newton steps at most, and the relative error at which they end.
 STEPS, NEAR = 25, 1e-7
 
