@@ -12,6 +12,7 @@ the components. Copies share a fingerprint and are one member.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -243,20 +244,22 @@ def near_duplicates(docs: DataFrame, s: Search = Search()) -> DataFrame:
 
 @dataclass(frozen=True)
 class Similar:
-    """Documents whose shingles of ``words`` words agree to ``least`` by their sketches.
+    """Documents whose sets of shingles of ``words`` words have a Jaccard similarity of ``least`` or more.
 
     Candidates have one of ``tables`` fingerprints of 32 bits within ``radius``
     bits. At a Jaccard similarity of 0.8 on five words, an edit for every 45
     words, a fingerprint over shingles of ``over`` words is found with a chance
-    of about 0.28, so one of eight with 0.93; at 0.9 with 0.997.
+    of about 0.28, so one of sixteen with 0.995. Sketches only reject candidates
+    that lie ``margin`` standard errors below ``least``; the sets decide.
     """
 
     words: int = 5
     least: float = 0.8
     over: int = 3
-    tables: int = 8
+    tables: int = 16
     radius: int = 2
     buckets: int = 128
+    margin: float = 5.0
     shard: int = 16384
     sample: int = 1 << 17
     per_shard: int = 32
@@ -297,33 +300,52 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b) & filled).sum(axis=1) / np.maximum(1, filled.sum(axis=1))
 
 
+def unlikely(a: np.ndarray, b: np.ndarray, least: float, margin: float) -> np.ndarray:
+    """Whether rows of sketches agree so little that a similarity of ``least`` is out of question."""
+    filled = ((a | b) != 0).sum(axis=1)
+    return agreement(a, b) < least - margin * np.sqrt(least * (1 - least) / np.maximum(1, filled))
+
+
+#: ``sketch`` is followed by the place of the shingles: file, first and number.
 SIGNED = "doc_id long, prints binary, sketch binary"
 CANDIDATES = "search long, tile int, doc_id long, print long, guest boolean"
-#: Sketches of a shard of the store.
-STORED = 1 << 16
+#: Sketches of a shard of the store, and bytes of the place that follows each.
+STORED, PLACE = 1 << 16, 32
 
 
-def signatures(docs: DataFrame, s: Similar) -> DataFrame:
-    """SIGNED of documents (doc_id, text) that have words: ``s.tables`` fingerprints of 32 bits, and a sketch."""
+def signatures(docs: DataFrame, s: Similar, folder: str) -> DataFrame:
+    """SIGNED of documents (doc_id, text) that have words: ``s.tables`` fingerprints of 32 bits, and a sketch.
+
+    The sorted shingle hashes of a chunk of texts are written to one file of
+    ``folder``, under a name that no other attempt uses.
+    """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in chunks(batches):
-            rows = []
+            rows, sets, at, name = {}, [], 0, uuid.uuid4()
             for key, text in zip(piece.column(0).to_pylist(), texts):
+                if key is None or key in rows:
+                    continue
                 h = shingle_hashes(text, s.over)
-                if key is not None and len(h):
+                if len(h):
                     prints = []
                     for _ in range(-(-s.tables // 2)):
                         prints.append(majority(h))
                         h = mix(h + np.uint64(0xD6E8FEB86659FD93))
-                    rows.append((key, np.array(prints, "<u8").view("<u4")[: s.tables].tobytes(), sketch(mix(shingle_hashes(text, s.words)), s.buckets).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * 3, arrow_schema(SIGNED))], schema=arrow_schema(SIGNED))
+                    own = np.unique(mix(shingle_hashes(text, s.words)))
+                    place = name.bytes + np.array([at, len(own)], "<i8").tobytes()
+                    rows[key] = (key, np.array(prints, "<u8").view("<u4")[: s.tables].tobytes(), sketch(own, s.buckets).tobytes() + place)
+                    sets.append(own)
+                    at += len(own)
+            if sets:
+                arrays.save(folder, name.hex, np.concatenate(sets))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows.values()) if rows else [[]] * 3, arrow_schema(SIGNED))], schema=arrow_schema(SIGNED))
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(apply, SIGNED)
 
 
 def store_sketches(signed: DataFrame, n: int, buckets: int) -> tuple[str, int]:
-    """Folder and shards of the sketches of SIGNED rows, sorted by a scramble of their doc_ids."""
+    """Folder and shards of the sketches and places of SIGNED rows, sorted by a scramble of their doc_ids."""
     folder, shards = scratch.fresh(signed.sparkSession, "sketches"), max(4, -(-n // STORED))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +356,7 @@ def store_sketches(signed: DataFrame, n: int, buckets: int) -> tuple[str, int]:
     def write(rows: pd.DataFrame) -> pd.DataFrame:
         shard, keys = int(rows["shard"].iloc[0]), rows["key"].to_numpy().view(np.uint64)
         order = np.argsort(keys, kind="stable")
-        arrays.save(folder, f"s-{shard}", np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, buckets)[order])
+        arrays.save(folder, f"s-{shard}", np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, buckets + PLACE)[order])
         arrays.save(folder, f"k-{shard}", keys[order])
         return pd.DataFrame({"shard": [shard]})
 
@@ -344,24 +366,38 @@ def store_sketches(signed: DataFrame, n: int, buckets: int) -> tuple[str, int]:
 
 
 def load_sketches(folder: str, shards: int, ids: np.ndarray, buckets: int) -> np.ndarray:
-    """Sketches of doc_ids that are in the store."""
+    """Sketches and places of doc_ids that are in the store."""
     keys, back = np.unique(mix(ids.view(np.uint64)), return_inverse=True)
     where, places = arrays.find(folder, "k", shards, keys)
-    out = np.zeros((len(keys), buckets), np.uint8)
+    out = np.zeros((len(keys), buckets + PLACE), np.uint8)
     for s in np.unique(where).tolist():
         out[where == s] = arrays.load(folder, f"s-{s}")[places[where == s]]
     return out[back]
 
 
+def shingle_set(folder: str, place: np.ndarray) -> np.ndarray:
+    """The sorted shingle hashes at a place."""
+    first, n = place[16:].view("<i8").tolist()
+    return arrays.load(folder, place[:16].tobytes().hex())[first : first + n]
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sorted sets."""
+    both = np.sort(np.concatenate([a, b]))
+    common = int((both[1:] == both[:-1]).sum())
+    return common / max(1, len(a) + len(b) - common)
+
+
 def similar_links(docs: DataFrame, s: Similar = Similar()) -> DataFrame:
-    """Links (a, b) between doc_ids of documents (doc_id, text) whose sketches agree: a forest for each shard of each table.
+    """Links (a, b) between doc_ids of documents (doc_id, text) that are similar: a forest for each shard of each table.
 
-    doc_ids are taken to differ. Only they and the short fingerprints visit
-    shards; sketches are mapped from the shared folder and looked up for
-    candidates. Texts without words and rows without doc_id have no links; an
-    empty table has none.
+    Rows that repeat a doc_id count once. Only doc_ids and the short
+    fingerprints visit shards; sketches and shingles are mapped from the shared
+    folder and looked up for candidates that are not connected yet. Texts
+    without words and rows without doc_id have no links; an empty table has none.
     """
-    signed = scratch.store(signatures(docs, s), "signatures")
+    shingles = scratch.fresh(docs.sparkSession, "shingles")
+    signed = scratch.store(signatures(docs, s, shingles).dropDuplicates(["doc_id"]), "signatures")
     n = signed.count()
     shards = max(1, -(-n // s.shard))
     size = min(s.sample, shards * s.per_shard, n)
@@ -383,10 +419,16 @@ def similar_links(docs: DataFrame, s: Similar = Similar()) -> DataFrame:
         points, guest, ids = rows["print"].to_numpy().view(np.uint64), rows["guest"].to_numpy(dtype=bool), rows["doc_id"].to_numpy()
         forest = Forest()
         for i, j in pairs(points, np.flatnonzero(~guest), np.flatnonzero(guest), s.radius, s.brute):
-            for at in range(0, len(i), 1 << 16):
-                a, b = ids[i[at : at + (1 << 16)]], ids[j[at : at + (1 << 16)]]
-                ok = agreement(load_sketches(folder, stored, a, s.buckets), load_sketches(folder, stored, b, s.buckets)) >= s.least
-                forest.join_all(a[ok], b[ok])
+            for at in range(0, len(i), 1 << 14):
+                a, b = ids[i[at : at + (1 << 14)]], ids[j[at : at + (1 << 14)]]
+                x, y = load_sketches(folder, stored, a, s.buckets), load_sketches(folder, stored, b, s.buckets)
+                p, q = x[:, s.buckets :], y[:, s.buckets :]
+                m, n = (np.ascontiguousarray(z[:, 24:]).view("<i8")[:, 0] for z in (p, q))
+                maybe = (np.minimum(m, n) >= s.least * np.maximum(m, n) - 1e-9) & ~unlikely(x[:, : s.buckets], y[:, : s.buckets], s.least, s.margin)
+                for k in np.flatnonzero(maybe).tolist():
+                    one, other = int(a[k]), int(b[k])
+                    if forest.root(one) != forest.root(other) and jaccard(shingle_set(shingles, p[k]), shingle_set(shingles, q[k])) >= s.least - 1e-9:
+                        forest.join(one, other)
         return forest.links()
 
     return signed.select("doc_id", "prints").mapInArrow(deal, CANDIDATES).groupBy("search", "tile").applyInPandas(search, "a long, b long")

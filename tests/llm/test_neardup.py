@@ -133,3 +133,34 @@ def test_sketches_estimate_similarity():
         a, b = (neardup.sketch(np.concatenate([common, r.integers(0, 2**64, own, dtype=np.uint64)]), 128) for _ in range(2))
         assert abs(neardup.agreement(a[None], b[None])[0] - 800 / (800 + 2 * own)) < 0.13
     assert neardup.agreement(np.zeros((1, 128), np.uint8), np.zeros((1, 128), np.uint8))[0] == 0
+
+
+def shingled(words):
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_shingles_decide_at_the_threshold(spark):
+    """Pairs just below 0.8 stay apart and pairs at 0.8 are found, of short texts and long ones."""
+    r = np.random.default_rng(8)
+    rows, near, far = [], set(), set()
+    for k in range(600):
+        n = 56 if k % 2 else 224
+        base = [f"w{int(x)}" for x in r.integers(0, 10**6, n)]
+        other, want = list(base), 0.8 if k % 4 < 2 else 0.77
+        spots, at = iter(range(4, n, 5)), 0
+        while True:
+            trial = list(other)
+            trial[next(spots)] = f"e{k}-{at}"
+            a, b = shingled(base), shingled(trial)
+            if len(a & b) / len(a | b) < want:
+                break
+            other, at = trial, at + 1
+        if k % 4 >= 2:  # one edit more than 0.77 allows for
+            other = trial
+        a, b = shingled(base), shingled(other)
+        (near if len(a & b) / len(a | b) >= 0.8 else far).add(k)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {int(x.a) // 2 for x in neardup.similar_links(df).collect()}
+    assert len(near) >= 300 and len(far) >= 250
+    assert not got & far and len(got & near) >= 0.98 * len(near)

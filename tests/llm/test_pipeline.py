@@ -56,3 +56,18 @@ def test_hard_and_empty_tables(spark, hard, empty, make):
     cut = P.repeated_passages(spark, unique, named)
     assert sorted(((r.doc_id or 0), r.text) for r in cut.collect()) == [(0, "more"), (1, text)]
     assert len(HARD) == docs.sparkSession.read.parquet(f"{hard}/documents.parquet").count()
+
+
+def test_near_dedup_searches_components_over_all_texts(spark):
+    """A text that is similar only to a dropped one of its group goes too."""
+    base = [f"w{i}" for i in range(300)]
+
+    def edited(spots):
+        return [f"e{i}" if i in spots else w for i, w in enumerate(base)]
+
+    # one edit that leaves the fingerprint within two bits, and six more: 0.82 from the second text, 0.79 from the first
+    near = next(i for i in range(10, 290) if (slow_fingerprint(" ".join(edited({i}))) ^ slow_fingerprint(" ".join(base))).bit_count() <= 2)
+    more = [i for i in range(5, 290, 9) if abs(i - near) > 5][:6]
+    a, b, c = edited(set()), edited({near}), edited({near, *more})
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate([a, b, c])], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in P.near_duplicates(spark, docs, "").collect()] == [0]
