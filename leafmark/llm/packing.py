@@ -27,11 +27,16 @@ from leafmark.llm.words import arrow_schema, chunks
 LENGTH, GROUP, END = 1024, 4096, 0
 
 
-@lru_cache(maxsize=2)
-def encoder(vocabulary: str) -> Callable[[str], np.ndarray]:
+#: Special tokens of the byte-level BPE, which its ranks do not hold.
+SPECIAL = {"<|endoftext|>": 50256}
+
+
+@lru_cache(maxsize=4)
+def encoder(vocabulary: str, special: bool = False) -> Callable[[str], np.ndarray]:
     """Token ids of a text by a vocabulary file: ``.json`` (tokenizers), ``.tiktoken`` (tiktoken), ``.model`` (sentencepiece).
 
-    Strings of special tokens are ordinary text, and none are added.
+    None are added. Strings of special tokens in the text are ordinary text, or
+    with ``special`` the ids that a plain ``tokenizers.Tokenizer`` gives them.
     """
     if vocabulary.endswith(".tiktoken"):
         import public_tokenizers
@@ -39,8 +44,9 @@ def encoder(vocabulary: str) -> Callable[[str], np.ndarray]:
 
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        core = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: core.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+        core = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL if special else {})
+        allowed = set(SPECIAL) if special else set()
+        return lambda text: core.encode_to_numpy(text, allowed_special=allowed, disallowed_special=()).astype("<u4")
     if vocabulary.endswith(".model"):
         import sentencepiece
 
@@ -49,7 +55,7 @@ def encoder(vocabulary: str) -> Callable[[str], np.ndarray]:
     import tokenizers
 
     t = tokenizers.Tokenizer.from_file(vocabulary)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not special
     return lambda text: np.asarray(t.encode(text, add_special_tokens=False).ids, "<u4")
 
 
@@ -68,12 +74,12 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH)
     """Cuts of the documents (doc_id, text): PIECES.
 
     ``doc_tokens`` counts the id that ends the document; a null or empty text
-    has that one alone. ``salt`` numbers rows of a batch that repeat a doc_id.
+    has that one alone. Strings of special tokens get their ids. ``salt`` numbers rows of a batch that repeat a doc_id.
     """
     vocabulary = vocabulary or default_vocabulary()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, schema = encoder(vocabulary), arrow_schema(PIECES)
+        encode, schema = encoder(vocabulary, special=True), arrow_schema(PIECES)
         for piece, texts in chunks(batches):
             rows, seen = [], {}
             for key, text in zip(piece.column(0).to_pylist(), texts):

@@ -72,3 +72,12 @@ def test_ranks_give_the_ids_of_the_tokenizer(spark, sf):
     a, b = (packing.encoder(public_tokenizers.path(f"byte_bpe_50k.{x}")) for x in ("json", "tiktoken"))
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [t or "" for _, t, _, _ in HARD] + ["  \n\n\t x", "don't 'S 123abc", "​　", "🙂" * 50]
     assert all(np.array_equal(a(t), b(t)) for t in texts)
+
+
+def test_special_token_strings_have_the_ids_of_the_tokenizer(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n y  <|endoftext|>  z", "<|endoftext|", "<|ENDOFTEXT|> <|endof<|endoftext|>text|>", "don't  <|endoftext|>'s " * 500]
+    plain = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for x in ("json", "tiktoken"):
+        encode = packing.encoder(public_tokenizers.path(f"byte_bpe_50k.{x}"), special=True)
+        assert all(encode(t).tolist() == plain.encode(t, add_special_tokens=False).ids for t in texts)
+    check(packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), list(enumerate(texts)))
