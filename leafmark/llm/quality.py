@@ -3,7 +3,9 @@
 Every language and source gets a minimum-covariance-determinant estimate of its
 transformed statistics: concentration steps keep the share ``core`` of rows
 with the smallest Mahalanobis distances and estimate mean and covariance anew.
-A step is two aggregations over the table of statistics. The order statistic it
+Where they begin is searched on a hashed sample of each group, from many starts,
+of which the least determinant wins; all rows then go through the steps until
+they change nothing. A step is two aggregations over the table of statistics. The order statistic it
 needs comes from a histogram of the distances with logarithmic bins, so no
 group is ever sorted or gathered, however large. Moments are sums of
 fixed-point integers, so reruns agree.
@@ -36,6 +38,11 @@ class Outliers:
     ``cut`` is a squared distance in units of the core's covariance scaled to
     a normal distribution; 0.75 of such rows lie below 7.84. ``floor`` is added
     to every variance, so a statistic that never varies in a group can't reject.
+
+    About ``sample`` rows of a group choose among ``starts`` small subsets, the
+    medians and the classical moments: each gets ``steps`` steps, and the least
+    determinant goes on. Steps over all rows end when no log-determinant moves by
+    more than ``still``, after ``most`` at the latest.
     """
 
     core: float = 0.75
@@ -43,6 +50,10 @@ class Outliers:
     least: int = 200
     cut: float = 100.0
     floor: float = 0.02
+    sample: int = 1000
+    starts: int = 14
+    still: float = 0.01
+    most: int = 20
 
 
 def repeated_words(words: Column) -> Column:
@@ -137,22 +148,58 @@ def _bin(d2: Column) -> Column:
     return F.round(F.log2(d2 + 2.0**-20) * PER_OCTAVE).cast("int")
 
 
-def estimates(rows: DataFrame, how: Outliers, groups: int) -> DataFrame:
-    """An MCD estimate for every ``_g`` of ``rows`` (the statistics).
-
-    Starts from the whole group's moments; each step keeps the rows up to the
-    bin of distances that holds the core's order statistic.
-    """
-    scale = CORE_SCALE.get(how.core, 1.0)
-    now = scratch.store(_factor(_moments(rows, how), 1.0, how.floor), "estimates")
+def _log_det() -> Column:
+    return sum((2 * F.log(f"l{i}{i}") for i in range(len(STATS))), F.lit(0.0))
+
+
+def _starts(rows: DataFrame, how: Outliers, groups: int) -> DataFrame:
+    """Of every ``_g``, the estimate with the least determinant that a start leads to on a sample by hash: small groups whole, others about ``how.sample`` rows."""
+    sizes = scratch.store(rows.groupBy("_g").agg(F.count("*").alias("_size")), "sizes")
+    hashed = with_groups(rows.withColumn("_h", F.xxhash64("_id", *STATS)), sizes, "_g", groups, "_id")
+    drawn = scratch.store(hashed.filter(F.pmod("_h", F.lit(1 << 30)) * F.col("_size") < F.lit(how.sample << 30)).select(*rows.columns), "sample")
+    # start 0 is the classical moments, 1 the medians, the others are subsets of one row more than there are statistics
+    named = lambda k: F.concat("_g", F.lit("\x1e"), k)
+    tried = drawn.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(how.starts + 1)))).withColumn("_g", named(F.col("_k").cast("string")))
+    chance = Window.partitionBy("_g").orderBy(F.xxhash64("_id", "_k", *STATS), "_id")
+    few = tried.filter("_k > 1").withColumn("_n", F.row_number().over(chance)).filter(F.col("_n") <= len(STATS) + 1)
+    first = _factor(_moments(few.select(*rows.columns).unionAll(tried.filter("_k = 0").select(*rows.columns)), how), 1.0, how.floor)
+    middle = scratch.store(drawn.groupBy("_g").agg(*(F.percentile(c, F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(STATS))), "medians")
+    off = with_groups(drawn, middle, "_g", groups, "_id").groupBy("_g").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(len(STATS))), *(F.percentile(F.abs(F.col(c) - F.col(f"m{i}")), F.lit(0.5)).alias(f"a{i}") for i, c in enumerate(STATS)))
+    factor = [(F.sqrt(F.pow(1.4826 * F.col(f"a{i}"), F.lit(2.0)) + how.floor) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(len(STATS)) for j in range(i + 1)]
+    robust = off.select(named(F.lit("1")).alias("_g"), *(f"m{i}" for i in range(len(STATS))), *factor)
+    now = scratch.store(first.unionByName(robust), "starts")
+    tried = scratch.store(tried.select(*rows.columns), "tried")
     for _ in range(how.steps):
-        d = _distances(rows, now, groups).withColumn("_b", _bin(F.col("_d2")))
-        hist = d.groupBy("_g", "_b").agg(F.count("*").alias("_n"))
-        up_to = F.sum("_n").over(Window.partitionBy("_g").orderBy("_b"))
-        whole = F.sum("_n").over(Window.partitionBy("_g"))
-        cut = hist.select("_g", "_b", up_to.alias("_c"), whole.alias("_all")).filter(F.col("_c") >= F.ceil(F.col("_all") * how.core)).groupBy("_g").agg(F.min("_b").alias("_cut"))
-        core = with_groups(d, scratch.store(cut, "cuts"), "_g", groups, "_id").filter(F.col("_b") <= F.col("_cut"))
-        now = scratch.store(_factor(_moments(core, how), scale, how.floor), "estimates")
+        now = _step(tried, now, how, groups * (how.starts + 2))
+    names = [c for c in now.columns if c != "_g"]
+    best = now.groupBy(F.regexp_replace("_g", "\x1e[0-9]+$", "").alias("_group")).agg(F.min_by(F.struct(*names), F.struct(F.round(_log_det(), 6), "_g")).alias("_best"))
+    return best.select(F.col("_group").alias("_g"), "_best.*")
+
+
+def _step(rows: DataFrame, now: DataFrame, how: Outliers, groups: int) -> DataFrame:
+    """Estimates of the rows up to the bin of distances that holds the core's order statistic."""
+    d = _distances(rows, now, groups).withColumn("_b", _bin(F.col("_d2")))
+    hist = d.groupBy("_g", "_b").agg(F.count("*").alias("_n"))
+    up_to = F.sum("_n").over(Window.partitionBy("_g").orderBy("_b"))
+    whole = F.sum("_n").over(Window.partitionBy("_g"))
+    cut = hist.select("_g", "_b", up_to.alias("_c"), whole.alias("_all")).filter(F.col("_c") >= F.ceil(F.col("_all") * how.core)).groupBy("_g").agg(F.min("_b").alias("_cut"))
+    core = with_groups(d, scratch.store(cut, "cuts"), "_g", groups, "_id").filter(F.col("_b") <= F.col("_cut"))
+    return scratch.store(_factor(_moments(core, how), CORE_SCALE.get(how.core, 1.0), how.floor), "estimates")
+
+
+def _moved(now: DataFrame, last: DataFrame) -> float:
+    """The largest change of a group's log-determinant."""
+    both = now.select("_g", _log_det().alias("a")).join(last.select("_g", _log_det().alias("b")), "_g")
+    return both.agg(F.max(F.abs(F.col("a") - F.col("b")))).head()[0] or 0.0
+
+
+def estimates(rows: DataFrame, how: Outliers, groups: int) -> DataFrame:
+    """An MCD estimate for every ``_g`` of ``rows`` (the statistics): steps over all rows from the best start of a sample."""
+    now = scratch.store(_starts(rows, how, groups), "estimates")
+    for _ in range(how.most):
+        last, now = now, _step(rows, now, how, groups)
+        if _moved(now, last) <= how.still:
+            break
     return now
 
 

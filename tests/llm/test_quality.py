@@ -75,3 +75,10 @@ def test_large_group_tables_are_joined_in_parts(spark, monkeypatch):
     want = sorted(joins.with_groups(rows, groups, "_g", 3, "_id").collect())
     monkeypatch.setattr(joins, "SENT", 1)
     assert sorted(joins.with_groups(rows, groups, "_g", 3, "_id").select("_g", "_id", "x").collect()) == want
+
+
+def test_estimates_withstand_a_tight_cluster_of_a_fifth(spark):
+    df, _ = samples(spark, 4000, 1000, 5)
+    how = quality.Outliers()
+    got = np.array([r._d2 for r in quality._distances(df, quality.estimates(df, how, 1), 1).orderBy("_id").collect()])
+    assert (got[4000:] > how.cut).all() and (got[:4000] < how.cut).all()
