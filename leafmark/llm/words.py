@@ -8,11 +8,11 @@ the Python side never decodes a text.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 #: Bytes of text that a worker turns into Python objects at a time.
 CHUNK = 4 << 20
-#: Words whose hashes a worker remembers: about 170 bytes each.
-KNOWN = 400_000
+#: Which bytes part words, and bytes with A-Z in lower case.
+WHITE = np.isin(np.arange(256), [32, *range(9, 14)])
+LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+#: Powers of an odd number modulo 2**64; longer words take them in turn.
+POWERS = np.cumprod(np.where(np.arange(4096) == 0, np.uint64(1), np.uint64(0x9E3779B97F4A7C15)))
 
 
 def word_array(text: Column) -> Column:
@@ -54,17 +57,68 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
                 yield piece, as_bytes(piece.column(piece.schema.get_field_index(text)))
 
 
-class WordHash(dict):
-    """XXH64 of words; remembers up to ``KNOWN`` of them, then starts again."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, 42)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+@dataclass
+class Tokens:
+    """Words of some documents one after the other, as bytes.
+
+    ``text`` holds each word and one byte behind it: a space, or a line break
+    behind the last of a document. Word i begins at ``begin[i]`` and has
+    ``size[i]`` bytes; document d has words ``starts[d]`` to ``starts[d + 1]``.
+    """
+
+    text: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
+    hashes: np.ndarray
+    starts: np.ndarray
+
+
+def tokens(texts: list[bytes], lower: bool = False) -> Tokens:
+    """The words of documents and their 64-bit hashes, without an object for each word."""
+    raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    if lower:
+        raw = LOWER[raw]
+    white = WHITE[raw]
+    edges = np.flatnonzero(white[1:] != white[:-1]) + 1
+    if len(raw) and not white[0]:
+        edges = np.concatenate([[0], edges])
+    first, last = edges[::2], edges[1::2]
+    size = last - first
+    starts = np.searchsorted(first, np.cumsum([0] + [len(t) + 1 for t in texts]))
+    keep = ~white
+    keep[last] = True
+    text = np.where(white, np.uint8(32), raw)[keep]
+    begin = np.cumsum(size + 1) - size - 1
+    ends = starts[1:][np.diff(starts) > 0] - 1
+    text[begin[ends] + size[ends]] = 10
+    return Tokens(text, begin, size, word_hashes(text, begin, size), starts)
+
+
+def joined(parts: list[Tokens]) -> Tokens:
+    """The tokens of several lists of documents in a row."""
+    if len(parts) == 1:
+        return parts[0]
+    at = np.cumsum([0] + [len(t.text) for t in parts])
+    words = np.cumsum([0] + [len(t.begin) for t in parts])
+    starts = [t.starts[:-1] + w for t, w in zip(parts, words)] + [words[-1:]]
+    whole = lambda name: np.concatenate([getattr(t, name) for t in parts])
+    return Tokens(whole("text"), np.concatenate([t.begin + a for t, a in zip(parts, at)]), whole("size"), whole("hashes"), np.concatenate(starts))
+
+
+def word_hashes(text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Polynomials over the bytes of each word, modulo 2**64 and scrambled; about a megabyte at a time."""
+    out = np.empty(len(begin), np.uint64)
+    block = np.flatnonzero(np.diff(begin >> 20)) + 1 if len(begin) else []
+    for a, b in zip([0, *block], [*block, len(begin)]):
+        if a == b:
+            continue
+        at = begin[a:b] - begin[a]
+        chars = text[begin[a] : begin[b - 1] + size[b - 1] + 1]
+        inner = np.arange(len(chars)) - np.repeat(at, size[a:b] + 1)
+        values = (chars.astype(np.uint64) + np.uint64(1)) * POWERS[inner & (len(POWERS) - 1)]
+        values[at + size[a:b]] = 0
+        out[a:b] = np.add.reduceat(values, at)
+    return mix(out)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

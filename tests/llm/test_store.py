@@ -1,0 +1,62 @@
+import numpy as np
+import pyarrow as pa
+
+from leafmark.llm import store
+
+
+def pack(spark, layout, keys, parts):
+    """Keys dealt over ``parts`` runs as rows (cell, keys)."""
+    rows = []
+    for part in range(parts):
+        own = np.sort(keys[part::parts])
+        rows += [(cell, own[a:b].tobytes()) for cell, a, b in store.stretches(layout.cell(own))]
+    return spark.createDataFrame(rows, "cell long, keys binary")
+
+
+def merging():
+    """A merge that workers get by value."""
+
+    def merge(out, cell, parts):
+        keys = np.sort(np.concatenate([np.frombuffer(x, "<u8") for part in parts for x in part.column("keys").to_pylist()]))
+        out.add("k", keys)
+        out.add("v", keys.view("<i8") * 2)
+        yield pa.RecordBatch.from_pydict({"cell": [cell], "n": [len(keys)]}, pa.schema([("cell", pa.int64()), ("n", pa.int64())]))
+
+    return merge
+
+
+def test_keys_are_found_in_their_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "FILES", 5)
+    keys = np.random.default_rng(0).integers(0, 2**64, 3000, dtype=np.uint64)
+    keys[:30] = keys[30]
+    layout = store.Layout(f"file://{tmp_path}/x", 23)
+    done = store.write(pack(spark, layout, keys, 4), layout, merging(), "cell long, n long").collect()
+    assert sum(r["n"] for r in done) == 3000 and {r["cell"] for r in done} <= set(range(23))
+    asked = np.unique(np.concatenate([keys, keys + np.uint64(1)]))
+    files, first, end = layout.find("k", asked)
+    assert dict(zip(asked.tolist(), (end - first).tolist())) == {k: int((keys == k).sum()) for k in asked.tolist()}
+    values = layout.take("v", files, np.where(end > first, first, -1))
+    assert (values == np.where(end > first, asked.view("<i8") * 2, 0)).all()
+
+
+def test_numbers_and_missing_files(spark, tmp_path):
+    layout = store.Layout(f"file://{tmp_path}/y", 7, 100)
+    assert layout.cell(np.array([0, 99])).tolist() == [0, 6]
+    files, first, end = layout.find("k", np.array([3, 50], np.uint64))
+    assert (first == end).all() and layout.take("v", files, np.array([-1, -1])).tolist() == [0, 0]
+
+
+def test_lookups_map_a_bounded_number_of_files(spark, tmp_path, monkeypatch):
+    """Twice the input in twice the cells maps no more files for each run of keys."""
+    monkeypatch.setattr(store, "FILES", 8)
+    r = np.random.default_rng(1)
+    opened = []
+    for size in (1000, 2000, 4000):
+        keys = r.integers(0, 2**64, size, dtype=np.uint64)
+        layout = store.Layout(f"file://{tmp_path}/z{size}", size // 50)
+        store.write(pack(spark, layout, keys, 2), layout, merging(), "cell long, n long").count()
+        store.load.cache_clear()
+        for part in range(size // 500):
+            layout.find("k", np.unique(keys[part :: size // 500]))
+        opened.append(store.load.cache_info().misses)
+    assert opened == [8, 8, 8]
