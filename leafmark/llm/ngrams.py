@@ -1,74 +1,79 @@
 """Interpolated modified Kneser-Ney bigram model over all training documents.
 
 Workers count in runs of about a million tokens and shuffle the runs as packed
-sorted arrays, one for each shard of the key space. Shards of the model are
-sorted arrays in the shared folder: word hashes with counts, then pairs of word
-numbers with counts, then what the estimates need of each word. Scoring maps
-them into memory and looks up sorted runs. Nothing but totals, discounts and
-the numbers of the few words that make up over a shard by themselves reaches
-the driver.
-
-The pairs of one word lie in the shard of that word; those of such a frequent
-word, and of the start of documents, lie in the shards of their second words.
+sorted arrays, one for each cell of the key space. The model is sorted arrays in
+the shared folder (``store``): word hashes with counts; pairs of word numbers
+with counts; and what the estimates need of each word. Scoring maps them into
+memory and looks up sorted runs. Nothing but totals, discounts and the number of
+words in each file reaches the driver.
+
+Pairs lie in the cell of their first word. Those of a word with more than ``hot``
+tokens, and of the start of documents, lie in the cells of their second words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm import arrays, scratch
-from leafmark.llm.words import WordHash, arrow_schema, chunks
+from leafmark.llm import scratch, store
+from leafmark.llm.words import Tokens, arrow_schema, chunks, joined, tokens
 
-#: The end of a document, as the hash of a string that is no word.
-END = xxhash.xxh64_intdigest(b"\n", 42)
-#: Tokens of a counting run, which bounds what a worker holds; text bytes of a shard.
-RUN, SHARD_BYTES = 1_000_000, 16 << 20
-RUNS = "shard int, keys binary, counts binary"
-KINDS = "kind string, shard int, keys binary, counts binary"
+#: The end of a document, as a word's hash.
+END = np.uint64(1)
+COUNTED = "cell long, hot boolean, keys binary, counts binary"
+KINDS = "kind string, cell long, keys binary, counts binary, n1 long, n2 long, n3 long, n4 long"
+SEEN = "pairs long, more long, n1 long, n2 long, n3 long, n4 long"
+
+
+@dataclass(frozen=True)
+class Counting:
+    """``run``: tokens of a counting run, which bounds what a worker holds; ``cell``: text bytes for each cell; ``hot``: tokens from which a word's pairs are spread. None of these changes a score."""
+
+    run: int = 1_000_000
+    cell: int = 16 << 20
+    hot: int = 1 << 20
 
 
 @dataclass
 class Model:
     """Where the arrays are and what holds for all of them.
 
-    ``offsets``: the number of each shard's first word. ``hot``: numbers of the
-    words whose pairs are spread, with ``hot_stats``: their total and counts of
-    followers seen once, twice and more often. Number ``words`` is the start of
-    a document.
+    ``vocabulary``, by hash: v the hashes, c the counts. By word number: in
+    ``pairs`` b and n (first word and second, with counts), q and o (second and
+    first where the first is hot), t and u (words with their total and the
+    numbers of followers seen once, twice and more often); in ``preceded`` k and
+    m (words with the number of words before them), g and s (t and u of hot
+    words). ``offsets``: the number of each file's first word. Number ``words`` is
+    the start of a document, which is hot.
     """
 
-    folder: str
-    shards: int
+    vocabulary: store.Layout
     offsets: np.ndarray
     tokens: int
-    hot: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    hot_stats: np.ndarray = field(default_factory=lambda: np.empty((0, 4)))
+    hot: int
+    pairs: store.Layout | None = None
+    preceded: store.Layout | None = None
     discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
     lower: tuple[float, float, float] = (0.0, 0.0, 0.0)
-    pairs: int = 0
+    different: int = 0
     spare: float = 1.0
 
     @property
     def words(self) -> int:
         return int(self.offsets[-1])
 
-    def shard(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """The shard of each pair of word numbers."""
-        by = np.where(np.isin(first, self.hot), second, first)
-        return np.searchsorted(self.offsets, by, "right") - 1
-
-    def number(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of sorted word hashes, or -1."""
-        where, places = arrays.find(self.folder, "v", self.shards, hashes)
-        return np.where(places >= 0, self.offsets[where] + places, -1)
+    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of sorted word hashes, or -1, and their counts."""
+        files, first, end = self.vocabulary.find("v", hashes)
+        known = end > first
+        return np.where(known, self.offsets[files] + first, -1), self.vocabulary.take("c", files, np.where(known, first, -1))
 
 
 def discounts(n: np.ndarray) -> tuple[float, float, float]:
@@ -89,46 +94,73 @@ def _histogram(counts: np.ndarray) -> np.ndarray:
     return np.array([np.count_nonzero(counts == k) for k in (1, 2, 3, 4)], np.int64)
 
 
-def _merge(keys: pd.Series, counts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted different keys of packed runs and the sums of their counts."""
-    k = np.concatenate([np.frombuffer(x, "<u8") for x in keys])
-    c = np.concatenate([np.frombuffer(x, "<u4") for x in counts])
-    order = np.argsort(k)
-    k, c = k[order], c[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
-    return k[first], np.add.reduceat(c.astype(np.int64), first) if len(k) else c.astype(np.int64)
+class Sums:
+    """Sums of counts by key, out of packed runs; merged whenever twice as much is held as after the last merge."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts, self.held, self.limit = [], [], 0, 1 << 22
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.held += len(keys)
+        if self.held > self.limit:
+            keys, counts = self.done()
+            self.keys, self.counts, self.held, self.limit = [keys], [counts], len(keys), max(1 << 22, 2 * len(keys))
+
+    def done(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted different keys and their sums."""
+        if not self.keys:
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        k, c = np.concatenate(self.keys), np.concatenate([x.astype(np.int64) for x in self.counts])
+        order = np.argsort(k, kind="stable")
+        k, c = k[order], c[order]
+        first = _firsts(k)
+        return k[first], np.add.reduceat(c, first) if len(k) else c
+
 
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
 
-def _pack(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> list[tuple[int, bytes, bytes]]:
-    """A packed run for each shard; ``keys`` sorted, counts below 2**32."""
-    order = np.argsort(shard, kind="stable")
-    shard, keys, counts = shard[order], keys[order].astype("<u8"), counts[order].astype("<u4")
-    edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else []
-    return [(int(shard[a]), keys[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(edges, edges[1:])]
 
+def _add_all(sums: Sums, part: pa.RecordBatch, kind: str = "<u4") -> None:
+    for keys, counts in zip(part.column("keys").to_pylist(), part.column("counts").to_pylist()):
+        sums.add(np.frombuffer(keys, "<u8"), np.frombuffer(counts, kind))
 
-def token_runs(batches: Iterator[pa.RecordBatch], size: int = RUN) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+
+def _by_word(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different words in order, and the sums of their rows."""
+    order = np.argsort(words, kind="stable")
+    words, rows = words[order], rows[order]
+    first = _firsts(words)
+    return words[first], np.add.reduceat(rows, first) if len(words) else rows
+
+
+def token_runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
     """Rows, token hashes and where each row's tokens begin, about ``size`` tokens at a time; every row ends with END."""
-    hashed, rows, parts, lengths, n = WordHash(), [], [], [], 0
-    for piece, texts in chunks(batches):
-        words: list[bytes] = []
-        for text, *row in zip(texts, *(piece.column(i).to_pylist() for i in range(piece.num_columns - 1))):
-            own = text.lower().split()
-            words += own
-            words.append(b"\n")
-            lengths.append(len(own) + 1)
-            rows.append(row)
-        parts.append(hashed.of(words))
-        n += len(words)
+    rows, parts, n = [], [], 0
+    for piece, texts in chunks(batches, limit=1 << 20):
+        parts.append(tokens(texts, lower=True))
+        rows.append(piece)
+        n += len(parts[-1].begin) + len(texts)
         if n >= size:
-            yield rows, np.concatenate(parts), np.concatenate([[0], np.cumsum(lengths[:-1])]).astype(np.int64)
-            rows, parts, lengths, n = [], [], [], 0
+            yield _with_ends(rows, joined(parts))
+            rows, parts, n = [], [], 0
     if rows:
-        yield rows, np.concatenate(parts), np.concatenate([[0], np.cumsum(lengths[:-1])]).astype(np.int64)
+        yield _with_ends(rows, joined(parts))
+
 
+def _with_ends(rows: list[pa.RecordBatch], t: Tokens) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    docs = np.arange(len(t.starts) - 1)
+    word = np.ones(len(t.hashes) + len(docs), bool)
+    word[t.starts[1:] + docs] = False
+    run = np.full(len(word), END)
+    run[word] = t.hashes
+    return pa.Table.from_batches(rows), run, t.starts[:-1] + docs
 
-def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
-    schema = arrow_schema(ddl)
+
+def _batch(rows: Iterable[tuple], ddl: str) -> pa.RecordBatch:
+    schema, rows = arrow_schema(ddl), list(rows)
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
 
@@ -136,142 +168,140 @@ def _text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(*more, F.col("text").cast("binary").alias("text"))
 
 
-def train(docs: DataFrame) -> Model:
+def train(docs: DataFrame, how: Counting = Counting()) -> Model:
     """A model of documents (text); null texts are empty and count as documents. No rows give a model without words."""
     spark = docs.sparkSession
-    folder = scratch.fresh(spark, "ngrams")
     total = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))).head()[0] or 0
-    shards = max(4, -(-total // SHARD_BYTES))
+    cells = max(4, -(-total // how.cell))
+    vocabulary = store.Layout(scratch.fresh(spark, "vocabulary"), cells)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, tokens, _ in token_runs(batches):
-            keys, counts = np.unique(tokens, return_counts=True)
-            yield _batch(_pack(arrays.shard_of(keys, shards), keys, counts), RUNS)
-
-    def write_words(rows: pd.DataFrame) -> pd.DataFrame:
-        shard = int(rows["shard"].iloc[0])
-        keys, counts = _merge(rows["keys"], rows["counts"])
-        arrays.save(folder, f"v-{shard}", keys)
-        arrays.save(folder, f"c-{shard}", counts)
-        often = np.argsort(-counts, kind="stable")[:shards]
-        return pd.DataFrame([(shard, len(keys), int(counts.sum()), often.astype("<i8").tobytes(), counts[often].astype("<i8").tobytes())], columns=["shard", "words", "tokens", "often", "counts"])
-
-    runs = _text(docs).mapInArrow(count_words, RUNS)
-    stats = {r["shard"]: r for r in runs.groupBy("shard").applyInPandas(write_words, "shard int, words long, tokens long, often binary, counts binary").collect()}
-    offsets = np.concatenate([[0], np.cumsum([stats[s]["words"] if s in stats else 0 for s in range(shards)])]).astype(np.int64)
-    tokens = sum(r["tokens"] for r in stats.values())
-    # words with over a shard's share of the tokens: fewer than there are shards
-    often = [(offsets[s] + i) for s, r in stats.items() for i, c in zip(np.frombuffer(r["often"], "<i8"), np.frombuffer(r["counts"], "<i8")) if c * shards > tokens]
-    m = Model(folder, shards, offsets, tokens, hot=np.array(sorted(often) + [int(offsets[-1])], np.int64))
-    if not tokens:
+        for _, run, _ in token_runs(batches, how.run):
+            keys, counts = np.unique(run, return_counts=True)
+            yield _batch([(cell, False, keys[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()) for cell, a, b in store.stretches(vocabulary.cell(keys))], COUNTED)
+
+    def merge_words(out: store.Out, cell: int, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums()
+        for part in parts:
+            _add_all(sums, part)
+        keys, counts = sums.done()
+        out.add("v", keys)
+        out.add("c", counts)
+        yield _batch([(cell * vocabulary.files // cells, len(keys), int(counts.sum()))], "file int, words long, tokens long")
+
+    merged = store.write(_text(docs).mapInArrow(count_words, COUNTED), vocabulary, merge_words, "file int, words long, tokens long")
+    merged = scratch.store(merged, "words").groupBy("file").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).collect()  # a row a file
+    words = np.zeros(vocabulary.files, np.int64)
+    for r in merged:
+        words[r["file"]] = r["words"]
+    m = Model(vocabulary, np.concatenate([[0], np.cumsum(words)]), sum(r["tokens"] for r in merged), how.hot)
+    if not m.tokens:
         return m
+    if m.words >= (1 << 32) - 1:
+        raise ValueError("a pair holds two word numbers of 32 bits, and there are more different words")
+    m.pairs = store.Layout(scratch.fresh(spark, "pairs"), cells, m.words + 1)
+    m.preceded = store.Layout(scratch.fresh(spark, "preceded"), cells, m.words + 1)
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, run, starts in token_runs(batches):
+        for _, run, starts in token_runs(batches, how.run):
             different, inverse = np.unique(run, return_inverse=True)
-            second = m.number(different)[inverse]
+            numbers, counts = m.look_up(different)
+            second = numbers[inverse]
             first = np.concatenate([[0], second[:-1]])
-            first[starts] = m.words
-            keys, counts = np.unique(first.astype(np.uint64) << np.uint64(32) | second.astype(np.uint64), return_counts=True)
-            yield _batch(_pack(m.shard((keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), keys, counts), RUNS)
-
-    def write_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        shard = int(rows["shard"].iloc[0])
-        keys, counts = _merge(rows["keys"], rows["counts"])
-        arrays.save(folder, f"b-{shard}", keys)
-        arrays.save(folder, f"n-{shard}", counts.astype(np.uint32))
-        first, second = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        begin = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
-        of = np.stack([np.add.reduceat(x.astype(np.int64), begin) for x in (counts, counts == 1, counts == 2, counts > 2)], axis=1)
-        spread = np.isin(first[begin], m.hot)
-        own = np.zeros((m.offsets[shard + 1] - m.offsets[shard], 4), np.int64)
-        own[first[begin][~spread] - m.offsets[shard]] = of[~spread]
-        arrays.save(folder, f"t-{shard}", own)
-        follow, times = np.unique(second, return_counts=True)
-        out = [("w", *x) for x in _pack(np.searchsorted(m.offsets, follow, "right") - 1, follow.astype(np.uint64), times)]
-        out.append(("h", shard, first[begin][spread].astype("<i8").tobytes(), of[spread].astype("<i8").tobytes()))
-        out.append(("n", shard, b"", _histogram(counts).astype("<i8").tobytes()))
-        return pd.DataFrame(out, columns=["kind", "shard", "keys", "counts"])
-
-    written = scratch.store(_text(docs).mapInArrow(count_pairs, RUNS).groupBy("shard").applyInPandas(write_pairs, KINDS), "pairs")
-    small = written.filter("kind != 'w'").collect()  # a few hundred bytes a shard
-    m.discounts = discounts(sum(np.frombuffer(r["counts"], "<i8") for r in small if r["kind"] == "n"))
-    m.hot_stats = np.zeros((len(m.hot), 4), np.int64)
-    for r in small:
-        if r["kind"] == "h":
-            m.hot_stats[np.searchsorted(m.hot, np.frombuffer(r["keys"], "<i8"))] += np.frombuffer(r["counts"], "<i8").reshape(-1, 4)
-
-    def write_preceded(rows: pd.DataFrame) -> pd.DataFrame:
-        shard = int(rows["shard"].iloc[0])
-        words, counts = _merge(rows["keys"], rows["counts"])
-        own = np.zeros(m.offsets[shard + 1] - m.offsets[shard], np.int64)
-        own[words.astype(np.int64) - m.offsets[shard]] = counts
-        arrays.save(folder, f"k-{shard}", own)
-        return pd.DataFrame([(shard, int(own.sum()), int(np.count_nonzero(own > 2)), _histogram(own).astype("<i8").tobytes())], columns=["shard", "pairs", "more", "counts"])
-
-    found = written.filter("kind = 'w'").groupBy("shard").applyInPandas(write_preceded, "shard int, pairs long, more long, counts binary").collect()
-    seen = sum(np.frombuffer(r["counts"], "<i8") for r in found)
-    m.pairs, m.lower = sum(r["pairs"] for r in found), discounts(seen)
-    m.spare = (m.lower[0] * seen[0] + m.lower[1] * seen[1] + m.lower[2] * sum(r["more"] for r in found)) / m.pairs
+            hot = np.concatenate([[False], (counts > m.hot)[inverse][:-1]])
+            first[starts], hot[starts] = m.words, True
+            for spread in (False, True):
+                own = hot == spread
+                by, other = (second[own], first[own]) if spread else (first[own], second[own])
+                keys, n = np.unique(by.astype(np.uint64) << np.uint64(32) | other.astype(np.uint64), return_counts=True)
+                yield _batch([(cell, spread, keys[a:b].tobytes(), n[a:b].astype("<u4").tobytes()) for cell, a, b in store.stretches(m.pairs.cell(keys >> np.uint64(32)))], COUNTED)
+
+    def merge_pairs(out: store.Out, cell: int, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cold, spread = Sums(), Sums()
+        for part in parts:
+            hot = part.column("hot")
+            _add_all(cold, part.filter(pc.invert(hot)))
+            _add_all(spread, part.filter(hot))
+        keys, counts = cold.done()
+        out.add("b", keys)
+        out.add("n", counts)
+        kinds = lambda n: np.stack([n, n == 1, n == 2, n > 2], axis=1).astype(np.int64)
+        words, sums = _by_word(keys >> np.uint64(32), kinds(counts))
+        out.add("t", words)
+        out.add("u", sums)
+        hot_keys, hot_counts = spread.done()
+        out.add("q", hot_keys)
+        out.add("o", hot_counts)
+        low = np.uint64(0xFFFFFFFF)
+        follow, times = np.unique(np.concatenate([keys & low, hot_keys >> np.uint64(32)]), return_counts=True)
+        rows = [("w", c, follow[a:b].tobytes(), times[a:b].astype("<i8").tobytes(), 0, 0, 0, 0) for c, a, b in store.stretches(m.preceded.cell(follow))]
+        words, sums = _by_word(hot_keys & low, kinds(hot_counts))
+        rows += [("h", c, words[a:b].tobytes(), sums[a:b].tobytes(), 0, 0, 0, 0) for c, a, b in store.stretches(m.preceded.cell(words))]
+        rows.append(("n", cell, b"", b"", *(_histogram(counts) + _histogram(hot_counts)).tolist()))
+        yield _batch(rows, KINDS)
+
+    written = scratch.store(store.write(_text(docs).mapInArrow(count_pairs, COUNTED), m.pairs, merge_pairs, KINDS), "followers")
+    m.discounts = discounts(np.array(written.filter("kind = 'n'").agg(*(F.sum(f"n{k}") for k in (1, 2, 3, 4))).head()))
+
+    def merge_preceded(out: store.Out, cell: int, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, hot_words, hot_sums = Sums(), [np.empty(0, np.uint64)], [np.empty((0, 4), np.int64)]
+        for part in parts:
+            of_hot = pc.equal(part.column("kind"), "h")
+            _add_all(before, part.filter(pc.invert(of_hot)), "<i8")
+            for keys, counts in zip(part.filter(of_hot).column("keys").to_pylist(), part.filter(of_hot).column("counts").to_pylist()):
+                hot_words.append(np.frombuffer(keys, "<u8"))
+                hot_sums.append(np.frombuffer(counts, "<i8").reshape(-1, 4))
+        words, counts = before.done()
+        out.add("k", words)
+        out.add("m", counts)
+        hot, sums = _by_word(np.concatenate(hot_words), np.concatenate(hot_sums))
+        out.add("g", hot)
+        out.add("s", sums)
+        yield _batch([(int(counts.sum()), int(np.count_nonzero(counts > 2)), *_histogram(counts).tolist())], SEEN)
+
+    seen = scratch.store(store.write(written.filter("kind != 'n'").select("cell", "kind", "keys", "counts"), m.preceded, merge_preceded, SEEN), "preceded")
+    pairs, more, *n = seen.agg(*(F.sum(c) for c in seen.columns)).head()
+    m.different, m.lower = pairs, discounts(np.array(n))
+    m.spare = (m.lower[0] * n[0] + m.lower[1] * n[1] + m.lower[2] * more) / pairs
     return m
 
 
-def _gather(m: Model, name: str, numbers: np.ndarray, like: np.ndarray) -> np.ndarray:
-    """Rows of an array by sorted word numbers; those below 0 or without a shard get ``like``."""
-    out = np.repeat(like[None], len(numbers), axis=0)
-    where = np.searchsorted(m.offsets, numbers, "right") - 1
-    where[(numbers < 0) | (numbers >= m.words)] = -1
-    for s in np.unique(where[where >= 0]).tolist():
-        if arrays.exists(m.folder, f"{name}-{s}"):
-            mine = where == s
-            out[mine] = arrays.load(m.folder, f"{name}-{s}")[numbers[mine] - m.offsets[s]]
-    return out
-
-
 def word_scores(m: Model, run: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Training count and log10 probability of each token of a run."""
+    if not m.tokens:
+        return np.zeros(len(run), np.int64), np.zeros(len(run))
     different, inverse = np.unique(run, return_inverse=True)
-    numbers = m.number(different) if m.tokens else np.full(len(different), -1, np.int64)
+    numbers, counts = m.look_up(different)
+    # words by number, unknown ones first, and behind them the start of documents
     order = np.argsort(numbers, kind="stable")
     back = np.empty_like(order)
     back[order] = np.arange(len(order))
-    numbers, inverse = numbers[order], back[inverse]
-    counts = _gather(m, "c", numbers, np.int64(0))
-    preceded = _gather(m, "k", numbers, np.int64(0))
-    lower = np.maximum(preceded - _discount(preceded, m.lower), 0) / max(1, m.pairs) + m.spare / (m.words + 1)
-    stats = _gather(m, "t", numbers, np.zeros(4, np.int64))
-    hot = np.isin(numbers, m.hot)
-    if hot.any():
-        stats[hot] = m.hot_stats[np.searchsorted(m.hot, numbers[hot])]
-    start = m.hot_stats[-1] if len(m.hot_stats) else np.zeros(4, np.int64)
-    # a context is a different word of the run, or the start of a document behind the last one
-    stats = np.concatenate([stats, start[None]])
-    second = inverse
+    numbers, counts, second = np.append(numbers[order], m.words), np.append(counts[order], 0), back[inverse]
+    known = numbers >= 0
+    hot = counts > m.hot
+    hot[-1] = True
+    words = numbers[known].astype(np.uint64)
+    preceded, stats = np.zeros(len(numbers), np.int64), np.zeros((len(numbers), 4), np.int64)
+    preceded[known] = m.preceded.values("k", "m", words)
+    stats[known] = np.where(hot[known, None], m.preceded.values("g", "s", words, width=4), m.pairs.values("t", "u", words, width=4))
+    lower = np.maximum(preceded - _discount(preceded, m.lower), 0) / max(1, m.different) + m.spare / (m.words + 1)
     first = np.concatenate([[0], second[:-1]])
-    first[starts] = len(numbers)
-    names = np.concatenate([numbers, [m.words]])
+    first[starts] = len(numbers) - 1
     rest = np.where(stats[:, 0] > 0, (stats[:, 1:] * np.array(m.discounts)).sum(axis=1) / np.maximum(stats[:, 0], 1), 1.0)
     p = rest[first] * lower[second]
-    known = (names[first] >= 0) & (names[second] >= 0) & (stats[first, 0] > 0)
-    keys = names[first[known]].astype(np.uint64) << np.uint64(32) | names[second[known]].astype(np.uint64)
-    pairs, at = np.unique(keys, return_inverse=True)
-    seen = np.zeros(len(pairs), np.int64)
-    where = m.shard((pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)) if len(pairs) else np.empty(0, np.int64)
-    for s in np.unique(where).tolist():
-        if arrays.exists(m.folder, f"b-{s}"):
-            have, mine = arrays.load(m.folder, f"b-{s}"), np.flatnonzero(where == s)
-            place = np.minimum(np.searchsorted(have, pairs[mine]), len(have) - 1)
-            hit = have[place] == pairs[mine]
-            seen[mine[hit]] = arrays.load(m.folder, f"n-{s}")[place[hit]]
-    c = seen[at]
-    p[known] += np.maximum(c - _discount(c, m.discounts), 0) / stats[first[known], 0]
-    return counts[inverse], np.log10(p)
+    for spread, pair, count in ((False, "b", "n"), (True, "q", "o")):
+        at = np.flatnonzero(known[first] & known[second] & (stats[first, 0] > 0) & (hot[first] == spread))
+        a, b = numbers[first[at]].astype(np.uint64), numbers[second[at]].astype(np.uint64)
+        keys, place = np.unique((b << np.uint64(32) | a) if spread else (a << np.uint64(32) | b), return_inverse=True)
+        c = m.pairs.values(pair, count, keys, keys >> np.uint64(32))[place]
+        p[at] += np.maximum(c - _discount(c, m.discounts), 0) / stats[first[at], 0]
+    return counts[second], np.log10(p)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score(docs: DataFrame, m: Model) -> DataFrame:
+def score(docs: DataFrame, m: Model, how: Counting = Counting()) -> DataFrame:
     """SCORES of documents (doc_id, held_out, text).
 
     ``base_score`` is the log10 probability by add-one counts of single tokens,
@@ -280,13 +310,13 @@ def score(docs: DataFrame, m: Model) -> DataFrame:
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, run, starts in token_runs(batches):
+        for rows, run, starts in token_runs(batches, how.run):
             counts, logs = word_scores(m, run, starts)
             base = np.log10((counts + 1) / (m.tokens + m.words + 1))
             sums = [np.add.reduceat(x, starts) for x in ((counts > 0).astype(np.int64), base, logs)]
             lengths = np.diff(np.concatenate([starts, [len(run)]]))
-            ids, held = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids, held, lengths, *sums), arrow_schema(SCORES))], schema=arrow_schema(SCORES))
+            out = pa.Table.from_arrays([rows.column("doc_id"), rows.column("held_out"), *map(pa.array, (lengths, *sums))], schema=arrow_schema(SCORES))
+            yield from out.combine_chunks().to_batches()
 
     return _text(docs, F.col("doc_id").cast("long").alias("doc_id"), "held_out").mapInArrow(apply, SCORES)
 

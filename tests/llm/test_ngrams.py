@@ -6,7 +6,9 @@ import zlib
 import numpy as np
 import pytest
 
-from leafmark.llm import ngrams
+from pyspark.sql import functions as F
+
+from leafmark.llm import ngrams, words
 from tests.llm.conftest import HARD
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -42,6 +44,11 @@ def brute(docs):
     return collections.Counter(out)
 
 
+def tokens_of(own):
+    """Hashes of words; a line break is the end."""
+    return np.array([ngrams.END if w == b"\n" else words.tokens([w]).hashes[0] for w in own], np.uint64)
+
+
 def rows(df):
     return collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in df.collect())
 
@@ -53,28 +60,41 @@ def test_query_equals_counting(spark, sf, hard, empty):
     assert ngrams.op7_kneser_ney(spark, empty).isEmpty()
 
 
-def test_hot_words_and_many_shards(spark, make, monkeypatch):
-    monkeypatch.setattr(ngrams, "SHARD_BYTES", 500)
-    monkeypatch.setattr(ngrams, "RUN", 300)
+def test_hot_words_and_many_cells(spark, make):
     r = np.random.default_rng(5)
     docs = [(i, " ".join("the" if r.random() < 0.4 else f"w{int(r.zipf(1.4)) % 300}" for _ in range(int(r.integers(0, 60)))), "en", "a") for i in range(200)]
-    folder = make(docs)
-    m = ngrams.train(spark.read.parquet(f"{folder}/documents.parquet"))
-    assert m.shards > 8 and len(m.hot) > 1
-    assert rows(ngrams.op7_kneser_ney(spark, folder)) == brute([(d, t) for d, t, _, _ in docs])
+    how = ngrams.Counting(run=300, cell=500, hot=100)
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(200)]
+    df = spark.createDataFrame([(d, h, t) for (d, t, _, _), h in zip(docs, held)], "doc_id long, held_out boolean, text string").repartition(3)
+    m = ngrams.train(df.filter("not held_out"), how)
+    assert m.vocabulary.cells > 8
+    got = ngrams.score(df, m, how).withColumn("train_tokens", F.lit(m.tokens))
+    assert rows(got) == brute([(d, t) for d, t, _, _ in docs])
+
+
+def test_counts_beyond_32_bits():
+    sums = ngrams.Sums()
+    for _ in range(3):
+        sums.add(np.array([1, 2], np.uint64), np.array([2**32 - 1, 1], np.uint32))
+    keys, counts = sums.done()
+    assert keys.tolist() == [1, 2] and counts.tolist() == [3 * (2**32 - 1), 3]
+
+
+def test_megabytes_in_one_text(spark, make):
+    r = np.random.default_rng(6)
+    docs = [(1, " ".join(f"w{x}" for x in r.integers(0, 5000, 300_000)), "en", "a"), (2, "w1 w2 w3", "en", "a")]
+    assert rows(ngrams.op7_kneser_ney(spark, make(docs))) == brute([(d, t) for d, t, _, _ in docs])
 
 
 def test_probabilities_sum_to_one(spark, make):
     docs = [(i, t, "en", "a") for i, t in enumerate(["a b a b c", "b c", "a", "c c c a", "", "b a d e"])]
     folder = make(docs)
     m = ngrams.train(spark.read.parquet(f"{folder}/documents.parquet"))
-    from leafmark.llm.words import WordHash
-
     names = [b"a", b"b", b"c", b"d", b"e", b"\n", b"never"]
     for context in (b"a", b"c", b"never"):
         total = 0.0
         for w in names:
-            run = WordHash().of([context, w])
+            run = tokens_of([context, w])
             total += 10 ** ngrams.word_scores(m, run, np.array([0]))[1][1]
         assert total == pytest.approx(1.0)
 
