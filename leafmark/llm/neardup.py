@@ -23,19 +23,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm import arrays, graph, scratch
-from leafmark.llm.words import arrow_schema, chunks, mix
+from leafmark.llm import graph, samples, scratch, store
+from leafmark.llm.words import Tokens, arrow_schema, chunks, mix, span_hashes, tokens
 
 
 @dataclass(frozen=True)
 class Search:
-    """``radius`` in bits; ``shard``: fingerprints of a shard's own that the tree aims at; ``sample``: fingerprints that build it at most; ``per_shard``: of these for each shard."""
+    """``radius`` in bits; ``shard``: fingerprints of a shard's own that the tree aims at; ``sample``: about how many fingerprints build it at most; ``per_shard``: of these for each shard.
+
+    Shards go on as trees in memory; large ones need fewer levels above, each of
+    which makes members visit a second shard.
+    """
 
     words: int = 3
     radius: int = 2
-    shard: int = 4096
+    shard: int = 1 << 16
     sample: int = 1 << 17
-    per_shard: int = 32
+    per_shard: int = 64
     brute: int = 512
 
 
@@ -193,17 +197,17 @@ ROUTED = "shard long, tile int, fp long, guest boolean"
 def links(fps: DataFrame, s: Search = Search()) -> DataFrame:
     """Links (a, b) between fingerprints of ``fps`` (fp, distinct) within the radius: a forest for each shard, so not every pair is a row but every pair is connected.
 
-    The sample that shapes the shards is what has the least hashes, bounded by
-    ``s.sample``; it decides where pairs meet, never whether. A shard that no
+    The sample that shapes the shards is what has the least hashes, about
+    ``s.sample`` at most; it decides where pairs meet, never whether. A shard that no
     cut makes smaller, such as a cluster tighter than the radius, is cut into
     tiles: each takes its part of the members, and all members visit the others'.
     """
     n = fps.count()
     spark = fps.sparkSession
     shards = max(1, -(-n // s.shard))
-    size = min(s.sample, shards * s.per_shard, n)
-    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(size).collect()], np.int64).view(np.uint64)
-    tree, _ = build(sample, s.radius, max(1, -(-size // shards)))
+    drawn = samples.by_hash(fps.select("fp"), F.col("fp"), n, min(s.sample, shards * s.per_shard)).collect()
+    sample = np.array([r[0] for r in drawn], np.int64).view(np.uint64)
+    tree, _ = build(sample, s.radius, max(1, -(-len(sample) // shards)))
     sent = spark.sparkContext.broadcast(tree)  # two nodes for each shard
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,6 +291,38 @@ def majority(h: np.ndarray) -> np.uint64:
     return np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]
 
 
+def majorities(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """``majority`` of each stretch of ``h``, from ``starts[i]`` to ``starts[i + 1]``; none of them empty."""
+    out = np.empty(len(starts) - 1, np.uint64)
+    block = np.flatnonzero(np.diff(starts[:-1] >> 16)) + 1
+    for a, b in zip([0, *block], [*block, len(out)]):
+        own = h[starts[a] : starts[b]]
+        if b == a + 1:
+            out[a] = majority(own)
+        elif b > a:
+            bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, starts[a:b] - starts[a], axis=0, dtype=np.int32)
+            out[a:b] = np.packbits(2 * ones > np.diff(starts[a : b + 1])[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
+def shingles(t: Tokens, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of k words of all documents, and where each document's begin; fewer words are one shingle, no words none."""
+    n = np.diff(t.starts)
+    first = t.starts[:-1]
+    spans, short = span_hashes(t.hashes, k), np.flatnonzero((n > 0) & (n < k))
+    count = np.where(n >= k, n - k + 1, (n > 0).astype(np.int64))
+    starts = np.concatenate([[0], np.cumsum(count)])
+    out = np.zeros(starts[-1], np.uint64)
+    whole = np.flatnonzero(n >= k)
+    where = np.repeat(first[whole] - starts[whole], count[whole])
+    to = np.repeat(n >= k, count)
+    out[to] = spans[np.flatnonzero(to) + where]
+    for i in short.tolist():
+        out[starts[i]] = span_hashes(t.hashes[first[i] : first[i] + n[i]], int(n[i]))[0]
+    return out, starts
+
+
 def sketch(h: np.ndarray, buckets: int) -> np.ndarray:
     """One-permutation minima: a byte for the least hash of each bucket, 0 for an empty one."""
     out = np.full(buckets, 1 << 40, np.int64)
@@ -309,76 +345,78 @@ def unlikely(a: np.ndarray, b: np.ndarray, least: float, margin: float) -> np.nd
 #: ``sketch`` is followed by the place of the shingles: file, first and number.
 SIGNED = "doc_id long, prints binary, sketch binary"
 CANDIDATES = "search long, tile int, doc_id long, print long, guest boolean"
-#: Sketches of a shard of the store, and bytes of the place that follows each.
+#: Sketches of a cell of the store, and bytes of the place that follows each.
 STORED, PLACE = 1 << 16, 32
 
 
 def signatures(docs: DataFrame, s: Similar, folder: str) -> DataFrame:
     """SIGNED of documents (doc_id, text) that have words: ``s.tables`` fingerprints of 32 bits, and a sketch.
 
-    The sorted shingle hashes of a chunk of texts are written to one file of
+    The sorted shingle hashes of all texts of a task are written to one file of
     ``folder``, under a name that no other attempt uses.
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, texts in chunks(batches):
-            rows, sets, at, name = {}, [], 0, uuid.uuid4()
-            for key, text in zip(piece.column(0).to_pylist(), texts):
-                if key is None or key in rows:
-                    continue
-                h = shingle_hashes(text, s.over)
-                if len(h):
-                    prints = []
-                    for _ in range(-(-s.tables // 2)):
-                        prints.append(majority(h))
-                        h = mix(h + np.uint64(0xD6E8FEB86659FD93))
-                    own = np.unique(mix(shingle_hashes(text, s.words)))
-                    place = name.bytes + np.array([at, len(own)], "<i8").tobytes()
-                    rows[key] = (key, np.array(prints, "<u8").view("<u4")[: s.tables].tobytes(), sketch(own, s.buckets).tobytes() + place)
-                    sets.append(own)
-                    at += len(own)
-            if sets:
-                arrays.save(folder, name.hex, np.concatenate(sets))
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows.values()) if rows else [[]] * 3, arrow_schema(SIGNED))], schema=arrow_schema(SIGNED))
+        name = uuid.uuid4()
+        with store.Out(folder, name.hex) as out:
+            for piece, texts in chunks(batches, limit=1 << 20):
+                t = tokens(texts, lower=True)
+                keys = piece.column(0).to_numpy(zero_copy_only=False)
+                worded = np.flatnonzero((np.diff(t.starts) > 0) & ~np.isnan(keys)) if keys.dtype.kind == "f" else np.flatnonzero(np.diff(t.starts) > 0)
+                h, starts = shingles(t, s.over)
+                filled = starts[:-1][np.diff(starts) > 0]
+                prints = np.empty((len(filled), 2 * -(-s.tables // 2)), "<u4")
+                for k in range(0, s.tables, 2):
+                    prints[:, k : k + 2] = majorities(h, np.append(filled, len(h))).astype("<u8").view("<u4").reshape(-1, 2)
+                    h = mix(h + np.uint64(0xD6E8FEB86659FD93))
+                row = np.cumsum(np.diff(starts) > 0) - 1
+                wide, begin = shingles(t, s.words)
+                wide, rows = mix(wide), []
+                ids = piece.column(0).to_pylist()
+                for i in worded.tolist():
+                    own = np.unique(wide[begin[i] : begin[i + 1]])
+                    place = name.bytes + np.array([out.size("h"), len(own)], "<i8").tobytes()
+                    rows.append((ids[i], prints[row[i], : s.tables].tobytes(), sketch(own, s.buckets).tobytes() + place))
+                    out.add("h", own)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * 3, arrow_schema(SIGNED))], schema=arrow_schema(SIGNED))
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(apply, SIGNED)
 
 
-def store_sketches(signed: DataFrame, n: int, buckets: int) -> tuple[str, int]:
-    """Folder and shards of the sketches and places of SIGNED rows, sorted by a scramble of their doc_ids."""
-    folder, shards = scratch.fresh(signed.sparkSession, "sketches"), max(4, -(-n // STORED))
+def store_sketches(signed: DataFrame, n: int) -> store.Layout:
+    """Where the sketches and places of SIGNED rows are, sorted by a scramble of their doc_ids."""
+    layout = store.Layout(scratch.fresh(signed.sparkSession, "sketches"), max(4, -(-n // STORED)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(arrays.shard_of(keys, shards)), pa.array(keys.view(np.int64)), batch.column(1)], names=["shard", "key", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(layout.cell(keys)), pa.array(keys.view(np.int64)), batch.column(1)], names=["cell", "key", "sketch"])
 
-    def write(rows: pd.DataFrame) -> pd.DataFrame:
-        shard, keys = int(rows["shard"].iloc[0]), rows["key"].to_numpy().view(np.uint64)
+    def merge(out: store.Out, cell: int, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(parts)
+        keys = np.concatenate([part.column("key").to_numpy().view(np.uint64) for part in held])
+        rows = np.frombuffer(b"".join(x for part in held for x in part.column("sketch").to_pylist()), np.uint8).reshape(len(keys), -1)
         order = np.argsort(keys, kind="stable")
-        arrays.save(folder, f"s-{shard}", np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, buckets + PLACE)[order])
-        arrays.save(folder, f"k-{shard}", keys[order])
-        return pd.DataFrame({"shard": [shard]})
+        out.add("k", keys[order])
+        out.add("s", rows[order])
+        yield pa.RecordBatch.from_pydict({"cell": [cell]})
 
-    placed = signed.select("doc_id", "sketch").mapInArrow(place, "shard long, key long, sketch binary")
-    placed.groupBy("shard").applyInPandas(write, "shard long").count()
-    return folder, shards
+    placed = signed.select("doc_id", "sketch").mapInArrow(place, "cell long, key long, sketch binary")
+    store.write(placed, layout, merge, "cell long").count()
+    return layout
 
 
-def load_sketches(folder: str, shards: int, ids: np.ndarray, buckets: int) -> np.ndarray:
+def load_sketches(layout: store.Layout, ids: np.ndarray, width: int) -> np.ndarray:
     """Sketches and places of doc_ids that are in the store."""
     keys, back = np.unique(mix(ids.view(np.uint64)), return_inverse=True)
-    where, places = arrays.find(folder, "k", shards, keys)
-    out = np.zeros((len(keys), buckets + PLACE), np.uint8)
-    for s in np.unique(where).tolist():
-        out[where == s] = arrays.load(folder, f"s-{s}")[places[where == s]]
-    return out[back]
+    files, first, _ = layout.find("k", keys)
+    return layout.take("s", files, first, "u1", width)[back]
 
 
 def shingle_set(folder: str, place: np.ndarray) -> np.ndarray:
     """The sorted shingle hashes at a place."""
     first, n = place[16:].view("<i8").tolist()
-    return arrays.load(folder, place[:16].tobytes().hex())[first : first + n]
+    return store.load(folder, "h", place[:16].tobytes().hex())[first : first + n]
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -396,16 +434,15 @@ def similar_links(docs: DataFrame, s: Similar = Similar()) -> DataFrame:
     folder and looked up for candidates that are not connected yet. Texts
     without words and rows without doc_id have no links; an empty table has none.
     """
-    shingles = scratch.fresh(docs.sparkSession, "shingles")
-    signed = scratch.store(signatures(docs, s, shingles).dropDuplicates(["doc_id"]), "signatures")
+    folder = scratch.fresh(docs.sparkSession, "shingles")
+    signed = scratch.store(signatures(docs, s, folder).dropDuplicates(["doc_id"]), "signatures")
     n = signed.count()
     shards = max(1, -(-n // s.shard))
-    size = min(s.sample, shards * s.per_shard, n)
-    drawn = signed.orderBy(F.xxhash64("doc_id"), "doc_id").select("prints").limit(size).collect()
+    drawn = samples.by_hash(signed, F.col("doc_id"), n, min(s.sample, shards * s.per_shard)).select("prints").collect()
     prints = np.array([np.frombuffer(r[0], "<u4") for r in drawn], np.uint64).reshape(-1, s.tables)
-    trees = [build(prints[:, t], s.radius, max(1, -(-size // shards)))[0] for t in range(s.tables)]
+    trees = [build(prints[:, t], s.radius, max(1, -(-len(prints) // shards)))[0] for t in range(s.tables)]
     sent = docs.sparkSession.sparkContext.broadcast(trees)
-    folder, stored = store_sketches(signed, n, s.buckets)
+    layout, width = store_sketches(signed, n), s.buckets + PLACE
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -421,13 +458,13 @@ def similar_links(docs: DataFrame, s: Similar = Similar()) -> DataFrame:
         for i, j in pairs(points, np.flatnonzero(~guest), np.flatnonzero(guest), s.radius, s.brute):
             for at in range(0, len(i), 1 << 14):
                 a, b = ids[i[at : at + (1 << 14)]], ids[j[at : at + (1 << 14)]]
-                x, y = load_sketches(folder, stored, a, s.buckets), load_sketches(folder, stored, b, s.buckets)
+                x, y = load_sketches(layout, a, width), load_sketches(layout, b, width)
                 p, q = x[:, s.buckets :], y[:, s.buckets :]
                 m, n = (np.ascontiguousarray(z[:, 24:]).view("<i8")[:, 0] for z in (p, q))
                 maybe = (np.minimum(m, n) >= s.least * np.maximum(m, n) - 1e-9) & ~unlikely(x[:, : s.buckets], y[:, : s.buckets], s.least, s.margin)
                 for k in np.flatnonzero(maybe).tolist():
                     one, other = int(a[k]), int(b[k])
-                    if forest.root(one) != forest.root(other) and jaccard(shingle_set(shingles, p[k]), shingle_set(shingles, q[k])) >= s.least - 1e-9:
+                    if forest.root(one) != forest.root(other) and jaccard(shingle_set(folder, p[k]), shingle_set(folder, q[k])) >= s.least - 1e-9:
                         forest.join(one, other)
         return forest.links()
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmark.llm import scratch, store
-from leafmark.llm.words import Tokens, arrow_schema, chunks, joined, mix, tokens, word_hashes
+from leafmark.llm.words import Tokens, arrow_schema, chunks, joined, span_hashes, tokens
 
 #: The order of a document without an id: behind all others.
 LAST = np.iinfo(np.int64).max
@@ -99,10 +99,7 @@ def runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Run]:
 
 def hash_spans(hashes: np.ndarray, k: int, bits: int = 64) -> np.ndarray:
     """A hash of each k words in a row; its upper ``bits``."""
-    out = np.zeros(max(0, len(hashes) - k + 1), np.uint64)
-    for j in range(k):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[j : len(hashes) - k + 1 + j]
-    return mix(out) & np.uint64((1 << 64) - (1 << (64 - bits)))
+    return span_hashes(hashes, k) & np.uint64((1 << 64) - (1 << (64 - bits)))
 
 
 def least_places(values: np.ndarray, width: int) -> np.ndarray:

@@ -129,9 +129,12 @@ class Layout:
     def array(self, name: str, file: int, kind: str = "<u8") -> np.ndarray:
         return load(self.folder, name, file, kind)
 
-    def find(self, name: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For sorted ``keys``: their files, and the first and end of their places there, which are equal for keys that are not stored."""
-        files = self.file(keys)
+    def find(self, name: str, keys: np.ndarray, by: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For sorted ``keys``: their files, and the first and end of their places there, which are equal for keys that are not stored.
+
+        ``by``, in the same order, chooses the files where these are not cut by the keys themselves.
+        """
+        files = self.file(keys if by is None else by)
         first, end = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         for file, a, b in stretches(files):
             known = self.array(name, file)
@@ -151,6 +154,11 @@ class Layout:
                 out[found] = self.array(name, file, kind).reshape(-1, width)[places[found]]
         return out if width > 1 else out[:, 0]
 
+    def values(self, name: str, of: str, keys: np.ndarray, by: np.ndarray | None = None, width: int = 1) -> np.ndarray:
+        """Entries (longs) of the array ``of`` for sorted ``keys`` of the array ``name``, which holds a key once; 0 for others."""
+        files, first, end = self.find(name, keys, by)
+        return self.take(of, files, np.where(end > first, first, -1), "<i8", width)
+
 
 def stretches(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(value, first, end) of equal neighbours."""

@@ -121,6 +121,14 @@ def word_hashes(text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.nda
     return mix(out)
 
 
+def span_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k words in a row."""
+    out = np.zeros(max(0, len(hashes) - k + 1), np.uint64)
+    for j in range(k):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[j : len(hashes) - k + 1 + j]
+    return mix(out)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = x ^ (x >> np.uint64(32))
