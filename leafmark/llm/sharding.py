@@ -16,11 +16,13 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmark.llm import scratch
 from leafmark.llm.ranks import ranked
+from leafmark.llm.words import arrow_schema
 
 #: Positions of the ring, and the keys that a cell holds on average at most.
 RING_BITS, CELL_ROWS = 16, 256
@@ -84,8 +86,9 @@ def assign(keys: DataFrame, key: str, shards: int, vnodes: int = 64, slack: floa
     Loads are rows. With ``slack`` 0 the shards' counts differ by one at most;
     with more, no shard holds over ``1 + slack`` times its share and fewer
     keys leave their arc. Null keys are placed by the hash of null, repeated
-    keys side by side; an empty table gives an empty table. Columns of
-    ``keys`` named ``shard`` or ``slot`` are replaced.
+    keys side by side in the order of all their columns; an empty table gives an
+    empty table. Columns of ``keys`` named ``shard`` or ``slot``, in any case, are
+    replaced; others keep their names whatever these are.
     """
     spark = keys.sparkSession
     nodes = ring(shards, vnodes, seed)
@@ -95,10 +98,9 @@ def assign(keys: DataFrame, key: str, shards: int, vnodes: int = 64, slack: floa
             arc += 1
         arcs.append((at, arc % len(nodes)))  # behind the last node the ring starts again
     # 65,536 rows at any size of the input: safe to broadcast
-    lookup = F.broadcast(spark.createDataFrame(arcs, "_at int, _arc int"))
-    keys = keys.drop("shard", "slot")
-    rest = [F.col(f"`{c}`") for c in keys.columns]
-    hashed = keys.select(*rest, F.xxhash64(F.lit(seed), F.col(f"`{key}`")).alias("_u"))
+    lookup = F.broadcast(spark.createDataFrame(_table("_at int, _arc int", arcs)))
+    rest = [c for c in keys.columns if c.lower() not in ("shard", "slot")]
+    hashed = keys.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.xxhash64(F.lit(seed), F.col(f"`{key}`")).alias("_u"))
     placed = scratch.store(hashed.withColumn("_at", F.shiftrightunsigned("_u", 64 - RING_BITS).cast("int")).join(lookup, "_at").withColumn("_row", F.monotonically_increasing_id()), "ring")
     found = {r["_arc"]: r["n"] for r in placed.groupBy("_arc").agg(F.count("*").alias("n")).collect()}  # shards * vnodes rows
     total = sum(found.values())
@@ -109,11 +111,17 @@ def assign(keys: DataFrame, key: str, shards: int, vnodes: int = 64, slack: floa
     last = nodes[-1][0]
     lap = F.when(F.col("_at") > last, F.col("_at") - (1 << RING_BITS)).otherwise(F.col("_at")).cast("long")
     sub = F.shiftrightunsigned(F.shiftleft("_u", RING_BITS), 64 - bits) if bits else F.lit(0).cast("long")
-    ranked_rows = ranked(placed.withColumn("_cell", lap * (1 << bits) + sub), ["_arc"], "_cell", ["_u", *rest], "_row")
+    ranked_rows = ranked(placed.withColumn("_cell", lap * (1 << bits) + sub), ["_arc"], "_cell", ["_u", "row"], "_row")
     # at most one piece for each arc and one more for each split, that is shards * (vnodes + rounds): safe to broadcast
-    table = spark.createDataFrame([(p.arc, p.first, p.first + p.n, p.shard, p.slot) for p in pieces], "_arc int, _lo long, _hi long, _shard int, _slot long")
+    table = spark.createDataFrame(_table("_arc int, _lo long, _hi long, _shard int, _slot long", [(p.arc, p.first, p.first + p.n, p.shard, p.slot) for p in pieces]))
     r = ranked_rows.alias("r").join(F.broadcast(table).alias("p"), (F.col("r._arc") == F.col("p._arc")) & (F.col("r._rank") >= F.col("p._lo")) & (F.col("r._rank") < F.col("p._hi")))
-    return r.select(*(F.col(f"r.`{c}`") for c in keys.columns), F.col("p._shard").alias("shard"), (F.col("p._slot") + F.col("r._rank") - F.col("p._lo")).alias("slot"))
+    return r.select(*(F.col("r.row").getField(c).alias(c) for c in rest), F.col("p._shard").alias("shard"), (F.col("p._slot") + F.col("r._rank") - F.col("p._lo")).alias("slot"))
+
+
+def _table(ddl: str, rows: list[tuple]) -> pa.Table:
+    """An Arrow table, which Spark takes without Python workers."""
+    schema = arrow_schema(ddl)
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
 
 def op5_consistent_ring(spark, sf_dir: str) -> DataFrame:

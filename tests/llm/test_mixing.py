@@ -86,3 +86,45 @@ def test_balance_meets_targets(spark):
         total = (got["size"] * got["n"] * got["_r"]).groupby(got["_key"]).sum()
         want = df.groupby("_key")["target"].first()
         assert ((total - want).abs() < 1e-3 * want).all() and got["_r"].between(0, 2).all()
+
+
+def tilted(sizes, target, most=2.0):
+    """Rates by bisection on the one dual variable of a source."""
+    z = np.round(np.log1p(sizes) / np.mean(np.log1p(sizes)), 9)
+    low, high = -700.0, 700.0
+    for _ in range(200):
+        dual = (low + high) / 2
+        r = most / (1 + np.exp(-dual * z))
+        low, high = (dual, high) if (sizes * r).sum() < target else (low, dual)
+    return r
+
+
+def test_rates_and_copies_are_those_of_bisection(spark):
+    r = np.random.default_rng(2)
+    docs = [(i, "ab"[i % 2], int(r.integers(1, 60))) for i in range(400)]
+    got = mixing.mix(spark.createDataFrame(docs, "doc_id long, source string, size long")).collect()
+    for source in "ab":
+        own = [x for x in got if x.source == source]
+        sizes = np.array([x.size for x in own], float)
+        target = own[0].target
+        rates = np.full(len(own), 2.0) if target >= 2 * sizes.sum() else tilted(sizes, target)
+        want = took = 0.0
+        for size in sorted(set(sizes), reverse=True):  # long documents first, each size rounded with what is left over
+            at = np.flatnonzero(sizes == size)
+            want += rates[at].sum() * size
+            copies = [own[i].copies for i in at]
+            low = int(rates[at[0]])
+            assert set(copies) <= {low, low + 1}
+            assert sum(copies) == len(at) * low + min(len(at), max(0, round((want - took) / size) - len(at) * low))
+            took += sum(copies) * size
+
+
+def test_names_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a", 5, "x")] * 40 + [(None, None, 7, "y")] * 3, "doc_id long, source string, size long, copies string")
+    got = mixing.mix(docs).collect()
+    assert len(got) == 43 and sum(r.copies for r in got if r.doc_id == 1) in range(57, 64)
+
+
+def test_megabytes_in_one_text(spark, make):
+    rows = mixing.op10_entropy_mix(spark, make([(1, "ab " * 700_000, "en", "a"), (2, "x", "en", "a")])).collect()
+    assert {r.doc_id: r.size for r in rows} == {1: 700_000, 2: 1} and {r.source_size for r in rows} == {700_001}

@@ -77,3 +77,68 @@ def test_repeated_keys_are_split_by_row(spark, monkeypatch):
     assert max(n.values()) - min(n.values()) <= 1
     rows = spark.range(500).selectExpr("id AS _row", "0 AS g", "0 AS c")
     assert sorted(r._rank for r in ranks.ranked(rows, ["g"], "c", ["_row"], "_row").collect()) == list(range(500))
+
+
+def walk(keys, nodes, caps):
+    """Keys one by one: each goes to the first node at or after its place whose shard has room.
+
+    Nodes fill from their own keys first; what a full shard turns away goes on
+    to the next node with the others that wait there, a node each round.
+    """
+    arcs = collections.defaultdict(list)
+    for name, at, h in keys:
+        arc = next((i for i, (place, _) in enumerate(nodes) if place >= at), 0)
+        arcs[arc].append((at <= nodes[-1][0], at, h, name))  # behind the last node the ring starts again, first in its order
+    room, out = dict(enumerate(caps)), {}
+    waiting = {arc: [name for *_, name in sorted(own)] for arc, own in arcs.items()}
+    for step in range(len(nodes)):
+        for arc in sorted(waiting):
+            shard = nodes[(arc + step) % len(nodes)][1]
+            while waiting[arc] and room[shard]:
+                out[waiting[arc].pop(0)] = shard
+                room[shard] -= 1
+    return out
+
+
+def test_assign_is_the_walk_of_single_keys(spark):
+    for n, shards, slack in ((700, 5, 0.0), (700, 7, 0.1), (3, 4, 0.0)):
+        keys = spark.range(n).withColumnRenamed("id", "k")
+        hashes = {r.k: r.h for r in keys.select("k", F.xxhash64(F.lit(0), "k").alias("h")).collect()}
+        nodes = sharding.ring(shards, 8)
+        places = [(k, h % 2**64 >> 64 - sharding.RING_BITS, h) for k, h in hashes.items()]
+        want = walk(places, nodes, sharding.capacities(n, shards, slack))
+        assert {r.k: r.shard for r in sharding.assign(keys, "k", shards, vnodes=8, slack=slack).collect()} == want
+
+
+def test_one_more_shard_moves_few_keys(spark):
+    keys = spark.range(20000).withColumnRenamed("id", "k")
+    before = {r.k: r.shard for r in sharding.assign(keys, "k", 24).collect()}
+    after = {r.k: r.shard for r in sharding.assign(keys, "k", 25).collect()}
+    assert sum(before[k] != after[k] for k in before) < 0.12 * 20000
+
+
+def test_clashing_names(spark):
+    names = ["_u", "_row", "_rank", "_at", "_arc", "_cell", "_part", "_n", "_lo", "_bucket", "row", "a.b"]
+    keys = spark.range(50).select(F.col("id").alias("k"), *(F.concat(F.lit(n), F.col("id").cast("string")).alias(n) for n in names), F.lit("x").alias("Shard"))
+    got = sharding.assign(keys, "k", 5).collect()
+    assert got[0].__fields__ == ["k", *names, "shard", "slot"] and len(got) == 50
+    assert all(r[n] == f"{n}{r.k}" for r in got for n in names)
+
+
+def test_ranks_follow_from_the_rows_not_from_the_files(spark, monkeypatch):
+    from leafmark.llm import ranks
+
+    monkeypatch.setattr(ranks, "LARGE", 50)
+    monkeypatch.setattr(ranks, "PART", 10)
+    # one hot key of many texts, one text of which is hot itself
+    rows = [(1, f"t{i}") for i in range(400)] + [(1, "same")] * 300 + [(i, "u") for i in range(2, 100)]
+    keys = spark.createDataFrame(rows, "k long, x string")
+    one = sorted(map(tuple, sharding.assign(keys.repartition(2), "k", 6).collect()))
+    two = sorted(map(tuple, sharding.assign(keys.orderBy("x").repartition(7), "k", 6).collect()))
+    assert one == two and whole([r for r in sharding.assign(keys, "k", 6).collect()])
+
+
+def test_megabytes_in_one_text(spark, make):
+    text = "ab " * 700_000
+    got = {r.doc_id: r for r in sharding.op5_consistent_ring(spark, make([(1, text, "en", "a"), (2, None, None, None)])).collect()}
+    assert (got[1].size, got[1].text_crc32, got[2].size) == (len(text) + 8, zlib.crc32(text.encode()), 8)
