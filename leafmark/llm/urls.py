@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm import scratch
+from leafmark.llm import samples, scratch
 from leafmark.llm.joins import with_groups
 
 BINS = 64
@@ -30,7 +30,7 @@ FEATURES = ("f_length", "f_path", "f_depth", "f_labels", "f_digits", "f_entropy"
 
 @dataclass(frozen=True)
 class Training:
-    """``rows``: labelled URLs that the trees see at most, those with the smallest hashes."""
+    """``rows``: different labelled URLs that the trees see at most, those with the smallest hashes."""
 
     rows: int = 20_000
     trees: int = 10
@@ -196,7 +196,10 @@ def judge(pages: DataFrame, key: str = "page_id", rules: Sequence[tuple[str, str
     stats = scratch.store(suffix_statistics(lex, how.prior), "suffixes")
     full = with_groups(lex, stats, "suffix", stats.count(), key)
     labelled = full.filter(F.col("ruled").isNotNull() & (F.col("_h") % 2 == 0)).select("_h", (F.col("ruled") == "block").cast("int").alias("y"), *FEATURES)
-    sample = scratch.store(labelled.orderBy("_h", "y", *FEATURES).limit(how.rows), "sample").coalesce(1)
+    # a threshold on the hash leaves little more than the sample before anything is sorted; a URL counts once
+    different = labelled.agg(F.approx_count_distinct("_h", 0.02)).head()[0]
+    few = samples.by_hash(labelled, F.col("_h"), different, 1.2 * how.rows).distinct()
+    sample = scratch.store(few.orderBy(F.xxhash64("_h"), "_h", "y", *FEATURES).limit(how.rows), "sample").coalesce(1)
     score = margin(*grow(sample, how))
     return full.select(key, "host", "path", "rule", F.coalesce("ruled", F.when(score > 0, "block").otherwise("allow")).alias("verdict"), F.round(score, 6).alias("score"))
 

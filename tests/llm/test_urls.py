@@ -1,5 +1,8 @@
+import collections
+import math
 import re
 
+import numpy as np
 import pytest
 
 from leafmark.llm import urls
@@ -63,3 +66,61 @@ def test_best_split():
     one = urls.FIXED
     features = {0: {0: (5 * one, 4 * one), 1: (-5 * one, 4 * one)}, 1: {0: (0, 8 * one)}}
     assert urls.best_split(features, 1.0) == (0, 0) and urls.best_split({0: {0: (0, one), 1: (0, one)}}, 1.0) is None
+
+
+def grown(x, y, how):
+    """Boosted trees by plain loops: scores of the rows of ``x``."""
+    n, bad = len(y), y.sum()
+    weight = np.where(y == 1, n / (2 * bad), n / (2 * (n - bad)))
+    score, fixed = np.zeros(n), urls.FIXED
+    for _ in range(how.trees):
+        p = 1 / (1 + np.exp(-score))
+        g, h = np.round(weight * (p - y) * fixed) / fixed, np.round(weight * p * (1 - p) * fixed) / fixed
+        gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + how.ridge)
+        leaves = [np.ones(n, bool)]
+        for _ in range(how.depth):
+            new = []
+            for leaf in leaves:
+                best, split = 1e-6, None
+                for f in range(x.shape[1]):
+                    for cut in sorted(set(x[leaf, f]))[:-1]:
+                        low = leaf & (x[:, f] <= cut)
+                        high = leaf & ~low
+                        if min(h[low].sum(), h[high].sum()) >= 1 and gain(low) + gain(high) - gain(leaf) > best + 1e-9:
+                            best, split = gain(low) + gain(high) - gain(leaf), (low, high)
+                new += split or [leaf]
+            leaves = new
+        for leaf in leaves:
+            score[leaf] += round(-how.rate * g[leaf].sum() / (h[leaf].sum() + how.ridge), 9)
+    return score
+
+
+def test_trees_are_those_of_plain_boosting(spark):
+    r = np.random.default_rng(5)
+    x = r.integers(0, 12, (400, len(urls.FEATURES)))
+    y = ((x[:, 0] > 5) ^ (x[:, 3] > 7) ^ (r.random(400) < 0.1)).astype(int)
+    df = spark.createDataFrame([(int(b), *map(int, a)) for a, b in zip(x, y)], "y int, " + ", ".join(f"{f} int" for f in urls.FEATURES)).coalesce(1)
+    how = urls.Training(trees=3)
+    start, trees = urls.grow(df, how)
+    got = np.array([row.s for row in df.select(urls.margin(start, trees).alias("s")).collect()])
+    assert np.abs(got - grown(x, y, how)).max() < 1e-6
+
+
+def test_features_are_those_of_plain_counting(spark):
+    got = {r.page_id: r for r in urls.lexical(spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string"), "page_id", urls.RULES).collect()}
+    capped = lambda v: min(63, max(0, int(v // 1)))
+    for i, u in enumerate(URLS):
+        u = u or ""
+        host, path, *_ = brute(u)
+        shares = [c / len(u) for c in collections.Counter(u).values()]
+        want = (capped(len(u) / 4), capped(len(path) / 2), capped(path.count("/")), capped(host.count(".")), capped(sum(c in "0123456789" for c in u) * 128 / max(1, len(u))), capped(u.count("&") + u.count("?")), capped(host.count("-")))
+        r = got[i]
+        assert (r.f_length, r.f_path, r.f_depth, r.f_labels, r.f_digits, r.f_params, r.f_hyphens) == want, u
+        assert abs(r.f_entropy - min(63, -10 * sum(s * math.log2(s) for s in shares))) <= 1
+
+
+def test_sample_is_bounded_and_a_hot_url_counts_once(spark):
+    rows = [(i, "http://hot.com/x") for i in range(3000)] + [(5000 + i, f"http://{'com' if i % 2 else 'a.net'}{i}.{'com' if i % 2 else 'net'}/{'es/' if i % 2 == 0 else ''}{i}") for i in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").repartition(9)
+    a = {r.page_id: r.verdict for r in urls.judge(pages, how=urls.Training(rows=200)).collect()}
+    assert len(a) == 6000 and {a[i] for i in range(3000)} == {"allow"}
