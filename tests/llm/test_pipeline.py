@@ -1,5 +1,7 @@
 import collections
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from leafmark.llm import passages, quality
 from tests.llm.conftest import HARD
@@ -46,18 +48,47 @@ def test_run_applies_all(spark, sf):
 
 def test_hard_and_empty_tables(spark, hard, empty, make):
     assert P.run(spark, hard).columns[0] == "doc_id" and P.run(spark, empty).isEmpty()
-    text = " ".join(f"w{i}" for i in range(80))
-    named = make([(1, text, "en", "a"), (2, text.upper(), "en", "a"), (2, text.upper(), "en", "a"), (None, text + " more", "en", None), (None, None, None, None)])
+    text, other = " ".join(f"w{i}" for i in range(80)), " ".join(f"v{i}" for i in range(70))
+    named = make([(1, text, "en", "a"), (2, text.upper(), "en", "a"), (2, text.upper(), "en", "a"), (None, text + " more", "en", None), (None, other + " " + text, "en", None), (None, None, None, None)])
     docs = spark.read.parquet(f"{named}/documents.parquet")
     good = P.quality_rules(spark, docs, named)
-    assert sorted((r.doc_id or 0) for r in good.collect()) == [0, 1, 2, 2]
+    assert sorted((r.doc_id or 0) for r in good.collect()) == [0, 0, 1, 2, 2]
     unique = P.near_duplicates(spark, good, named)
     assert sorted((r.doc_id or 0) for r in unique.collect()) == [0, 1]
     cut = P.repeated_passages(spark, unique, named)
-    assert sorted(((r.doc_id or 0), r.text) for r in cut.collect()) == [(0, "more"), (1, text)]
+    assert sorted(((r.doc_id or 0), r.text) for r in cut.collect()) == [(0, other), (1, text)]
     assert len(HARD) == docs.sparkSession.read.parquet(f"{hard}/documents.parquet").count()
 
 
+def test_rows_that_share_a_doc_id_and_equal_rows(spark):
+    """Unlike texts of one doc_id stay both; of equal rows one stays, whichever files they are in."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(90)) for x in "abc")
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, c, "en", "s", 1), (2, c, "en", "s", 1), (2, c, "de", "s", 1), (None, c, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(map(tuple, P.near_duplicates(spark, docs, "").collect()))
+    assert len(got) == 3 and {x[1] for x in got} == {a, b, c} and all(x[0] for x in got)
+    assert got == sorted(map(tuple, P.near_duplicates(spark, docs.repartition(5), "").collect()))
+    cut = P.repeated_passages(spark, docs.limit(2), "")
+    assert cut.count() == 2
+    many = spark.createDataFrame([(7, a, "en", "s", 1)] * 10 + [(7, b, "en", "s", 1)] * 10, docs.schema)
+    mixed = P.mixed_sources(spark, many, "").groupBy("text").count().collect()
+    assert sum(r["count"] for r in mixed) == 30  # 150 % of 20 documents of one size
+
+
+CLASHES = "row key copies copy size n n_words n_removed kept _doc _key _source _text text_key root first other0 d2 component_id fp a.b shard slot target".split()
+
+
+def test_columns_with_names_of_their_own(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    wide = docs.select("*", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHES))
+    for name, stage in P.STAGES[:-1]:
+        plain, out = stage(spark, docs, sf), stage(spark, wide, sf)
+        assert out.columns == wide.columns, name
+        found = out.collect()
+        assert sorted(map(tuple, plain.collect())) == sorted(tuple(r[c] for c in docs.columns) for r in found), name
+        assert all(r[c] == f"{c}{r.doc_id}" for r in found for c in CLASHES), name
+
+
 def test_near_dedup_searches_components_over_all_texts(spark):
     """A text that is similar only to a dropped one of its group goes too."""
     base = [f"w{i}" for i in range(300)]
