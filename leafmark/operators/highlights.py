@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmark.functions.text import normalize_text
+from leafmark.operators.filters import check_request
 
 PAGE = ("doc_id", "page_number")
 #: Share of boxes outside the page, share of upright boxes, and how much longer one side must be.
@@ -39,30 +40,27 @@ def turned(x0: Column, y0: Column, x1: Column, y1: Column, height: Column) -> Co
     return F.when(bad, s(x0, y0, x1, y1)).otherwise(s(y0, height - x1, y1, height - x0))
 
 
-def lines(boxes: DataFrame) -> DataFrame:
-    """Words of each line as an array in word order."""
-    word = F.struct("word_no", "normalized", "x0", "y0", "x1", "y1")
-    return boxes.groupBy(*PAGE, "block_no", "line_no", "page_width", "page_height").agg(F.sort_array(F.collect_list(word)).alias("words"))
+def _single(boxes: DataFrame, terms: list[str]) -> DataFrame:
+    """Boxes of the terms of one word: one join with the words, however many terms."""
+    words = _words(boxes, [(t, 0, t) for t in terms])
+    return boxes.join(F.broadcast(words), "normalized").select(*PAGE, "page_width", "page_height", "x0", "y0", "x1", "y1", "term")
 
 
-def _hits(boxes: DataFrame, term: str) -> DataFrame:
-    parts = term.split()
-    wanted = [normalize_text(F.lit(p)) for p in parts]
-    if len(parts) == 1:
-        return boxes.filter(F.col("normalized") == wanted[0]).select(*PAGE, "page_width", "page_height", "x0", "y0", "x1", "y1")
-    k = len(parts)
-    # lines that lack one of the words are not gathered
-    rough = boxes.join(boxes.filter(F.col("normalized") == wanted[0]).select(*PAGE, "block_no", "line_no").distinct(), [*PAGE, "block_no", "line_no"], "left_semi")
-    at = lambda i, j: F.get("words", i + j)
+def _words(boxes: DataFrame, rows: list[tuple[str, int, str]]) -> DataFrame:
+    """(term, place, normalized) of the words of terms; 200 terms of 20 words at most."""
+    made = boxes.sparkSession.createDataFrame(rows, "term string, place int, word string")
+    return made.select("term", "place", normalize_text(F.col("word")).alias("normalized"))
 
-    def fits(w: Column, i: Column) -> Column:
-        tests = [(at(i, j)["normalized"] == wanted[j]) & (at(i, j)["word_no"] == w["word_no"] + j) for j in range(k)]
-        return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
 
-    windows = F.filter(F.transform("words", lambda w, i: F.when(fits(w, i), F.slice("words", i + 1, k))), lambda x: x.isNotNull())
-    found = lines(rough).select(*PAGE, "page_width", "page_height", F.explode(windows).alias("w"))
-    side = lambda f, c: f(F.transform("w", lambda x: x[c])).alias(c)
-    return found.select(*PAGE, "page_width", "page_height", side(F.array_min, "x0"), side(F.array_min, "y0"), side(F.array_max, "x1"), side(F.array_max, "y1"))
+def _several(boxes: DataFrame, terms: list[str]) -> DataFrame:
+    """Places of the terms of several words: boxes meet the words that they may be, and those of one start and term are counted."""
+    words = _words(boxes, [(t, i, w) for t in terms for i, w in enumerate(t.split())])
+    sizes = boxes.sparkSession.createDataFrame([(t, len(t.split())) for t in terms], "term string, size int")
+    line = [*PAGE, "block_no", "line_no", "page_width", "page_height", "term"]
+    met = boxes.join(F.broadcast(words), "normalized").withColumn("begin", F.col("word_no") - F.col("place"))
+    side = lambda f, c: f(c).alias(c)
+    spans = met.groupBy(*line, "begin").agg(F.countDistinct("place").alias("n"), side(F.min, "x0"), side(F.min, "y0"), side(F.max, "x1"), side(F.max, "y1"))
+    return spans.join(F.broadcast(sizes), "term").filter("n = size").select(*PAGE, "page_width", "page_height", "x0", "y0", "x1", "y1", "term")
 
 
 def highlights(boxes: DataFrame, terms: list[str], turn: bool | None = None, diagnostics: bool = True) -> DataFrame:
@@ -70,13 +68,16 @@ def highlights(boxes: DataFrame, terms: list[str], turn: bool | None = None, dia
 
     A word matches boxes of its normalised form; several match words in a row
     of one line. ``turn`` None asks the diagnosis (if on), True and False are
-    taken as given with confidence ``manual``. Pages without size have no places.
+    taken as given with confidence ``manual``. Pages without size have no places;
+    a term that is listed twice counts once. ValueError for too many or too long terms.
     """
-    terms = [t.strip() for t in terms if t and t.strip()]
+    check_request(1, 0, terms)
+    terms = list(dict.fromkeys(t.strip() for t in terms if t and t.strip()))
     boxes = boxes.filter((F.col("page_width") > 0) & (F.col("page_height") > 0))
     if not terms:
         terms, boxes = ["-"], boxes.limit(0)
-    found = reduce(DataFrame.unionAll, [_hits(boxes, t).withColumn("term", F.lit(t)) for t in terms])
+    kinds = (_single, [t for t in terms if len(t.split()) == 1]), (_several, [t for t in terms if len(t.split()) > 1])
+    found = reduce(DataFrame.unionByName, [kind(boxes, own) for kind, own in kinds if own])
     if turn is None and diagnostics:
         found = found.join(diagnose(boxes).select(*PAGE, "flip", "confidence"), list(PAGE))
     else:

@@ -42,8 +42,8 @@ def scan_counters(changes: DataFrame) -> DataFrame:
 
 def first_of_hash(documents: DataFrame) -> DataFrame:
     """The document with the first path of each content hash."""
-    order = Window.partitionBy("file_hash").orderBy("file_path", "doc_id")
-    return documents.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    first = F.min_by(F.struct(*documents.columns), F.struct("file_path", "doc_id"))
+    return documents.groupBy("file_hash").agg(first.alias("_first")).select("_first.*")
 
 
 def index_status(files: DataFrame, index: DataFrame) -> DataFrame:
@@ -88,10 +88,39 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def split_plans(plans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents that can be written whole and those that can't: without id or hash, or with a page without number."""
-    bad_page = F.exists("pages", lambda p: p["page_number"].isNull())
+    """Documents that can be written whole and those that can't: without id, with an id that an earlier plan has, or with a page without number or with a number twice."""
+    numbers = F.transform("pages", lambda p: p["page_number"])
+    bad_page = F.exists(numbers, lambda n: n.isNull()) | (F.size(F.array_distinct(numbers)) < F.size("pages"))
+    order = Window.partitionBy("doc_id").orderBy("page_count", F.xxhash64("pages"))
     ok = F.col("doc_id").isNotNull() & F.coalesce(~bad_page, F.lit(False))
-    return plans.filter(ok), plans.filter(~ok)
+    # of plans for one document the first that can be written is
+    marked = plans.withColumn("_ok", ok).withColumn("_n", F.when(F.col("_ok"), F.row_number().over(order.partitionBy("doc_id", "_ok"))))
+    good = F.coalesce(F.col("_ok") & (F.col("_n") == 1), F.lit(False))
+    return marked.filter(good).drop("_ok", "_n"), marked.filter(~good).drop("_ok", "_n")
+
+
+def write_counts(plans: DataFrame) -> DataFrame:
+    """One row (success, failed) of a batched write of plans."""
+    good, bad = split_plans(plans)
+    n = lambda x, ok: x.agg(F.count("*").alias("n")).select("n", F.lit(ok).alias("ok"))
+    both = n(good, True).unionAll(n(bad, False))
+    return both.agg(F.max(F.when(F.col("ok"), F.col("n"))).alias("success"), F.max(F.when(~F.col("ok"), F.col("n"))).alias("failed"))
+
+
+def write_all(plans: DataFrame, tables: dict[str, DataFrame], path: str) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """Write plans that can be written into ``tables`` (documents: doc_id, page_count; pages: doc_id, page_number, text, normalized_text).
+
+    Each document replaces its row and all its pages; what can't be written
+    leaves no trace. Returns the tables, written below ``path``, and the counts.
+    """
+    good, _ = split_plans(plans)
+    pages = good.select("doc_id", F.explode("pages").alias("p")).select("doc_id", "p.*")
+    new = {"documents": upsert(tables["documents"], good.select("doc_id", "page_count")), "pages": delete(tables["pages"], good.select("doc_id")).unionByName(pages)}
+    counts = write_counts(plans).head()
+    for name, rows in new.items():
+        rows.write.mode("errorifexists").parquet(f"{path}/{name}")
+    read = plans.sparkSession.read.parquet
+    return {name: read(f"{path}/{name}") for name in new}, counts.asDict()
 
 
 def delete(table: DataFrame, doc_ids: DataFrame) -> DataFrame:
@@ -99,6 +128,27 @@ def delete(table: DataFrame, doc_ids: DataFrame) -> DataFrame:
     return table.join(doc_ids.select("doc_id"), "doc_id", "left_anti")
 
 
+def delete_cascade(tables: dict[str, DataFrame], doc_ids: DataFrame) -> dict[str, DataFrame]:
+    """All tables without the rows of some documents."""
+    return {name: delete(table, doc_ids) for name, table in tables.items()}
+
+
+def in_range(docs: DataFrame, page_number: int) -> DataFrame:
+    """(doc_id, page_count, in_range): whether documents (doc_id, text) have a page of that number, counted from 0."""
+    count = F.size(F.split("text", "\n"))
+    return docs.select("doc_id", count.alias("page_count"), ((F.lit(page_number) >= 0) & (F.lit(page_number) < count)).alias("in_range"))
+
+
+def max_version(versions: DataFrame) -> DataFrame:
+    """One row with the largest applied schema version; 0 for a new index."""
+    return versions.agg(F.coalesce(F.max("version"), F.lit(0)).alias("version"))
+
+
+def exists(table: DataFrame, column: str, value: object) -> bool:
+    """Whether a row has a value; the scan ends with the first."""
+    return not table.filter(F.col(column) == value).limit(1).isEmpty()
+
+
 def lookup(documents: DataFrame, column: str, value: object) -> DataFrame:
     """The document with an id, hash or path."""
     if column not in ("doc_id", "file_hash", "file_path"):

@@ -82,11 +82,37 @@ def export(payloads: DataFrame, path: str) -> None:
     target = hadoop.Path(path)
     system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     made = [s.getPath() for s in system.listStatus(hadoop.Path(beside)) if s.getPath().getName().startswith("part-")]
-    system.delete(target, False)
-    system.rename(made[0], target)
+    # one step that replaces the target, so a reader finds the old file or the new one
+    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(context.makeQualified(made[0]), context.makeQualified(target), options)
     system.delete(hadoop.Path(beside), True)
 
 
+def emptiness(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n) of reference tables."""
+    parts = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, t in tables.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
+
+
+def insert_or_ignore(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+    """``table`` with the rows whose keys it does not have, one for each key; only an empty table is filled."""
+    if not table.isEmpty():
+        return table
+    order = [c for c in rows.columns if c not in key]
+    one = rows.groupBy(*key).agg(F.min(F.struct(*order)).alias("_r")).select(*key, "_r.*") if order else rows.distinct()
+    return table.unionByName(one.select(*table.columns))
+
+
+def attempted(rows: DataFrame) -> int:
+    """How many rows an insert is tried with, those that are ignored included."""
+    return rows.count()
+
+
 def payload(codes: DataFrame, aliases: DataFrame) -> DataFrame:
     """One row a category: sorted codes and aliases in English and Russian, as JSON."""
     alias = first_aliases(aliases, codes)

@@ -54,6 +54,19 @@ def search(pages: DataFrame, documents: DataFrame, query: str, f: Filter.Filters
     return ranked_documents(pages, documents, query, f).orderBy("score", "doc_id").offset(offset).limit(limit)
 
 
+def search_with_count(pages: DataFrame, documents: DataFrame, query: str, f: Filter.Filters = Filter.Filters(), limit: int = 50, offset: int = 0) -> DataFrame:
+    """``search`` with ``n_docs``, the number of documents that match, from one pass over the matches; no rows beyond the last slice."""
+    Filter.check_request(limit, offset)
+    if parse(query) is None:
+        found = Filter.apply(documents, f).select("doc_id", "file_path").distinct().select("*", F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("n_pages"))
+        order = ["file_path", "doc_id"]
+    else:
+        found, order = ranked_documents(pages, documents, query, f), ["score", "doc_id"]
+    # the count asks for the same columns as the slice, so both read one exchange of the matches
+    total = found.agg(F.count(F.when(F.col("n_pages") > 0, F.col("score"))).alias("n_docs"))
+    return found.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))
+
+
 def list_documents(documents: DataFrame, f: Filter.Filters, limit: int = 50, offset: int = 0) -> DataFrame:
     rows = Filter.apply(documents, f).select("doc_id", "file_path").distinct()
     return rows.orderBy("file_path", "doc_id").offset(offset).limit(limit).select("doc_id", "file_path", F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("n_pages"))

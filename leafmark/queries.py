@@ -23,7 +23,6 @@ SEARCHES = {
 }
 SNIPPET_QUERY = 'the OR "of the" OR thth*'
 EVENT_LEVELS = {"click": 10, "view": 10, "purchase": 20, "signup": 20, "error": 40}
-HASH = "abc"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +49,25 @@ def _counted(query: str, f: Filters = Filters()) -> Query:
     return lambda spark, sf_dir: search.count(tables.pages(spark, sf_dir), _documents(spark, sf_dir), query, f)
 
 
+def search_with_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.search_with_count(tables.pages(spark, sf_dir), _documents(spark, sf_dir), "the OR an*", limit=16, offset=16)
+    return found.select("doc_id", "file_path", F.round("score", 6).alias("score"), "n_pages", "n_docs")
+
+
+def log_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events.at_level(_events(spark, sf_dir), 20, {"click": 10, "error": 40})  # the other types are not mapped
+    return e.groupBy("event_type", "level").agg(F.count("*").alias("n"))
+
+
+def write_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans of which some have no document id, some repeat one and some hold a page without number."""
+    plans = ingest.page_plan(tables.table(spark, sf_dir, "documents"))
+    turn = F.col("doc_id") % 10
+    pages = F.when(turn == 3, F.transform("pages", lambda p: p.withField("page_number", F.lit(None).cast("int")))).otherwise(F.col("pages"))
+    hurt = plans.select(F.when(turn == 4, F.lit(None)).when(turn == 5, F.col("doc_id") - 3).otherwise(F.col("doc_id")).alias("doc_id"), "page_count", pages.alias("pages"))
+    return ingest.write_counts(hurt)
+
+
 def search_module_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables.table(spark, sf_dir, "labels").createOrReplaceTempView("quality_view")
     return _counted("the", Filters(modules={"quality_view": {"quality": 1, "toxic": 0}, "no_such_view": {"x": 1}}))(spark, sf_dir)
@@ -61,8 +79,7 @@ def search_grouped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = tables.pages(spark, sf_dir).filter(F.size("tokens") <= search.SNIPPET)
-    return search.page_hits(pages, SNIPPET_QUERY, tables.table(spark, sf_dir, "documents"))
+    return search.page_hits(tables.pages(spark, sf_dir), SNIPPET_QUERY, tables.table(spark, sf_dir, "documents"))
 
 
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +134,7 @@ def page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = tables.registry(spark, sf_dir)
     old = tables.previous_index(spark, sf_dir).select("doc_id", "file_path", "file_hash")
-    return ingest.upsert(old, r.filter("doc_id % 5 = 1").select("doc_id", "file_path", "file_hash"))
+    return ingest.upsert(old, r.select("doc_id", "file_path", "file_hash"))
 
 
 def delete_document(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +198,7 @@ def queries() -> dict[str, Query]:
     found: dict[str, Query] = {name: _scored(name) for name in SEARCHES}
     found |= {
         "search_bm25_pages": lambda s, d: search.matching_pages(tables.pages(s, d), "the OR an*").select("doc_id", "page_number", F.round("score", 6).alias("score")),
-        "search_ranked_docs": _ranked("the"), "search_page2": _ranked("the OR an*", limit=16, offset=16), "search_count": _counted("the OR an*"),
+        "search_ranked_docs": _ranked("the"), "search_page2": _ranked("the OR an*", limit=16, offset=16), "search_count": _counted("the OR an*"), "search_with_count": search_with_count,
         "search_filter_only": _ranked("", en, limit=500), "search_filter_only_count": _counted(" ", en), "search_with_filters": _ranked("the", en, limit=500),
         "search_unmatched_only": _ranked("the", unmatched, limit=500), "search_path_like": _ranked("the", path, limit=500), "search_module_view": search_module_view,
         "search_grouped_pages": search_grouped_pages, "search_snippet": lambda s, d: _snippets(s, d).select("doc_id", "page_number", "snippet"),
@@ -194,6 +211,7 @@ def queries() -> dict[str, Query]:
         "unmatched_summary": lambda s, d: metadata.unmatched_summary(_documents(s, d)),
         "references_payload": lambda s, d: metadata.payload(tables.codes(s), tables.aliases(s)),
         "alias_by_lang": lambda s, d: metadata.by_language(tables.aliases(s), "ru").select("category", "alias", "code"),
+        "alias_by_lang_en": lambda s, d: metadata.by_language(tables.aliases(s), "en").select("category", "alias", "code"),
         "alias_conflicts": lambda s, d: metadata.alias_conflicts(tables.aliases(s)),
         "autocomplete_code": lambda s, d: metadata.suggest(tables.codes(s), tables.aliases(s), "disciplines", " D1"),
         "autocomplete_alias": lambda s, d: metadata.suggest(tables.codes(s), tables.aliases(s), "objects", "Англ"),
@@ -209,6 +227,9 @@ def queries() -> dict[str, Query]:
         "event_filter": lambda s, d: events.subscribe(_events(s, d), ["purchase", "error"]).select("event_id", "event_type"),
         "event_prefix": lambda s, d: events.subscribe(_events(s, d), prefix="p").select("event_id", "event_type"),
         "event_level_filter": lambda s, d: events.at_level(_events(s, d), 20, EVENT_LEVELS).select("event_id", "event_type", "level"),
+        "log_levels": log_levels, "write_plans": write_plans, "page_range": lambda s, d: ingest.in_range(tables.table(s, d, "documents"), 3),
+        "reference_emptiness": lambda s, d: metadata.emptiness({"codes": tables.codes(s), "aliases": tables.aliases(s), "none": tables.codes(s).limit(0)}),
+        "reference_insert": lambda s, d: metadata.insert_or_ignore(tables.codes(s).limit(0), tables.aliases(s).select("category", "code"), ["category", "code"]),
         "progress_throttle_1s": lambda s, d: events.throttled(_events(s, d)), "event_counts_hourly": lambda s, d: events.counts(_events(s, d)),
         "latest_status": lambda s, d: events.latest(_events(s, d)), "consecutive_errors": lambda s, d: events.longest_runs(_events(s, d), "error"),
         "slow_events": lambda s, d: events.slow(_events(s, d), 100.0).select("event_id", "value"),

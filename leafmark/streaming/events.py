@@ -23,6 +23,8 @@ LEVELS = {
     "http.request_started": 10, "http.request_completed": 20, "auth.auto_login": 20, "coord.anomaly_detected": 30,
     "module.loaded": 20, "module.load_failed": 40, "module.error": 40,
 }
+#: Fixed value: the level of types without one.
+INFO = 20
 #: Types that end a progress feed.
 LAST = ("scan.completed", "scan.secondary.completed")
 
@@ -40,15 +42,15 @@ def subscribe(events: DataFrame, types: list[str] | None = None, prefix: str | N
 
 
 def level_of(event_type: Column, levels: dict[str, int] = LEVELS) -> Column:
-    """The level of a type, null for unknown ones."""
-    out = F.lit(None).cast("int")
+    """The level of a type; unknown ones count as INFO."""
+    out = F.lit(INFO)
     for name, level in levels.items():
         out = F.when(event_type == name, level).otherwise(out)
     return out
 
 
 def at_level(events: DataFrame, level: int, levels: dict[str, int] = LEVELS) -> DataFrame:
-    """Events of types mapped to ``level`` or above, with that level."""
+    """Events of ``level`` or above, with their level."""
     return events.withColumn("level", level_of(F.col("event_type"), levels)).filter(F.col("level") >= level)
 
 
@@ -68,9 +70,11 @@ def counts(events: DataFrame, every: str = "1 hour") -> DataFrame:
     return events.groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
-def dedup(events: DataFrame, key: list[str]) -> DataFrame:
-    """The first event of each key; the state of a stream is kept."""
-    return events.dropDuplicates(key)
+def dedup(events: DataFrame, key: list[str], time: str | None = None, keep: str = "1 hour") -> DataFrame:
+    """The first event of each key; with a ``time`` column a stream forgets keys after ``keep``, else it keeps them all."""
+    if time is None:
+        return events.dropDuplicates(key)
+    return events.withWatermark(time, keep).dropDuplicatesWithinWatermark(key) if events.isStreaming else events.dropDuplicates(key)
 
 
 def slow(events: DataFrame, over: float) -> DataFrame:

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from leafmark import oracle, queries
+from leafmark.plans import query
 
 SQL = oracle.oracle_sql()
 
@@ -33,8 +34,18 @@ def test_query_equals_sql(spark, sf, con, name):
     assert rows(got) == rows(want)
 
 
-def test_every_query_has_sql_but_the_loop():
-    assert set(queries.queries()) - set(SQL) == {"module_load_order"}
+def test_every_query_has_sql():
+    assert set(queries.queries()) == set(SQL)
+
+
+def test_trees_of_the_sql_are_those_of_the_parser():
+    def same(a, b):
+        if isinstance(b, oracle.Term):
+            return isinstance(a, query.Leaf) and (a.tokens, a.prefix) == b
+        return type(a).__name__.upper() == b.kind and same(a.left, b.left) and same(a.right, b.right)
+
+    assert all(same(query.parse(text), tree) for text, tree in oracle.TREES.items())
+    assert set(queries.SEARCHES.values()) <= set(oracle.TREES)
 
 
 def test_entry(spark):
