@@ -53,8 +53,8 @@ class Passages:
 
     window: int = 20
     phrase: int = 4
-    run: int = 600_000
-    cell: int = 8 << 20
+    run: int = 500_000
+    cell: int = 4 << 20
     hot: int = 1 << 15
     gathered: int = 1 << 17
     bits: int = 64
@@ -349,12 +349,13 @@ class Gathered:
 def numbered(t: Tokens) -> np.ndarray:
     """A number for each word, the same for the same bytes only; by hashes, and where these deceive by the words themselves."""
     _, at, ids = np.unique(t.hashes, return_index=True, return_inverse=True)
-    same = t.size == t.size[at][ids]
-    if same.all():
-        n = t.size
+    like = t.begin[at][ids]
+    same = (t.size == t.size[at][ids]).all()
+    for a in range(0, len(ids) if same else 0, 1 << 16):  # bytes are compared a few words at a time
+        n = t.size[a : a + (1 << 16)]
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        same = t.text[np.repeat(t.begin, n) + inner] == t.text[np.repeat(t.begin[at][ids], n) + inner]
-    if same.all():
+        same = same and np.array_equal(t.text[np.repeat(t.begin[a : a + (1 << 16)], n) + inner], t.text[np.repeat(like[a : a + (1 << 16)], n) + inner])
+    if same:
         return ids.astype(np.int32)
     raw, seen = t.text.tobytes(), {}
     return np.array([seen.setdefault(raw[a : a + n], len(seen)) for a, n in zip(t.begin.tolist(), t.size.tolist())], np.int32)
