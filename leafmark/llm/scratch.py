@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
+#: Paths that this driver handed out, in order.
+_made: list[str] = []
 
 
 def root(spark: SparkSession) -> str:
@@ -30,8 +32,9 @@ def root(spark: SparkSession) -> str:
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{root(spark)}/leafmark/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other run uses, below a folder of this application."""
+    _made.append(f"{root(spark)}/leafmark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -42,8 +45,25 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete everything that was written below the shared folder."""
+def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root(spark)}/leafmark")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def mark(spark: SparkSession) -> int:
+    """Where ``free`` begins."""
+    return len(_made)
+
+
+def free(spark: SparkSession, since: int, but: DataFrame) -> None:
+    """Delete what was written since ``mark`` and is of no more use, all but the table ``but``."""
+    keep = {path.rstrip("/").rsplit("/", 2)[-2] for path in but.inputFiles()}
+    for path in _made[since:]:
+        if path.rsplit("/", 1)[1] not in keep:
+            _delete(spark, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete everything that this application wrote below the shared folder."""
+    _delete(spark, f"{root(spark)}/leafmark/{spark.sparkContext.applicationId}")
