@@ -91,10 +91,10 @@ def split_plans(plans: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents that can be written whole and those that can't: without id, with an id that an earlier plan has, or with a page without number or with a number twice."""
     numbers = F.transform("pages", lambda p: p["page_number"])
     bad_page = F.exists(numbers, lambda n: n.isNull()) | (F.size(F.array_distinct(numbers)) < F.size("pages"))
-    order = Window.partitionBy("doc_id").orderBy("page_count", F.xxhash64("pages"))
+    order = Window.partitionBy("doc_id", "_ok").orderBy(F.size("pages"), F.xxhash64("pages"))
     ok = F.col("doc_id").isNotNull() & F.coalesce(~bad_page, F.lit(False))
     # of plans for one document the first that can be written is
-    marked = plans.withColumn("_ok", ok).withColumn("_n", F.when(F.col("_ok"), F.row_number().over(order.partitionBy("doc_id", "_ok"))))
+    marked = plans.withColumn("_ok", ok).withColumn("_n", F.when(F.col("_ok"), F.row_number().over(order)))
     good = F.coalesce(F.col("_ok") & (F.col("_n") == 1), F.lit(False))
     return marked.filter(good).drop("_ok", "_n"), marked.filter(~good).drop("_ok", "_n")
 

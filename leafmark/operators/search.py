@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmark.functions import text as T
 from leafmark.operators import filters as Filter
 from leafmark.plans import compile as C
-from leafmark.plans.query import Node, parse
+from leafmark.plans.query import Leaf, Node, parse
 
 #: Tokens of a snippet.
 SNIPPET = 200
@@ -42,7 +42,12 @@ def matching_pages(pages: DataFrame, query: str, keep: tuple[str, ...] = ("doc_i
 
 def ranked_documents(pages: DataFrame, documents: DataFrame, query: str, f: Filter.Filters = Filter.Filters()) -> DataFrame:
     """(doc_id, file_path, score, n_pages) of matching documents; a document's score is its best page's."""
-    best = matching_pages(pages, query).groupBy("doc_id").agg(F.min("score").alias("score"), F.count("*").alias("n_pages"))
+    return rank(matching_pages(pages, query), documents, f)
+
+
+def rank(hits: DataFrame, documents: DataFrame, f: Filter.Filters = Filter.Filters()) -> DataFrame:
+    """(doc_id, file_path, score, n_pages) of the documents of ``hits``, which a page table or an inverted index gave."""
+    best = hits.groupBy("doc_id").agg(F.min("score").alias("score"), F.count("*").alias("n_pages"))
     return best.join(Filter.apply(documents, f).select("doc_id", "file_path"), "doc_id").select("doc_id", "file_path", "score", "n_pages")
 
 
@@ -151,6 +156,49 @@ def postings(pages: DataFrame) -> DataFrame:
 
 
 def write_index(pages: DataFrame, path: str) -> DataFrame:
-    """The page table in Parquet, by document; searches read it instead of tokenising again."""
-    pages.write.mode("overwrite").parquet(path)
+    """The page table in Parquet, sorted by document, so that the pages of a few documents are a few row groups; searches read it instead of tokenising again."""
+    pages.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "page_number").write.mode("overwrite").parquet(path)
     return pages.sparkSession.read.parquet(path)
+
+
+def write_postings(pages: DataFrame, path: str) -> None:
+    """The inverted index of a page table below ``path``: postings sorted by term, and the statistics of the corpus.
+
+    Postings are dealt by range of (term, doc_id), so a frequent term is many
+    files and a search reads the row groups of its terms.
+    """
+    rows = pages.select("doc_id", "page_number", "dl", F.posexplode("tokens").alias("position", "term"))
+    grouped = rows.groupBy("term", "doc_id", "page_number").agg(F.first("dl").alias("dl"), F.sort_array(F.collect_list("position")).alias("positions"))
+    grouped.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id", "page_number").write.mode("overwrite").parquet(f"{path}/postings")
+    corpus_stats(pages).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def matching_postings(spark: SparkSession, path: str, query: str) -> DataFrame:
+    """What ``matching_pages`` gives, from the inverted index at ``path``: only the terms of the query are read."""
+    node = parse(query)
+    if node is None:
+        raise ValueError("the query is empty")
+    tf = C.tf_names(node)
+    whole = {t for leaf in tf for t in (leaf.tokens[:-1] if leaf.prefix else leaf.tokens)}
+    begins = {leaf.tokens[-1] for leaf in tf if leaf.prefix and leaf.tokens}
+    wanted = reduce(lambda a, b: a | b, (F.startswith("term", F.lit(p)) for p in sorted(begins)), F.col("term").isin(sorted(whole)))
+    read = spark.read.parquet(f"{path}/postings").filter(wanted)
+
+    def places(leaf: Leaf, at: int) -> Column:
+        fits = F.startswith("term", F.lit(leaf.tokens[at])) if leaf.prefix and at == len(leaf.tokens) - 1 else F.col("term") == leaf.tokens[at]
+        return F.flatten(F.collect_list(F.when(fits, F.col("positions"))))
+
+    lists = {(n, at): places(leaf, at) for leaf, n in tf.items() for at in range(len(leaf.tokens))}
+    found = read.groupBy("doc_id", "page_number").agg(F.first("dl").alias("dl"), *(x.alias(f"{n}_{at}") for (n, at), x in lists.items()))
+
+    def frequency(leaf: Leaf, n: str) -> Column:
+        if not leaf.tokens:
+            return F.lit(0)
+        follows = lambda x: reduce(lambda a, b: a & b, (F.array_contains(f"{n}_{k}", x + k) for k in range(1, len(leaf.tokens))), F.lit(True))
+        return F.size(F.filter(f"{n}_0", follows))
+
+    counted = found.select("doc_id", "page_number", "dl", *(frequency(leaf, n).alias(n) for leaf, n in tf.items()))
+    known = spark.read.parquet(f"{path}/stats").select(F.col("n_pages").alias("_pages"), F.col("avg_dl").alias("_mean"))
+    with_leaf = counted.agg(*(F.coalesce(F.sum((F.col(n) > 0).cast("long")), F.lit(0)).alias(f"_df{n}") for n in tf.values()))
+    hits = counted.filter(C.predicate(node, tf)).crossJoin(F.broadcast(known)).crossJoin(F.broadcast(with_leaf))  # one row each
+    return hits.select("doc_id", "page_number", (-C.score(node, tf)).alias("score"))

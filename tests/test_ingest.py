@@ -85,3 +85,24 @@ def test_migration_and_scans(spark):
     scans = spark.createDataFrame([(1, "done"), (3, "running"), (2, "running")], "scan_id long, status string")
     assert ingest.latest_scan(scans).collect() == [(3, "running")] and ingest.latest_scan(scans.limit(0)).isEmpty()
     assert ingest.interrupt_stale(scans).filter(F.col("status") == "interrupted").count() == 2
+
+
+def test_batched_write_replaces_documents_whole(spark, tmp_path):
+    page = "array<struct<page_number: int, text: string, normalized_text: string>>"
+    plans = spark.createDataFrame(
+        [(1, 2, [(0, "a", "a"), (1, "b", "b")]), (2, 1, [(None, "x", "x")]), (None, 1, [(0, "y", "y")]), (3, 1, [(0, "p", "p"), (0, "q", "q")]), (1, 3, [(0, "late", "late")]), (4, 0, [])],
+        f"doc_id long, page_count int, pages {page}",
+    )
+    tables = {"documents": spark.createDataFrame([(1, 9), (5, 1)], "doc_id long, page_count int"), "pages": spark.createDataFrame([(1, 7, "old", "old"), (5, 0, "five", "five"), (2, 0, "two", "two")], "doc_id long, page_number int, text string, normalized_text string")}
+    new, counts = ingest.write_all(plans, tables, str(tmp_path / "next"))
+    assert counts == {"success": 2, "failed": 4}
+    assert sorted(map(tuple, new["documents"].collect())) == [(1, 3), (4, 0), (5, 1)]  # of two plans for 1 the one with fewer pages
+    assert sorted((r.doc_id, r.text) for r in new["pages"].collect()) == [(1, "late"), (2, "two"), (5, "five")]
+    left = ingest.delete_cascade(new, spark.createDataFrame([(1,)], "doc_id long"))
+    assert {name: sorted(r.doc_id for r in t.collect()) for name, t in left.items()} == {"documents": [4, 5], "pages": [2, 5]}
+    assert ingest.exists(new["documents"], "doc_id", 4) and not ingest.exists(new["documents"], "doc_id", 99)
+
+
+def test_versions(spark):
+    assert ingest.max_version(spark.createDataFrame([(2,), (6,)], "version int")).head().version == 6
+    assert ingest.max_version(spark.createDataFrame([], "version int")).head().version == 0

@@ -155,3 +155,33 @@ def test_postings(corpus):
     p = search.postings(pages)
     assert p.agg(F.sum("tf")).head()[0] == pages.agg(F.sum(F.size("tokens"))).head()[0]
     assert p.filter(F.size("positions") != F.col("tf")).isEmpty()
+
+
+@pytest.mark.parametrize("query", ["alpha", "alph*", '"alpha beta"', "alpha NOT beta", "(alpha OR beta) AND (gamma OR delta)", "EC-423-1", 'alpha AND ""', 'alpha beta NOT gam* OR delta AND "beta alph" OR корпус', "alpha alpha"])
+def test_postings_give_what_pages_give(spark, corpus, tmp_path_factory, query):
+    pages, docs, _ = corpus
+    path = str(tmp_path_factory.getbasetemp() / "postings")
+    if not (tmp_path_factory.getbasetemp() / "postings").exists():
+        search.write_postings(pages, path)
+    plain = lambda df: sorted((r.doc_id, r.page_number, round(r.score, 9)) for r in df.collect())
+    assert plain(search.matching_postings(spark, path, query)) == plain(search.matching_pages(pages, query))
+
+
+def test_postings_reach_the_scan_by_term(spark, corpus, tmp_path, capsys):
+    pages, docs, _ = corpus
+    search.write_postings(pages, str(tmp_path))
+    hits = search.matching_postings(spark, str(tmp_path), "alpha OR gam*")
+    hits.explain("formatted")
+    assert "PushedFilters: [Or(StringStartsWith(term,gam),EqualTo(term,alpha))]" in capsys.readouterr().out.replace("Or(EqualTo(term,alpha),StringStartsWith(term,gam))", "Or(StringStartsWith(term,gam),EqualTo(term,alpha))").replace("In(term, [alpha])", "EqualTo(term,alpha)")
+    ranked = search.rank(hits, docs).orderBy("score", "doc_id").limit(5).collect()
+    assert ranked == search.search(pages, docs, "alpha OR gam*", limit=5).collect()
+    with pytest.raises(ValueError):
+        search.matching_postings(spark, str(tmp_path), " ")
+
+
+def test_search_with_count(corpus):
+    pages, docs, _ = corpus
+    rows = search.search_with_count(pages, docs, "alpha", limit=4, offset=2).collect()
+    assert [r[:4] for r in rows] == [tuple(r) for r in search.search(pages, docs, "alpha", limit=4, offset=2).collect()]
+    assert {r.n_docs for r in rows} == {search.count(pages, docs, "alpha").head().n_docs}
+    assert {r.n_docs for r in search.search_with_count(pages, docs, "", limit=3).collect()} == {30}
