@@ -69,3 +69,44 @@ def test_mel_filters_cover_the_band():
     assert f.shape == (257, 64) and (f >= 0).all() and (f.sum(axis=1)[8:235] > 0.5).all()
     with pytest.raises(ValueError):
         audio.from_wav(b"RIFF")
+
+
+def test_log_mel_is_the_direct_transform():
+    a, x = audio.Audio(), np.random.default_rng(3).standard_normal(3000).astype(np.float32)
+    window = [0.5 - 0.5 * np.cos(2 * np.pi * i / (a.frame - 1)) for i in range(a.frame)]
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (mel(a.new_rate / 2) * k / (a.bands + 1) / 2595) - 1) for k in range(a.bands + 2)]
+    got, frames = audio.log_mel(x, a), range(0, len(x) - a.frame + 1, a.hop)
+    assert got.shape == (len(frames), a.bands)
+    basis = np.exp(-2j * np.pi * np.outer(np.arange(a.fft // 2 + 1), np.arange(a.frame)) / a.fft)
+    for row, at in list(enumerate(frames))[::5]:
+        power = np.abs(basis @ (x[at : at + a.frame] * window)) ** 2
+        for band in range(0, a.bands, 7):
+            low, mid, high = edges[band : band + 3]
+            total = sum(p * max(0.0, min((f - low) / (mid - low), (high - f) / (high - mid))) for p, f in zip(power, np.arange(len(power)) * a.new_rate / a.fft))
+            assert abs(got[row, band] - np.log(total + 1e-6)) < 2e-3
+
+
+def test_spans_are_those_of_a_state_machine():
+    a, r = audio.Audio(), np.random.default_rng(4)
+    for _ in range(30):
+        loud = np.repeat(r.choice([-12.0, -6.0, -3.0, 0.0, 2.0], 40), r.integers(1, 9, 40))
+        mel = np.repeat(loud[:, None], a.bands, axis=1).astype(np.float32)
+        level = [10 * np.log10(np.mean([np.exp(v) for v in row])) for row in mel.astype(float)]
+        floor, want, begin, reached = np.quantile(level, 0.1), [], None, False
+        for i, v in enumerate([*level, -np.inf]):
+            if v > floor + a.leave:
+                begin, reached = (i if begin is None else begin), reached or v > floor + a.enter
+            elif begin is not None:
+                start, end = round(begin * a.hop * 1000 / a.new_rate), round(((i - 1) * a.hop + a.frame) * 1000 / a.new_rate)
+                if reached and end - start >= a.least_ms:
+                    want.append((start, end))
+                begin, reached = None, False
+        assert audio.spans(mel, a) == want
+
+
+def test_megabytes_in_one_text(spark, make):
+    text = "some words of a long text " * 80_000
+    got = {r.doc_id: r for r in audio.op1_audio_features(spark, make([(1, text, "en", "a"), (2, "x", "en", "a")])).collect()}
+    assert got[1].n_bytes == len(text) and got[1].payload_bytes == len(text) + -len(text) % 64
+    assert got[1].payload_sha256 == hashlib.sha256(text.encode() + bytes(-len(text) % 64)).hexdigest()

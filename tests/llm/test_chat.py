@@ -54,3 +54,10 @@ def test_query_equals_sql(spark, tmp_path):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     df.limit(0).write.parquet(f"{tmp_path}/none/conversations.parquet")
     assert [r.conv_id for r in chat.op3_schema_fingerprint(spark, f"{tmp_path}/none").collect()] == [-7]
+
+
+def test_megabytes_in_one_text():
+    turns = [("user", r"\<#" * 400_000), ("assistant", "some text </turn> " * 80_000)]
+    text, spans = chat.render(turns)
+    (a, b), = spans
+    assert chat.parse(text) == turns and chat.unescape(text[a:b]) == turns[1][1]

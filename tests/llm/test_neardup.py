@@ -164,3 +164,9 @@ def test_shingles_decide_at_the_threshold(spark):
     got = {int(x.a) // 2 for x in neardup.similar_links(df).collect()}
     assert len(near) >= 300 and len(far) >= 250
     assert not got & far and len(got & near) >= 0.98 * len(near)
+
+
+def test_megabytes_in_one_text(spark, make):
+    text = " ".join(f"w{x}" for x in np.random.default_rng(5).integers(0, 9000, 200_000))
+    got = {r.doc_id: r for r in neardup.op6_simhash_vantage(spark, make([(1, text, "en", "a"), (2, text.upper(), "en", "a"), (3, "x", "en", "a")])).collect()}
+    assert got[1].fingerprint == got[2].fingerprint == f"{slow_fingerprint(text):016x}" and got[2].component_id == 1 and got[3].component_id == 3

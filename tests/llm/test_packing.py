@@ -81,3 +81,9 @@ def test_special_token_strings_have_the_ids_of_the_tokenizer(spark):
         encode = packing.encoder(public_tokenizers.path(f"byte_bpe_50k.{x}"), special=True)
         assert all(encode(t).tolist() == plain.encode(t, add_special_tokens=False).ids for t in texts)
     check(packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), list(enumerate(texts)))
+
+
+def test_megabytes_in_one_text(spark, make):
+    docs = [(1, "some words of a long text " * 60_000, "en", "a"), (2, "a<|endoftext|>b", "en", "a")]
+    rows = packing.op8_first_fit_packing(spark, make(docs)).collect()
+    check(rows, [(d, t) for d, t, _, _ in docs])
