@@ -156,8 +156,12 @@ def postings(pages: DataFrame) -> DataFrame:
 
 
 def write_index(pages: DataFrame, path: str) -> DataFrame:
-    """The page table in Parquet, sorted by document, so that the pages of a few documents are a few row groups; searches read it instead of tokenising again."""
-    pages.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "page_number").write.mode("overwrite").parquet(path)
+    """The page table in Parquet; searches read it instead of tokenising again.
+
+    Each file is sorted by document, without a shuffle, so that the pages of a
+    few documents are a few of its row groups.
+    """
+    pages.sortWithinPartitions("doc_id", "page_number").write.mode("overwrite").parquet(path)
     return pages.sparkSession.read.parquet(path)
 
 
