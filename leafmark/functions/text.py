@@ -121,3 +121,15 @@ def field_value(text: Column) -> Column:
 
 def safe_id(text: Column, length: int = 64) -> Column:
     return F.left(F.regexp_replace(text, "[^a-zA-Z0-9_-]", "_"), F.lit(length))
+
+
+def new_id() -> Column:
+    """A random id in the form of a UUID."""
+    return F.expr("uuid()")
+
+
+def stable_id(*parts: Column) -> Column:
+    """An id in the form of a UUID that follows from ``parts``; null parts differ from empty ones."""
+    told = [F.coalesce(F.concat(F.lit("="), x.cast("string")), F.lit("")) for x in parts]
+    digest = F.md5(F.concat_ws("\n", *told).cast("binary"))
+    return F.concat_ws("-", *(F.substring(digest, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))

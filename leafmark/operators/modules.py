@@ -68,15 +68,30 @@ class Modules:
 
     def __init__(self) -> None:
         self.processors: dict[str, Processor] = {}
+        self.ended = False
 
     def register(self, processor: Processor) -> None:
         if not processor.name.isidentifier():
             raise ValueError(f"{processor.name!r} is no valid name")
         self.processors.setdefault(processor.name, processor)
 
-    def run(self, documents: DataFrame) -> dict[str, DataFrame]:
+    def run(self, documents: DataFrame, refresh: Callable[[DataFrame], DataFrame] | None = None, publish: Callable[[dict], None] = lambda event: None) -> dict[str, DataFrame]:
+        """Views of all processors over ``documents``, whose metadata ``refresh`` brings up to date before.
+
+        The work itself is done when a view is read. Events tell how far it is;
+        ``shutdown`` leaves out the processors to come.
+        """
+        publish({"event_type": "scan.secondary.started", "total": len(self.processors)})
+        documents = refresh(documents) if refresh else documents
         out = {}
         for name, p in self.processors.items():
+            if self.ended:
+                break
             out[name] = documents.filter(p.wants).mapInPandas(p.process, p.schema)
             out[name].createOrReplaceTempView(name)
+            publish({"event_type": "scan.secondary.progress", "module": name, "processed": len(out), "total": len(self.processors)})
+        publish({"event_type": "scan.secondary.completed", "processed": len(out), "total": len(self.processors)})
         return out
+
+    def shutdown(self) -> None:
+        self.ended = True

@@ -78,8 +78,16 @@ class StatusCache:
         return self.value
 
 
-def within(spark: SparkSession, seconds: float, action: Callable[[], object], name: str = "query") -> object:
-    """What ``action`` returns; TimeoutError, and its Spark jobs cancelled, if it takes longer."""
+#: Seconds that operations may take.
+LIMITS = {
+    "scan.extract": 300.0, "scan.directory_scan": 600.0, "scan.db_write_batch": 60.0, "scan.cache_load": 30.0, "scan.cancel_grace": 5.0, "index.refresh": 600.0,
+    "search.query": 30.0, "document.page_load": 30.0, "document.delete": 30.0,
+}
+
+
+def within(spark: SparkSession, seconds: float | None, action: Callable[[], object], name: str = "search.query", publish: Callable[[dict], None] | None = None) -> object:
+    """What ``action`` returns; TimeoutError, an event and its Spark jobs cancelled if it takes longer, by default than ``LIMITS`` says for ``name``."""
+    seconds = LIMITS[name] if seconds is None else seconds
     context, group = spark.sparkContext, f"leafmark-{name}-{time.monotonic_ns()}"
     timer = threading.Timer(seconds, lambda: context.cancelJobGroup(group))
     began = time.monotonic()
@@ -89,6 +97,8 @@ def within(spark: SparkSession, seconds: float, action: Callable[[], object], na
         return action()
     except Exception as error:
         if time.monotonic() - began >= seconds:
+            if publish:
+                publish({"event_type": "operation.timed_out", "operation": name, "timeout_seconds": seconds})
             raise TimeoutError(f"{name} took more than {seconds} s") from error
         raise
     finally:

@@ -301,5 +301,46 @@ walk AS (SELECT 0 AS k, CAST([] AS VARCHAR[]) AS placed, names, links FROM every
   UNION ALL SELECT k + 1, list_append(placed, list_filter(names, lambda x: NOT list_contains(placed, x) AND len(list_filter(links, lambda l: l.name = x AND l.needs IS NOT NULL AND NOT list_contains(placed, l.needs))) = 0)[1]), names, links
   FROM walk WHERE k < len(list_distinct(names)))
 SELECT CAST(k - 1 AS INTEGER) AS position, placed[k] AS module_name FROM walk WHERE k > 0""",
+    }
+    first_pages = _ranked("the", "TRUE", 500)
+    scanned = "scans AS (SELECT event_id AS scan_id, 'primary' AS phase, CASE WHEN event_type = 'error' THEN 'running' ELSE 'completed' END AS status, user_id AS processed_files, user_id + 10 AS total_files FROM events)"
+    sql |= {
+        "module_problems": "SELECT * FROM (VALUES ('stamps', 'core', '>=2'), ('drawings', 'library', 'nowhere'), ('export', 'missing', 'missing'), ('drawings', 'version', 'core')) v(module_name, problem, about)",
+        "module_registry": """SELECT * FROM (VALUES ('core', '2', 'active', '[]', NULL), ('audit', '2', 'active', '["notes"]', NULL), ('tables', '1', 'loaded', '[]', NULL), ('drawings', '1', 'loaded', '[]', NULL),
+('export', '1', 'loaded', '[]', NULL), ('stamps', '1', 'error', '[]', 'broken')) v(module_name, version, status, managed_tables, error_message)""",
+        "secondary_scan": "SELECT doc_id, length(COALESCE(text, '')) AS n FROM documents WHERE lang = 'en'",
+        "module_manifests": f"WITH {MODULES} SELECT module_name, version, 'a/' || module_name AS path FROM modules",
+        "query_errors": """SELECT * FROM (VALUES ('the', FALSE), ('"of the" an*', FALSE), ('the AND', TRUE), ('(the OR der', TRUE), ('the) OR der', TRUE), ('NOT the', TRUE), ('(a OR b) c', TRUE), ('12.5', TRUE), ('*', TRUE),
+('"open', FALSE), ('the NOT of', FALSE), ('die AND (der OR von)', FALSE), ('OR', TRUE), ('a b c', FALSE)) v(query, wrong)""",
+        "search_mode_normal": first_pages, "search_mode_content": first_pages, "search_mode_filters": sql["search_filter_only"],
+        "backend_count": f"WITH {_search('the')}, {RESOLVED} SELECT 'basic_search,count,relevance,snippet' AS capabilities, COUNT(DISTINCT h.doc_id) AS n_docs FROM hits h JOIN docs d USING (doc_id)",
+        "extract_pages": f"WITH {LINES} SELECT doc_id, CAST(COUNT(*) OVER (PARTITION BY doc_id) AS INTEGER) AS page_count, page_number, text FROM numbered",
+        "settings": """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN 'false' WHEN 4 THEN 'true' END AS flag, CASE WHEN doc_id % 4 <> 3 THEN CAST(doc_id AS VARCHAR) END AS number, lang FROM documents""",
+        "text_ids": f"""WITH {REGISTRY}, h AS (SELECT *, md5('=' || doc_id || chr(10) || '=' || file_path) AS m, regexp_extract(file_path, '[^/]*$') AS name FROM registry)
+SELECT doc_id, substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21) AS stable_id, substr(regexp_replace(file_path, '[^a-zA-Z0-9_-]', '_', 'g'), 1, 20) AS safe_id,
+lower(replace(file_path, '-', ' ')) AS field_value, regexp_replace(name, '[.][^.]*$', '') AS stem FROM h""",
+        "effective_dpi": """WITH p AS (SELECT doc_id, (n_chars::DOUBLE * 300 / 72) * (900.0::DOUBLE * 300 / 72) AS px FROM documents), s AS (SELECT doc_id, CASE WHEN px > 20000000 THEN floor(300 * sqrt(20000000 / px)) ELSE 300 END AS dpi FROM p)
+SELECT doc_id, CASE WHEN dpi >= 72 THEN CAST(dpi AS INTEGER) END AS dpi FROM s""",
+        "scan_record": f"""WITH {CHANGES} SELECT CAST(1 AS BIGINT) AS scan_id, 'primary' AS phase, 'completed' AS status, COUNT(*) AS total_files, COUNT(*) AS processed_files, COUNT(*) FILTER (outcome = 'error') AS errors, TRUE AS ended FROM changes
+UNION ALL SELECT 2, 'secondary', 'running', 0, 0, 0, FALSE""",
+        "scan_snapshot": f"WITH {scanned} SELECT *, round(processed_files / total_files * 100.0::DOUBLE, 6) AS progress_percent FROM scans ORDER BY scan_id DESC LIMIT 1",
+        "idle_snapshot": "SELECT CAST(0 AS BIGINT) AS scan_id, 'idle' AS phase, 'idle' AS status, CAST(0 AS BIGINT) AS processed_files, CAST(0 AS BIGINT) AS total_files, 0.0::DOUBLE AS progress_percent",
+        "stale_scans": f"WITH {scanned} SELECT CASE status WHEN 'running' THEN 'interrupted' ELSE status END AS status, COUNT(*) AS n FROM scans GROUP BY 1",
+        "latest_scan": f"WITH {scanned} SELECT * FROM scans ORDER BY scan_id DESC LIMIT 1",
+        "path_listing": f"WITH {REGISTRY} SELECT file_path FROM registry ORDER BY file_path LIMIT 100 OFFSET 50",
+        "migrated_index": f"""WITH {REGISTRY} SELECT *, CAST(-1 AS BIGINT) AS cached_size, 'none' AS cached_mtime, 'none' AS object_code, 'none' AS discipline_code, 'none' AS document_type_code, 0 AS unmatched_flag FROM registry""",
+        "schema_version": "SELECT 5 AS version",
+        "delete_cascade": f"""WITH {LINES}, gone AS (SELECT doc_id FROM labels WHERE toxic = 1) SELECT 'documents' AS name, COUNT(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM gone)
+UNION ALL SELECT 'pages', COUNT(*) FROM lines WHERE doc_id NOT IN (SELECT doc_id FROM gone)""",
+        "request_durations": """SELECT CAST(s.user_id AS VARCHAR) AS correlation_id, s.ts AS started_at, round((epoch_us(e.ts) - epoch_us(s.ts)) / 1000.0::DOUBLE, 3) AS ms FROM events s JOIN events e ON e.user_id = s.user_id
+AND e.ts BETWEEN s.ts AND s.ts + INTERVAL 10 MINUTE WHERE s.event_type = 'click' AND e.event_type = 'purchase'""",
+        "expired_sessions": "WITH s AS (SELECT user_id, MAX(ts) AS last_seen FROM events GROUP BY user_id) SELECT * FROM s WHERE last_seen + INTERVAL 8 HOUR <= (SELECT MAX(ts) FROM events)",
+        "empty_files": f"""WITH {CHANGES.replace("registry AS (SELECT", "full_registry AS (SELECT", 1).replace("FROM registry WHERE doc_id % 10 <> 9)", "FROM full_registry WHERE doc_id % 10 <> 9)").replace("hashes AS", "registry AS (SELECT doc_id, file_path, file_hash, CASE WHEN contains(file_path, '-DTL-') THEN 0 ELSE file_size END AS file_size FROM full_registry)," + chr(10) + "hashes AS", 1)}
+SELECT COUNT(*) AS total, COUNT(*) FILTER (outcome = 'to_index') AS to_index, COUNT(*) FILTER (outcome = 'duplicate') AS duplicate, COUNT(*) FILTER (outcome = 'skipped') AS skipped,
+COUNT(*) FILTER (outcome = 'error') AS error, COUNT(*) AS processed, 100.0::DOUBLE AS percent FROM changes""",
+        "progress_forced": """WITH w AS (SELECT *, date_trunc('hour', ts) AS second, CASE WHEN event_type = 'signup' THEN event_id END AS own FROM events)
+SELECT second, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value, COUNT(*) AS n FROM w GROUP BY second, event_type, own""",
+        "progress_feed": """WITH f AS (SELECT *, COALESCE(SUM(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended
+FROM events WHERE event_type IN ('click', 'purchase', 'error')) SELECT user_id, event_id, event_type FROM f WHERE ended = 0""",
     }
     return sql

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmark import schemas
 from leafmark.functions import text as T
-from leafmark.operators import highlights, ingest, metadata, modules, search
-from leafmark.operators.filters import Filters
-from leafmark.sources import tables
+from leafmark.operators import backend, highlights, ingest, loading, metadata, modules, scans, search
+from leafmark.operators.filters import Filters, request
+from leafmark.plans.query import parse
+from leafmark.sources import files, tables
 from leafmark.streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -191,6 +193,104 @@ def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.drain(stream, "stream_event_counts_out", "complete")
 
 
+#: Query strings and whether they have an error.
+CHECKED = ("the", '"of the" an*', "the AND", "(the OR der", "the) OR der", "NOT the", "(a OR b) c", "12.5", "*", '"open', "the NOT of", "die AND (der OR von)", "OR", "a b c")
+
+
+def query_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def wrong(query: str) -> bool:
+        try:
+            return parse(query) is None
+        except ValueError:
+            return True
+
+    return spark.createDataFrame([(q, wrong(q)) for q in CHECKED], "query string, wrong boolean")
+
+
+def _mode(mode: str, query: str, f: Filters) -> Query:
+    return _ranked(*request(query, f, mode), limit=500)
+
+
+def backend_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine: backend.SearchBackend = backend.PageBackend(tables.pages(spark, sf_dir), _documents(spark, sf_dir))
+    return spark.createDataFrame([(",".join(sorted(engine.capabilities)), engine.count("the"))], "capabilities string, n_docs long")
+
+
+def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    return files.extract_pages(docs, lambda data: data.decode().split("\n"))
+
+
+def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of settings, some of which are none."""
+    d = tables.table(spark, sf_dir, "documents")
+    flag = F.element_at(F.array(*map(F.lit, (" Yes ", "0", "OFF", "perhaps", "true", ""))), (F.col("doc_id") % 6 + 1).cast("int"))
+    number = F.when(F.col("doc_id") % 4 == 3, F.col("source")).otherwise(F.concat(F.lit(" "), F.col("doc_id").cast("string")))
+    return d.select("doc_id", scans.setting(flag, "boolean").cast("string").alias("flag"), scans.setting(number, "int").cast("string").alias("number"), scans.setting(F.col("lang"), "string").alias("lang"))
+
+
+def text_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("file_path")
+    r = tables.registry(spark, sf_dir).withColumn("loose", F.concat(F.lit(" \t"), F.replace(path, F.lit("-"), F.lit("  "))))
+    return r.select("doc_id", T.stable_id(F.col("doc_id"), path).alias("stable_id"), T.safe_id(path, 20).alias("safe_id"), T.field_value(F.col("loose")).alias("field_value"), T.file_stem(path).alias("stem"))
+
+
+def effective_dpi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = tables.table(spark, sf_dir, "documents")
+    return d.select("doc_id", T.effective_dpi(F.lit(300), F.col("n_chars").cast("double"), F.lit(900.0)).alias("dpi"))
+
+
+def scan_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    started = scans.start_scan(scans.start_scan(scans.empty_scans(spark), "primary"), "secondary")
+    done = scans.complete_scan(started, 1, scan_counters(spark, sf_dir))
+    return done.select("scan_id", "phase", "status", "total_files", "processed_files", "errors", F.col("completed_at").isNotNull().alias("ended"))
+
+
+def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as records of scans: errors still run."""
+    e = _events(spark, sf_dir)
+    status = F.when(F.col("event_type") == "error", "running").otherwise("completed")
+    return e.select(F.col("event_id").alias("scan_id"), F.lit("primary").alias("phase"), status.alias("status"), F.col("user_id").alias("processed_files"), (F.col("user_id") + 10).alias("total_files"))
+
+
+def migrated_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.migrate(tables.registry(spark, sf_dir), schemas.MIGRATIONS, 2).fillna(-1).fillna("none")
+
+
+def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.table(spark, sf_dir, "documents")
+    left = ingest.delete_cascade({"documents": docs, "pages": tables.page_lines(docs)}, tables.table(spark, sf_dir, "labels").filter("toxic = 1"))
+    return metadata.emptiness(left)
+
+
+def secondary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A module that measures the texts of English documents."""
+    lengths = lambda frames: (f[["doc_id"]].assign(n=f["text"].fillna("").str.len()) for f in frames)
+    found = modules.Modules()
+    found.register(modules.Processor("text_lengths", F.col("lang") == "en", lengths, "doc_id long, n long"))
+    return found.run(tables.table(spark, sf_dir, "documents"))["text_lengths"]
+
+
+def module_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lambda version, part: tables.manifests(spark).filter(part).withColumn("version", F.lit(version))
+    known = scans.register_modules(spark.createDataFrame([], schemas.MODULE), rows("1", "module_name != 'audit'"))
+    known = scans.set_module_status(scans.register_modules(known, rows("2", "module_name IN ('audit', 'core')"), "active"), "stamps", "error", "broken")
+    return known.select("module_name", "version", "status", "managed_tables", "error_message")
+
+
+def request_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks as starts and purchases as ends of a user's requests."""
+    e = _events(spark, sf_dir).withColumn("correlation_id", F.col("user_id").cast("string"))
+    d = events.durations(e.filter("event_type = 'click'"), e.filter("event_type = 'purchase'"))
+    return d.select("correlation_id", "started_at", F.round("ms", 3).alias("ms"))
+
+
+def expired_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir)
+    seen = e.groupBy("user_id").agg(F.max("ts").alias("last_seen"))
+    return events.expired(seen, F.lit(e.agg(F.max("ts")).head()[0]))
+
+
 def queries() -> dict[str, Query]:
     en, unmatched = Filters(object_code="EN", discipline_code="D4"), Filters(unmatched_only=True, object_code="FR", file_path="SRC1%")
     path = Filters(file_path="%d_-dtl-%")
@@ -242,5 +342,17 @@ def queries() -> dict[str, Query]:
         "module_missing_deps": lambda s, d: modules.missing(tables.modules(s), tables.dependencies(s)),
         "module_version_check": lambda s, d: modules.version_checks(tables.modules(s), tables.dependencies(s)),
         "module_load_order": lambda s, d: modules.load_order(tables.modules(s), tables.dependencies(s)),
+        "module_problems": lambda s, d: loading.problems(tables.manifests(s), tables.dependencies(s), "1.4", ("numpy",)), "module_registry": module_registry, "secondary_scan": secondary_scan,
+        "module_manifests": lambda s, d: modules.first_manifests(tables.manifests(s)).select("module_name", "version", "path"),
+        "query_errors": query_errors, "search_mode_normal": _mode("normal", "the", Filters(unmatched_only=True)), "search_mode_filters": _mode("filters", "the", en),
+        "search_mode_content": _mode("content", "the", en), "backend_count": backend_count, "extract_pages": extract_pages, "settings": settings, "text_ids": text_ids, "effective_dpi": effective_dpi,
+        "scan_record": scan_record, "scan_snapshot": lambda s, d: events.snapshot(_scans(s, d)).withColumn("progress_percent", F.round("progress_percent", 6)),
+        "idle_snapshot": lambda s, d: events.snapshot(_scans(s, d).limit(0)), "stale_scans": lambda s, d: ingest.interrupt_stale(_scans(s, d)).groupBy("status").agg(F.count("*").alias("n")),
+        "latest_scan": lambda s, d: ingest.latest_scan(_scans(s, d)), "path_listing": lambda s, d: files.listing(tables.registry(s, d).select("file_path"), 100, 50),
+        "migrated_index": migrated_index, "schema_version": lambda s, d: ingest.max_version(s.createDataFrame([m[:1] for m in schemas.MIGRATIONS], "version int")),
+        "delete_cascade": delete_cascade, "request_durations": request_durations, "expired_sessions": expired_sessions,
+        "empty_files": lambda s, d: ingest.scan_counters(ingest.detect_changes(tables.found_files(s, d).withColumn("file_size", F.when(F.col("file_path").contains("-DTL-"), 0).otherwise(F.col("file_size"))), tables.previous_index(s, d))),
+        "progress_forced": lambda s, d: events.throttled(_events(s, d), "1 hour", F.col("event_type") == "signup"),
+        "progress_feed": _streamed("progress_feed", lambda e: events.feed(e, types=("click", "purchase", "error"), last=("error",)), "append"),
     }
     return found

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import io
+import re
+import zipfile
 from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +58,11 @@ def scan(spark: SparkSession, folder: str, extension: str = "pdf", content: bool
     return out.withColumn("file_hash", F.when(F.col("file_size") > 0, F.sha2("content", 256))) if content else out.drop("content")
 
 
+def listing(files: DataFrame, limit: int = 500, offset: int = 0) -> DataFrame:
+    """A slice of files in path order."""
+    return files.orderBy("file_path").offset(offset).limit(limit)
+
+
 #: Bytes of a file to its pages' texts; an error or None where the file can't be opened.
 Extractor = Callable[[bytes], list[str] | None]
 
@@ -82,6 +91,55 @@ def extract_pages(files: DataFrame, extract: Extractor = text_extractor) -> Data
     return files.select("doc_id", "content").mapInPandas(read, f"doc_id {kind}, page_count int, page_number int, text string")
 
 
+def ingest_new(spark: SparkSession, folder: str, path: str, checkpoint: str, extension: str = "pdf", extract: Extractor = text_extractor, files: int = 1000):
+    """Start extracting what came into a folder since the last run with this ``checkpoint``; pages go to Parquet at ``path``.
+
+    ``files`` are taken at a time, so a run that is stopped goes on where it was;
+    the id of a document is the hash of its content. Returns the streaming query.
+    """
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True)
+    new = raw.option("pathGlobFilter", any_case(extension)).option("maxFilesPerTrigger", files).load(folder)
+    pages = extract_pages(new.select(F.sha2("content", 256).alias("doc_id"), "content"), extract)
+    return pages.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: Sheets of a reference workbook and their categories.
+SHEETS = {"wbs": "objects", "type": "documentTypes", "discipline": "disciplines"}
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def workbook(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Category to rows (code, en, ru): the first three columns of the sheets of an .xlsx file; ValueError if one of ``SHEETS`` is missing.
+
+    A workbook is small; the driver reads it.
+    """
+    data = spark.read.format("binaryFile").load(path).select("content").head()
+    with zipfile.ZipFile(io.BytesIO(bytes(data["content"]))) as book:
+        tree = lambda name: ElementTree.fromstring(book.read(name))
+        said = lambda x: "".join(t.text or "" for t in x.iter(f"{_SHEET}t"))
+        shared = [said(x) for x in tree("xl/sharedStrings.xml").iter(f"{_SHEET}si")] if "xl/sharedStrings.xml" in book.namelist() else []
+        targets = {r.get("Id"): r.get("Target").removeprefix("/xl/") for r in tree("xl/_rels/workbook.xml.rels")}
+        parts = {x.get("name"): "xl/" + targets[x.get(_LINK)] for x in tree("xl/workbook.xml").iter(f"{_SHEET}sheet")}
+        if missing := [name for name in SHEETS if name not in parts]:
+            raise ValueError(f"no sheet {', '.join(missing)}")
+
+        def cell(x: ElementTree.Element) -> str | None:
+            if x.get("t") == "inlineStr":
+                return said(x)
+            value = x.findtext(f"{_SHEET}v")
+            return shared[int(value)] if value is not None and x.get("t") == "s" else value
+
+        def rows(name: str) -> list[tuple]:
+            out = []
+            for row in tree(parts[name]).iter(f"{_SHEET}row"):
+                by = {re.sub(r"\d", "", x.get("r", "")): cell(x) for x in row}
+                out.append(tuple(by.get(c) for c in "ABC"))
+            return out
+
+        return {category: spark.createDataFrame(rows(name), "code string, en string, ru string") for name, category in SHEETS.items()}
+
+
 REFERENCE = "codes array<string>, aliases_en array<struct<alias: string, code: string>>, aliases_ru array<struct<alias: string, code: string>>"
 CATEGORIES = ("objects", "disciplines", "documentTypes")
 

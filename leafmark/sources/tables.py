@@ -112,3 +112,18 @@ def modules(spark: SparkSession) -> DataFrame:
 def dependencies(spark: SparkSession) -> DataFrame:
     """(module_name, needs, constraint)."""
     return spark.createDataFrame([(m[0], *d) for m in MODULES for d in m[3]], "module_name string, needs string, constraint string")
+
+
+#: (module_name, core_constraint, libraries, path) of manifests; a name may have several.
+MANIFESTS = (
+    ("core", "", ("numpy",), "a/core"), ("tables", ">=1.2,<2", (), "a/tables"), ("drawings", ">=1", ("numpy", "nowhere"), "a/drawings"), ("export", "<=1.4", (), "a/export"),
+    ("stamps", ">=2", ("nowhere",), "a/stamps"), ("audit", "==1.4", (), "a/audit"),
+)
+
+
+def manifests(spark: SparkSession) -> DataFrame:
+    """The modules with what their manifests say; audit manages a table."""
+    rows = spark.createDataFrame([(name, core, list(libraries), path) for name, core, libraries, path in MANIFESTS], "module_name string, core_constraint string, libraries array<string>, path string")
+    own = F.when(F.col("module_name") == "audit", F.array(F.lit("notes"))).otherwise(F.array().cast("array<string>"))
+    fixed = {"entry_point": F.lit("x:X"), "scan_phase": F.lit("secondary"), "description": F.lit(""), "managed_tables": own, "data_version": F.lit(1)}
+    return modules(spark).join(rows, "module_name").withColumns(fixed)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmark import schemas
+from leafmark.functions import text as T
 
 #: Event types and their log levels.
 LEVELS = {
@@ -25,8 +26,10 @@ LEVELS = {
 }
 #: Fixed value: the level of types without one.
 INFO = 20
-#: Types that end a progress feed.
+#: Types of a progress feed, those that end it, and the seconds after which a silent one beats.
+FEED = ("scan.progress", "scan.completed", "scan.secondary.started", "scan.secondary.progress", "scan.secondary.completed")
 LAST = ("scan.completed", "scan.secondary.completed")
+BEAT = 60.0
 
 
 def read_stream(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
@@ -54,11 +57,12 @@ def at_level(events: DataFrame, level: int, levels: dict[str, int] = LEVELS) ->
     return events.withColumn("level", level_of(F.col("event_type"), levels)).filter(F.col("level") >= level)
 
 
-def throttled(events: DataFrame, every: str = "1 second") -> DataFrame:
-    """The last event of each type in each tumbling window; with a watermark on a stream."""
+def throttled(events: DataFrame, every: str = "1 second", forced: Column | None = None) -> DataFrame:
+    """The last event of each type in each tumbling window, and every one that is ``forced``; with a watermark on a stream."""
     if events.isStreaming:
         events = events.withWatermark("ts", "1 minute")
-    g = events.groupBy(F.window("ts", every).alias("w"), "event_type")
+    own = F.lit(None).cast("long") if forced is None else F.when(forced, F.col("event_id"))
+    g = events.groupBy(F.window("ts", every).alias("w"), "event_type", own.alias("_own"))
     last = F.max(F.struct("ts", "event_id", "value"))
     return g.agg(last.alias("_l"), F.count("*").alias("n")).select(F.col("w.start").alias("second"), "event_type", F.col("_l.event_id").alias("event_id"), F.col("_l.value").alias("value"), "n")
 
@@ -128,7 +132,7 @@ def durations(starts: DataFrame, ends: DataFrame, at_most: str = "10 minutes") -
     s = starts.select("correlation_id", F.col("ts").alias("started_at")).withWatermark("started_at", at_most)
     e = ends.select(F.col("correlation_id").alias("_id"), F.col("ts").alias("_end")).withWatermark("_end", at_most)
     near = (F.col("correlation_id") == F.col("_id")) & (F.col("_end") >= F.col("started_at")) & (F.col("_end") <= F.col("started_at") + F.expr(f"INTERVAL {at_most}"))
-    ms = (F.unix_micros("_end") - F.unix_micros("started_at")) / 1000
+    ms = F.timestamp_diff("MICROSECOND", F.col("started_at"), F.col("_end")) / 1000
     return s.join(e, near).select("correlation_id", "started_at", ms.alias("ms"))
 
 
@@ -144,6 +148,51 @@ def until_last(events: DataFrame, key: str = "user_id", last: tuple[str, ...] =
     return events.withColumn("_e", ended).filter("_e = 0").drop("_e")
 
 
+def feed(events: DataFrame, key: str = "user_id", types: tuple[str, ...] = FEED, last: tuple[str, ...] = LAST, beat: float | None = None) -> DataFrame:
+    """(key, event_id, event_type): a stream's events of ``types`` up to the first of ``last`` for each key, which is the end of its feed.
+
+    With ``beat``, such as ``BEAT``, a feed that is silent for so many seconds
+    gets rows of type ``heartbeat`` without id; such a stream has no last batch,
+    so it needs a trigger by time. Within a micro-batch events are taken by time.
+    """
+    kind = events.schema[key].dataType.simpleString()
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.setTimeoutDuration(int(beat * 1000))
+            yield pd.DataFrame({key: [k[0]], "event_id": pd.array([None], "Int64"), "event_type": ["heartbeat"]})
+            return
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        if state.exists and state.get[0]:
+            return
+        ended = rows["event_type"].isin(last).to_numpy()
+        state.update((bool(ended.any()),))
+        if ended.any():
+            rows = rows[: ended.argmax() + 1]
+        elif beat:
+            state.setTimeoutDuration(int(beat * 1000))
+        yield pd.DataFrame({key: [k[0]] * len(rows), "event_id": rows["event_id"].astype("Int64").to_numpy(), "event_type": rows["event_type"].to_numpy()})
+
+    narrow = events.filter(F.col("event_type").isin(*types)).select(key, "ts", "event_id", "event_type")
+    return narrow.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long, event_type string", "ended boolean", "append", "ProcessingTimeTimeout" if beat else "NoTimeout")
+
+
+def snapshot(scans: DataFrame) -> DataFrame:
+    """One row (scan_id, phase, status, processed_files, total_files, progress_percent): what a feed begins with; an idle one if no scan has run."""
+    newest = scans.agg(F.max(F.struct("scan_id", "phase", "status", "processed_files", "total_files")).alias("s")).select("s.*")
+    idle = {"scan_id": F.lit(0).cast("long"), "phase": F.lit("idle"), "status": F.lit("idle"), "processed_files": F.lit(0).cast("long"), "total_files": F.lit(0).cast("long")}
+    out = newest.select(*(F.coalesce(c, x).alias(c) for c, x in idle.items()))
+    return out.withColumn("progress_percent", T.percent(F.col("processed_files"), F.col("total_files")))
+
+
+def statistics(query) -> dict[str, int]:
+    """What a streaming query has done so far: batches and rows that it keeps record of, rows in state and rows that came too late."""
+    progress = query.recentProgress
+    state = [o for p in progress[-1:] for o in p["stateOperators"]]
+    late = sum(o.get("numRowsDroppedByWatermark", 0) for p in progress for o in p["stateOperators"])
+    return {"batches": len(progress), "rows": sum(p["numInputRows"] for p in progress), "held": sum(o["numRowsTotal"] for o in state), "dropped": late}
+
+
 def _shared(spark: SparkSession) -> str:
     """A new folder where the session keeps checkpoints; a local session without that setting gets one of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,3 +73,40 @@ def test_streams_equal_batches(spark, some, tmp_path):
     assert len(lines) == 4 and {x["level"] for x in lines} == {40}
     counts = events.drain(events.counts(read(), "1 minute"), "w")
     assert counts.columns == ["start", "event_type", "n"]
+
+
+def test_feed_beats_and_ends(spark, some, tmp_path):
+    folder = str(tmp_path / "feed")
+    some.coalesce(1).write.parquet(f"{folder}/events1.parquet")
+    read = lambda: spark.readStream.schema(schemas.EVENTS).option("recursiveFileLookup", True).parquet(folder)
+    got = sorted((r.event_id, r.event_type) for r in events.drain(events.feed(read()), "f").collect())
+    assert got == [(2, "scan.progress"), (4, "scan.completed")]
+    quiet = events.feed(read(), types=("scan.progress",), beat=1.0)  # never ends, so it beats
+    query = quiet.writeStream.format("memory").queryName("beats").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(processingTime="500 milliseconds").start()
+    try:
+        for _ in range(120):
+            if spark.table("beats").filter("event_type = 'heartbeat' AND event_id IS NULL").count():
+                break
+            time.sleep(0.5)
+        assert spark.table("beats").filter("event_type = 'heartbeat'").count() and spark.table("beats").filter("event_id = 2").count() == 1
+        stats = events.statistics(query)
+        assert stats["rows"] == 7 and stats["batches"] >= 1 and stats["held"] == 1 and stats["dropped"] == 0
+    finally:
+        query.stop()
+
+
+def test_forced_progress_is_not_throttled(some):
+    got = sorted((r.event_id, r.n) for r in events.throttled(some, forced=F.col("event_id") == 0).filter("event_type = 'db.error'").collect())
+    assert got == [(0, 1), (1, 1), (3, 1), (5, 1)]
+
+
+def test_a_secondary_scan_refreshes_first_and_stops(spark):
+    docs, said = spark.createDataFrame([(1, "a")], "doc_id long, text string"), []
+    reg = modules.Modules()
+    for name in ("one_view", "two_view"):
+        reg.register(modules.Processor(name, F.lit(True), lambda it: (f[["doc_id"]] for f in it), "doc_id long"))
+    out = reg.run(docs, lambda d: d.withColumn("doc_id", F.col("doc_id") + 1), lambda e: (said.append(e["event_type"]), reg.shutdown()))
+    assert list(out) == [] and said == ["scan.secondary.started", "scan.secondary.completed"]
+    reg.ended = False
+    assert reg.run(docs, lambda d: d.withColumn("doc_id", F.col("doc_id") + 1), lambda e: said.append(e["event_type"]))["two_view"].collect() == [(2,)]
+    assert said[2:] == ["scan.secondary.started", "scan.secondary.progress", "scan.secondary.progress", "scan.secondary.completed"]

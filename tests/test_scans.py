@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,3 +84,63 @@ def test_request_durations_and_sessions(spark, tmp_path):
     assert [(r.correlation_id, r.ms) for r in events.drain(events.durations(read("s"), read("e")), "d").collect()] == [("a", 1500.0)]
     seen = spark.createDataFrame([("old", t), ("new", t + dt.timedelta(hours=5))], "id string, last_seen timestamp")
     assert [r.id for r in events.expired(seen, F.lit(t + dt.timedelta(hours=9))).collect()] == ["old"]
+
+
+def sheet(rows):
+    cells = lambda i, row: "".join(f'<c r="{c}{i}" t="s"><v>{v}</v></c>' if isinstance(v, int) else f'<c r="{c}{i}" t="inlineStr"><is><t>{v}</t></is></c>' for c, v in zip("ABC", row) if v is not None)
+    return '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>' + "".join(f'<row r="{i}">{cells(i, r)}</row>' for i, r in enumerate(rows, 1)) + "</sheetData></worksheet>"
+
+
+def test_workbook(spark, tmp_path):
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    names = ("wbs", "type", "discipline")
+
+    def book(path, names):
+        with zipfile.ZipFile(path, "w") as z:
+            listed = "".join(f'<sheet name="{n}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(names, 1))
+            z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{listed}</sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x">' + "".join(f'<Relationship Id="rId{i}" Target="worksheets/s{i}.xml"/>' for i in range(1, len(names) + 1)) + "</Relationships>")
+            z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>E</t></si><si><r><t>два</t></r><r><t> слова</t></r></si></sst>')
+            for i in range(1, len(names) + 1):
+                z.writestr(f"xl/worksheets/s{i}.xml", sheet([(0, "e", 1), ("F", None, None), (None, "x", "y")] if i == 1 else []))
+        return str(path)
+
+    found = files.workbook(spark, book(tmp_path / "a.xlsx", names))
+    assert found["objects"].collect() == [("E", "e", "два слова"), ("F", None, None), (None, "x", "y")] and found["disciplines"].count() == 0
+    codes, aliases = metadata.sheet_references(found["objects"], "objects")
+    assert {r.code for r in codes.collect()} == {"E", "F"} and aliases.count() == 2
+    with pytest.raises(ValueError, match="discipline"):
+        files.workbook(spark, book(tmp_path / "b.xlsx", names[:2]))
+
+
+def test_only_new_files_are_extracted(spark, tmp_path):
+    box, path, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    box.mkdir()
+    (box / "a.txt").write_text("one\ftwo")
+    (box / "b.txt").write_bytes(b"\xff")
+    (box / "c.bin").write_text("no")
+    seen = []
+    for new in (None, "d.TXT"):
+        if new:
+            (box / new).write_text("three")
+        query = files.ingest_new(spark, str(box), path, state, "txt")
+        query.awaitTermination()
+        seen.append(events.statistics(query)["rows"])
+    rows = sorted((r.page_number, r.text) for r in spark.read.parquet(path).collect())
+    assert rows == [(0, "one"), (0, "three"), (0, "�"), (1, "two")] and seen == [2, 1]
+    listed = files.listing(files.scan(spark, str(box), "txt"), 2, 1).collect()
+    assert [r.file_name for r in listed] == ["b.txt", "d.TXT"]
+
+
+def test_limits_of_operations(spark, monkeypatch):
+    said = []
+    monkeypatch.setitem(scans.LIMITS, "search.query", 0.5)
+    with pytest.raises(TimeoutError):
+        scans.within(spark, None, lambda: spark.range(0, 10**13, 1, 2).selectExpr("sum(sqrt(id))").collect(), publish=said.append)
+    assert said == [{"event_type": "operation.timed_out", "operation": "search.query", "timeout_seconds": 0.5}]
+
+
+def test_snapshots(spark):
+    running = scans.start_scan(scans.start_scan(scans.empty_scans(spark), "primary"), "secondary")
+    assert events.snapshot(running).head()[:] == (2, "secondary", "running", 0, 0, 0.0)
+    assert events.snapshot(scans.empty_scans(spark)).head()[:] == (0, "idle", "idle", 0, 0, 0.0)

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +49,10 @@ def test_small_functions(spark):
 def test_null_texts(spark):
     row = spark.createDataFrame([(None,)], "c string").select(T.tokens(F.col("c")), T.normalize_text(F.col("c"))).head()
     assert row[0] == [] and row[1] is None
+
+
+def test_ids(spark):
+    df = spark.createDataFrame([("a", "b"), ("a", None), ("a", ""), ("a\n=b", None)], "x string, y string")
+    ids = [r[0] for r in df.select(T.stable_id(F.col("x"), F.col("y"))).collect()]
+    assert len(set(ids)) == 4 and all(re.fullmatch(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", i) for i in ids)
+    assert df.select(T.new_id().alias("i")).distinct().count() == 4
