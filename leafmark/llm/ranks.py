@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmark.llm import scratch
@@ -44,3 +44,22 @@ def ranked(rows: DataFrame, group: list[str], cell: str, order: list[str], row:
     sizes = rows.groupBy(*parts).agg(F.count("*").alias("_n")).select(*parts, F.coalesce(before, F.lit(0)).alias("_before"))
     out = rows.withColumn("_in", within).join(sizes, parts)
     return out.withColumn("_rank", F.col("_before") + F.col("_in")).drop("_before", "_in", "_bucket", "_same", "_part")
+
+
+def in_order(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rows`` with ``_rank``: from 0 without gaps over the whole table by ``order``.
+
+    Rows are dealt by range, sorted there and written, so a task has about as
+    many as any other; how many each range has is summed up from one row a
+    range. Rows that agree in ``order`` are dealt by their place in the input.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [*order, F.asc("_row")]
+    dealt = rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("_row")
+    # an id of this kind is the number of a partition and, in its lower 33 bits, the place of the row there
+    sorted_rows = scratch.store(dealt.withColumn("_place", F.monotonically_increasing_id()), "ordered").withColumn("_range", F.shiftright("_place", 33))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = sorted_rows.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    rank = F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return sorted_rows.join(F.broadcast(counts), "_range").withColumn("_rank", rank).drop("_range", "_place", "_before")  # a row for each range

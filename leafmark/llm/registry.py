@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmark.llm import audio, chat, mixing, neardup, ngrams, packing, passages, quality, sharding, urls
+from leafmark.llm import audio, bpe, chat, importance, lexical, mixing, neardup, ngrams, packing, passages, quality, sharding, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_first_fit_packing": packing.op8_first_fit_packing,
         "op9_phrase_automata": passages.op9_phrase_automata,
         "op10_entropy_mix": mixing.op10_entropy_mix,
+        "op11_sort_count_resampling": importance.op11_sort_count_resampling,
+        "op12_pair_occurrence_bpe": bpe.op12_pair_occurrence_bpe,
+        "op13_threshold_search": lexical.op13_threshold_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_schema_fingerprint": chat.OP3_SQL, "op9_phrase_automata": passages.OP9_SQL}
+    return {"op3_schema_fingerprint": chat.OP3_SQL, "op9_phrase_automata": passages.OP9_SQL, "op11_sort_count_resampling": importance.OP11_SQL, "op13_threshold_search": lexical.OP13_SQL}

@@ -7,6 +7,7 @@ the Python side never decodes a text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,9 @@ SPACE = r"\x20\x09-\x0D"
 CHUNK = 4 << 20
 #: Which bytes part words, and bytes with A-Z in lower case.
 WHITE = np.isin(np.arange(256), [32, *range(9, 14)])
+BREAK = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of terms, A-Z in lower case; all others become spaces.
+TERMS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 #: Powers of an odd number modulo 2**64; longer words take them in turn.
 POWERS = np.cumprod(np.where(np.arange(4096) == 0, np.uint64(1), np.uint64(0x9E3779B97F4A7C15)))
@@ -57,6 +61,24 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
                 yield piece, as_bytes(piece.column(piece.schema.get_field_index(text)))
 
 
+def slices(text: bytes, limit: int = CHUNK) -> Iterator[bytes]:
+    """A text in parts of about ``limit`` bytes, cut at ASCII white space; a longer run without any stays whole."""
+    at = 0
+    while len(text) - at > limit:
+        found = BREAK.search(text, at + limit)
+        if not found:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:] if at else text
+
+
+def terms(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text, part by part: runs of digits, letters and all that is not ASCII, with A-Z in lower case."""
+    for part in slices(text):
+        yield part.translate(TERMS).split()
+
+
 @dataclass
 class Tokens:
     """Words of some documents one after the other, as bytes.
