@@ -29,7 +29,7 @@ from leafmark.llm.store import stretches
 from leafmark.llm.words import chunks, slices
 
 #: Different stretches that a worker remembers, and the bytes that these may have, and ids that are decoded at a time.
-KNOWN, KNOWN_BYTES, IDS = 1 << 18, 1 << 26, 1 << 18
+KNOWN, KNOWN_BYTES, IDS = 1 << 19, 1 << 25, 1 << 18
 
 
 def default_vocabulary() -> str:
@@ -127,22 +127,42 @@ class Merges:
                 heapq.heappush(active, rank)
             lists[rank].append(places[a:b])
 
+    def _words(self, text: str) -> list[str | int]:
+        """Words of one stretch, and the ids of special strings in it."""
+        found: list[str | int] = []
+        for i, piece in enumerate(self.specials.split(text) if self.specials else [text]):
+            if i % 2:
+                found.append(self.special[piece])
+            elif piece:
+                found += [w for w, _ in self.cut(self.normalize(piece))]
+        return found
+
     def encode_stretches(self, parts: list[bytes]) -> list[bytes]:
-        """Ids (unsigned 32-bit, little-endian) of texts without white space between words that matter to each other."""
-        words: dict[str, int] = {}
-        made: list[list[int]] = []
-        for part in parts:
-            text = part.decode("utf-8", "replace")
-            numbers = []
-            for i, piece in enumerate(self.specials.split(text) if self.specials else [text]):
-                if i % 2:
-                    numbers.append(-1 - self.special[piece])
-                elif piece:
-                    numbers += [words.setdefault(w, len(words)) for w, _ in self.cut(self.normalize(piece))]
-            made.append(numbers)
-        ids, begin = self.encode(list(words))
-        own = [ids[a:b].tobytes() for a, b in zip(begin.tolist(), begin[1:].tolist())]
-        return [b"".join(own[x] if x >= 0 else np.uint32(-1 - x).astype("<u4").tobytes() for x in numbers) for numbers in made]
+        """Ids (unsigned 32-bit, little-endian) of texts without ASCII white space.
+
+        They are normalised and cut in one string with spaces between them;
+        those that hold special strings or other white space are cut alone.
+        """
+        texts = [part.decode("utf-8", "replace") for part in parts]
+        special = self.specials if self.specials and self.specials.search(" ".join(texts)) else None
+        alone = [i for i, t in enumerate(texts) if len(t.split()) != 1 or (special and special.search(t))]
+        own = {i: self._words(texts[i]) for i in alone}
+        shared = np.setdiff1d(np.arange(len(texts)), alone)
+        line = self.normalize(" ".join([texts[i] for i in shared.tolist()]))
+        cut = self.cut(line)
+        words = [w for w, _ in cut]
+        # the stretch of a word is the number of spaces before it
+        spaces = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), "<u4") == 32)
+        number = np.searchsorted(spaces, np.fromiter((at for _, (at, _) in cut), np.int64, len(cut)))
+        firsts = np.append(0, np.cumsum(np.bincount(shared[number], minlength=len(texts))))
+        extra = [w for i in alone for w in own[i] if isinstance(w, str)]
+        ids, begin = self.encode(words + extra)
+        flat, bounds = ids.tobytes(), (4 * begin[firsts]).tolist()
+        out = [flat[a:b] for a, b in zip(bounds, bounds[1:])]
+        at = iter(zip((4 * begin[len(words) :]).tolist(), (4 * begin[len(words) + 1 :]).tolist()))
+        for i in alone:
+            out[i] = b"".join(np.uint32(w).astype("<u4").tobytes() if isinstance(w, int) else flat[slice(*next(at))] for w in own[i])
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -158,12 +178,13 @@ def _known(vocabulary: str) -> dict[bytes, bytes]:
 
 def _encode_parts(parts: list[bytes], vocabulary: str) -> list[bytes]:
     known, cut = _known(vocabulary), [part.split() for part in parts]
-    new = {x for row in cut for x in row} - known.keys()
+    used = {x for row in cut for x in row}
+    new = list(used - known.keys())
     if len(known) + len(new) > KNOWN or sum(map(len, known)) + sum(map(len, new)) > KNOWN_BYTES:
+        still = {x: known[x] for x in used if x in known}
         known.clear()
-        new = {x for row in cut for x in row}
-    ordered = sorted(new)
-    known.update(zip(ordered, merges(vocabulary).encode_stretches(ordered)))
+        known.update(still)
+    known.update(zip(new, merges(vocabulary).encode_stretches(new)))
     return [b"".join([known[x] for x in row]) for row in cut]
 
 
