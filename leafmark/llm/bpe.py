@@ -29,7 +29,7 @@ from leafmark.llm.store import stretches
 from leafmark.llm.words import chunks, slices
 
 #: Different stretches that a worker remembers, and the bytes that these may have, and ids that are decoded at a time.
-KNOWN, KNOWN_BYTES, IDS = 1 << 19, 1 << 25, 1 << 18
+KNOWN, KNOWN_BYTES, IDS = 1 << 18, 1 << 24, 1 << 18
 
 
 def default_vocabulary() -> str:
@@ -65,7 +65,6 @@ class Merges:
         self.normalize, self.cut = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.texts = {i: t.encode() for t, i in (ids | self.special).items()}
 
     @staticmethod
     def _keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -170,6 +169,14 @@ def merges(vocabulary: str) -> Merges:
     return Merges(vocabulary)
 
 
+@lru_cache(maxsize=2)
+def token_texts(vocabulary: str) -> dict[int, bytes]:
+    """The text of each id; decoding needs nothing else."""
+    with open(vocabulary, encoding="utf-8") as f:
+        told = json.load(f)
+    return {i: t.encode() for t, i in told["model"]["vocab"].items()} | {t["id"]: t["content"].encode() for t in told["added_tokens"]}
+
+
 @lru_cache(maxsize=2)
 def _known(vocabulary: str) -> dict[bytes, bytes]:
     """Ids of stretches that this worker has met."""
@@ -224,7 +231,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = merges(vocabulary).texts
+        texts = token_texts(vocabulary)
         for piece, rows in chunks(batches, "ids"):
             out = []
             for row in rows:
