@@ -94,16 +94,17 @@ def diffuse(cells: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"_key": cells["_key"], "size": cells["size"], "n": cells["n"], "source_size": cells["source_size"], "target": cells["target"], "_base": base, "_extra": extra})
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2, by: str = "doc_id") -> DataFrame:
     """Copies for ``docs`` (doc_id, source, size): adds source_size, target and copies.
 
     ``share`` times all sizes go to the sources by weight. Documents of size 0
     and of sources with target 0 get no copies. A null source is a source of
-    its own. Rows that repeat count as separate documents. An empty table gives
-    an empty table.
+    its own. Rows that repeat count as separate documents. Of documents of one
+    size the hash of the column ``by`` chooses which get one copy more, then
+    doc_id; other columns are left out. An empty table gives an empty table.
     """
     key = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source")))
-    docs = scratch.store(docs.select("doc_id", "source", "size", key.alias("_key"), F.monotonically_increasing_id().alias("_row")), "sizes")
+    docs = scratch.store(docs.select("doc_id", "source", "size", F.col(by).alias("_by"), key.alias("_key"), F.monotonically_increasing_id().alias("_row")), "sizes")
     cells = scratch.store(docs.groupBy("_key", "source", "size").agg(F.count("*").alias("n")), "cells")
     sizes = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     goals = targets(sizes, weights, share, most).withColumn("_key", key)
@@ -116,7 +117,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
     # a size with many documents is ranked in parts, so that no window holds a large group of copies
     parts = F.ceil(F.col("n") / CELL_ROWS)
-    d = docs.join(cells, ["_key", "size"]).withColumn("_u", F.xxhash64(F.lit("mix"), "doc_id")).withColumn("_sub", F.floor(F.shiftrightunsigned("_u", 32) * parts / 2**32))
+    d = docs.join(cells, ["_key", "size"]).withColumn("_u", F.xxhash64(F.lit("mix"), "_by")).withColumn("_sub", F.floor(F.shiftrightunsigned("_u", 32) * parts / 2**32))
     # written, so that the ranks are dealt by part and not by the join's keys
     d = ranked(scratch.store(d, "dealt"), ["_key", "size"], "_sub", ["_u", "doc_id"], "_row")
     copies = (F.col("_base") + (F.col("_rank") < F.col("_extra")).cast("int")).alias("copies")

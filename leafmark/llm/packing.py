@@ -10,6 +10,7 @@ work is spread evenly and a lost one is done again alone.
 from __future__ import annotations
 
 import base64
+import os
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -35,7 +36,8 @@ SPECIAL = {"<|endoftext|>": 50256}
 def encoder(vocabulary: str, special: bool = False) -> Callable[[str], np.ndarray]:
     """Token ids of a text by a vocabulary file: ``.json`` (tokenizers), ``.tiktoken`` (tiktoken), ``.model`` (sentencepiece).
 
-    None are added. Strings of special tokens in the text are ordinary text, or
+    None are added. Texts that ``tiktoken`` cannot cut go to the ``.json`` of the
+    same name. Strings of special tokens in the text are ordinary text, or
     with ``special`` the ids that a plain ``tokenizers.Tokenizer`` gives them.
     """
     if vocabulary.endswith(".tiktoken"):
@@ -46,7 +48,17 @@ def encoder(vocabulary: str, special: bool = False) -> Callable[[str], np.ndarra
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         core = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL if special else {})
         allowed = set(SPECIAL) if special else set()
-        return lambda text: core.encode_to_numpy(text, allowed_special=allowed, disallowed_special=()).astype("<u4")
+        named = vocabulary.removesuffix(".tiktoken") + ".json"
+
+        def encode(text: str) -> np.ndarray:
+            try:
+                return core.encode_to_numpy(text, allowed_special=allowed, disallowed_special=()).astype("<u4")
+            except ValueError:  # its pattern gives up at about a million characters of white space in a row
+                if not os.path.exists(named):
+                    raise
+                return encoder(named, special)(text)
+
+        return encode
     if vocabulary.endswith(".model"):
         import sentencepiece
 
@@ -124,7 +136,9 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, g
     """Every piece of the documents with its sequence and its offset there: PACKED.
 
     Null and empty texts are documents of one id. Rows that repeat are packed
-    each; other columns are left out; an empty table gives an empty table.
+    each; other columns are left out; an empty table gives an empty table. A
+    text of any length is cut by one worker. Pieces of one length go by doc_id,
+    place and checksum; which of equal pieces comes first makes no difference.
     """
     cut = scratch.store(pieces(docs, vocabulary, length), "pieces")
     groups = max(1, -(-cut.count() // group))

@@ -87,3 +87,10 @@ def test_megabytes_in_one_text(spark, make):
     docs = [(1, "some words of a long text " * 60_000, "en", "a"), (2, "a<|endoftext|>b", "en", "a")]
     rows = packing.op8_first_fit_packing(spark, make(docs)).collect()
     check(rows, [(d, t) for d, t, _, _ in docs])
+
+
+def test_millions_of_white_space_characters(spark, make):
+    """Longer than the pattern of the ranks can cut; ids are those of the tokenizer."""
+    docs = [(1, "a" + " " * 2_000_000 + "b"), (2, "\n" * 2_000_000 + "<|endoftext|> x"), (3, "c" + " \n\t\u2003" * 400_000 + " d"), (4, "plain text")]
+    rows = packing.op8_first_fit_packing(spark, make([(d, t, "en", "a") for d, t in docs])).collect()
+    check(rows, docs)
