@@ -102,3 +102,34 @@ def test_near_dedup_searches_components_over_all_texts(spark):
     a, b, c = edited(set()), edited({near}), edited({near, *more})
     docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate([a, b, c])], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r.doc_id for r in P.near_duplicates(spark, docs, "").collect()] == [0]
+
+
+def test_rows_that_differ_in_where_a_null_is_and_columns_of_any_kind(spark):
+    text, other = (" ".join(f"{x}{i}" for i in range(90)) for x in "ab")
+    at = "timestamp'2024-01-01 00:00:00"
+    rows = spark.createDataFrame([(1, text, "en", None, 1), (1, text, None, "en", 1), (2, other, None, None, 1), (2, other, None, None, 1)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    wide = rows.withColumn("more", F.map_from_arrays(F.array(F.lit("k")), F.array(F.col("doc_id")))).withColumn("at", F.expr(f"CASE WHEN lang IS NULL THEN {at}.000001' ELSE {at}.000002' END"))
+    good = P.quality_rules(spark, wide, "").collect()
+    assert len(good) == 4
+    for docs in (rows, wide):
+        out = P.mixed_sources(spark, docs, "")
+        assert {(r.lang, r.source) for r in out.filter("doc_id = 1").collect()} == {("en", None), (None, "en")} and out.count() == 6  # 150 %
+        assert len(P._rows(docs).select("key").distinct().collect()) == 3
+        stay = P.near_duplicates(spark, docs, "").collect()
+        assert sorted(r.doc_id for r in stay) == [1, 2]
+    assert P.repeated_passages(spark, wide, "").columns == wide.columns
+
+
+def test_texts_whose_hashes_collide_stay_apart(spark, sf):
+    rows = P._rows(spark.read.parquet(f"{sf}/documents.parquet")).withColumn("digest", P._digest(F.col("row.text")))
+    texts = rows.select("digest").distinct().cache()
+    few = lambda digest: F.pmod(F.xxhash64(digest), F.lit(256))
+    keyed, named = P._with_text_keys(spark, rows, texts, few)
+    assert named.select("text_key").distinct().count() == texts.count() == named.count()
+    assert keyed.count() == rows.count() and keyed.select("text_key", "digest").distinct().count() == texts.count()
+
+
+def test_empty_table_of_each_stage(spark, empty):
+    docs = spark.read.parquet(f"{empty}/documents.parquet")
+    for name, stage in P.STAGES:
+        assert stage(spark, docs, empty).isEmpty(), name
