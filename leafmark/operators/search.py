@@ -7,6 +7,7 @@ narrow pass; snippets are made for the documents of the requested slice only.
 from __future__ import annotations
 
 from functools import reduce
+from typing import Protocol, runtime_checkable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,22 @@ from leafmark.plans.query import Leaf, Node, parse
 SNIPPET = 200
 
 
+@runtime_checkable
+class Searchable(Protocol):
+    """An index that can take the place of a page table."""
+
+    def matching(self, query: str) -> DataFrame: ...
+
+    def pages(self) -> DataFrame: ...
+
+    def top(self, documents: DataFrame, query: str, f: Filter.Filters, limit: int, offset: int): ...
+
+
+def hits(source: DataFrame | Searchable, query: str) -> DataFrame:
+    """(doc_id, page_number, score) of pages that match, from a page table or an index."""
+    return source.matching(query) if isinstance(source, Searchable) else matching_pages(source, query)
+
+
 def corpus_stats(pages: DataFrame) -> DataFrame:
     """One row: number of pages and their mean length."""
     return pages.agg(F.count("*").alias("n_pages"), F.avg("dl").alias("avg_dl"))
@@ -40,9 +57,9 @@ def matching_pages(pages: DataFrame, query: str, keep: tuple[str, ...] = ("doc_i
     return hits.crossJoin(F.broadcast(stats)).select(*keep, (-C.score(node, tf)).alias("score"))  # one row of statistics
 
 
-def ranked_documents(pages: DataFrame, documents: DataFrame, query: str, f: Filter.Filters = Filter.Filters()) -> DataFrame:
+def ranked_documents(pages: DataFrame | Searchable, documents: DataFrame, query: str, f: Filter.Filters = Filter.Filters()) -> DataFrame:
     """(doc_id, file_path, score, n_pages) of matching documents; a document's score is its best page's."""
-    return rank(matching_pages(pages, query), documents, f)
+    return rank(hits(pages, query), documents, f)
 
 
 def rank(hits: DataFrame, documents: DataFrame, f: Filter.Filters = Filter.Filters()) -> DataFrame:
@@ -51,15 +68,17 @@ def rank(hits: DataFrame, documents: DataFrame, f: Filter.Filters = Filter.Filte
     return best.join(Filter.apply(documents, f).select("doc_id", "file_path"), "doc_id").select("doc_id", "file_path", "score", "n_pages")
 
 
-def search(pages: DataFrame, documents: DataFrame, query: str, f: Filter.Filters = Filter.Filters(), limit: int = 50, offset: int = 0) -> DataFrame:
+def search(pages: DataFrame | Searchable, documents: DataFrame, query: str, f: Filter.Filters = Filter.Filters(), limit: int = 50, offset: int = 0) -> DataFrame:
     """The slice of documents by (score, doc_id); a blank query lists documents by path with score 0."""
     Filter.check_request(limit, offset)
     if parse(query) is None:
         return list_documents(documents, f, limit, offset)
+    if isinstance(pages, Searchable) and (top := pages.top(documents, query, f, limit, offset)) is not None:
+        return top.rows
     return ranked_documents(pages, documents, query, f).orderBy("score", "doc_id").offset(offset).limit(limit)
 
 
-def search_with_count(pages: DataFrame, documents: DataFrame, query: str, f: Filter.Filters = Filter.Filters(), limit: int = 50, offset: int = 0) -> DataFrame:
+def search_with_count(pages: DataFrame | Searchable, documents: DataFrame, query: str, f: Filter.Filters = Filter.Filters(), limit: int = 50, offset: int = 0) -> DataFrame:
     """``search`` with ``n_docs``, the number of documents that match, from one pass over the matches; no rows beyond the last slice."""
     Filter.check_request(limit, offset)
     if parse(query) is None:
@@ -77,13 +96,13 @@ def list_documents(documents: DataFrame, f: Filter.Filters, limit: int = 50, off
     return rows.orderBy("file_path", "doc_id").offset(offset).limit(limit).select("doc_id", "file_path", F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("n_pages"))
 
 
-def count(pages: DataFrame, documents: DataFrame, query: str, f: Filter.Filters = Filter.Filters()) -> DataFrame:
+def count(pages: DataFrame | Searchable, documents: DataFrame, query: str, f: Filter.Filters = Filter.Filters()) -> DataFrame:
     """One row with the number of documents that ``search`` ranks."""
     chosen, node = Filter.apply(documents, f), parse(query)
     if node is None:
         return chosen.agg(F.countDistinct("doc_id").alias("n_docs"))
-    hits = pages.filter(C.matches(node, F.col("tokens"))).select("doc_id").join(chosen.select("doc_id"), "doc_id", "left_semi")
-    return hits.agg(F.countDistinct("doc_id").alias("n_docs"))
+    found = pages.matching(query) if isinstance(pages, Searchable) else pages.filter(C.matches(node, F.col("tokens")))
+    return found.select("doc_id").join(chosen.select("doc_id"), "doc_id", "left_semi").agg(F.countDistinct("doc_id").alias("n_docs"))
 
 
 def _covers(leaf: Leaf, tokens: Column, i: Column, upto: int) -> Column:
@@ -118,15 +137,16 @@ def snippet(node: Node, size: int = SNIPPET) -> Column:
     return T.denormalize_text(F.concat(head, body, F.when(end < n, "...").otherwise("")))
 
 
-def page_hits(pages: DataFrame, query: str, doc_ids: DataFrame | list) -> DataFrame:
+def page_hits(pages: DataFrame | Searchable, query: str, doc_ids: DataFrame | list) -> DataFrame:
     """(doc_id, page_number, snippet, terms) of the matching pages of some documents; a list of ids reaches the scan as a filter."""
     node = parse(query)
+    pages = pages.pages() if isinstance(pages, Searchable) else pages
     chosen = pages.filter(F.col("doc_id").isin(doc_ids)) if isinstance(doc_ids, list) else pages.join(doc_ids.select("doc_id"), "doc_id", "left_semi")
     shown = chosen.filter(C.matches(node, F.col("tokens"))).select("doc_id", "page_number", snippet(node).alias("snippet"))
     return shown.withColumn("terms", T.snippet_terms(F.col("snippet")))
 
 
-def search_with_pages(pages: DataFrame, documents: DataFrame, query: str, f: Filter.Filters = Filter.Filters(), limit: int = 50, offset: int = 0) -> DataFrame:
+def search_with_pages(pages: DataFrame | Searchable, documents: DataFrame, query: str, f: Filter.Filters = Filter.Filters(), limit: int = 50, offset: int = 0) -> DataFrame:
     """``search`` with an array of (page_number, snippet, terms) in page order; a blank query has one virtual page 0.
 
     The slice, 500 rows at most, is ranked first; then only its documents' pages are read.
@@ -136,9 +156,9 @@ def search_with_pages(pages: DataFrame, documents: DataFrame, query: str, f: Fil
         empty = F.struct(F.lit(0).alias("page_number"), F.lit("").alias("snippet"), F.array().cast("array<string>").alias("terms"))
         return top.withColumn("pages", F.array(empty))
     rows = top.collect()
-    known = pages.sparkSession.createDataFrame(rows, top.schema)
-    hits = page_hits(pages, query, [r["doc_id"] for r in rows])
-    grouped = hits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_number", "snippet", "terms"))).alias("pages"))
+    known = top.sparkSession.createDataFrame(rows, top.schema)
+    shown = page_hits(pages, query, [r["doc_id"] for r in rows])
+    grouped = shown.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_number", "snippet", "terms"))).alias("pages"))
     return F.broadcast(known).join(grouped, "doc_id").orderBy("score", "doc_id")
 
 

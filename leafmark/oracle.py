@@ -43,6 +43,7 @@ TREES = {
     "the of": _both(_w("the"), _w("of")), "of-the": _w("of", "the"), "ête* OR für OR señ*": _either(_either(_w("ete*"), _w("fur")), _w("sen*")),
     'the AND ""': _both(_w("the"), _w()),
     'the of NOT and* OR der AND "die der" OR von': _either(_either(Branch("NOT", _both(_w("the"), _w("of")), _w("and*")), _both(_w("der"), _w("die", "der"))), _w("von")),
+    'the OR "of the" OR an*': _either(_either(_w("the"), _w("of", "the")), _w("an*")), "of OR die OR la NOT thth*": _either(_either(_w("of"), _w("die")), Branch("NOT", _w("la"), _w("thth*"))),
     "the OR an*": _either(_w("the"), _w("an*")), 'the OR "of the" OR thth*': _either(_either(_w("the"), _w("of", "the")), _w("thth*")),
 }
 
@@ -139,6 +140,11 @@ stats AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n_pages, AVG(dl) AS mean, {', '.joi
 hits AS (SELECT doc_id, page_number, -({score(node)}) AS score FROM counted, stats WHERE {match(node)})"""
 
 
+def _live(query: str, last: str) -> str:
+    """``_search`` over the documents that are not toxic."""
+    return f"""WITH live AS (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), {_search(query).replace("FROM documents)", "FROM live)", 1)} {last}"""
+
+
 def _pages_of(query: str) -> str:
     return f"WITH {_search(query)} SELECT doc_id, page_number, round(score, 6) AS score FROM hits"
 
@@ -232,6 +238,13 @@ FROM (SELECT doc_id, page_number, regexp_extract_all(snippet, '(?s)\\[\\[MATCH_S
         "term_df": f"WITH {PAGES} SELECT term, COUNT(*) AS df FROM (SELECT unnest(list_distinct(tokens)) AS term FROM pages) GROUP BY term",
         "postings": f"""WITH {PAGES} SELECT term, doc_id, page_number, COUNT(*) AS tf, string_agg(CAST(i - 1 AS VARCHAR), ',' ORDER BY i) AS positions
 FROM (SELECT doc_id, page_number, tokens[i] AS term, i FROM pages, unnest(generate_series(1, len(tokens))) u(i)) GROUP BY term, doc_id, page_number""",
+        "index_prefix_terms": f"WITH {PAGES} SELECT term, COUNT(DISTINCT (doc_id, page_number)) AS df, COUNT(*) AS cf FROM (SELECT doc_id, page_number, unnest(tokens) AS term FROM pages) WHERE starts_with(term, 'th') GROUP BY term",
+        "search_top": _ranked("of OR die OR la NOT thth*", limit=10, offset=5).replace("COUNT(*) AS n_pages FROM hits", "COUNT(*) AS n_pages, TRUE AS bounded FROM hits"),
+        "index_changes": _live('the OR "of the" OR an*', "SELECT doc_id, page_number, round(score, 6) AS score FROM hits"),
+        "index_merge": _live('the OR "of the" OR an*', "SELECT doc_id, page_number, round(score, 6) AS score, TRUE AS merged FROM hits"),
+        "index_versions": f"""WITH {LINES}, gone AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1), d AS (SELECT COUNT(*) AS a, COUNT(*) FILTER (doc_id NOT IN (SELECT doc_id FROM gone)) AS b FROM documents),
+p AS (SELECT COUNT(*) AS a, COUNT(*) FILTER (doc_id NOT IN (SELECT doc_id FROM gone)) AS b FROM lines) SELECT 1 AS version, 'documents' AS name, a AS n FROM d UNION ALL SELECT 2, 'documents', b FROM d
+UNION ALL SELECT 3, 'documents', b + (SELECT COUNT(*) FROM gone) FROM d UNION ALL SELECT 1, 'pages', a FROM p UNION ALL SELECT 2, 'pages', b FROM p UNION ALL SELECT 3, 'pages', b FROM p""",
         "normalize_text": f"WITH {PAGES} SELECT doc_id, page_number, normalized_text FROM pages",
         "denormalize_text": f"WITH {PAGES} SELECT doc_id, page_number, translate(normalized_text, '{T.LATIN}', '{T.CYRILLIC}') AS denormalized FROM pages",
         "tokenize": f"WITH {PAGES} SELECT doc_id, page_number, array_to_string(tokens, ' ') AS tokens FROM pages",

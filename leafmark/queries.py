@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +12,11 @@ from leafmark import schemas
 from leafmark.functions import text as T
 from leafmark.operators import backend, highlights, ingest, loading, metadata, modules, scans, search
 from leafmark.operators.filters import Filters, request
+from leafmark.operators.segments import SearchIndex
 from leafmark.plans.query import parse
+from leafmark.session import work_folder
 from leafmark.sources import files, tables
+from leafmark.sources.versions import Versions
 from leafmark.streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,13 +31,25 @@ SNIPPET_QUERY = 'the OR "of the" OR thth*'
 EVENT_LEVELS = {"click": 10, "view": 10, "purchase": 20, "signup": 20, "error": 40}
 
 
+#: Indexes that this driver wrote, by application and tables.
+_indexes: dict[tuple[str, str], SearchIndex] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The search index of the documents; the first query of a session writes it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = SearchIndex.open(spark, work_folder(spark, "index")).upsert(tables.pages(spark, sf_dir))
+    return _indexes[key]
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.resolve(tables.registry(spark, sf_dir), tables.codes(spark), tables.aliases(spark))
 
 
 def _scored(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = search.matching_pages(tables.pages(spark, sf_dir), SEARCHES[name])
+        found = _index(spark, sf_dir).matching(SEARCHES[name])
         return found.select("doc_id", "page_number", F.round("score", 6).alias("score"))
 
     return run
@@ -41,18 +57,18 @@ def _scored(name: str) -> Query:
 
 def _ranked(query: str, f: Filters = Filters(), limit: int = 50, offset: int = 0) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        top = search.search(tables.pages(spark, sf_dir), _documents(spark, sf_dir), query, f, limit, offset)
+        top = search.search(_index(spark, sf_dir), _documents(spark, sf_dir), query, f, limit, offset)
         return top.select("doc_id", "file_path", F.round("score", 6).alias("score"), "n_pages")
 
     return run
 
 
 def _counted(query: str, f: Filters = Filters()) -> Query:
-    return lambda spark, sf_dir: search.count(tables.pages(spark, sf_dir), _documents(spark, sf_dir), query, f)
+    return lambda spark, sf_dir: search.count(_index(spark, sf_dir), _documents(spark, sf_dir), query, f)
 
 
 def search_with_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.search_with_count(tables.pages(spark, sf_dir), _documents(spark, sf_dir), "the OR an*", limit=16, offset=16)
+    found = search.search_with_count(_index(spark, sf_dir), _documents(spark, sf_dir), "the OR an*", limit=16, offset=16)
     return found.select("doc_id", "file_path", F.round("score", 6).alias("score"), "n_pages", "n_docs")
 
 
@@ -76,12 +92,12 @@ def search_module_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_grouped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = search.search_with_pages(tables.pages(spark, sf_dir), _documents(spark, sf_dir), "the", limit=20)
+    top = search.search_with_pages(_index(spark, sf_dir), _documents(spark, sf_dir), "the", limit=20)
     return top.select("doc_id", F.array_join(F.transform("pages", lambda p: p["page_number"].cast("string")), ",").alias("page_numbers"), F.size("pages").alias("n_hits"))
 
 
 def _snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.page_hits(tables.pages(spark, sf_dir), SNIPPET_QUERY, tables.table(spark, sf_dir, "documents"))
+    return search.page_hits(_index(spark, sf_dir), SNIPPET_QUERY, tables.table(spark, sf_dir, "documents"))
 
 
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,8 +105,7 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = tables.pages(spark, sf_dir).select(F.explode(F.array_distinct("tokens")).alias("term"))
-    return terms.groupBy("term").agg(F.count("*").alias("df"))
+    return _index(spark, sf_dir).terms().select("term", "df")
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +113,53 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("term", "doc_id", "page_number", "tf", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
 
 
+def index_prefix_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).terms("th")
+
+
+def search_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents by the best tiers of the postings, however short the lists."""
+    found = _index(spark, sf_dir).top(_documents(spark, sf_dir), "of OR die OR la NOT thth*", limit=10, offset=5, small=0)
+    return found.rows.select("doc_id", "file_path", F.round("score", 6).alias("score"), "n_pages", F.lit(found.read <= found.of).alias("bounded"))
+
+
+def _changed_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """An index after four upserts, by language, of documents of which the labelled ones are out of date; one that brings these up to date; and one delete of the toxic ones."""
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    labels = tables.table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    marked = docs.join(labels.select("doc_id", F.lit(True).alias("labelled")).distinct(), "doc_id", "left")
+    old = marked.select("doc_id", "lang", F.when(F.col("labelled"), F.concat(F.lit("the outdated an\n"), "text", F.lit(" of the"))).otherwise(F.col("text")).alias("text"))
+    index = SearchIndex.open(spark, work_folder(spark, "index"))
+    languages = [r["lang"] for r in docs.select("lang").distinct().orderBy("lang").collect()]  # a few
+    for lang in languages:
+        index = index.upsert(tables.index_pages(tables.page_lines(old.filter(F.col("lang").eqNullSafe(lang)))))
+    fresh = marked.filter("labelled")
+    return index.upsert(tables.index_pages(tables.page_lines(fresh)), fresh).delete(labels.filter("toxic = 1"))
+
+
+def index_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _changed_index(spark, sf_dir).matching('the OR "of the" OR an*')
+    return found.select("doc_id", "page_number", F.round("score", 6).alias("score"))
+
+
+def index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after merging, with how many parts are left."""
+    index, files_rewritten = _changed_index(spark, sf_dir).merge(fan=2)
+    found = index.matching('the OR "of the" OR an*')
+    return found.select("doc_id", "page_number", F.round("score", 6).alias("score"), F.lit(files_rewritten > 0 and len(index.at.parts) < 6).alias("merged"))
+
+
+def index_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of each version of two tables that change together, all read after the last was written."""
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
+    pages = tables.page_lines(docs)
+    toxic = tables.table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
+    at = Versions.open(spark, work_folder(spark, "versions")).add({"documents": docs.select("doc_id"), "pages": pages})
+    at.add({}, gone=toxic).add({"documents": toxic.withColumn("doc_id", -F.col("doc_id"))})
+    counted = [Versions.open(spark, at.path, v).table(name).agg(F.count("*").alias("n")).select(F.lit(v).alias("version"), F.lit(name).alias("name"), "n") for v in (1, 2, 3) for name in ("documents", "pages")]
+    return reduce(lambda a, b: a.unionAll(b), counted)
+
+
 def _page_column(name: str, column: Callable) -> Query:
     return lambda spark, sf_dir: tables.pages(spark, sf_dir).select("doc_id", "page_number", column().alias(name))
 
@@ -297,13 +359,14 @@ def queries() -> dict[str, Query]:
     boxes = tables.word_boxes
     found: dict[str, Query] = {name: _scored(name) for name in SEARCHES}
     found |= {
-        "search_bm25_pages": lambda s, d: search.matching_pages(tables.pages(s, d), "the OR an*").select("doc_id", "page_number", F.round("score", 6).alias("score")),
+        "search_bm25_pages": lambda s, d: _index(s, d).matching("the OR an*").select("doc_id", "page_number", F.round("score", 6).alias("score")),
         "search_ranked_docs": _ranked("the"), "search_page2": _ranked("the OR an*", limit=16, offset=16), "search_count": _counted("the OR an*"), "search_with_count": search_with_count,
         "search_filter_only": _ranked("", en, limit=500), "search_filter_only_count": _counted(" ", en), "search_with_filters": _ranked("the", en, limit=500),
         "search_unmatched_only": _ranked("the", unmatched, limit=500), "search_path_like": _ranked("the", path, limit=500), "search_module_view": search_module_view,
         "search_grouped_pages": search_grouped_pages, "search_snippet": lambda s, d: _snippets(s, d).select("doc_id", "page_number", "snippet"),
         "search_terms": lambda s, d: _snippets(s, d).select("doc_id", "page_number", F.array_join("terms", "|").alias("terms")),
-        "corpus_stats": corpus_stats, "term_df": term_df, "postings": postings,
+        "corpus_stats": corpus_stats, "term_df": term_df, "postings": postings, "index_prefix_terms": index_prefix_terms, "search_top": search_top,
+        "index_changes": index_changes, "index_merge": index_merge, "index_versions": index_versions,
         "normalize_text": _page_column("normalized_text", lambda: F.col("normalized_text")),
         "denormalize_text": _page_column("denormalized", lambda: T.denormalize_text(F.col("normalized_text"))),
         "tokenize": _page_column("tokens", lambda: F.array_join("tokens", " ")),
@@ -335,7 +398,7 @@ def queries() -> dict[str, Query]:
         "slow_events": lambda s, d: events.slow(_events(s, d), 100.0).select("event_id", "value"),
         "until_terminal": lambda s, d: events.until_last(_events(s, d), last=("error",)).groupBy("user_id").agg(F.count("*").alias("n")),
         "error_threshold": lambda s, d: events.at_threshold(_events(s, d), "error", 10),
-        "page_neighbours": lambda s, d: search.neighbours(search.matching_pages(tables.pages(s, d), "the")).fillna(-1),
+        "page_neighbours": lambda s, d: search.neighbours(_index(s, d).matching("the")).fillna(-1),
         "stream_event_counts": stream_event_counts,
         "stream_dedup": _streamed("stream_dedup", lambda e: events.dedup(e.select("user_id", "event_type"), ["user_id", "event_type"]), "append"),
         "stream_breaker": _streamed("stream_breaker", lambda e: events.breaker(e, "error", 2), "append"),

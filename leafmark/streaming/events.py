@@ -5,8 +5,6 @@ Functions take a DataFrame that may be a stream unless they say otherwise.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 
 from leafmark import schemas
 from leafmark.functions import text as T
+from leafmark.session import work_folder
 
 #: Event types and their log levels.
 LEVELS = {
@@ -193,14 +192,6 @@ def statistics(query) -> dict[str, int]:
     return {"batches": len(progress), "rows": sum(p["numInputRows"] for p in progress), "held": sum(o["numRowsTotal"] for o in state), "dropped": late}
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder where the session keeps checkpoints; a local session without that setting gets one of its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='leafmark-')).rstrip('/')}/leafmark/stream-{uuid.uuid4().hex}"
-
-
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there, and return what it wrote.
 
@@ -208,7 +199,7 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     are small aggregates, to a table in memory.
     """
     spark = stream.sparkSession
-    folder = _shared(spark)
+    folder = work_folder(spark, "stream")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
