@@ -16,7 +16,7 @@ CATEGORIES = {"object_code": "objects", "discipline_code": "disciplines", "docum
 
 def first_aliases(aliases: DataFrame, codes: DataFrame) -> DataFrame:
     """One row for each category and alias: the first listed; aliases of unknown codes go."""
-    known = aliases.join(F.broadcast(codes), ["category", "code"], "left_semi")  # dimensions
+    known = aliases.join(codes, ["category", "code"], "left_semi")
     first = F.row_number().over(Window.partitionBy("category", "alias").orderBy("seq"))
     return known.withColumn("_n", first).filter("_n = 1").drop("_n")
 

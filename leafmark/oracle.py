@@ -5,8 +5,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from leafmark.functions import text as T
-from leafmark.queries import EVENT_LEVELS, SEARCHES, SNIPPET_QUERY
-from leafmark.sources import tables
+from leafmark.queries import CHECKED, EVENT_LEVELS, SEARCHES, SNIPPET_QUERY
 
 
 class Term(NamedTuple):
@@ -87,13 +86,14 @@ previous AS (SELECT doc_id, CASE WHEN doc_id % 10 = 8 THEN 'moved/' || file_path
   CASE WHEN doc_id % 10 = 7 THEN '2023-01-01T00:00:00+00:00' ELSE '2024-01-01T00:00:00+00:00' END AS cached_mtime FROM registry WHERE doc_id % 10 <> 9)"""
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    lit = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else f"'{x}'"
-    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) v({names}))"
-
-
-CODES = "codes AS " + _values([("objects", c) for c in tables.OBJECTS] + [("disciplines", c) for c in tables.DISCIPLINES] + [("documentTypes", c) for c in tables.TYPES], "category, code")
-ALL_ALIASES = "all_aliases AS " + _values([(*r, i) for i, r in enumerate(tables.ALIASES)], "category, alias, code, lang, seq")
+KINDS = f"(SELECT DISTINCT {_pick(('DTL', 'SPC', 'REG'))} AS kind FROM documents WHERE doc_id % 7 <> 0)"
+CODES = f"""codes AS (SELECT DISTINCT 'objects' AS category, upper(lang) AS code FROM documents WHERE lang >= 'e' UNION ALL
+  SELECT DISTINCT 'disciplines', replace(source, 'src', 'D') FROM documents WHERE CAST(substr(source, 4) AS INTEGER) % 2 = 0 UNION ALL SELECT 'documentTypes', kind FROM {KINDS} WHERE kind <> 'REG')"""
+ALL_ALIASES = f"""all_aliases AS (SELECT 'objects' AS category, upper(lang) AS alias, c AS code, l AS lang, s AS seq FROM (SELECT DISTINCT lang FROM documents WHERE lang < 'e'), (VALUES ('EN', 'en', 0), ('FR', 'ru', 1)) v(c, l, s) UNION ALL
+  SELECT 'objects', lower(s_name), CASE s_nationkey % 4 WHEN 0 THEN 'EN' WHEN 1 THEN 'FR' WHEN 2 THEN 'ES' ELSE 'DE' END, CASE s_suppkey % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'ru' END, s_suppkey + 10 FROM supplier UNION ALL
+  SELECT 'disciplines', 'D' || n, 'D' || (n - 1), CASE WHEN n % 4 = 1 THEN 'en' END, n FROM (SELECT DISTINCT CAST(substr(source, 4) AS INTEGER) AS n FROM documents) WHERE n % 2 = 1 UNION ALL
+  SELECT 'disciplines', lower(c_mktsegment), 'D' || 2 * (MIN(c_custkey) % 12), 'ru', MIN(c_custkey) + 100 FROM customer GROUP BY c_mktsegment UNION ALL
+  SELECT 'documentTypes', kind, 'SPC', 'ru', 0 FROM {KINDS} WHERE kind = 'REG' UNION ALL SELECT 'documentTypes', lower(p_type), 'DTL', 'en', MIN(p_partkey) + 100 FROM part GROUP BY p_type)"""
 ALIASES = f"{CODES}, {ALL_ALIASES}, known AS (SELECT a.*, row_number() OVER (PARTITION BY category, alias ORDER BY seq) AS n FROM all_aliases a SEMI JOIN codes c USING (category, code)), aliases AS (SELECT category, alias, code, lang, seq FROM known WHERE n = 1)"
 NAME = T.FILE_NAME
 PARSED = f"""
@@ -209,10 +209,17 @@ changes AS (SELECT s.file_path, s.known_id, CASE WHEN s.state = 'to_index' AND f
 STATUS = f"""{REGISTRY}, {PREVIOUS},
 status AS (SELECT r.file_path, CASE WHEN p.doc_id IS NOT NULL AND ((p.cached_size = r.file_size AND p.cached_mtime = '2024-01-01T00:00:00+00:00') OR p.file_hash = r.file_hash) THEN 'indexed'
   WHEN p.doc_id IS NOT NULL THEN 'modified' WHEN r.file_hash IN (SELECT file_hash FROM previous) THEN 'duplicate' ELSE 'new' END AS status FROM registry r LEFT JOIN previous p USING (file_path))"""
-MODULES = "modules AS " + _values([m[:3] for m in tables.MODULES], "module_name, version, api_version") + ", deps AS " + _values([(m[0], *d) for m in tables.MODULES for d in m[3]], "module_name, needs, \"constraint\"")
+MODULES = """modules AS (SELECT s_suppkey AS k, s_name AS module_name, (s_suppkey % 3) || '.' || (s_suppkey % 5) AS version, '1.' || (s_nationkey % 4) AS api_version FROM supplier),
+deps AS (SELECT s_name AS module_name, 'Supplier#' || lpad(CAST(s_suppkey // 2 AS VARCHAR), 9, '0') AS needs, CASE s_suppkey % 4 WHEN 0 THEN '>=1.1,<2' WHEN 1 THEN '' WHEN 2 THEN '!=1.2' ELSE '<=1.2' END AS "constraint" FROM supplier WHERE s_suppkey >= 1
+  UNION ALL SELECT s_name, 'nation_3', '>=1' FROM supplier WHERE s_nationkey = 3)"""
 VERSION = lambda x: f"list_transform(string_split({x}, '.'), lambda p: COALESCE(TRY_CAST(trim(p) AS INTEGER), 0))"
 
 
+VERSION_CHECK = f"""d AS (SELECT d.module_name, needs, "constraint", m.api_version AS found FROM deps d JOIN modules m ON m.module_name = d.needs WHERE "constraint" <> ''),
+p AS (SELECT *, unnest(string_split("constraint", ',')) AS part FROM d), o AS (SELECT *, regexp_extract(trim(part), '^(>=|<=|!=|==|>|<)?') AS op, {VERSION("found")} AS have, {VERSION("regexp_replace(trim(part), '^(>=|<=|!=|==|>|<)?\\s*', '')")} AS want FROM p)
+SELECT module_name, needs, "constraint", found, bool_and(CASE op WHEN '!=' THEN have <> want WHEN '>=' THEN have >= want WHEN '<=' THEN have <= want WHEN '>' THEN have > want WHEN '<' THEN have < want ELSE have = want END) AS compatible FROM o GROUP BY 1, 2, 3, 4"""
+
+
 def oracle_sql() -> dict[str, str]:
     en = "d.object_code = 'EN' AND d.discipline_code = 'D4'"
     unmatched = "d.unmatched_flag = 1 AND lower(d.file_path) LIKE 'src1%'"
@@ -259,7 +266,7 @@ UNION ALL SELECT 3, 'documents', b + (SELECT COUNT(*) FROM gone) FROM d UNION AL
         "alias_conflicts": f"WITH {ALL_ALIASES} SELECT category, alias, COUNT(DISTINCT code) AS n_codes FROM all_aliases GROUP BY category, alias HAVING COUNT(DISTINCT code) > 1",
         "autocomplete_code": f"""WITH {ALIASES} SELECT c.code AS "left", COALESCE((SELECT arg_min(alias, seq) FROM aliases a WHERE a.category = c.category AND a.code = c.code AND (lang = 'ru' OR lang IS NULL)), '') AS "right", c.code, TRUE AS code_on_left
 FROM codes c WHERE category = 'disciplines' AND starts_with(lower(code), 'd1')""",
-        "autocomplete_alias": f"""WITH {ALIASES} SELECT alias AS "left", code AS "right", code, FALSE AS code_on_left FROM aliases WHERE category = 'objects' AND (lang = 'ru' OR lang IS NULL) AND starts_with(lower(alias), 'англ')""",
+        "autocomplete_alias": f"""WITH {ALIASES} SELECT alias AS "left", code AS "right", code, FALSE AS code_on_left FROM aliases WHERE category = 'objects' AND lang = 'en' AND starts_with(lower(alias), 'sup')""",
         "page_split": f"""WITH {PAGES} SELECT s.doc_id, CAST(len(ls) AS INTEGER) AS page_count, CAST((SELECT COUNT(*) FROM pages p WHERE p.doc_id = s.doc_id) AS INTEGER) AS kept_pages,
 sha256(COALESCE((SELECT string_agg(normalized_text, chr(10) ORDER BY page_number) FROM pages p WHERE p.doc_id = s.doc_id), '')) AS text_sha256 FROM split_lines s""",
         "empty_pages_dropped": f"WITH {LINES} SELECT doc_id, page_number, text FROM lines",
@@ -305,9 +312,7 @@ SELECT COUNT(DISTINCT id) FILTER (ok) AS success, COUNT(*) - COUNT(DISTINCT id)
         "stream_breaker": """WITH r AS (SELECT *, SUM(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events),
 e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS k FROM r WHERE event_type = 'error') SELECT user_id, event_id FROM e WHERE k % 2 = 0""",
         "module_missing_deps": f"WITH {MODULES} SELECT module_name, needs FROM deps WHERE needs NOT IN (SELECT module_name FROM modules)",
-        "module_version_check": f"""WITH {MODULES}, d AS (SELECT d.module_name, needs, "constraint", m.api_version AS found FROM deps d JOIN modules m ON m.module_name = d.needs WHERE "constraint" <> ''),
-p AS (SELECT *, unnest(string_split("constraint", ',')) AS part FROM d), o AS (SELECT *, regexp_extract(trim(part), '^(>=|<=|!=|==|>|<)?') AS op, {VERSION("found")} AS have, {VERSION("regexp_replace(trim(part), '^(>=|<=|!=|==|>|<)?\\s*', '')")} AS want FROM p)
-SELECT module_name, needs, "constraint", found, bool_and(CASE op WHEN '!=' THEN have <> want WHEN '>=' THEN have >= want WHEN '<=' THEN have <= want WHEN '>' THEN have > want WHEN '<' THEN have < want ELSE have = want END) AS compatible FROM o GROUP BY 1, 2, 3, 4""",
+        "module_version_check": f"WITH {MODULES}, {VERSION_CHECK}",
         "module_load_order": f"""WITH RECURSIVE {MODULES}, known AS (SELECT d.module_name, needs FROM deps d JOIN modules m ON m.module_name = d.needs),
 every AS (SELECT list(module_name ORDER BY module_name) AS names, list({{'name': module_name, 'needs': needs}}) AS links FROM (SELECT m.module_name, k.needs FROM modules m LEFT JOIN known k USING (module_name))),
 walk AS (SELECT 0 AS k, CAST([] AS VARCHAR[]) AS placed, names, links FROM every
@@ -315,16 +320,18 @@ walk AS (SELECT 0 AS k, CAST([] AS VARCHAR[]) AS placed, names, links FROM every
   FROM walk WHERE k < len(list_distinct(names)))
 SELECT CAST(k - 1 AS INTEGER) AS position, placed[k] AS module_name FROM walk WHERE k > 0""",
     }
+    told = " ".join(f"WHEN {i} THEN format('{q}', lang, source)" for i, (q, _) in enumerate(CHECKED))
     first_pages = _ranked("the", "TRUE", 500)
     scanned = "scans AS (SELECT event_id AS scan_id, 'primary' AS phase, CASE WHEN event_type = 'error' THEN 'running' ELSE 'completed' END AS status, user_id AS processed_files, user_id + 10 AS total_files FROM events)"
     sql |= {
-        "module_problems": "SELECT * FROM (VALUES ('stamps', 'core', '>=2'), ('drawings', 'library', 'nowhere'), ('export', 'missing', 'missing'), ('drawings', 'version', 'core')) v(module_name, problem, about)",
-        "module_registry": """SELECT * FROM (VALUES ('core', '2', 'active', '[]', NULL), ('audit', '2', 'active', '["notes"]', NULL), ('tables', '1', 'loaded', '[]', NULL), ('drawings', '1', 'loaded', '[]', NULL),
-('export', '1', 'loaded', '[]', NULL), ('stamps', '1', 'error', '[]', 'broken')) v(module_name, version, status, managed_tables, error_message)""",
+        "module_problems": f"""WITH {MODULES.replace("modules AS", "every AS", 1)}, modules AS (SELECT * FROM every WHERE k % 5 <> 4), checks AS (WITH {VERSION_CHECK.replace("FROM deps d", "FROM (SELECT * FROM deps SEMI JOIN modules USING (module_name)) d", 1)})
+SELECT module_name, 'core' AS problem, '>=2' AS about FROM every WHERE k % 5 = 4 UNION ALL SELECT module_name, 'library', 'nowhere' FROM modules WHERE k % 3 = 2
+UNION ALL SELECT module_name, 'missing', needs FROM deps SEMI JOIN modules USING (module_name) WHERE needs NOT IN (SELECT module_name FROM modules) UNION ALL SELECT module_name, 'version', needs FROM checks WHERE NOT compatible""",
+        "module_registry": f"""WITH {MODULES} SELECT module_name, CASE WHEN k % 3 = 0 THEN '2' ELSE '1' END AS version, CASE WHEN k = 1 THEN 'error' WHEN k % 3 = 0 THEN 'active' ELSE 'loaded' END AS status,
+CASE WHEN k % 7 = 0 THEN '["notes"]' ELSE '[]' END AS managed_tables, CASE WHEN k = 1 THEN 'broken' END AS error_message FROM modules WHERE k % 3 = 0 OR k % 7 <> 0""",
         "secondary_scan": "SELECT doc_id, length(COALESCE(text, '')) AS n FROM documents WHERE lang = 'en'",
         "module_manifests": f"WITH {MODULES} SELECT module_name, version, 'a/' || module_name AS path FROM modules",
-        "query_errors": """SELECT * FROM (VALUES ('the', FALSE), ('"of the" an*', FALSE), ('the AND', TRUE), ('(the OR der', TRUE), ('the) OR der', TRUE), ('NOT the', TRUE), ('(a OR b) c', TRUE), ('12.5', TRUE), ('*', TRUE),
-('"open', FALSE), ('the NOT of', FALSE), ('die AND (der OR von)', FALSE), ('OR', TRUE), ('a b c', FALSE)) v(query, wrong)""",
+        "query_errors": f"SELECT doc_id, CASE doc_id % {len(CHECKED)} {told} END AS query, doc_id % {len(CHECKED)} IN ({', '.join(str(i) for i, (_, wrong) in enumerate(CHECKED) if wrong)}) AS wrong FROM documents",
         "search_mode_normal": first_pages, "search_mode_content": first_pages, "search_mode_filters": sql["search_filter_only"],
         "backend_count": f"WITH {_search('the')}, {RESOLVED} SELECT 'basic_search,count,relevance,snippet' AS capabilities, COUNT(DISTINCT h.doc_id) AS n_docs FROM hits h JOIN docs d USING (doc_id)",
         "extract_pages": f"WITH {LINES} SELECT doc_id, CAST(COUNT(*) OVER (PARTITION BY doc_id) AS INTEGER) AS page_count, page_number, text FROM numbered",
@@ -342,7 +349,7 @@ UNION ALL SELECT 2, 'secondary', 'running', 0, 0, 0, FALSE""",
         "latest_scan": f"WITH {scanned} SELECT * FROM scans ORDER BY scan_id DESC LIMIT 1",
         "path_listing": f"WITH {REGISTRY} SELECT file_path FROM registry ORDER BY file_path LIMIT 100 OFFSET 50",
         "migrated_index": f"""WITH {REGISTRY} SELECT *, CAST(-1 AS BIGINT) AS cached_size, 'none' AS cached_mtime, 'none' AS object_code, 'none' AS discipline_code, 'none' AS document_type_code, 0 AS unmatched_flag FROM registry""",
-        "schema_version": "SELECT 5 AS version",
+        "schema_version": "SELECT MAX(p_size) AS version FROM part",
         "delete_cascade": f"""WITH {LINES}, gone AS (SELECT doc_id FROM labels WHERE toxic = 1) SELECT 'documents' AS name, COUNT(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM gone)
 UNION ALL SELECT 'pages', COUNT(*) FROM lines WHERE doc_id NOT IN (SELECT doc_id FROM gone)""",
         "request_durations": """SELECT CAST(s.user_id AS VARCHAR) AS correlation_id, s.ts AS started_at, round((epoch_us(e.ts) - epoch_us(s.ts)) / 1000.0::DOUBLE, 3) AS ms FROM events s JOIN events e ON e.user_id = s.user_id

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +44,31 @@ def _index(spark: SparkSession, sf_dir: str) -> SearchIndex:
     return _indexes[key]
 
 
+#: Reference tables that this driver wrote, by application and tables.
+_references: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def _dimensions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Codes and aliases; the first query of a session writes them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _references:
+        folder = work_folder(spark, "references")
+        for name, rows in (("codes", tables.codes(spark, sf_dir)), ("aliases", tables.aliases(spark, sf_dir))):
+            rows.write.parquet(f"{folder}/{name}")
+        _references[key] = spark.read.parquet(f"{folder}/codes"), spark.read.parquet(f"{folder}/aliases")
+    return _references[key]
+
+
+def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dimensions(spark, sf_dir)[0]
+
+
+def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dimensions(spark, sf_dir)[1]
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metadata.resolve(tables.registry(spark, sf_dir), tables.codes(spark), tables.aliases(spark))
+    return metadata.resolve(tables.registry(spark, sf_dir), *_dimensions(spark, sf_dir))
 
 
 def _scored(name: str) -> Query:
@@ -255,18 +279,28 @@ def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.drain(stream, "stream_event_counts_out", "complete")
 
 
-#: Query strings and whether they have an error.
-CHECKED = ("the", '"of the" an*', "the AND", "(the OR der", "the) OR der", "NOT the", "(a OR b) c", "12.5", "*", '"open', "the NOT of", "die AND (der OR von)", "OR", "a b c")
+#: Queries around the words of a document, and whether they are wrong.
+CHECKED = (
+    ("{0}", False), ('"{0} {1}" {0}*', False), ("{0} AND", True), ("({0} OR {1}", True), ("{0}) OR {1}", True), ("NOT {0}", True), ("({0} OR {1}) c", True), ("12.5", True), ("*", True), ('"{0}', False),
+    ("{0} NOT {1}", False), ("{0} AND ({1} OR {0})", False), ("OR", True), ("{0} {1} {0}", False),
+)
 
 
 def query_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the queries that stand for documents are wrong; each is parsed where its row is."""
+
     def wrong(query: str) -> bool:
         try:
             return parse(query) is None
         except ValueError:
             return True
 
-    return spark.createDataFrame([(q, wrong(q)) for q in CHECKED], "query string, wrong boolean")
+    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            filled = [CHECKED[i % len(CHECKED)][0].format(lang, source) for i, lang, source in zip(frame["doc_id"], frame["lang"], frame["source"])]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "query": filled, "wrong": [wrong(q) for q in filled]})
+
+    return tables.table(spark, sf_dir, "documents").select("doc_id", "lang", "source").mapInPandas(check, "doc_id long, query string, wrong boolean")
 
 
 def _mode(mode: str, query: str, f: Filters) -> Query:
@@ -334,9 +368,9 @@ def secondary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def module_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lambda version, part: tables.manifests(spark).filter(part).withColumn("version", F.lit(version))
-    known = scans.register_modules(spark.createDataFrame([], schemas.MODULE), rows("1", "module_name != 'audit'"))
-    known = scans.set_module_status(scans.register_modules(known, rows("2", "module_name IN ('audit', 'core')"), "active"), "stamps", "error", "broken")
+    rows = lambda version, part: modules.first_manifests(tables.manifests(spark, sf_dir)).filter(part).withColumn("version", F.lit(version))
+    known = scans.register_modules(spark.createDataFrame([], schemas.MODULE), rows("1", "size(managed_tables) = 0"))
+    known = scans.set_module_status(scans.register_modules(known, rows("2", "size(libraries) = 1"), "active"), "Supplier#000000001", "error", "broken")
     return known.select("module_name", "version", "status", "managed_tables", "error_message")
 
 
@@ -372,12 +406,12 @@ def queries() -> dict[str, Query]:
         "tokenize": _page_column("tokens", lambda: F.array_join("tokens", " ")),
         "parse_file_name": parse_file_name, "resolve_codes": resolve_codes,
         "unmatched_summary": lambda s, d: metadata.unmatched_summary(_documents(s, d)),
-        "references_payload": lambda s, d: metadata.payload(tables.codes(s), tables.aliases(s)),
-        "alias_by_lang": lambda s, d: metadata.by_language(tables.aliases(s), "ru").select("category", "alias", "code"),
-        "alias_by_lang_en": lambda s, d: metadata.by_language(tables.aliases(s), "en").select("category", "alias", "code"),
-        "alias_conflicts": lambda s, d: metadata.alias_conflicts(tables.aliases(s)),
-        "autocomplete_code": lambda s, d: metadata.suggest(tables.codes(s), tables.aliases(s), "disciplines", " D1"),
-        "autocomplete_alias": lambda s, d: metadata.suggest(tables.codes(s), tables.aliases(s), "objects", "Англ"),
+        "references_payload": lambda s, d: metadata.payload(_codes(s, d), _aliases(s, d)),
+        "alias_by_lang": lambda s, d: metadata.by_language(_aliases(s, d), "ru").select("category", "alias", "code"),
+        "alias_by_lang_en": lambda s, d: metadata.by_language(_aliases(s, d), "en").select("category", "alias", "code"),
+        "alias_conflicts": lambda s, d: metadata.alias_conflicts(_aliases(s, d)),
+        "autocomplete_code": lambda s, d: metadata.suggest(_codes(s, d), _aliases(s, d), "disciplines", " D1"),
+        "autocomplete_alias": lambda s, d: metadata.suggest(_codes(s, d), _aliases(s, d), "objects", " Sup"),
         "page_split": page_split, "empty_pages_dropped": lambda s, d: tables.page_lines(tables.table(s, d, "documents")),
         "hash_dedup": lambda s, d: ingest.first_of_hash(tables.registry(s, d)), "change_detection": change_detection, "scan_counters": scan_counters,
         "index_status": index_status, "index_state": index_state, "upsert_documents": upsert_documents, "delete_document": delete_document,
@@ -391,8 +425,8 @@ def queries() -> dict[str, Query]:
         "event_prefix": lambda s, d: events.subscribe(_events(s, d), prefix="p").select("event_id", "event_type"),
         "event_level_filter": lambda s, d: events.at_level(_events(s, d), 20, EVENT_LEVELS).select("event_id", "event_type", "level"),
         "log_levels": log_levels, "write_plans": write_plans, "page_range": lambda s, d: ingest.in_range(tables.table(s, d, "documents"), 3),
-        "reference_emptiness": lambda s, d: metadata.emptiness({"codes": tables.codes(s), "aliases": tables.aliases(s), "none": tables.codes(s).limit(0)}),
-        "reference_insert": lambda s, d: metadata.insert_or_ignore(tables.codes(s).limit(0), tables.aliases(s).select("category", "code"), ["category", "code"]),
+        "reference_emptiness": lambda s, d: metadata.emptiness({"codes": _codes(s, d), "aliases": _aliases(s, d), "none": _codes(s, d).limit(0)}),
+        "reference_insert": lambda s, d: metadata.insert_or_ignore(_codes(s, d).limit(0), _aliases(s, d).select("category", "code"), ["category", "code"]),
         "progress_throttle_1s": lambda s, d: events.throttled(_events(s, d)), "event_counts_hourly": lambda s, d: events.counts(_events(s, d)),
         "latest_status": lambda s, d: events.latest(_events(s, d)), "consecutive_errors": lambda s, d: events.longest_runs(_events(s, d), "error"),
         "slow_events": lambda s, d: events.slow(_events(s, d), 100.0).select("event_id", "value"),
@@ -402,17 +436,17 @@ def queries() -> dict[str, Query]:
         "stream_event_counts": stream_event_counts,
         "stream_dedup": _streamed("stream_dedup", lambda e: events.dedup(e.select("user_id", "event_type"), ["user_id", "event_type"]), "append"),
         "stream_breaker": _streamed("stream_breaker", lambda e: events.breaker(e, "error", 2), "append"),
-        "module_missing_deps": lambda s, d: modules.missing(tables.modules(s), tables.dependencies(s)),
-        "module_version_check": lambda s, d: modules.version_checks(tables.modules(s), tables.dependencies(s)),
-        "module_load_order": lambda s, d: modules.load_order(tables.modules(s), tables.dependencies(s)),
-        "module_problems": lambda s, d: loading.problems(tables.manifests(s), tables.dependencies(s), "1.4", ("numpy",)), "module_registry": module_registry, "secondary_scan": secondary_scan,
-        "module_manifests": lambda s, d: modules.first_manifests(tables.manifests(s)).select("module_name", "version", "path"),
+        "module_missing_deps": lambda s, d: modules.missing(tables.modules(s, d), tables.dependencies(s, d)),
+        "module_version_check": lambda s, d: modules.version_checks(tables.modules(s, d), tables.dependencies(s, d)),
+        "module_load_order": lambda s, d: modules.load_order(tables.modules(s, d), tables.dependencies(s, d)),
+        "module_problems": lambda s, d: loading.problems(modules.first_manifests(tables.manifests(s, d)), tables.dependencies(s, d), "1.4", ("numpy",)), "module_registry": module_registry, "secondary_scan": secondary_scan,
+        "module_manifests": lambda s, d: modules.first_manifests(tables.manifests(s, d)).select("module_name", "version", "path"),
         "query_errors": query_errors, "search_mode_normal": _mode("normal", "the", Filters(unmatched_only=True)), "search_mode_filters": _mode("filters", "the", en),
         "search_mode_content": _mode("content", "the", en), "backend_count": backend_count, "extract_pages": extract_pages, "settings": settings, "text_ids": text_ids, "effective_dpi": effective_dpi,
         "scan_record": scan_record, "scan_snapshot": lambda s, d: events.snapshot(_scans(s, d)).withColumn("progress_percent", F.round("progress_percent", 6)),
-        "idle_snapshot": lambda s, d: events.snapshot(_scans(s, d).limit(0)), "stale_scans": lambda s, d: ingest.interrupt_stale(_scans(s, d)).groupBy("status").agg(F.count("*").alias("n")),
+        "idle_snapshot": lambda s, d: events.snapshot(_scans(s, d).filter("total_files < 0")), "stale_scans": lambda s, d: ingest.interrupt_stale(_scans(s, d)).groupBy("status").agg(F.count("*").alias("n")),
         "latest_scan": lambda s, d: ingest.latest_scan(_scans(s, d)), "path_listing": lambda s, d: files.listing(tables.registry(s, d).select("file_path"), 100, 50),
-        "migrated_index": migrated_index, "schema_version": lambda s, d: ingest.max_version(s.createDataFrame([m[:1] for m in schemas.MIGRATIONS], "version int")),
+        "migrated_index": migrated_index, "schema_version": lambda s, d: ingest.max_version(tables.table(s, d, "part").select(F.col("p_size").alias("version"))),
         "delete_cascade": delete_cascade, "request_durations": request_durations, "expired_sessions": expired_sessions,
         "empty_files": lambda s, d: ingest.scan_counters(ingest.detect_changes(tables.found_files(s, d).withColumn("file_size", F.when(F.col("file_path").contains("-DTL-"), 0).otherwise(F.col("file_size"))), tables.previous_index(s, d))),
         "progress_forced": lambda s, d: events.throttled(_events(s, d), "1 hour", F.col("event_type") == "signup"),

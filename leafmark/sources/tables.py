@@ -6,21 +6,13 @@ file name; see each function for the rule.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark.functions import text as T
 
-#: Codes that the dimensions know; some languages and sources are left out, so that unmatched rows exist.
-OBJECTS, DISCIPLINES, TYPES = ("EN", "FR"), tuple(f"D{i}" for i in range(0, 20, 2)), ("DTL", "SPC")
-#: (category, alias, code, lang); the alias of two languages keeps the first row.
-ALIASES = (
-    ("objects", "DE", "EN", "en"), ("objects", "DE", "FR", "ru"), ("objects", "english", "EN", "en"), ("objects", "английский", "EN", "ru"), ("objects", "français", "FR", None),
-    ("disciplines", "D1", "D0", "en"), ("disciplines", "D3", "D2", None), ("disciplines", "дисциплина", "D0", "ru"), ("disciplines", "discipline", "D4", "en"),
-    ("documentTypes", "REG", "SPC", "ru"), ("documentTypes", "detail", "DTL", "en"), ("documentTypes", "чертёж", "DTL", "ru"),
-)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,15 +49,42 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_pages(page_lines(table(spark, sf_dir, "documents")))
 
 
-def codes(spark: SparkSession) -> DataFrame:
-    """(category, code)."""
-    rows = [("objects", c) for c in OBJECTS] + [("disciplines", c) for c in DISCIPLINES] + [("documentTypes", c) for c in TYPES]
-    return spark.createDataFrame(rows, "category string, code string")
+def _number(source: Column) -> Column:
+    return F.substring(source, 4, 10).try_cast("int")
 
 
-def aliases(spark: SparkSession) -> DataFrame:
-    """(category, alias, code, lang, seq), as listed: aliases may repeat."""
-    return spark.createDataFrame([(*row, i) for i, row in enumerate(ALIASES)], "category string, alias string, code string, lang string, seq int")
+def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(category, code): languages after d, even sources, and the kinds of the file names but REG; so unmatched documents exist."""
+    d = table(spark, sf_dir, "documents")
+    kinds = registry(spark, sf_dir).select(T.parsed_file_name(F.col("file_path"))["document_type_code"].alias("code")).filter("code != 'REG'")
+    row = lambda category, rows: rows.distinct().select(F.lit(category).alias("category"), "code")
+    languages = d.filter("lang >= 'e'").select(F.upper("lang").alias("code"))
+    sources = d.filter(_number(F.col("source")) % 2 == 0).select(F.replace("source", F.lit("src"), F.lit("D")).alias("code"))
+    return row("objects", languages).unionAll(row("disciplines", sources)).unionAll(row("documentTypes", kinds))
+
+
+def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(category, alias, code, lang, seq), as listed: aliases may repeat, stand for several codes and for codes that aren't known.
+
+    Other languages stand for English and French, suppliers for a language,
+    odd sources for the one before, market segments for a source, REG for SPC
+    and types of parts for DTL.
+    """
+    d, of = table(spark, sf_dir, "documents"), lambda name: table(spark, sf_dir, name)
+    languages = d.filter("lang < 'e'").select(F.upper("lang").alias("alias")).distinct()
+    twice = languages.select("alias", F.explode(F.array(*(F.struct(F.lit(c).alias("code"), F.lit(x).alias("lang"), F.lit(i).alias("seq")) for i, (c, x) in enumerate((("EN", "en"), ("FR", "ru")))))).alias("r")).select("alias", "r.*")
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    suppliers = of("supplier").select(F.lower("s_name").alias("alias"), pick(("EN", "FR", "ES", "DE"), F.col("s_nationkey")).alias("code"), pick(("en", "ru", None), F.col("s_suppkey")).alias("lang"), (F.col("s_suppkey") + 10).cast("int").alias("seq"))
+    odd = d.select(_number(F.col("source")).alias("n")).filter("n % 2 = 1").distinct()
+    odd = odd.select(F.concat(F.lit("D"), "n").alias("alias"), F.concat(F.lit("D"), F.col("n") - 1).alias("code"), F.when(F.col("n") % 4 == 1, "en").alias("lang"), F.col("n").alias("seq"))
+    segments = of("customer").groupBy(F.lower("c_mktsegment").alias("alias")).agg(F.min("c_custkey").alias("first"))
+    segments = segments.select("alias", F.concat(F.lit("D"), 2 * (F.col("first") % 12)).alias("code"), F.lit("ru").alias("lang"), (F.col("first") + 100).cast("int").alias("seq"))
+    reg = registry(spark, sf_dir).select(T.parsed_file_name(F.col("file_path"))["document_type_code"].alias("alias")).filter("alias = 'REG'").distinct()
+    reg = reg.select("alias", F.lit("SPC").alias("code"), F.lit("ru").alias("lang"), F.lit(0).alias("seq"))
+    parts = of("part").groupBy(F.lower("p_type").alias("alias")).agg(F.min("p_partkey").alias("first"))
+    parts = parts.select("alias", F.lit("DTL").alias("code"), F.lit("en").alias("lang"), (F.col("first") + 100).cast("int").alias("seq"))
+    rows = [("objects", twice), ("objects", suppliers), ("disciplines", odd), ("disciplines", segments), ("documentTypes", reg), ("documentTypes", parts)]
+    return reduce(lambda a, b: a.unionAll(b), (r.select(F.lit(category).alias("category"), "alias", "code", "lang", "seq") for category, r in rows))
 
 
 def previous_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,33 +116,29 @@ def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("doc_id", "page_number", *placed, "original", T.normalize_text(F.col("original")).alias("normalized"), F.lit(0).alias("block_no"), F.lit(0).alias("line_no"), "word_no", F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"))
 
 
-#: (module_name, version, api_version, dependencies as (name, constraint)).
-MODULES = (
-    ("core", "1.4.0", "1.2", ()), ("tables", "0.9", "1.0", (("core", ">=1.1,<2"),)), ("drawings", "2.0.1", "2.0", (("core", ">=1.3"), ("tables", "==1.0"))),
-    ("export", "1.0", "1.1", (("drawings", "<3"), ("missing", ">=1"))), ("stamps", "0.1", "1.0", (("core", "!=1.2"),)), ("audit", "3.x", "1.0", ()),
-)
-
-
-def modules(spark: SparkSession) -> DataFrame:
-    """(module_name, version, api_version)."""
-    return spark.createDataFrame([m[:3] for m in MODULES], "module_name string, version string, api_version string")
+def _pick(names: tuple[str, ...], key: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, names)), (key % len(names) + 1).cast("int"))
 
 
-def dependencies(spark: SparkSession) -> DataFrame:
-    """(module_name, needs, constraint)."""
-    return spark.createDataFrame([(m[0], *d) for m in MODULES for d in m[3]], "module_name string, needs string, constraint string")
+def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(module_name, version, api_version): a module for each supplier."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    return table(spark, sf_dir, "supplier").select(F.col("s_name").alias("module_name"), F.concat_ws(".", k % 3, k % 5).alias("version"), F.concat(F.lit("1."), n % 4).alias("api_version"))
 
 
-#: (module_name, core_constraint, libraries, path) of manifests; a name may have several.
-MANIFESTS = (
-    ("core", "", ("numpy",), "a/core"), ("tables", ">=1.2,<2", (), "a/tables"), ("drawings", ">=1", ("numpy", "nowhere"), "a/drawings"), ("export", "<=1.4", (), "a/export"),
-    ("stamps", ">=2", ("nowhere",), "a/stamps"), ("audit", "==1.4", (), "a/audit"),
-)
+def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(module_name, needs, constraint): a supplier needs the one with half its number, those of nation 3 one that isn't there too."""
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    half = F.concat(F.lit("Supplier#"), F.lpad(F.floor(k / 2).cast("string"), 9, "0"))
+    first = s.filter("s_suppkey >= 1").select(F.col("s_name").alias("module_name"), half.alias("needs"), _pick((">=1.1,<2", "", "!=1.2", "<=1.2"), k).alias("constraint"))
+    return first.unionAll(s.filter("s_nationkey = 3").select("s_name", F.lit("nation_3"), F.lit(">=1")))
 
 
-def manifests(spark: SparkSession) -> DataFrame:
-    """The modules with what their manifests say; audit manages a table."""
-    rows = spark.createDataFrame([(name, core, list(libraries), path) for name, core, libraries, path in MANIFESTS], "module_name string, core_constraint string, libraries array<string>, path string")
-    own = F.when(F.col("module_name") == "audit", F.array(F.lit("notes"))).otherwise(F.array().cast("array<string>"))
-    fixed = {"entry_point": F.lit("x:X"), "scan_phase": F.lit("secondary"), "description": F.lit(""), "managed_tables": own, "data_version": F.lit(1)}
-    return modules(spark).join(rows, "module_name").withColumns(fixed)
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The modules with what their manifests say; a name has two manifests, and some manage a table."""
+    k = F.col("s_suppkey")
+    libraries = F.when(k % 3 == 0, F.array(F.lit("numpy"))).when(k % 3 == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("numpy"), F.lit("nowhere")))
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("module_name"), _pick(("", ">=1.2,<2", ">=1", "<=1.4", ">=2"), k).alias("core_constraint"), libraries.alias("libraries"), F.when(k % 7 == 0, F.array(F.lit("notes"))).otherwise(F.array().cast("array<string>")).alias("managed_tables"))
+    fixed = {"entry_point": F.lit("x:X"), "scan_phase": F.lit("secondary"), "description": F.lit(""), "data_version": F.lit(1), "folder": F.explode(F.array(F.lit("a/"), F.lit("b/")))}
+    whole = modules(spark, sf_dir).join(rows, "module_name").withColumns(fixed)
+    return whole.withColumn("version", F.when(F.col("folder") == "a/", F.col("version")).otherwise("9")).withColumn("path", F.concat("folder", "module_name")).drop("folder")

@@ -5,6 +5,7 @@ from leafmark import schemas
 from leafmark.operators import backend, loading, scans
 from leafmark.operators.filters import Filters
 from leafmark.sources import tables
+from tests import dimensions
 
 
 class Fake:
@@ -39,7 +40,7 @@ class Fake:
 def parts(spark):
     Fake.runs = 0
     loading.drop(spark, Fake.tables)
-    return tables.manifests(spark).filter("module_name = 'audit'"), tables.dependencies(spark).limit(0)
+    return dimensions.manifests(spark).filter("module_name = 'audit'"), dimensions.dependencies(spark).limit(0)
 
 
 def status(loader, name="audit"):
@@ -53,10 +54,10 @@ def registered(spark, manifest, version=0):
 
 def test_problems_keep_all_from_loading(spark):
     with pytest.raises(ValueError) as error:
-        loading.checked_order(tables.manifests(spark), tables.dependencies(spark), "1.4", ("numpy",))
+        loading.checked_order(dimensions.manifests(spark), dimensions.dependencies(spark), "1.4", ("numpy",))
     assert str(error.value) == "drawings: library nowhere; drawings: version core; export: missing missing; stamps: core >=2"
     names = ("core", "tables", "audit")
-    fine, own = tables.manifests(spark).filter(F.col("module_name").isin(*names)), tables.dependencies(spark).filter(F.col("module_name").isin(*names))
+    fine, own = dimensions.manifests(spark).filter(F.col("module_name").isin(*names)), dimensions.dependencies(spark).filter(F.col("module_name").isin(*names))
     assert loading.checked_order(fine, own, "1.4", ("numpy",)) == ["audit", "core", "tables"]
     with pytest.raises(ValueError, match="depend on each other"):
         loading.checked_order(fine, own.unionAll(spark.createDataFrame([("core", "tables", "")], own.schema)), "1.4", ("numpy",))

@@ -2,16 +2,17 @@ import json
 
 from leafmark.operators import metadata
 from leafmark.sources import files, tables
+from tests import dimensions
 
 
 def test_resolution(spark):
     docs = spark.createDataFrame([("p/1-EN-D0-DTL-1-A.pdf",), ("p/1-DE-D1-REG-1-A.pdf",), ("p/1-ES-D0-DTL-1-A.pdf",), ("p/notes.pdf",)], "file_path string")
-    r = {x.file_path[2:6]: (x.object_code, x.discipline_code, x.document_type_code, x.unmatched_flag) for x in metadata.resolve(docs, tables.codes(spark), tables.aliases(spark)).collect()}
+    r = {x.file_path[2:6]: (x.object_code, x.discipline_code, x.document_type_code, x.unmatched_flag) for x in metadata.resolve(docs, dimensions.codes(spark), dimensions.aliases(spark)).collect()}
     assert r == {"1-EN": ("EN", "D0", "DTL", 0), "1-DE": ("EN", "D0", "SPC", 0), "1-ES": (None, "D0", "DTL", 1), "note": (None, None, None, 1)}
 
 
 def test_suggestions(spark):
-    s = lambda c, t: [tuple(r) for r in metadata.suggest(tables.codes(spark), tables.aliases(spark), c, t).collect()]
+    s = lambda c, t: [tuple(r) for r in metadata.suggest(dimensions.codes(spark), dimensions.aliases(spark), c, t).collect()]
     assert s("objects", "en") == [("EN", "английский", "EN", True)]
     assert s("objects", "eng") == [("english", "EN", "EN", False)]
     assert s("objects", " АНГ") == [("английский", "EN", "EN", False)]

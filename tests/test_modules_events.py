@@ -9,10 +9,11 @@ from leafmark import schemas
 from leafmark.operators import modules
 from leafmark.sources import files, tables
 from leafmark.streaming import events
+from tests import dimensions
 
 
 def test_load_order_and_checks(spark):
-    m, d = tables.modules(spark), tables.dependencies(spark)
+    m, d = dimensions.modules(spark), dimensions.dependencies(spark)
     order = [r.module_name for r in modules.load_order(m, d).orderBy("position").collect()]
     assert order == ["audit", "core", "stamps", "tables", "drawings", "export"]
     assert modules.missing(m, d).collect() == [("export", "missing")]

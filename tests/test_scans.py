@@ -9,6 +9,7 @@ from leafmark import schemas
 from leafmark.operators import metadata, scans
 from leafmark.sources import files, tables
 from leafmark.streaming import events
+from tests import dimensions
 
 
 def test_scan_records(spark):
@@ -67,11 +68,11 @@ def test_sheets_and_export(spark, tmp_path):
         metadata.sheet_references(rows.unionAll(spark.createDataFrame([("B", "x", None)], rows.schema)), "objects")
     path = tmp_path / "references.json"
     for _ in range(2):
-        metadata.export(metadata.payload(tables.codes(spark), tables.aliases(spark)), str(path))
+        metadata.export(metadata.payload(dimensions.codes(spark), dimensions.aliases(spark)), str(path))
     whole = json.loads(path.read_text())
     assert list(whole) == sorted(whole) and whole["objects"]["codes"] == ["EN", "FR"] and {"alias": "english", "code": "EN"} in whole["objects"]["aliases_en"]
     codes, aliases = files.references(spark, str(path))
-    assert codes.count() == tables.codes(spark).count() and aliases.count() == metadata.first_aliases(tables.aliases(spark), tables.codes(spark)).count()
+    assert codes.count() == dimensions.codes(spark).count() and aliases.count() == metadata.first_aliases(dimensions.aliases(spark), dimensions.codes(spark)).count()
 
 
 def test_request_durations_and_sessions(spark, tmp_path):
