@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmark.functions import text as T
+from leafmark.sources.versions import GONE, Versions
 
 SKIPPED, DUPLICATE, TO_INDEX, ERROR = "skipped", "duplicate", "to_index", "error"
 
@@ -82,8 +85,7 @@ def page_plan(docs: DataFrame, keep_empty: bool = False) -> DataFrame:
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``new`` and those of ``old`` with other keys; of rows that repeat a key in ``new``, the last by all columns stays."""
-    order = Window.partitionBy(key).orderBy(*(F.col(c).desc_nulls_last() for c in new.columns))
-    last = new.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    last = new.groupBy(key).agg(F.max(F.struct(*new.columns)).alias("_last")).select("_last.*")
     return old.join(new.select(key), key, "left_anti").unionByName(last)
 
 
@@ -123,6 +125,51 @@ def write_all(plans: DataFrame, tables: dict[str, DataFrame], path: str) -> tupl
     return {name: read(f"{path}/{name}") for name in new}, counts.asDict()
 
 
+def commit_plans(at: Versions, plans: DataFrame) -> tuple[Versions, dict[str, int]]:
+    """The next version of documents (doc_id, page_count) and pages with the plans that can be written, in one step, and the counts.
+
+    Each document replaces its row and all its pages. A run that breaks off
+    leaves the version that was; what can't be written leaves no trace.
+    """
+    good, _ = split_plans(plans)
+    pages = good.select("doc_id", F.explode("pages").alias("p")).select("doc_id", "p.*")
+    counts = write_counts(plans).head().asDict()
+    return at.add({"documents": good.select("doc_id", "page_count"), "pages": pages}, gone=good.select("doc_id")), counts
+
+
+#: Columns of the documents that ``refresh`` keeps, besides doc_id.
+FILES = "file_path string, file_hash string, cached_size long, cached_mtime string, page_count int"
+
+
+def refresh(at: Versions, files: DataFrame, pages_of: Callable[[DataFrame], DataFrame], new_id: Column | None = None) -> Versions:
+    """The next version after a scan: files (see ``detect_changes``) that are new or changed are indexed, the others stay as they are.
+
+    ``pages_of`` gets (doc_id, file_path) of those to index and gives (doc_id,
+    page_number, text); nothing else is read or extracted. A changed file keeps
+    its id, a new one gets ``new_id`` of its path. Documents, their pages and
+    the table ``outcomes`` (file_path, outcome, duplicate_of, run) appear in one
+    step, so a scan that breaks off is simply done again.
+    """
+    new_id = T.stable_id(F.col("file_path")) if new_id is None else new_id
+    known = at.table("documents")
+    if known is None:
+        kind = files.select(new_id.alias("doc_id")).schema["doc_id"].dataType.simpleString()
+        known = at.spark.createDataFrame([], f"doc_id {kind}, {FILES}")
+    # the decisions are written first, so that ids, pages and outcomes follow from the same ones
+    order = max((p.order for p in at.parts), default=0) + 1
+    found = detect_changes(files, known).withColumn("doc_id", F.coalesce("known_id", new_id))
+    decided = at.write({"decided": found}, order=order)
+    found = at.read(decided, "decided")
+    fresh = found.filter(F.col("outcome") == TO_INDEX)
+    pages = at.write({"pages": pages_of(fresh.select("doc_id", "file_path"))}, order=order)
+    count = at.read(pages, "pages").groupBy("doc_id").agg(F.count("*").cast("int").alias("page_count"))
+    rows = fresh.join(count, "doc_id", "left").select("doc_id", "file_path", "file_hash", F.col("file_size").alias("cached_size"), F.col("last_modified").alias("cached_mtime"), F.coalesce("page_count", F.lit(0)).alias("page_count"))
+    rest = {"documents": rows, "outcomes": found.select("doc_id", "file_path", "outcome", "duplicate_of", F.lit(at.version + 1).alias("run"))}
+    if at.parts:
+        rest[GONE] = fresh.select("doc_id").distinct()
+    return at.commit((*at.parts, pages, at.write(rest, order=order)))
+
+
 def delete(table: DataFrame, doc_ids: DataFrame) -> DataFrame:
     """``table`` without some documents; ids that it doesn't have don't matter."""
     return table.join(doc_ids.select("doc_id"), "doc_id", "left_anti")

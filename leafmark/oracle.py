@@ -252,6 +252,10 @@ FROM (SELECT doc_id, page_number, tokens[i] AS term, i FROM pages, unnest(genera
         "index_versions": f"""WITH {LINES}, gone AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1), d AS (SELECT COUNT(*) AS a, COUNT(*) FILTER (doc_id NOT IN (SELECT doc_id FROM gone)) AS b FROM documents),
 p AS (SELECT COUNT(*) AS a, COUNT(*) FILTER (doc_id NOT IN (SELECT doc_id FROM gone)) AS b FROM lines) SELECT 1 AS version, 'documents' AS name, a AS n FROM d UNION ALL SELECT 2, 'documents', b FROM d
 UNION ALL SELECT 3, 'documents', b + (SELECT COUNT(*) FROM gone) FROM d UNION ALL SELECT 1, 'pages', a FROM p UNION ALL SELECT 2, 'pages', b FROM p UNION ALL SELECT 3, 'pages', b FROM p""",
+        "ingest_refresh": f"""WITH {CHANGES}, {LINES.strip()}, n AS (SELECT doc_id, COUNT(*) AS n FROM lines GROUP BY doc_id)
+SELECT c.file_path, c.outcome, c.duplicate_of, CASE WHEN c.known_id IS NOT NULL OR c.outcome = 'to_index' THEN COALESCE(n.n, 0) ELSE 0 END AS n_pages FROM changes c JOIN registry r USING (file_path) LEFT JOIN n ON n.doc_id = r.doc_id""",
+        "commit_plans": f"""WITH {LINES}, n AS (SELECT doc_id, COUNT(*) AS n FROM lines GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(string_split(text, chr(10))) + CASE WHEN lang = 'en' THEN 2 ELSE 0 END AS INTEGER) AS page_count, COALESCE(n, 0) + CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS n_pages FROM documents d LEFT JOIN n USING (doc_id)""",
         "normalize_text": f"WITH {PAGES} SELECT doc_id, page_number, normalized_text FROM pages",
         "denormalize_text": f"WITH {PAGES} SELECT doc_id, page_number, translate(normalized_text, '{T.LATIN}', '{T.CYRILLIC}') AS denormalized FROM pages",
         "tokenize": f"WITH {PAGES} SELECT doc_id, page_number, array_to_string(tokens, ' ') AS tokens FROM pages",

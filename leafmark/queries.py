@@ -184,6 +184,28 @@ def index_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(lambda a, b: a.unionAll(b), counted)
 
 
+def ingest_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan over what an earlier one knew: what is decided for each file, and the pages that its path has then."""
+    docs, registry, before = tables.table(spark, sf_dir, "documents"), tables.registry(spark, sf_dir), tables.previous_index(spark, sf_dir)
+    first = before.withColumn("page_count", F.lit(0))
+    old = tables.page_lines(docs.join(before.select("doc_id"), "doc_id", "left_semi"))
+    at = Versions.open(spark, work_folder(spark, "scans")).add({"documents": first, "pages": old})
+    texts = registry.select("file_path", F.col("doc_id").alias("_doc")).join(docs.select(F.col("doc_id").alias("_doc"), "text"), "_doc")
+    pages_of = lambda ids: tables.page_lines(ids.join(texts, "file_path"))
+    done = ingest.refresh(at, tables.found_files(spark, sf_dir), pages_of, F.xxhash64("file_path"))
+    counted = done.table("documents").join(done.table("pages").groupBy("doc_id").agg(F.count("*").alias("n_pages")), "doc_id", "left").select("file_path", "n_pages")
+    return done.raw("outcomes").select("file_path", "outcome", "duplicate_of").join(counted, "file_path", "left").withColumn("n_pages", F.coalesce("n_pages", F.lit(0)))
+
+
+def commit_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of each document after two commits of plans: all documents, then those of one language with an empty line behind them."""
+    docs, at = tables.table(spark, sf_dir, "documents"), Versions.open(spark, work_folder(spark, "plans"))
+    at, _ = ingest.commit_plans(at, ingest.page_plan(docs))
+    english = docs.filter("lang = 'en'").select("doc_id", F.concat("text", F.lit("\n\n.")).alias("text"))
+    at, _ = ingest.commit_plans(at, ingest.page_plan(english))
+    return at.table("documents").join(at.table("pages").groupBy("doc_id").agg(F.count("*").alias("n_pages")), "doc_id", "left").select("doc_id", "page_count", F.coalesce("n_pages", F.lit(0)).alias("n_pages"))
+
+
 def _page_column(name: str, column: Callable) -> Query:
     return lambda spark, sf_dir: tables.pages(spark, sf_dir).select("doc_id", "page_number", column().alias(name))
 
@@ -400,7 +422,7 @@ def queries() -> dict[str, Query]:
         "search_grouped_pages": search_grouped_pages, "search_snippet": lambda s, d: _snippets(s, d).select("doc_id", "page_number", "snippet"),
         "search_terms": lambda s, d: _snippets(s, d).select("doc_id", "page_number", F.array_join("terms", "|").alias("terms")),
         "corpus_stats": corpus_stats, "term_df": term_df, "postings": postings, "index_prefix_terms": index_prefix_terms, "search_top": search_top,
-        "index_changes": index_changes, "index_merge": index_merge, "index_versions": index_versions,
+        "index_changes": index_changes, "index_merge": index_merge, "index_versions": index_versions, "ingest_refresh": ingest_refresh, "commit_plans": commit_plans,
         "normalize_text": _page_column("normalized_text", lambda: F.col("normalized_text")),
         "denormalize_text": _page_column("denormalized", lambda: T.denormalize_text(F.col("normalized_text"))),
         "tokenize": _page_column("tokens", lambda: F.array_join("tokens", " ")),

@@ -106,3 +106,46 @@ def test_batched_write_replaces_documents_whole(spark, tmp_path):
 def test_versions(spark):
     assert ingest.max_version(spark.createDataFrame([(2,), (6,)], "version int")).head().version == 6
     assert ingest.max_version(spark.createDataFrame([], "version int")).head().version == 0
+
+
+def test_refresh_decides_and_does_it_in_one_step(spark, tmp_path):
+    from leafmark.sources.versions import Versions
+
+    texts = {"a": "x\ny", "b": "p", "c": "p", "d": ""}
+    asked = []
+
+    def files(texts, times):
+        rows = [(p, len(t), times.get(p, "t0"), str(hash(t)) if t else None) for p, t in texts.items()]
+        return spark.createDataFrame(rows, "file_path string, file_size long, last_modified string, file_hash string")
+
+    def pages_of(ids, broken=False):
+        found = [(r.doc_id, n, line) for r in ids.collect() for n, line in enumerate(texts[r.file_path].split("\n"))]
+        asked.append(sorted(r.file_path for r in ids.collect()))
+        if broken:
+            raise RuntimeError("the extractor fails")
+        return spark.createDataFrame(found, "doc_id string, page_number int, text string")
+
+    state = lambda at: sorted((r.file_path, r.page_count) for r in at.table("documents").collect())
+    last = lambda at: {r.file_path: r.outcome for r in at.raw("outcomes").filter(f"run = {at.version}").collect()}
+    at = ingest.refresh(Versions.open(spark, str(tmp_path)), files(texts, {}), pages_of)
+    assert state(at) == [("a", 2), ("b", 1)] and last(at) == {"a": "to_index", "b": "to_index", "c": "duplicate", "d": "error"}
+    before = {r.file_path: r.doc_id for r in at.table("documents").collect()}
+
+    texts |= {"a": "x\ny\nz", "e": "new"}
+    with pytest.raises(RuntimeError):
+        ingest.refresh(at, files(texts, {"a": "t1"}), lambda ids: pages_of(ids, broken=True))
+    assert Versions.open(spark, str(tmp_path)).version == 1 and state(at) == [("a", 2), ("b", 1)]
+
+    again = ingest.refresh(at, files(texts, {"a": "t1"}), pages_of)
+    assert asked[-1] == ["a", "e"] and state(again) == [("a", 3), ("b", 1), ("e", 1)] and state(at) == [("a", 2), ("b", 1)]
+    assert last(again) == {"a": "to_index", "b": "skipped", "c": "duplicate", "d": "error", "e": "to_index"}
+    after = {r.file_path: r.doc_id for r in again.table("documents").collect()}
+    assert after["a"] == before["a"] and again.table("pages").count() == 5
+    idle = ingest.refresh(again, files(texts, {"a": "t1"}), pages_of)
+    assert state(idle) == state(again) and asked[-1] == [] and idle.table("pages").count() == 5
+
+
+def test_upsert_of_rows_that_repeat(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, x string")
+    new = spark.createDataFrame([(2, None), (2, "c"), (3, "d"), (3, "d")], "doc_id long, x string")
+    assert sorted(map(tuple, ingest.upsert(old, new).collect())) == [(1, "a"), (2, "c"), (3, "d")]
