@@ -17,7 +17,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +30,8 @@ from leafmark.llm.words import chunks, slices
 
 #: Different stretches that a worker remembers, and the bytes that these may have, and ids that are decoded at a time.
 KNOWN, KNOWN_BYTES, IDS = 1 << 18, 1 << 24, 1 << 18
+#: Bytes of text whose words share an index.
+BLOCK = 2 << 20
 
 
 def default_vocabulary() -> str:
@@ -202,6 +204,40 @@ def encode_texts(texts: list[bytes], vocabulary: str) -> list[bytes]:
     return _encode_parts(texts, vocabulary)
 
 
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _encoder(vocabulary: str) -> Batches:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, texts in chunks(batches, limit=BLOCK):
+            ids = encode_texts(texts, vocabulary)
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+
+    return apply
+
+
+def _decoder(vocabulary: str) -> Batches:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = token_texts(vocabulary)
+        for piece, rows in chunks(batches, "ids", BLOCK):
+            out = []
+            for row in rows:
+                ids = np.frombuffer(row, "<u4")
+                parts = (b" ".join([texts[i] for i in ids[a : a + IDS].tolist() if i in texts]) for a in range(0, len(ids), IDS))
+                out.append(b" ".join(p for p in parts if p).decode())
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(out, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+
+    return apply
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+
+
+def _ddl(rows: DataFrame) -> str:
+    return f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary"
+
+
 def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, n_tokens long, ids binary) of documents (doc_id, text): token ids as unsigned 32-bit integers, little-endian.
 
@@ -211,15 +247,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     text of any length is cut at white space, a run without white space is one
     piece of work for one worker.
     """
-    vocabulary = vocabulary or default_vocabulary()
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, texts in chunks(batches):
-            ids = encode_texts(texts, vocabulary)
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
-
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(apply, f"doc_id {kind}, n_tokens long, ids binary")
+    return _texts(docs).mapInArrow(_encoder(vocabulary or default_vocabulary()), _ddl(docs))
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -227,23 +255,17 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     No ids give an empty text; ids that the vocabulary lacks give nothing.
     """
-    vocabulary = vocabulary or default_vocabulary()
-    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(_decoder(vocabulary or default_vocabulary()), f"{_ddl(encoded)}, decoded string")
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = token_texts(vocabulary)
-        for piece, rows in chunks(batches, "ids"):
-            out = []
-            for row in rows:
-                ids = np.frombuffer(row, "<u4")
-                parts = (b" ".join([texts[i] for i in ids[a : a + IDS].tolist() if i in texts]) for a in range(0, len(ids), IDS))
-                out.append(b" ".join(p for p in parts if p).decode())
-            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(out, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(apply, f"doc_id {kind}, n_tokens long, ids binary, decoded string")
+def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """What ``decode`` gives for what ``encode`` gives, in one worker instead of two."""
+    vocabulary = vocabulary or default_vocabulary()
+    there, back = _encoder(vocabulary), _decoder(vocabulary)
+    return _texts(docs).mapInArrow(lambda batches: back(there(batches)), f"{_ddl(docs)}, decoded string")
 
 
 def op12_pair_occurrence_bpe(spark, sf_dir: str) -> DataFrame:
     """Digests of the ids of all documents, and of the texts that these decode to."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), "text")
-    return decode(encode(docs)).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return round_trip(docs).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
