@@ -23,9 +23,9 @@ class SearchBackend(Protocol):
 
 @dataclass(frozen=True)
 class PageBackend:
-    """Search over a page table and its documents."""
+    """Search over a page table or an index, and its documents."""
 
-    pages: DataFrame
+    pages: DataFrame | S.Searchable
     documents: DataFrame
     capabilities: frozenset[str] = frozenset({"basic_search", "count", "snippet", "relevance"})
 

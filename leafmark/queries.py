@@ -330,7 +330,7 @@ def _mode(mode: str, query: str, f: Filters) -> Query:
 
 
 def backend_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine: backend.SearchBackend = backend.PageBackend(tables.pages(spark, sf_dir), _documents(spark, sf_dir))
+    engine: backend.SearchBackend = backend.PageBackend(_index(spark, sf_dir), _documents(spark, sf_dir))
     return spark.createDataFrame([(",".join(sorted(engine.capabilities)), engine.count("the"))], "capabilities string, n_docs long")
 
 
