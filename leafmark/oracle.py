@@ -315,6 +315,21 @@ SELECT COUNT(DISTINCT id) FILTER (ok) AS success, COUNT(*) - COUNT(DISTINCT id)
         "stream_event_counts": "SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type", "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
         "stream_breaker": """WITH r AS (SELECT *, SUM(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events),
 e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS k FROM r WHERE event_type = 'error') SELECT user_id, event_id FROM e WHERE k % 2 = 0""",
+        "stream_failures": """WITH t AS (SELECT *, lag(ts) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, SUM(CASE WHEN ts - before >= INTERVAL 10 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS part FROM t),
+r AS (SELECT *, SUM(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, part ORDER BY ts, event_id) AS run FROM g),
+e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, part, run ORDER BY ts, event_id) AS k, row_number() OVER (PARTITION BY user_id, part ORDER BY ts, event_id) AS n FROM r WHERE event_type = 'error')
+SELECT user_id, event_id, 'breaker' AS outcome FROM e WHERE k % 2 = 0 UNION ALL SELECT user_id, event_id, 'threshold' FROM e WHERE n = 5""",
+        "stream_sessions": """WITH t AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events WHERE user_id IS NOT NULL),
+g AS (SELECT *, SUM(CASE WHEN gap >= INTERVAL 8 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS part FROM t)
+SELECT user_id, MIN(ts) AS started_at, MAX(ts) AS last_seen, COUNT(*) AS n FROM g GROUP BY user_id, part HAVING MAX(ts) + INTERVAL 8 HOUR <= (SELECT MAX(ts) - INTERVAL 1 MINUTE FROM events)""",
+        "stream_statistics": "SELECT COUNT(*) AS n_rows, COUNT(*) AS n_observed, COUNT(*) FILTER (event_type = 'error') AS n_errors, COUNT(*) FILTER (value > 100) AS n_slow, CAST(0 AS BIGINT) AS running FROM events",
+        "queue_statistics": """SELECT user_id, CAST(SUM(n) AS BIGINT) AS published, CAST(SUM(least(n, 2)) AS BIGINT) AS delivered, CAST(SUM(greatest(n - 2, 0)) AS BIGINT) AS dropped, MAX(least(n, 2)) AS peak
+FROM (SELECT user_id, date_trunc('hour', ts), COUNT(*) AS n FROM events GROUP BY 1, 2) GROUP BY user_id""",
+        "queue_admitted": "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) AS r FROM events) WHERE r <= 2",
+        "file_walk": "SELECT source || '/' || lang || '/' || doc_id || '.txt' AS relative_path, doc_id || '.txt' AS file_name, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS file_size, CASE WHEN text <> '' THEN sha256(text) END AS file_hash FROM documents",
+        "extract_files": f"""WITH {BOXES}, w AS (SELECT doc_id, COUNT(*) AS n FROM boxes GROUP BY doc_id)
+SELECT doc_id, 'ok' AS outcome, CAST(len(string_split(coalesce(text, ''), chr(10))) AS INTEGER) AS page_count, coalesce(n, 0) AS n_words FROM documents LEFT JOIN w USING (doc_id)""",
         "module_missing_deps": f"WITH {MODULES} SELECT module_name, needs FROM deps WHERE needs NOT IN (SELECT module_name FROM modules)",
         "module_version_check": f"WITH {MODULES}, {VERSION_CHECK}",
         "module_load_order": f"""WITH RECURSIVE {MODULES}, known AS (SELECT d.module_name, needs FROM deps d JOIN modules m ON m.module_name = d.needs),
@@ -367,4 +382,5 @@ SELECT second, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_ma
         "progress_feed": """WITH f AS (SELECT *, COALESCE(SUM(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended
 FROM events WHERE event_type IN ('click', 'purchase', 'error')) SELECT user_id, event_id, event_type FROM f WHERE ended = 0""",
     }
+    sql["highlight_files"] = sql["highlight_single"]  # the same words, read from files
     return sql

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -16,9 +17,9 @@ from leafmark.operators.filters import Filters, request
 from leafmark.operators.segments import SearchIndex
 from leafmark.plans.query import parse
 from leafmark.session import work_folder
-from leafmark.sources import files, tables
+from leafmark.sources import extraction, files, tables, walk
 from leafmark.sources.versions import Versions
-from leafmark.streaming import events
+from leafmark.streaming import events, state, statistics
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -296,6 +297,32 @@ def _streamed(name: str, build: Callable[[DataFrame], DataFrame], mode: str) ->
     return run
 
 
+def stream_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors that complete two in a row or are a user's fifth; ten days of silence start anew."""
+    with state.store(spark):
+        return events.drain(state.failures(events.read_stream(spark, sf_dir), "error", 2, 5, 10 * 86400.0), "stream_failures_out")
+
+
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that ended by eight hours without an event."""
+    with state.store(spark):
+        return events.drain(state.sessions(events.read_stream(spark, sf_dir), 8 * 3600.0), "stream_sessions_out")
+
+
+def stream_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a listener was told of a stream over all events."""
+    stream = statistics.observed(events.read_stream(spark, sf_dir), "bus", errors=F.col("event_type") == "error", slow=F.col("value") > 100)
+    counters, folder = statistics.Counters(), work_folder(spark, "stream")
+    spark.streams.addListener(counters)
+    try:
+        query = stream.writeStream.format("noop").option("checkpointLocation", folder).trigger(availableNow=True).start()
+        query.awaitTermination()
+        told = counters.of(str(query.runId), 60.0)
+    finally:
+        spark.streams.removeListener(counters)
+    return spark.createDataFrame([(told["rows"], told["bus.all"], told["bus.errors"], told["bus.slow"], told["running"])], "n_rows long, n_observed long, n_errors long, n_slow long, running long")
+
+
 def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = events.read_stream(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"))
     return events.drain(stream, "stream_event_counts_out", "complete")
@@ -339,6 +366,58 @@ def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.extract_pages(docs, lambda data: data.decode().split("\n"))
 
 
+#: Folders of document files that this driver wrote, by application and tables.
+_files: dict[tuple[str, str], str] = {}
+
+
+def _document_files(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as files; the first query of a session writes them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _files:
+        _files[key] = work_folder(spark, "files")
+        tables.document_files(spark, sf_dir, _files[key])
+    return _files[key]
+
+
+def file_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files found below the folder of the documents, with sizes and hashes."""
+    found = walk.hashed(files.scan(spark, _document_files(spark, sf_dir), "txt", content=False))
+    return found.select("relative_path", "file_name", "file_size", "file_hash")
+
+
+def _page_of_words(number: int, line: str) -> extraction.Page:
+    words = []
+    for i, word in enumerate(line.split(" ")):  # runs of spaces are one gap
+        x, y = 10.0 * i, 12.0
+        box = (y, x, y + 10, x + 8) if number % 5 == 4 else (x, y, x + 8, y + 10)
+        words.append((*box, word, 0, 0, i))
+    return extraction.Page(line, 612.0, 792.0, [w for w in words if w[4]])
+
+
+def _line_pages(data: bytes) -> list[extraction.Page]:
+    """Lines as pages and words as boxes, where ``tables.word_boxes`` has them."""
+    return [_page_of_words(i, re.sub(" +", " ", line.strip())) for i, line in enumerate(data.decode().split("\n"))]
+
+
+def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and words of the document files, which a scan lists and the page source reads."""
+    lists = work_folder(spark, "lists")
+    found = files.scan(spark, _document_files(spark, sf_dir), "txt", content=False)
+    walk.manifest(found, lists, 1, 2 * spark.sparkContext.defaultParallelism)
+    pages = extraction.read(spark, lists, _line_pages, short_name="leafmark_lines")
+    return pages.withColumn("doc_id", F.regexp_extract("doc_id", r"(-?\d+)\.txt$", 1).cast("long"))
+
+
+def extract_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(spark, sf_dir).groupBy("doc_id", "outcome", "page_count").agg(F.sum(F.coalesce(F.size("words"), F.lit(0))).alias("n_words"))
+
+
+def highlight_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Highlights over boxes that were read from files."""
+    h = highlights.highlights(extraction.boxes(_extracted(spark, sf_dir)), ["the", " DER "])
+    return h.select("doc_id", "page_number", "term", *(F.round(c, 6).alias(c) for c in "xywh"), "flip", "confidence")
+
+
 def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of settings, some of which are none."""
     d = tables.table(spark, sf_dir, "documents")
@@ -457,7 +536,11 @@ def queries() -> dict[str, Query]:
         "page_neighbours": lambda s, d: search.neighbours(_index(s, d).matching("the")).fillna(-1),
         "stream_event_counts": stream_event_counts,
         "stream_dedup": _streamed("stream_dedup", lambda e: events.dedup(e.select("user_id", "event_type"), ["user_id", "event_type"]), "append"),
-        "stream_breaker": _streamed("stream_breaker", lambda e: events.breaker(e, "error", 2), "append"),
+        "stream_breaker": lambda s, d: stream_failures(s, d).filter("outcome = 'breaker'").select("user_id", "event_id"),
+        "stream_failures": stream_failures, "stream_sessions": stream_sessions, "stream_statistics": stream_statistics,
+        "queue_statistics": lambda s, d: statistics.queues(_events(s, d), 2, "1 hour"),
+        "queue_admitted": lambda s, d: statistics.admitted(_events(s, d), 2, "1 hour").select("event_id", "user_id"),
+        "file_walk": file_walk, "extract_files": extract_files, "highlight_files": highlight_files,
         "module_missing_deps": lambda s, d: modules.missing(tables.modules(s, d), tables.dependencies(s, d)),
         "module_version_check": lambda s, d: modules.version_checks(tables.modules(s, d), tables.dependencies(s, d)),
         "module_load_order": lambda s, d: modules.load_order(tables.modules(s, d), tables.dependencies(s, d)),

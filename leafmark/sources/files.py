@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import io
 import re
 import zipfile
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark.functions import text as T
+from leafmark.sources import walk
 
 
 def any_case(extension: str) -> str:
@@ -21,41 +21,22 @@ def any_case(extension: str) -> str:
     return "*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)
 
 
-def _exists(spark: SparkSession, folder: str) -> bool:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-
-
-def _empty_files(spark: SparkSession, folder: str, extension: str) -> DataFrame:
-    """(path, modificationTime, length) of files without bytes, which file scans leave out; a listing, as any scan makes one."""
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(folder)
-    system = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rows, found = [], system.listFiles(top, True) if system.exists(top) else None
-    while found and found.hasNext():
-        f = found.next()
-        if not f.getLen() and f.getPath().getName().lower().endswith("." + extension.lower()):
-            rows.append((f.getPath().toString(), dt.datetime.fromtimestamp(f.getModificationTime() / 1000), 0))
-    return spark.createDataFrame(rows, "path string, modificationTime timestamp, length long")
-
-
-def scan(spark: SparkSession, folder: str, extension: str = "pdf", content: bool = True) -> DataFrame:
+def scan(spark: SparkSession, folder: str, extension: str = "pdf", content: bool = True, algorithm: str = "sha256") -> DataFrame:
     """(file_path, relative_path, file_name, file_size, last_modified, content, file_hash) of files below a folder.
 
-    Without ``content`` files are not read, so a join on path, size and time
-    can decide first which to hash. Empty files have no hash; a folder that
-    doesn't exist gives no rows.
+    Folders are walked by jobs (``walk``). Without ``content`` files are not read,
+    so a join on path, size and time can decide first which to hash (``walk.hashed``
+    does it without holding them). Empty files have no hash, unreadable ones neither
+    hash nor content; a folder that doesn't exist gives no rows.
     """
-    empty = _empty_files(spark, folder, extension).withColumn("content", F.lit(b"").cast("binary"))
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", any_case(extension))
-    raw = raw.load(folder).unionByName(empty) if _exists(spark, folder) else empty
+    found = walk.walk(spark, folder).filter("error IS NULL").filter(F.endswith(F.lower("path"), F.lit("." + extension.lower())))
     base = "file:" + folder if folder.startswith("/") else folder
     relative = F.regexp_replace("path", r"^\Q" + base.rstrip("/") + r"\E/", "")
-    out = raw.select(
+    out = found.select(
         F.col("path").alias("file_path"), relative.alias("relative_path"), T.file_name(F.col("path")).alias("file_name"), F.col("length").alias("file_size"),
-        F.date_format(F.to_utc_timestamp("modificationTime", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("last_modified"), "content",
+        F.date_format(F.to_utc_timestamp(F.timestamp_micros("modified_us"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("last_modified"),
     )
-    return out.withColumn("file_hash", F.when(F.col("file_size") > 0, F.sha2("content", 256))) if content else out.drop("content")
+    return walk.contents(out, algorithm) if content else out
 
 
 def listing(files: DataFrame, limit: int = 500, offset: int = 0) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark.functions import text as T
+from leafmark.sources import walk
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -142,3 +143,17 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = {"entry_point": F.lit("x:X"), "scan_phase": F.lit("secondary"), "description": F.lit(""), "data_version": F.lit(1), "folder": F.explode(F.array(F.lit("a/"), F.lit("b/")))}
     whole = modules(spark, sf_dir).join(rows, "module_name").withColumns(fixed)
     return whole.withColumn("version", F.when(F.col("folder") == "a/", F.col("version")).otherwise("9")).withColumn("path", F.concat("folder", "module_name")).drop("folder")
+
+
+def document_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Write each text as a file source/lang/doc_id.txt below a folder; a null one is empty. A task that runs again replaces its files."""
+
+    def write(frames):
+        for frame in frames:
+            for key, lang, source, text in frame.itertuples(index=False):
+                with walk.created(f"{folder}/{source}/{lang}/{key}.txt") as f:
+                    f.write((text or "").encode())
+            yield frame[["doc_id"]]
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("source", F.lit("none")).alias("source"), "text")
+    rows.mapInPandas(write, "doc_id long").write.format("noop").mode("overwrite").save()

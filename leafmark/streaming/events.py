@@ -97,28 +97,6 @@ def longest_runs(events: DataFrame, bad: str, key: str = "user_id") -> DataFrame
     return runs.groupBy(key).agg(F.max("n").alias("longest_run"))
 
 
-def breaker(events: DataFrame, bad: str, limit: int = 10, key: str = "user_id") -> DataFrame:
-    """(key, event_id): a stream's events that complete ``limit`` bad ones in a row; the run starts again behind them.
-
-    Within a micro-batch events are taken by time.
-    """
-    kind = events.schema[key].dataType.simpleString()
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        run = state.get[0] if state.exists else 0
-        tripped = []
-        for row in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples():
-            run = run + 1 if row.event_type == bad else 0
-            if run == limit:
-                tripped.append(row.event_id)
-                run = 0
-        state.update((run,))
-        yield pd.DataFrame({key: [k[0]] * len(tripped), "event_id": tripped})
-
-    narrow = events.select(key, "ts", "event_id", "event_type")
-    return narrow.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long", "run int", "append", "NoTimeout")
-
-
 def at_threshold(events: DataFrame, bad: str, limit: int, key: str = "user_id") -> DataFrame:
     """(key, event_id) of the event that brings each key to ``limit`` bad ones; batch only."""
     order = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
