@@ -30,7 +30,7 @@ def scan(spark: SparkSession, folder: str, extension: str = "pdf", content: bool
     hash nor content; a folder that doesn't exist gives no rows.
     """
     found = walk.walk(spark, folder).filter("error IS NULL").filter(F.endswith(F.lower("path"), F.lit("." + extension.lower())))
-    base = "file:" + folder if folder.startswith("/") else folder
+    base = folder if (plain := walk.local(folder)) is None else "file:" + plain
     relative = F.regexp_replace("path", r"^\Q" + base.rstrip("/") + r"\E/", "")
     out = found.select(
         F.col("path").alias("file_path"), relative.alias("relative_path"), T.file_name(F.col("path")).alias("file_name"), F.col("length").alias("file_size"),
