@@ -385,27 +385,35 @@ def file_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("relative_path", "file_name", "file_size", "file_hash")
 
 
-def _page_of_words(number: int, line: str) -> extraction.Page:
-    words = []
-    for i, word in enumerate(line.split(" ")):  # runs of spaces are one gap
+def _words_of(number: int, line: str) -> Iterator[tuple]:
+    """Words of a line where ``tables.word_boxes`` has them; runs of spaces are one gap."""
+    for i, found in enumerate(re.finditer("[^ ]+", line)):
         x, y = 10.0 * i, 12.0
         box = (y, x, y + 10, x + 8) if number % 5 == 4 else (x, y, x + 8, y + 10)
-        words.append((*box, word, 0, 0, i))
-    return extraction.Page(line, 612.0, 792.0, [w for w in words if w[4]])
+        yield (*box, found[0], 0, 0, i)
 
 
-def _line_pages(data: bytes) -> list[extraction.Page]:
-    """Lines as pages and words as boxes, where ``tables.word_boxes`` has them."""
-    return [_page_of_words(i, re.sub(" +", " ", line.strip())) for i, line in enumerate(data.decode().split("\n"))]
+def _line_pages(data: bytes) -> Iterator[extraction.Page]:
+    """Lines as pages."""
+    for i, line in enumerate(data.decode().split("\n")):
+        yield extraction.Page(line.strip(), 612.0, 792.0, _words_of(i, line.strip()))
+
+
+#: Pages that this driver extracted from files, by application and tables.
+_pages_of_files: dict[tuple[str, str], DataFrame] = {}
 
 
 def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages and words of the document files, which a scan lists and the page source reads."""
-    lists = work_folder(spark, "lists")
-    found = files.scan(spark, _document_files(spark, sf_dir), "txt", content=False)
-    walk.manifest(found, lists, 1, 2 * spark.sparkContext.defaultParallelism)
-    pages = extraction.read(spark, lists, _line_pages, short_name="leafmark_lines")
-    return pages.withColumn("doc_id", F.regexp_extract("doc_id", r"(-?\d+)\.txt$", 1).cast("long"))
+    """Pages and words of the document files, which a scan lists and the page source reads; the first query of a session extracts them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _pages_of_files:
+        lists, folder = work_folder(spark, "lists"), work_folder(spark, "extracted")
+        found = files.scan(spark, _document_files(spark, sf_dir), "txt", content=False)
+        walk.manifest(found, lists, 1, 4 * spark.sparkContext.defaultParallelism)
+        pages = extraction.read(spark, lists, _line_pages, short_name="leafmark_lines")
+        pages.withColumn("doc_id", F.regexp_extract("doc_id", r"(-?\d+)\.txt$", 1).cast("long")).write.parquet(folder)
+        _pages_of_files[key] = spark.read.parquet(folder)
+    return _pages_of_files[key]
 
 
 def extract_files(spark: SparkSession, sf_dir: str) -> DataFrame:

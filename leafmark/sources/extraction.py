@@ -7,9 +7,11 @@ source, so planning reads names of lists only. A stream takes the lists of new r
 from __future__ import annotations
 
 import multiprocessing
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from itertools import count, islice
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -21,28 +23,68 @@ from leafmark.operators.scans import LIMITS
 from leafmark.sources.walk import local, opened
 
 WORD = "x0 double, y0 double, x1 double, y1 double, original string, block_no int, line_no int, word_no int"
-PAGE = f"doc_id string, outcome string, error string, page_count int, page_number int, text string, page_width double, page_height double, words array<struct<{WORD.replace(' double', ': double').replace(' string', ': string').replace(' int', ': int')}>>"
+PAGE = f"doc_id string, outcome string, error string, page_count int, page_number int, piece int, text string, page_width double, page_height double, words array<struct<{WORD.replace(' double', ': double').replace(' string', ': string').replace(' int', ': int')}>>"
+
+
+#: Words of a row at most: a page with more has further rows, numbered by ``piece``, without text.
+PIECE = 1 << 16
+#: Bytes of texts and rows of a batch that an extractor's process hands over.
+TEXT, ROWS = 1 << 22, 1024
+_WORD = pa.struct([(n, t) for n, t in zip(("x0", "y0", "x1", "y1", "original", "block_no", "line_no", "word_no"), [pa.float64()] * 4 + [pa.string()] + [pa.int32()] * 3)])
+_FOUND = pa.schema([("page_number", pa.int32()), ("piece", pa.int32()), ("text", pa.string()), ("page_width", pa.float64()), ("page_height", pa.float64()), ("words", pa.list_(_WORD))])
+_ROW = pa.schema([("doc_id", pa.string()), ("outcome", pa.string()), ("error", pa.string()), ("page_count", pa.int32()), *_FOUND])
 
 
 @dataclass
 class Page:
-    """What an extractor finds on a page; ``words`` are tuples of ``WORD``."""
+    """What an extractor finds on a page; ``words`` are tuples of ``WORD``, which may come from a generator."""
 
     text: str
     width: float = 0.0
     height: float = 0.0
-    words: list[tuple] = field(default_factory=list)
-
-
-#: Bytes of a file to its pages; an error or None where it can't be opened.
-Extractor = Callable[[bytes], list[Page] | None]
+    words: Iterable[tuple] = ()
+
+
+#: Bytes of a file to its pages, which may come from a generator; an error or None where it can't be opened.
+Extractor = Callable[[bytes], Iterable[Page] | None]
+
+
+def _packed(rows: list[tuple], words: list[tuple], ends: list[int]) -> bytes:
+    columns = list(zip(*words)) or [()] * len(_WORD)
+    flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _WORD)], fields=list(_WORD))
+    plain = [pa.array(c, f.type) for c, f in zip(zip(*rows), _FOUND)]
+    batch = pa.record_batch([*plain, pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), flat)], schema=_FOUND)
+    return batch.serialize().to_pybytes()
+
+
+def _batches(pages: Iterable[Page]) -> tuple[int, list[bytes]]:
+    """The number of pages, and their rows as packed batches; only one batch at a time is held as objects."""
+    out, number, rows, words, ends, size = [], -1, [], [], [], 0
+    for number, page in enumerate(pages):
+        rest = iter(page.words)
+        for piece in count():
+            part = list(islice(rest, PIECE))
+            if piece and not part:
+                break
+            rows.append((number, piece, None if piece else page.text, float(page.width), float(page.height)))
+            words += part
+            ends.append(len(words))
+            size += 0 if piece else len(page.text)
+            if len(words) >= PIECE or size >= TEXT or len(rows) >= ROWS:
+                out.append(_packed(rows, words, ends))
+                rows, words, ends, size = [], [], [], 0
+            if len(part) < PIECE:
+                break
+    if rows:
+        out.append(_packed(rows, words, ends))
+    return number + 1, out
 
 
 class Guard:
     """Runs an extractor in a child process of the worker, which is killed and replaced when a file takes longer than ``seconds``.
 
     Zero or less: no limit. A child that dies (out of memory, a crash in a native
-    library) fails its file only.
+    library) fails its file only. Rows come over as Arrow batches, one at a time.
     """
 
     def __init__(self, extract: Extractor, seconds: float):
@@ -56,12 +98,19 @@ class Guard:
                 return
             try:
                 pages = self.extract(data)
-                pipe.send(("error", "can't be opened", []) if pages is None else ("ok", None, pages))
+                if pages is None:
+                    pipe.send(("error", "can't be opened", None, 0))
+                    continue
+                number, found = _batches(pages)
             except Exception as error:  # any broken file
-                pipe.send(("error", f"{type(error).__name__}: {error}"[:500], []))
-
-    def __call__(self, data: bytes) -> tuple[str, str | None, list[Page]]:
-        """(outcome, error, pages): ``ok``, ``error`` or ``timed_out``."""
+                pipe.send(("error", f"{type(error).__name__}: {error}"[:500], None, 0))
+                continue
+            pipe.send(("ok", None, number, len(found)))
+            for batch in found:
+                pipe.send_bytes(batch)
+            del found
+
+    def _told(self, data: bytes) -> tuple[str, str | None, int | None, int]:
         if self.child is None:
             context = multiprocessing.get_context("fork")
             self.pipe, other = context.Pipe()
@@ -74,9 +123,19 @@ class Guard:
                 return self.pipe.recv()
         except (EOFError, OSError):
             self.close()
-            return "error", "the extractor died", []
+            return "error", "the extractor died", None, 0
         self.close()
-        return "timed_out", f"operation.timed_out: scan.extract took more than {self.seconds} s", []
+        return "timed_out", f"operation.timed_out: scan.extract took more than {self.seconds} s", None, 0
+
+    def rows(self, path: str, data: bytes) -> Iterator[pa.RecordBatch]:
+        """Rows of ``PAGE`` of a file; outcomes are ``ok``, ``error`` and ``timed_out``. EOFError if the child dies while it hands over, for the task to be run again."""
+        outcome, error, number, batches = self._told(data)
+        if not batches:
+            yield _without_page(path, outcome, error, number)
+        for _ in range(batches):
+            found = pa.ipc.read_record_batch(self.pipe.recv_bytes(), _FOUND)
+            same = [pa.array([v] * len(found), f.type) for v, f in zip((path, outcome, error, number), _ROW)]
+            yield pa.RecordBatch.from_arrays([*same, *found.columns], schema=_ROW)
 
     def close(self) -> None:
         if self.child is not None:
@@ -86,6 +145,10 @@ class Guard:
             self.child = None
 
 
+def _without_page(path: str, outcome: str, error: str | None, number: int | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((path, outcome, error, number, *[None] * len(_FOUND)), _ROW)], schema=_ROW)
+
+
 @dataclass
 class FileList(InputPartition):
     path: str
@@ -115,7 +178,7 @@ class _Pages:
     def __init__(self, folder: str, seconds: float, extract: Extractor):
         self.folder, self.seconds, self.extract = folder, seconds, extract
 
-    def read(self, partition: FileList | None) -> Iterator[tuple]:
+    def read(self, partition: FileList | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # there are no lists
             return
         system = fs.LocalFileSystem() if local(self.folder) else fs.FileSystem.from_uri(self.folder)[0]
@@ -128,18 +191,14 @@ class _Pages:
             guard.close()
 
     @staticmethod
-    def _file(path: str, guard: Guard) -> Iterator[tuple]:
+    def _file(path: str, guard: Guard) -> Iterator[pa.RecordBatch]:
         try:
             with opened(path) as f:
                 data = f.read()
         except OSError as error:
-            yield path, "error", str(error), None, None, None, None, None, None
+            yield _without_page(path, "error", str(error), None)
             return
-        outcome, error, pages = guard(data)
-        if not pages:
-            yield path, outcome, error, 0 if outcome == "ok" else None, None, None, None, None, None
-        for number, page in enumerate(pages):
-            yield path, outcome, error, len(pages), number, page.text, float(page.width), float(page.height), page.words
+        yield from guard.rows(path, data)
 
 
 class _Batch(_Pages, DataSourceReader):

@@ -5,6 +5,7 @@ import os
 import time
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from leafmark.operators import highlights
@@ -122,3 +123,14 @@ def test_highlights_over_boxes_from_files(spark, tree, tmp_path):
     boxes = extraction.boxes(extraction.read(spark, lists, extractor()))
     got = sorted((r.page_number, r.term, r.x, r.y, r.w, r.h) for r in highlights.highlights(boxes, ["the"]).collect())
     assert got == [(0, "the", 0.1, 0.1, 0.08, 0.2), (1, "the", 0.0, 0.1, 0.08, 0.2)]
+
+
+def test_pages_of_many_words_come_in_pieces():
+    words = [(float(i), 0.0, i + 1.0, 1.0, f"w{i}", 0, 0, i) for i in range(150_000)]
+    number, found = extraction._batches(iter([extraction.Page("first", 1.0, 1.0, iter(words)), extraction.Page("second"), extraction.Page("third", words=words[:extraction.PIECE])]))
+    rows = [r for b in found for r in pa.ipc.read_record_batch(b, extraction._FOUND).to_pylist()]
+    assert number == 3 and [(r["page_number"], r["piece"], r["text"], len(r["words"])) for r in rows] == [
+        (0, 0, "first", 65536), (0, 1, None, 65536), (0, 2, None, 18928), (1, 0, "second", 0), (2, 0, "third", 65536),
+    ]
+    assert [w["word_no"] for r in rows[:3] for w in r["words"]] == list(range(150_000))
+    assert extraction._batches([]) == (0, [])
