@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm import graph, samples, scratch, store
+from leafmark.llm import graph, prefixes, samples, scratch, store
 from leafmark.llm.words import Tokens, arrow_schema, chunks, mix, span_hashes, tokens
 
 
@@ -254,7 +254,10 @@ class Similar:
     bits. At a Jaccard similarity of 0.8 on five words, an edit for every 45
     words, a fingerprint over shingles of ``over`` words is found with a chance
     of about 0.28, so one of sixteen with 0.995. Sketches only reject candidates
-    that lie ``margin`` standard errors below ``least``; the sets decide.
+    that lie ``margin`` standard errors below ``least``; the sets decide. A tile
+    whose fingerprints propose more than ``crowded`` pairs a row, as documents of
+    one template do, goes by the prefixes of its sets, which propose every pair
+    at ``least`` and few others.
     """
 
     words: int = 5
@@ -268,6 +271,7 @@ class Similar:
     sample: int = 1 << 17
     per_shard: int = 32
     brute: int = 512
+    crowded: int = 32
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -419,6 +423,10 @@ def shingle_set(folder: str, place: np.ndarray) -> np.ndarray:
     return store.load(folder, "h", place[:16].tobytes().hex())[first : first + n]
 
 
+def set_sizes(places: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(places[:, 24:]).view("<i8")[:, 0]
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Similarity of two sorted sets."""
     both = np.sort(np.concatenate([a, b]))
@@ -426,6 +434,30 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / max(1, len(a) + len(b) - common)
 
 
+def join_similar(a: np.ndarray, b: np.ndarray, forest: Forest, layout: store.Layout, folder: str, s: Similar) -> None:
+    """Join those pairs (a, b) of doc_ids that are similar."""
+    width = s.buckets + PLACE
+    for at in range(0, len(a), 1 << 14):
+        one, other = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
+        x, y = load_sketches(layout, one, width), load_sketches(layout, other, width)
+        p, q = x[:, s.buckets :], y[:, s.buckets :]
+        m, n = set_sizes(p), set_sizes(q)
+        maybe = (np.minimum(m, n) >= s.least * np.maximum(m, n) - 1e-9) & ~unlikely(x[:, : s.buckets], y[:, : s.buckets], s.least, s.margin)
+        for k in np.flatnonzero(maybe).tolist():
+            u, v = int(one[k]), int(other[k])
+            if forest.root(u) != forest.root(v) and jaccard(shingle_set(folder, p[k]), shingle_set(folder, q[k])) >= s.least - 1e-9:
+                forest.join(u, v)
+
+
+def join_by_prefixes(ids: np.ndarray, homes: int, forest: Forest, layout: store.Layout, folder: str, s: Similar) -> None:
+    """Join all similar pairs of the first ``homes`` doc_ids with each other and with the rest."""
+    step = 1 << 14
+    places = np.concatenate([load_sketches(layout, ids[at : at + step], s.buckets + PLACE)[:, s.buckets :] for at in range(0, len(ids), step)])
+    labels = lambda: np.fromiter(map(forest.root, ids.tolist()), np.int64, len(ids))
+    for i, j in prefixes.proposals(lambda i: shingle_set(folder, places[i]), set_sizes(places), homes, s.least, labels):
+        join_similar(ids[i], ids[j], forest, layout, folder, s)
+
+
 def similar_links(docs: DataFrame, s: Similar = Similar()) -> DataFrame:
     """Links (a, b) between doc_ids of documents (doc_id, text) that are similar: a forest for each shard of each table.
 
@@ -442,7 +474,7 @@ def similar_links(docs: DataFrame, s: Similar = Similar()) -> DataFrame:
     prints = np.array([np.frombuffer(r[0], "<u4") for r in drawn], np.uint64).reshape(-1, s.tables)
     trees = [build(prints[:, t], s.radius, max(1, -(-len(prints) // shards)))[0] for t in range(s.tables)]
     sent = docs.sparkSession.sparkContext.broadcast(trees)
-    layout, width = store_sketches(signed, n), s.buckets + PLACE
+    layout = store_sketches(signed, n)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -454,18 +486,13 @@ def similar_links(docs: DataFrame, s: Similar = Similar()) -> DataFrame:
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         points, guest, ids = rows["print"].to_numpy().view(np.uint64), rows["guest"].to_numpy(dtype=bool), rows["doc_id"].to_numpy()
-        forest = Forest()
-        for i, j in pairs(points, np.flatnonzero(~guest), np.flatnonzero(guest), s.radius, s.brute):
-            for at in range(0, len(i), 1 << 14):
-                a, b = ids[i[at : at + (1 << 14)]], ids[j[at : at + (1 << 14)]]
-                x, y = load_sketches(layout, a, width), load_sketches(layout, b, width)
-                p, q = x[:, s.buckets :], y[:, s.buckets :]
-                m, n = (np.ascontiguousarray(z[:, 24:]).view("<i8")[:, 0] for z in (p, q))
-                maybe = (np.minimum(m, n) >= s.least * np.maximum(m, n) - 1e-9) & ~unlikely(x[:, : s.buckets], y[:, : s.buckets], s.least, s.margin)
-                for k in np.flatnonzero(maybe).tolist():
-                    one, other = int(a[k]), int(b[k])
-                    if forest.root(one) != forest.root(other) and jaccard(shingle_set(folder, p[k]), shingle_set(folder, q[k])) >= s.least - 1e-9:
-                        forest.join(one, other)
+        home, guests, forest, proposed = np.flatnonzero(~guest), np.flatnonzero(guest), Forest(), 0
+        for i, j in pairs(points, home, guests, s.radius, s.brute):
+            proposed += len(i)
+            if proposed > s.crowded * len(rows):
+                join_by_prefixes(ids[np.concatenate([home, guests])], len(home), forest, layout, folder, s)
+                break
+            join_similar(ids[i], ids[j], forest, layout, folder, s)
         return forest.links()
 
     return signed.select("doc_id", "prints").mapInArrow(deal, CANDIDATES).groupBy("search", "tile").applyInPandas(search, "a long, b long")
