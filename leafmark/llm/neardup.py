@@ -271,7 +271,7 @@ class Similar:
     sample: int = 1 << 17
     per_shard: int = 32
     brute: int = 512
-    crowded: int = 32
+    crowded: int = 4
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
