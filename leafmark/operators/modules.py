@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,19 +29,29 @@ def version_checks(modules: DataFrame, dependencies: DataFrame) -> DataFrame:
 def load_order(modules: DataFrame, dependencies: DataFrame) -> DataFrame:
     """(position, module_name): dependencies first, else alphabetically among the ready; ValueError for a cycle.
 
-    Modules are few; the order is found on the driver.
+    Each place depends on all before it, so the order is found on the driver, from
+    names and links alone; a heap holds the ready.
     """
     names = sorted({r[0] for r in modules.select("module_name").collect()})
     needs: dict[str, set[str]] = {n: set() for n in names}
     for name, need in dependencies.select("module_name", "needs").collect():
         if name in needs and need in needs:
             needs[name].add(need)
-    order: list[str] = []
-    while len(order) < len(names):
-        ready = [n for n in names if n not in order and needs[n] <= set(order)]
-        if not ready:
-            raise ValueError("modules depend on each other: " + ", ".join(n for n in names if n not in order))
-        order.append(ready[0])
+    wanted_by: dict[str, list[str]] = {n: [] for n in names}
+    for name, own in needs.items():
+        for need in own:
+            wanted_by[need].append(name)
+    open_needs = {n: len(own) for n, own in needs.items()}
+    ready, order = [n for n in names if not open_needs[n]], []
+    while ready:
+        order.append(heapq.heappop(ready))
+        for name in wanted_by[order[-1]]:
+            open_needs[name] -= 1
+            if not open_needs[name]:
+                heapq.heappush(ready, name)
+    if len(order) < len(names):
+        placed = set(order)
+        raise ValueError("modules depend on each other: " + ", ".join(n for n in names if n not in placed))
     return modules.sparkSession.createDataFrame(list(enumerate(order)), "position int, module_name string")
 
 

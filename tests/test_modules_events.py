@@ -24,6 +24,21 @@ def test_load_order_and_checks(spark):
         modules.load_order(m, cycle)
 
 
+def test_load_order_of_many(spark):
+    n = 4000
+    m = spark.range(n).selectExpr("lpad(id, 5, '0') AS module_name", "'1' AS version", "'1' AS api_version")
+    d = spark.range(n).selectExpr("lpad(id, 5, '0') AS module_name", f"lpad({n - 1} - (id * 7) % {n}, 5, '0') AS needs", "'' AS constraint").filter("module_name > needs")
+    began = time.monotonic()
+    order = [r.module_name for r in modules.load_order(m, d).orderBy("position").collect()]
+    assert time.monotonic() - began < 30 and len(order) == n
+    needs, placed = {}, set()
+    for r in d.collect():
+        needs.setdefault(r.module_name, set()).add(r.needs)
+    for name in order[:300]:
+        assert name == min(x for x in map("{:05d}".format, range(n)) if x not in placed and needs.get(x, set()) <= placed)
+        placed.add(name)
+
+
 def test_processors_become_views(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     reg = modules.Modules()
