@@ -139,7 +139,7 @@ def pairs(points: np.ndarray, home: np.ndarray, guests: np.ndarray, radius: int,
             stack.append((home[near], guests[g - radius <= m]))
             stack.append((home[~near], np.concatenate([guests[g + radius > m], home[near & (d > m - radius)]])))
             continue
-        step = max(1, (1 << 21) // len(home))
+        step = max(1, (1 << 19) // len(home))
         for at in range(0, len(home), step):
             i, j = np.nonzero(np.bitwise_count(points[home[at : at + step], None] ^ points[home][None, :]) <= radius)
             keep = i + at < j
