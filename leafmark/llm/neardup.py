@@ -15,6 +15,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -45,16 +46,23 @@ class Search:
 
 def fingerprint(text: bytes, k: int = 3) -> int:
     """SimHash over the shingles of k words, repeats included; fewer words make one shingle, none give 0."""
-    return int(majority(shingle_hashes(text, k)))
+    return int(fingerprints_of([text], k)[0])
+
+
+def fingerprints_of(texts: list[bytes], k: int) -> np.ndarray:
+    """``fingerprint`` of each text."""
+    h, starts = xxh64_shingles(texts, k)
+    worded, out = np.flatnonzero(np.diff(starts)), np.zeros(len(texts), np.uint64)
+    out[worded] = majorities(h, np.append(starts[worded], len(h)))
+    return out
 
 
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     """(doc_id, fp) of documents (doc_id, text), fp as a signed long; a null text has no words."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, texts in chunks(batches):
-            fps = np.array([fingerprint(t, k) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(fps)], schema=arrow_schema("doc_id long, fp long"))
+        for piece, texts in chunks(batches, limit=1 << 20):
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(fingerprints_of(texts, k).view(np.int64))], schema=arrow_schema("doc_id long, fp long"))
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(apply, "doc_id long, fp long")
 
@@ -149,6 +157,60 @@ def pairs(points: np.ndarray, home: np.ndarray, guests: np.ndarray, radius: int,
             yield guests[i + at], home[j]
 
 
+def block_mask(block: int, radius: int) -> np.uint32:
+    """The bits of a block: 32 bits are cut into one block more than two fingerprints may differ in, so these share one."""
+    width = -(-32 // (radius + 1))
+    return np.uint32(((1 << width) - 1 << block * width) & 0xFFFFFFFF)
+
+
+def block_value(points: np.ndarray, block: int, radius: int) -> np.ndarray:
+    return ((points & block_mask(block, radius)) >> np.uint32(block * -(-32 // (radius + 1)))).astype(np.int64)
+
+
+def dealt(values: np.ndarray, parts: np.ndarray, tiles: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of points with ``values`` of a block, the tiles that they go to, and whether as guests.
+
+    Values go to one of ``groups`` tiles. One that has several ``tiles`` has them for itself: each takes
+    its part of the members, told by ``parts``, and the members of earlier ones visit it.
+    """
+    many = np.where(values < len(tiles), tiles[np.minimum(values, len(tiles) - 1)], 1)
+    mine = (parts % many.astype(np.uint64)).astype(np.int64)
+    n = many - mine
+    at = np.repeat(np.arange(len(values)), n)
+    visit = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    return at, np.where(many[at] > 1, groups + values[at] * tiles.max() + mine[at] + visit, values[at] % groups).astype(np.int32), visit > 0
+
+
+def close_pairs(points: np.ndarray, homes: int, block: int, radius: int, live: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of 32-bit points within the radius that agree in ``block``, each pair once; the first ``homes`` points meet each other and the rest.
+
+    Of ``radius + 2`` parts of the other bits such pairs agree in two at least. So
+    for each two of them the points are sorted, and neighbours that agree are
+    compared. Points that the caller strikes from ``live`` have no further pairs.
+    """
+    same = block_mask(block, radius)
+    rest = [k for k in range(32) if not int(same) >> k & 1]
+    parts = [np.uint32(sum(1 << k for k in rest[i :: radius + 2])) for i in range(radius + 2)]
+    masks = [same | np.bitwise_or.reduce(x) for x in combinations(parts, 2)]
+    for k, mask in enumerate(masks):
+        order = np.argsort(points & mask)
+        ordered, step = points[order], 0
+        first = np.arange(len(order))
+        while len(first):
+            step += 1
+            first = first[first < len(order) - step]
+            first = first[live[order[first]]]
+            unlike = ordered[first] ^ ordered[first + step]
+            like = unlike & mask == 0
+            first, unlike = first[like], unlike[like]
+            i, j = order[first], order[first + step]
+            close = np.flatnonzero((np.bitwise_count(unlike) <= radius) & (np.minimum(i, j) < homes))
+            for earlier in masks[:k]:
+                close = close[unlike[close] & earlier != 0]
+            if len(close):
+                yield i[close], j[close]
+
+
 class Forest:
     """Union-find over fingerprints."""
 
@@ -254,10 +316,12 @@ class Similar:
     bits. At a Jaccard similarity of 0.8 on five words, an edit for every 45
     words, a fingerprint over shingles of ``over`` words is found with a chance
     of about 0.28, so one of sixteen with 0.995. Sketches only reject candidates
-    that lie ``margin`` standard errors below ``least``; the sets decide. A tile
-    whose fingerprints propose more than ``crowded`` pairs a row, as documents of
-    one template do, goes by the prefixes of its sets, which propose every pair
-    at ``least`` and few others.
+    that lie ``margin`` standard errors below ``least``; the sets decide. Rows of
+    one value of a block whose fingerprints propose more than ``crowded`` pairs a
+    row, as documents of one template do, go by the prefixes of their sets, which
+    propose every pair at ``least`` and few others. Values share tiles of about
+    ``shard`` rows; ``per_shard`` rows for each, ``sample`` at most, tell which
+    values need several. ``brute`` belonged to trees and changes nothing.
     """
 
     words: int = 5
@@ -276,38 +340,85 @@ class Similar:
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
     """XXH64 of the shingles of k words of a text in lower case; fewer words are one shingle."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= k:
-        return np.array([hashed(joined, 42)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    return np.array([hashed(joined[a:b], 42) for a, b in zip(starts[: 1 - k or None].tolist(), ends[k - 1 :].tolist())], np.uint64)
+    return xxh64_shingles([text], k)[0]
+
+
+def xxh64_shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_hashes`` of all texts, and where each text's begin."""
+    t = tokens(texts, lower=True, hashed=False)
+    n = np.diff(t.starts)
+    count = np.where(n >= k, n - k + 1, n > 0)
+    starts = np.concatenate([[0], np.cumsum(count)])
+    at = np.repeat(t.starts[:-1] - starts[:-1], count) + np.arange(starts[-1])
+    last = at + np.repeat(np.minimum(n, k), count) - 1
+    return xxh64(t.text, t.begin[at], t.begin[last] + t.size[last]), starts
+
+
+#: The primes of XXH64.
+PRIMES = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+
+def xxh64(text: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int = 42) -> np.ndarray:
+    """XXH64 of stretches of ``text``, a few thousand at a time; of 32 bytes and more by the library."""
+    out = np.empty(len(begin), np.uint64)
+    for a in range(0, len(begin), 1 << 13):
+        out[a : a + (1 << 13)] = _short_xxh64(text, begin[a : a + (1 << 13)], end[a : a + (1 << 13)], seed)
+    for i in np.flatnonzero(end - begin >= 32).tolist():
+        out[i] = xxhash.xxh64_intdigest(text[begin[i] : end[i]].tobytes(), seed)
+    return out
+
+
+def _short_xxh64(text: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of stretches below 32 bytes; of others anything."""
+    p1, p2, p3, p4, p5 = PRIMES
+    low = int(begin.min()) if len(begin) else 0
+    near = np.concatenate([text[low : int(begin.max()) + 40 if len(begin) else 0], np.zeros(40, np.uint8)])
+    words = np.ndarray(len(near) - 7, "<u8", near, strides=(1,)).astype(np.uint64)  # the eight bytes from each place
+    n, at = np.minimum(end - begin, 31), begin - low
+    h = n.astype(np.uint64) + (np.uint64(seed) + p5)
+    for k in range(3):  # eight bytes at a time, then four, then one by one
+        i = np.flatnonzero(n >= 8 * k + 8)
+        h[i] = _turned(h[i] ^ _turned(words[at[i] + 8 * k] * p2, 31) * p1, 27) * p1 + p4
+    i = np.flatnonzero(n & 4)
+    h[i] = _turned(h[i] ^ (words[at[i] + (n[i] & 24)] & np.uint64(0xFFFFFFFF)) * p1, 23) * p2 + p3
+    for k in range(3):
+        i = np.flatnonzero(n & 3 > k)
+        h[i] = _turned(h[i] ^ near[at[i] + (n[i] & 28) + k] * p5, 11) * p1
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return h ^ h >> np.uint64(32)
 
 
 def majority(h: np.ndarray) -> np.uint64:
     """The bits that over half of the hashes have."""
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 14):
-        ones += np.unpackbits(h[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]
+    return majorities(h, np.array([0, len(h)]))[0] if len(h) else np.uint64(0)
+
+
+#: The lowest bit of each byte, and how many of them a byte can sum.
+LANES, LANE = np.uint64(0x0101010101010101), 255
 
 
 def majorities(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """``majority`` of each stretch of ``h``, from ``starts[i]`` to ``starts[i + 1]``; none of them empty."""
-    out = np.empty(len(starts) - 1, np.uint64)
-    block = np.flatnonzero(np.diff(starts[:-1] >> 16)) + 1
-    for a, b in zip([0, *block], [*block, len(out)]):
-        own = h[starts[a] : starts[b]]
-        if b == a + 1:
-            out[a] = majority(own)
-        elif b > a:
-            bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, starts[a:b] - starts[a], axis=0, dtype=np.int32)
-            out[a:b] = np.packbits(2 * ones > np.diff(starts[a : b + 1])[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
-    return out
+    """``majority`` of each stretch of ``h``, from ``starts[i]`` to ``starts[i + 1]``; none of them empty.
+
+    The eight bytes of a sum count one bit of each byte of up to ``LANE`` hashes.
+    """
+    n = np.diff(starts)
+    parts = -(-n // LANE)
+    first = np.cumsum(parts) - parts
+    at = np.append(np.repeat(starts[:-1] - LANE * first, parts) + LANE * np.arange(parts.sum()), starts[-1])
+    sums = np.empty((len(at) - 1, 8, 8), np.uint8)
+    for a in range(0, len(sums), 64):  # a few thousand hashes at a time
+        b = min(a + 64, len(sums))
+        own = h[at[a] : at[b]]
+        for k in range(8):
+            sums[a:b, :, k] = np.add.reduceat(own >> np.uint64(k) & LANES, at[a:b] - at[a]).astype("<u8").view(np.uint8).reshape(-1, 8)
+    ones = np.add.reduceat(sums.reshape(-1, 64), first, axis=0, dtype=np.int64) if len(n) else np.empty((0, 64), np.int64)
+    return np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
 
 
 def shingles(t: Tokens, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -348,9 +459,9 @@ def unlikely(a: np.ndarray, b: np.ndarray, least: float, margin: float) -> np.nd
 
 #: ``sketch`` is followed by the place of the shingles: file, first and number.
 SIGNED = "doc_id long, prints binary, sketch binary"
-CANDIDATES = "search long, tile int, doc_id long, print long, guest boolean"
-#: Sketches of a cell of the store, and bytes of the place that follows each.
-STORED, PLACE = 1 << 16, 32
+CANDIDATES = "search int, tile int, doc_id long, print long, guest boolean"
+#: Sketches of a cell of the store, bytes of the place that follows each, and proposals that are looked up together.
+STORED, PLACE, HELD = 1 << 16, 32, 1 << 14
 
 
 def signatures(docs: DataFrame, s: Similar, folder: str) -> DataFrame:
@@ -459,40 +570,57 @@ def join_by_prefixes(ids: np.ndarray, homes: int, forest: Forest, layout: store.
 
 
 def similar_links(docs: DataFrame, s: Similar = Similar()) -> DataFrame:
-    """Links (a, b) between doc_ids of documents (doc_id, text) that are similar: a forest for each shard of each table.
-
-    Rows that repeat a doc_id count once. Only doc_ids and the short
-    fingerprints visit shards; sketches and shingles are mapped from the shared
-    folder and looked up for candidates that are not connected yet. Texts
-    without words and rows without doc_id have no links; an empty table has none.
+    """Links (a, b) between doc_ids of documents (doc_id, text) that are similar: a forest for each tile of each block of each table.
+
+    Rows that repeat a doc_id count once. Fingerprints within the radius share a
+    block of their bits, so each meets those with its value of a block, in as
+    many copies as there are blocks at every size; trees over 32 bits would send
+    each to ever more shards. Only doc_ids and the short fingerprints are dealt;
+    sketches and shingles are mapped from the shared folder and looked up for
+    candidates that are not connected yet. Texts without words and rows without
+    doc_id have no links; an empty table has none.
     """
     folder = scratch.fresh(docs.sparkSession, "shingles")
     signed = scratch.store(signatures(docs, s, folder).dropDuplicates(["doc_id"]), "signatures")
     n = signed.count()
-    shards = max(1, -(-n // s.shard))
-    drawn = samples.by_hash(signed, F.col("doc_id"), n, min(s.sample, shards * s.per_shard)).select("prints").collect()
-    prints = np.array([np.frombuffer(r[0], "<u4") for r in drawn], np.uint64).reshape(-1, s.tables)
-    trees = [build(prints[:, t], s.radius, max(1, -(-len(prints) // shards)))[0] for t in range(s.tables)]
-    sent = docs.sparkSession.sparkContext.broadcast(trees)
+    groups = max(1, -(-n // s.shard))
+    drawn = samples.by_hash(signed, F.col("doc_id"), n, min(s.sample, groups * s.per_shard)).select("prints").collect()
+    prints = np.array([np.frombuffer(r[0], "<u4") for r in drawn], np.uint32).reshape(-1, s.tables)
+    # a value that very many share takes several tiles
+    share, blocks = n / max(1, len(prints)) / (4 * s.shard), range(s.radius + 1)
+    tiles = {(t, b): np.maximum(1, np.rint(np.bincount(block_value(prints[:, t], b, s.radius)) * share)).astype(np.int64) for t in range(s.tables) for b in blocks}
+    sent = docs.sparkSession.sparkContext.broadcast(tiles)
     layout = store_sketches(signed, n)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.array([np.frombuffer(x, "<u4") for x in batch.column(1).to_pylist()], np.uint64).reshape(-1, s.tables)
+            own = np.array([np.frombuffer(x, "<u4") for x in batch.column(1).to_pylist()], np.uint32).reshape(-1, s.tables)
+            parts = mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
             for t in range(s.tables):
-                for shard, tile, at, guest in visits(sent.value[t], own[:, t], s.radius):
-                    k = len(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, shard * s.tables + t)), pa.array(np.full(k, tile, np.int32)), batch.column(0).take(pa.array(at)), pa.array(own[at, t].astype(np.int64)), pa.array(guest)], schema=arrow_schema(CANDIDATES))
+                for b in blocks:
+                    at, tile, guest = dealt(block_value(own[:, t], b, s.radius), parts, sent.value[t, b], groups)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t * len(blocks) + b, np.int32)), pa.array(tile), batch.column(0).take(pa.array(at)), pa.array(own[at, t].astype(np.int64)), pa.array(guest)], schema=arrow_schema(CANDIDATES))
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        points, guest, ids = rows["print"].to_numpy().view(np.uint64), rows["guest"].to_numpy(dtype=bool), rows["doc_id"].to_numpy()
-        home, guests, forest, proposed = np.flatnonzero(~guest), np.flatnonzero(guest), Forest(), 0
-        for i, j in pairs(points, home, guests, s.radius, s.brute):
-            proposed += len(i)
-            if proposed > s.crowded * len(rows):
-                join_by_prefixes(ids[np.concatenate([home, guests])], len(home), forest, layout, folder, s)
-                break
-            join_similar(ids[i], ids[j], forest, layout, folder, s)
+        rows = rows.sort_values("guest", kind="stable")
+        points, ids, homes, forest = rows["print"].to_numpy().astype(np.uint32), rows["doc_id"].to_numpy(), int((~rows["guest"]).sum()), Forest()
+        block = int(rows["search"].iloc[0]) % len(blocks)
+        _, group, size = np.unique(block_value(points, block, s.radius), return_inverse=True, return_counts=True)
+        proposed, live, held, n_held = np.zeros(len(size), np.int64), np.ones(len(points), bool), [], 0
+        for i, j in close_pairs(points, homes, block, s.radius, live):
+            proposed += np.bincount(group[i], minlength=len(size))
+            crowded = proposed > s.crowded * size
+            live &= ~crowded[group]
+            held.append((i[live[i]], j[live[i]]))
+            n_held += len(held[-1][0])
+            if n_held >= HELD:
+                join_similar(*(ids[np.concatenate(x)] for x in zip(*held)), forest, layout, folder, s)
+                held, n_held = [], 0
+        if held:
+            join_similar(*(ids[np.concatenate(x)] for x in zip(*held)), forest, layout, folder, s)
+        for k in np.flatnonzero(proposed > s.crowded * size).tolist():
+            members = np.flatnonzero(group == k)
+            join_by_prefixes(ids[members], int((members < homes).sum()), forest, layout, folder, s)
         return forest.links()
 
     return signed.select("doc_id", "prints").mapInArrow(deal, CANDIDATES).groupBy("search", "tile").applyInPandas(search, "a long, b long")

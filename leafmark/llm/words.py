@@ -95,8 +95,8 @@ class Tokens:
     starts: np.ndarray
 
 
-def tokens(texts: list[bytes], lower: bool = False) -> Tokens:
-    """The words of documents and their 64-bit hashes, without an object for each word."""
+def tokens(texts: list[bytes], lower: bool = False, hashed: bool = True) -> Tokens:
+    """The words of documents and their 64-bit hashes, if ``hashed``, without an object for each word."""
     raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     if lower:
         raw = LOWER[raw]
@@ -113,7 +113,7 @@ def tokens(texts: list[bytes], lower: bool = False) -> Tokens:
     begin = np.cumsum(size + 1) - size - 1
     ends = starts[1:][np.diff(starts) > 0] - 1
     text[begin[ends] + size[ends]] = 10
-    return Tokens(text, begin, size, word_hashes(text, begin, size), starts)
+    return Tokens(text, begin, size, word_hashes(text, begin, size) if hashed else np.empty(0, np.uint64), starts)
 
 
 def joined(parts: list[Tokens]) -> Tokens:

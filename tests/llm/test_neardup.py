@@ -126,6 +126,55 @@ def test_similar_links_catch_edits_and_leave_others(spark):
     assert neardup.similar_links(df.limit(0)).isEmpty()
 
 
+def test_blocks_of_bits_lose_no_pair_and_send_no_more_copies_at_size():
+    """Trees over 32 bits sent each fingerprint to ever more shards, so the pipeline did not end in time on 6 GB."""
+    r = np.random.default_rng(11)
+    x = r.integers(0, 2**32, 20_000, dtype=np.uint32)
+    x[10_000:] = x[:10_000] ^ (np.uint32(1) << r.integers(0, 32, 10_000, dtype=np.uint32)) ^ (np.uint32(1) << r.integers(0, 32, 10_000, dtype=np.uint32))
+    homes, ends = 15_000, np.array([0, 20_000])
+    want = {tuple(sorted((int(a), int(b)))) for i, j in neardup.pairs(x.astype(np.uint64), np.arange(homes), np.arange(homes, len(x)), 2, 512) for a, b in zip(i, j)}
+    got = set()
+    for block in range(3):
+        found = [tuple(sorted((int(a), int(b)))) for i, j in neardup.close_pairs(x, homes, block, 2, np.ones(len(x), bool)) for a, b in zip(i, j)]
+        assert len(found) == len(set(found))
+        got |= set(found)
+    assert got == want and len(want) >= 10_000
+    tree, shards = neardup.build(x[::3].astype(np.uint64), 2, 100)
+    by_tree = sum(len(at) for _, _, at, _ in neardup.visits(tree, x.astype(np.uint64), 2))
+    by_blocks = sum(len(neardup.dealt(neardup.block_value(x, b, 2), x.astype(np.uint64), np.ones(1, np.int64), shards)[0]) for b in range(3))
+    assert shards > 30 and by_blocks == 3 * len(x) < by_tree
+
+
+def test_members_of_a_common_value_meet_in_tiles(spark):
+    values, parts = np.array([7] * 50 + [3] * 5), np.arange(55).astype(np.uint64)
+    at, tile, guest = neardup.dealt(values, parts, np.array([1, 1, 1, 1, 1, 1, 1, 4]), 2)
+    homes = {int(a): int(t) for a, t, g in zip(at, tile, guest) if not g}
+    visitors = {(int(a), int(t)) for a, t, g in zip(at, tile, guest) if g}
+    assert len(homes) == 55 and {homes[k] for k in range(50, 55)} == {1} and len({homes[k] for k in range(50)}) == 4
+    assert all(homes[a] == homes[b] or ((a, homes[b]) in visitors) != ((b, homes[a]) in visitors) for a in range(50) for b in range(a))
+    r = np.random.default_rng(12)
+    base = [f"w{int(x)}" for x in r.integers(0, 3000, 300)]
+    texts = [" ".join("changed" if k == at else w for k, w in enumerate(base)) for at in range(60)] + [" ".join(f"w{int(x)}" for x in r.integers(0, 3000, 300)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for crowded in (0, 4, 10**6):
+        found = {x.node: x.root for x in graph.components(neardup.similar_links(df, neardup.Similar(shard=4, per_shard=100, crowded=crowded))).collect()}
+        assert [found.get(k, k) for k in range(120)] == [0] * 60 + list(range(60, 120))
+
+
+def test_vectors_of_hashes_and_bits_are_those_of_single_texts():
+    r = np.random.default_rng(13)
+    texts = [b"", b" ", b"a", b"a B", b"  x\x0by\x0cZ ", "Äé ß   x".encode(), b"q" * 40 + b" r", b"a " * 600] + [b" ".join(bytes(r.choice([97, 66, 195], int(r.integers(1, 15)))) for _ in range(int(r.integers(0, 300)))) for _ in range(60)]
+    for k in (1, 3, 5):
+        fps = [slow_fingerprint_of_bytes(t, k) for t in texts]
+        assert neardup.fingerprints_of(texts, k).tolist() == fps and [neardup.fingerprint(t, k) for t in texts] == fps
+
+
+def slow_fingerprint_of_bytes(text, k):
+    words = text.lower().split()
+    h = [xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(max(1, len(words) - k + 1))] if words else []
+    return sum(1 << bit for bit in range(64) if 2 * sum(x >> bit & 1 for x in h) > len(h))
+
+
 def test_sketches_estimate_similarity():
     r = np.random.default_rng(6)
     common = r.integers(0, 2**64, 800, dtype=np.uint64)
